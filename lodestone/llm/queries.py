@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding
+from . import chat, decontam, mixing, quality_rules, sharding
 from .common import text_of, word_count
 
 
@@ -13,6 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = quality_rules.apply_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(list_filter(w, lambda x: list_contains([STOPS], lower(x)))) AS BIGINT) AS n_stop_words, CAST(len(regexp_extract_all(t, '!!')) AS BIGINT) AS n_shouts
+  FROM d LEFT JOIN cover USING (doc_id)
+), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_symbols > 15 * n_words OR 100 * n_shouts > 15 * n_words
+    OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_stop_words < 2 * n_words) AS kept
+FROM f
+""".replace("[STOPS]", "[" + ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS) + "]")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix_documents(docs, word_count(text_of("text")), carry=["doc_id"])
@@ -48,9 +75,50 @@ FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
 """
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    made = chat.examples(turns.unionByName(extra))
+    digest = F.sha2(F.array_join(F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    read = made.select(
+        "conv_id", "example", "n_turns", chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("loss"), F.length("formatted").cast("long").alias("chars"),
+        F.when(F.lead("example").over(Window.partitionBy("conv_id").orderBy("example")).isNull(), digest).alias("digest"),
+    )
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
+    out = read.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("digest").alias("turns_sha256"), loss.alias("loss"), F.sum("chars").alias("formatted_chars"))
+    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def _escaped(c: str) -> str:
+    return f"regexp_replace({c}, '([<\\[])(\\\\*)(/?(?:s>|TURN\\]|INST\\]))', '\\1\\2\\\\\\3', 'g')"
+
+
+OP5_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+    3 + sum(length({_escaped("role")}) + length({_escaped("text")}) + 17) OVER w AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_decontamination": op4_decontamination, "op8_sharding": op8_sharding}
-ORACLE = {"op4_decontamination": OP4_SQL}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_chat": op5_chat,
+    "op8_sharding": op8_sharding,
+}
+ORACLE = {"op1_quality_rules": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL}
