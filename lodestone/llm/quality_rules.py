@@ -41,7 +41,7 @@ RULES = (
     Rule("short_or_long_words", "word_chars", "n_words", least=2.0, most=20.0),
     Rule("symbols", "n_symbols", "n_words", most=0.15),
     Rule("shouting", "n_shouts", "n_words", most=0.15),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.40),
     Rule("no_stop_words", "n_stop_words", "n_words", least=0.02),
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality_rules, sharding
+from . import chat, decontam, mixing, pii, quality_rules, sharding
 from .common import text_of, word_count
 
 
@@ -35,7 +35,7 @@ m AS (
 ), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_symbols > 15 * n_words OR 100 * n_shouts > 15 * n_words
-    OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_stop_words < 2 * n_words) AS kept
+    OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_stop_words < 2 * n_words) AS kept
 FROM f
 """.replace("[STOPS]", "[" + ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS) + "]")
 
@@ -114,11 +114,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_chat": op5_chat,
     "op8_sharding": op8_sharding,
+    "op10_pii": op10_pii,
 }
 ORACLE = {"op1_quality_rules": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL}
