@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, quality_rules, sharding
-from .common import text_of, word_count
+from . import chat, decontam, mixing, pii, quality_classifier, quality_rules, sharding, toxicity
+from .common import held_out, text_of, word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,16 @@ FROM s GROUP BY conv_id
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -126,6 +136,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op10_pii": op10_pii,
 }
