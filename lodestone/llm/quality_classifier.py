@@ -117,10 +117,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
     return Trees(base, feature, np.float32(threshold), left, right, value, roots, depth)
 
 
+def learnable(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    return labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, max_rows: int) -> DataFrame:
     """The documents of at most ``max_rows`` learnable labels (by hash of the id), with ``__y``; none is held out."""
-    rows = labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
-    rows = rows.select(F.col(id_col), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), id_col, "__y").limit(max_rows)
+    rows = learnable(labels, label, id_col).select(F.col(id_col), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), id_col, "__y").limit(max_rows)
     # at most max_rows rows of two numbers
     return docs.join(F.broadcast(rows), id_col)
 
