@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, mixing, pii, quality_classifier, quality_rules, sharding, toxicity
+from . import chat, decontam, licenses, minhash, mixing, pii, quality_classifier, quality_rules, sharding, toxicity
 from .common import held_out, text_of, word_count
 
 
@@ -128,6 +128,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["coverage"])), F.lit(0.0)).alias("best_coverage"),
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
@@ -144,6 +152,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
+    "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
 }
 ORACLE = {"op1_quality_rules": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL}
