@@ -9,8 +9,9 @@ is linked if the k-mers inside aligned runs make up ``LEAST`` of all.
 
 Exact copies meet first. Within a bucket, texts are compared with a centre
 (twice, with different centres); what then still lies in different classes is
-compared pair by pair, so no candidate is left out and a large group of near
-copies costs a few comparisons for each text.
+compared pair by pair, in wide buckets after a second, longer family of sketches
+has parted texts that only share a passage. So no candidate is left out and a
+large group of near copies costs a few comparisons for each text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ LEAST = 0.8
 #: Sketches and k-mers in each; texts of up to ``SHORT`` k-mers also get sketches of two.
 SKETCHES, LENGTH = 24, 6
 SHORT, SHORT_SKETCHES, SHORT_LENGTH = 40, 12, 2
+#: Second family, for texts from buckets of more than ``WIDE`` texts in several classes: a passage that many
+#: unlike texts share fills such buckets, and longer sketches part those texts.
+WIDE, WIDE_SKETCHES, WIDE_LENGTH = 16, 100, 12
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -53,7 +57,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+ODD = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 def kmers(words: list[bytes], known: Hashes) -> np.ndarray:
@@ -78,10 +82,12 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """One value for each sketch of a text."""
+def sketches(h: np.ndarray, wide: bool = False) -> np.ndarray:
+    """One value for each sketch of a text, of the first or the second family."""
     own = labelled(h)
-    sets = [(SKETCHES, LENGTH, 0)] + ([(SHORT_SKETCHES, SHORT_LENGTH, 32)] if len(h) <= SHORT else [])
+    sets = [(WIDE_SKETCHES, WIDE_LENGTH, 64)] if wide else [(SKETCHES, LENGTH, 0)]
+    if len(h) <= SHORT:
+        sets.append((2 * SHORT_SKETCHES, 2 * SHORT_LENGTH, 192) if wide else (SHORT_SKETCHES, SHORT_LENGTH, 32))
     out = []
     for count, length, offset in sets:
         size = min(length, len(h))
@@ -189,6 +195,24 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     return ends.select(F.col("u").alias("key"), "label").unionByName(now.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
 
 
+def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Buckets (v, key, n, c) that still hold several classes; wide ones are dealt anew by the second family."""
+    mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("v", "size")
+    rows = materialize(own.join(mixed, "v").select("v", "key", "n", "c", "size"), "omh-undecided")
+    wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for b in it:
+            values = [sketches(kmers(words_of(t), known), wide=True).view(np.int64) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(values, pa.list_(pa.int64()))], names=["key", "n", "c", "values"])
+
+    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, values array<long>").select(F.explode("values").alias("v"), "key", "n", "c")
+    again = materialize(again, "omh-wide")
+    again = again.join(again.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "v")
+    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c").unionByName(again.select("v", "key", "n", "c"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """One row (``id_col``, ``class_id``, ``class_size``) for each document.
 
@@ -217,11 +241,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
             pairs = own.join(centre, "v").filter((F.col("c") != F.col("s.c")) & near(F.col("n"), F.col("s.n")))
             pairs = pairs.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b"))
         else:
-            # buckets that still hold several classes: every pair across classes
-            mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-            left = materialize(own.join(mixed, "v"), "omh-mixed")
+            left = materialize(undecided(own, texts), "omh-mixed")
             right = left.select("v", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = left.join(right, "v").filter((F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2"))).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
+            pairs = left.join(right, (left["v"] == right["v"]) & (F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2"))).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
         pairs = pairs.distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "omh-pairs")
         found = verified(pairs, texts, "omh-links")
