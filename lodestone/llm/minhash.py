@@ -8,7 +8,7 @@ aligned within a band that holds every pair of the wanted similarity; the pair
 is linked if the k-mers inside aligned runs make up ``LEAST`` of all.
 
 Exact copies meet first. Within a bucket, texts are compared with a centre
-(twice, with different centres); what then still lies in different classes is
+(a few times, with better centres); what then still lies in different classes is
 compared pair by pair, in wide buckets after a second, longer family of sketches
 has parted texts that only share a passage. So no candidate is left out and a
 large group of near copies costs a few comparisons for each text.
@@ -22,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 K = 5
 LEAST = 0.8
+#: Rounds in which the texts of a bucket are compared with a centre, in the first and again in the second buckets.
+STARS = 2
 #: Sketches and k-mers in each; texts of up to ``SHORT`` k-mers also get sketches of two.
 SKETCHES, LENGTH = 24, 6
 SHORT, SHORT_SKETCHES, SHORT_LENGTH = 40, 12, 2
@@ -196,7 +198,12 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 
 def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets (v, key, n, c) that still hold several classes; wide ones are dealt anew by the second family."""
+    """Buckets (v, key, n, c, s) that still hold several classes; wide ones are dealt anew by the second family.
+
+    ``s`` bounds how many k-mers a text can share with any other of its bucket:
+    in wide buckets those that no other text of such buckets has are counted
+    out, and a text that keeps too few for the wanted similarity is done.
+    """
     mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("v", "size")
     rows = materialize(own.join(mixed, "v").select("v", "key", "n", "c", "size"), "omh-undecided")
     wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
@@ -204,13 +211,47 @@ def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for b in it:
-            values = [sketches(kmers(words_of(t), known), wide=True).view(np.int64) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(values, pa.list_(pa.int64()))], names=["key", "n", "c", "values"])
+            hashes = [kmers(words_of(t), known) for t in b.column(3).to_pylist()]
+            values = pa.array([sketches(h, wide=True).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            own = pa.array([labelled(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], values, own], names=["key", "n", "c", "values", "kmers"])
 
-    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, values array<long>").select(F.explode("values").alias("v"), "key", "n", "c")
+    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, values array<long>, kmers array<long>")
     again = materialize(again, "omh-wide")
+    alone = again.select("key", F.explode("kmers").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("key").alias("key")).filter("m = 1").groupBy("key").agg(F.count("*").alias("u"))
+    again = again.join(alone, "key", "left").select("key", "n", "c", "values", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    again = materialize(again.filter(F.col("s") >= LEAST * F.col("n")).select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
     again = again.join(again.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "v")
-    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c").unionByName(again.select("v", "key", "n", "c"))
+    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s"))
+
+
+def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
+    """Whether texts of n and m k-mers, of which at most s and t can be shared, may be similar enough."""
+    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & ((1 + LEAST) * F.least(s, t) >= LEAST * (n + m))
+
+
+def to_centre(own: DataFrame, edges: DataFrame | None, turn: int) -> DataFrame:
+    """In each bucket of several classes, the pairs of its centre with the texts of other classes.
+
+    The centre is the text with most links so far: it is nearest to what the
+    others were copied from.
+    """
+    order = F.struct(F.lit(0).alias("d"), F.xxhash64("key", F.lit(turn)).alias("h"))
+    if edges is not None:
+        own = own.join(edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d")), "key", "left")
+        order = F.struct(-F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("key", F.lit(0)).alias("h"))
+    centre = own.groupBy("v").agg(F.min(F.struct(order.alias("o"), "key", "n", "c", "s")).alias("z"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v", "z")
+    pairs = own.join(centre, (own["v"] == centre["v"]) & (F.col("c") != F.col("z.c")) & alike(F.col("n"), F.col("z.n"), F.col("s"), F.col("z.s")))
+    return pairs.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b"))
+
+
+def across(own: DataFrame) -> DataFrame:
+    """Every pair of texts of different classes in a bucket that may be similar enough."""
+    mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
+    left = materialize(own.join(mixed, "v").select("v", "key", "n", "c", "s"), "omh-across")
+    right = left.select(F.col("v").alias("v2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    pairs = left.join(right, (F.col("v") == F.col("v2")) & (F.col("c") < F.col("c2")) & alike(F.col("n"), F.col("n2"), F.col("s"), F.col("s2")))
+    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -230,26 +271,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     members = materialize(rows.join(shared, "v"), "omh-buckets")
     texts = docs.select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(texts.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "omh-texts")
-    near = lambda n, m: F.least(n, m) >= LEAST * F.greatest(n, m)
-    edges = done = None
-    label = None
-    for turn in range(3):
-        own = members.withColumn("c", F.col("key")) if label is None else members.join(label, "key", "left").withColumn("c", F.coalesce("label", "key")).drop("label")
-        if turn < 2:
-            order = F.col("key") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            centre = own.groupBy("v").agg(F.min(F.struct(order.alias("o"), "key", "n", "c")).alias("s"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v", "s")
-            pairs = own.join(centre, "v").filter((F.col("c") != F.col("s.c")) & near(F.col("n"), F.col("s.n")))
-            pairs = pairs.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b"))
-        else:
-            left = materialize(undecided(own, texts), "omh-mixed")
-            right = left.select("v", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            pairs = left.join(right, (left["v"] == right["v"]) & (F.col("c") < F.col("c2")) & near(F.col("n"), F.col("n2"))).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
+    own = members.withColumns({"s": F.col("n"), "c": F.col("key")})
+    edges = done = label = None
+    for turn in range(2 * STARS + 1):
+        if turn == STARS:
+            own = members = materialize(undecided(own, texts), "omh-mixed")
+        pairs = across(own) if turn == 2 * STARS else to_centre(own, edges, turn)
         pairs = pairs.distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "omh-pairs")
         found = verified(pairs, texts, "omh-links")
         done = pairs if done is None else done.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)
+        own = members.drop("c").join(label, "key", "left").withColumns({"c": F.coalesce("label", "key"), "s": F.col("s") if "s" in members.columns else F.col("n")}).drop("label")
     label = materialize(label, "omh-labels")
     keyed = slim.select("id", "key").join(label, "key", "left").select("id", "key", F.coalesce("label", "key").alias("class"))
     keyed = materialize(keyed, "omh-keyed")
