@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import norm_word
 from .tokens import tokens_of
@@ -120,7 +121,7 @@ def important(text: str, name: str, pkg: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def important_sentences(text: pd.Series, name: pd.Series, pkg: pd.Series) -> pd.Series:
     return pd.Series([important(t or "", n or "", p or "") for t, n, p in zip(text, name, pkg, strict=True)])
 
@@ -130,13 +131,13 @@ def plain(md: str) -> str:
     s = re.sub(r"^(?:```|~~~)[^\n]*$", "", md, flags=re.M)
     s = re.sub(r"!\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])?", r"\1", s)
     s = re.sub(r"\[+([^\]\[]*)\]+(?:\([^)]*\)|\[[^\]]*\])", r"\1", s)
-    s = re.sub(r"^ {0,3}#{1,6}\s*(.*?)\s*#*\s*$|^ {0,3}#+([^\s#].*)$", lambda m: m[1] or m[2] or "", s, flags=re.M)
+    s = re.sub(r"^ {0,3}#{1,6}[ \t]*(.*?)[ \t]*#*[ \t]*$|^ {0,3}#+([^\s#].*)$", lambda m: m[1] or m[2] or "", s, flags=re.M)
     s = re.sub(r"^ {0,3}>\s?", "", s, flags=re.M)
     s = re.sub(r"^\s*(?:[*+-]|\d+\.)\s+", "", s, flags=re.M)
     return re.sub(r"(\*\*|__|`+)(.+?)\1|(?<![\w*])[*_](\S.*?)[*_](?![\w*])", lambda m: m[2] or m[3], s).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _markdown(text: pd.Series) -> pd.Series:
     return text.map(plain, na_action="ignore")
 
@@ -198,7 +199,7 @@ def marked(text: str, tokens: set[str]) -> str:
 
 
 def snippets(tokens: set[str], most: int = 300):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def of(text: pd.Series) -> pd.Series:
         return text.map(lambda t: snippet(t, tokens, most), na_action="ignore")
 
@@ -206,7 +207,7 @@ def snippets(tokens: set[str], most: int = 300):
 
 
 def marks(tokens: set[str]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def of(text: pd.Series) -> pd.Series:
         return text.map(lambda t: marked(t, tokens), na_action="ignore")
 
@@ -230,6 +231,11 @@ def header(path: str, body: str) -> dict:
     return {"status": "ParseSuccess", "name": m[2], "description": doc, "imports": single + several, "is_test": test}
 
 
-@F.pandas_udf("struct<status:string,name:string,description:string,imports:array<string>,is_test:boolean>")
+HEADER = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("status", "name", "description")] + [T.StructField("imports", T.ArrayType(T.StringType())), T.StructField("is_test", T.BooleanType())]
+)
+
+
+@F.pandas_udf(HEADER)
 def parse_header(path: pd.Series, body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header(p, b or "") for p, b in zip(path, body, strict=True)], columns=["status", "name", "description", "imports", "is_test"])

@@ -13,6 +13,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import norm_word
 
@@ -53,7 +54,7 @@ def pairs(tokens: Column) -> Column:
     return F.filter(both, lambda p: p.isNotNull())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem(words: pd.Series) -> pd.Series:
     return words.map(norm_word, na_action="ignore")
 

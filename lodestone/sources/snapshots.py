@@ -42,11 +42,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``; after a crash between remove and rename its staged copy; empty if neither is there."""
-    for at in (path, path + ".new"):
-        if exists(spark, at + "/_SUCCESS"):
-            return spark.read.schema(schema).parquet(at)
-    return spark.createDataFrame([], schema)
+    """The table at ``path``; after a crash between remove and rename its finished staged copy, which takes its place; empty if neither is there."""
+    if not exists(spark, path + "/_SUCCESS") and exists(spark, path + ".new/_SUCCESS"):
+        fs, new = _fs(spark, path)
+        fs.delete(new(path), True)
+        fs.rename(new(path + ".new"), new(path))
+    return spark.read.schema(schema).parquet(path) if exists(spark, path + "/_SUCCESS") else spark.createDataFrame([], schema)
 
 
 def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
