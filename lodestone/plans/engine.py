@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, sentences, tokens
-from ..operators import graph, index, search, tops
+from ..operators import graph, index, packages, search, tops
 from ..sources.snapshots import Segments
 
 API_HITS = 100
@@ -99,7 +99,7 @@ class Engine:
     def view(self, name: str) -> DataFrame:
         """``package`` with whether its readme is worth showing, cut to 20 KiB."""
         rows = self.package(name)
-        return rows.withColumn("show_readme", (F.octet_length("description") < 10) & (F.octet_length("readme_data") > 0)).withColumn("readme_data", F.decode(F.substring(F.encode("readme_data", "UTF-8"), 1, 20 * 1024), "UTF-8"))
+        return rows.withColumn("show_readme", (F.octet_length("description") < 10) & (F.octet_length("readme_data") > 0)).withColumn("readme_data", packages.cut_bytes(F.col("readme_data"), 20 * 1024))
 
     def packages(self) -> DataFrame:
         return self.hits.select("package", "doc_id").orderBy("doc_id").select("package")
