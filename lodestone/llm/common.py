@@ -22,10 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    ``slim``: rows are a few numbers or keys; four files for each core of the cluster are enough.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df.coalesce(4 * max(1, spark.sparkContext.defaultParallelism)) if slim else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -47,7 +47,7 @@ def words_of(text: str) -> list[bytes]:
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -173,28 +173,34 @@ def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(batches, "a binary, b binary"), name)
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, most: int = 40, rounds: int | None = None) -> DataFrame:
     """``key`` and ``label`` (the least key it is connected with) of all ends of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps; each writes its result.
+    Alternating large-star and small-star steps until nothing changes. With
+    ``rounds``, as many steps: equal labels are then connected, but connected
+    keys may have different labels.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(most):
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = now if rounds else materialize(now, "cc", slim=True)
+    state = None
+    for _ in range(rounds or most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node keeps a link to the least of its neighbours
-        large = materialize(large.filter("u <> v").distinct(), "cc")
+        large = materialize(large.filter("u <> v").distinct(), "cc", slim=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            break
-        state = new
+        now = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", slim=True)
+        if rounds is None:
+            new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if new == state:
+                break
+            state = new
     ends = now.groupBy("u").agg(F.min("v").alias("label"))
-    return ends.select(F.col("u").alias("key"), "label").unionByName(now.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
+    # a least key that is itself an end of a longer chain has the label found for it
+    heads = now.select(F.col("v").alias("key")).distinct().join(ends.select(F.col("u").alias("key")), "key", "left_anti")
+    return materialize(ends.select(F.col("u").alias("key"), "label").unionByName(heads.select("key", F.col("key").alias("label"))), "omh-labels", slim=True)
 
 
 def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,13 +284,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
             own = members = materialize(undecided(own, texts), "omh-mixed")
         pairs = across(own) if turn == 2 * STARS else to_centre(own, edges, turn)
         pairs = pairs.distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "omh-pairs")
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "omh-pairs", slim=True)
         found = verified(pairs, texts, "omh-links")
         done = pairs if done is None else done.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
-        label = components(edges)
+        known = found if label is None else found.unionByName(label.select(F.col("key").alias("a"), F.col("label").alias("b")))
+        label = components(known, rounds=1 if turn < 2 * STARS - 1 else None)
         own = members.drop("c").join(label, "key", "left").withColumns({"c": F.coalesce("label", "key"), "s": F.col("s") if "s" in members.columns else F.col("n")}).drop("label")
-    label = materialize(label, "omh-labels")
     keyed = slim.select("id", "key").join(label, "key", "left").select("id", "key", F.coalesce("label", "key").alias("class"))
     keyed = materialize(keyed, "omh-keyed")
     heads = materialize(keyed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "omh-classes")
