@@ -1,7 +1,6 @@
 """The training-data operators: brute force, round trips, edge cases."""
 
 import collections
-import hashlib
 import os
 import random
 import re
@@ -79,7 +78,8 @@ def test_rules(spark):
 
 def test_targets_and_flow():
     got = mixing.targets([100, 10, 50], [3, 1, 2], 240)
-    assert abs(sum(got) - 240) < 1e-9 and got == [140.0 if False else got[0], 20.0, got[2]] and all(g <= 2 * s + 1e-9 for g, s in zip(got, [100, 10, 50], strict=True))
+    # the second source is full at twice its size; the others share the rest 3 to 2
+    assert got[1] == 20.0 and abs(got[0] - 132) < 1e-9 and abs(got[2] - 88) < 1e-9
     flows = mixing.route([(["a"], 10), (["a", "b"], 10), (["b"], 10)], {"a": 25, "b": 30})
     assert sum(f.get("a", 0) for f in flows) == 25 and sum(f.get("b", 0) for f in flows) == 30
     # both sources need 55 of 60: no pattern gives more than twice its size
@@ -158,7 +158,7 @@ def test_alignment():
     assert minhash.aligned_similarity(a, a) == 1.0
     b = a[:250] + [b"x"] + a[250:]
     assert 0.97 < minhash.aligned_similarity(a, b) < 1
-    assert minhash.aligned_similarity(a, a[250:] + a[:250]) == 0.0 or minhash.aligned_similarity(a, a[250:] + a[:250]) < 0.8
+    assert minhash.aligned_similarity(a, a[250:] + a[:250]) < 0.8
     assert minhash.aligned_similarity(a, [b"y"] * 500) == 0.0
 
 
@@ -356,4 +356,3 @@ def test_pipeline(spark):
             assert len({r["class_id"] for r in again}) == len(again)
         if name == "decontamination":
             assert decontam.find_contamination(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).filter(decontam.is_contaminated()).count() == 0
-    assert hashlib.sha256(b"").hexdigest()
