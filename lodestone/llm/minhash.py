@@ -178,7 +178,7 @@ def components(edges: DataFrame, most: int = 40, rounds: int | None = None) -> D
 
     Alternating large-star and small-star steps until nothing changes. With
     ``rounds``, as many steps: equal labels are then connected, but connected
-    keys may have different labels.
+    keys may have different labels, and links are lost in them.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = now if rounds else materialize(now, "cc", slim=True)
@@ -288,7 +288,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
         found = verified(pairs, texts, "omh-links")
         done = pairs if done is None else done.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
-        known = found if label is None else found.unionByName(label.select(F.col("key").alias("a"), F.col("label").alias("b")))
+        # labels of one step are hints that keep only some of the links; whole labels start from all links
+        links = edges if turn == 2 * STARS - 1 else found
+        known = links if label is None else links.unionByName(label.select(F.col("key").alias("a"), F.col("label").alias("b")))
         label = components(known, rounds=1 if turn < 2 * STARS - 1 else None)
         own = members.drop("c").join(label, "key", "left").withColumns({"c": F.coalesce("label", "key"), "s": F.col("s") if "s" in members.columns else F.col("n")}).drop("label")
     keyed = slim.select("id", "key").join(label, "key", "left").select("id", "key", F.coalesce("label", "key").alias("class"))

@@ -147,6 +147,38 @@ def test_minhash_finds_copies(spark):
     assert all(got[a] == got[b] for a, b in pairs)
 
 
+def test_minhash_follows_chains(spark):
+    rng = random.Random(11)
+    rows, parent = [], {}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for chain in range(60):
+        w = [f"c{chain}_{i}" for i in range(150)]
+        own = []
+        for step in range(9):
+            own.append((len(rows), list(w)))
+            rows.append((len(rows), " ".join(w)))
+            # copies of copies: neighbours are similar, texts further apart are not
+            if step % 3 != 2:
+                at = rng.randrange(0, 130)
+                w[at : at + 8] = [f"n{chain}_{step}_{i}" for i in range(8)]
+            else:
+                w = list(own[rng.randrange(len(own))][1])
+                w[70:78] = [f"n{chain}_{step}_{i}" for i in range(8)]
+        for i, _ in own:
+            parent[i] = i
+        for i, a in own:
+            for j, b in own:
+                if i < j and minhash.aligned_similarity(a, b) >= 0.8:
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i, _ in rows}
+
+
 def test_dedup_keeps_one(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, None), (5, "other words"), (5, "a b c d e f g"), (None, "a b c d e f g"), (1, "a b c d e f g")]
     got = sorted(minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
