@@ -37,6 +37,9 @@ SHORT, SHORT_SKETCHES, SHORT_LENGTH = 40, 12, 2
 #: Second family, for texts from buckets of more than ``WIDE`` texts in several classes: a passage that many
 #: unlike texts share fills such buckets, and longer sketches part those texts.
 WIDE, WIDE_SKETCHES, WIDE_LENGTH = 16, 100, 12
+#: Of so few k-mers, twelve are too rarely those of a near copy: texts of up to ``WIDE_SHORT`` k-mers get shorter
+#: sketches besides, those of up to ``SHORT`` twice as many.
+WIDE_SHORT, WIDE_SHORT_SKETCHES, WIDE_SHORT_LENGTH = 200, 24, 4
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -87,9 +90,14 @@ def labelled(h: np.ndarray) -> np.ndarray:
 def sketches(h: np.ndarray, wide: bool = False) -> np.ndarray:
     """One value for each sketch of a text, of the first or the second family."""
     own = labelled(h)
-    sets = [(WIDE_SKETCHES, WIDE_LENGTH, 64)] if wide else [(SKETCHES, LENGTH, 0)]
-    if len(h) <= SHORT:
-        sets.append((2 * SHORT_SKETCHES, 2 * SHORT_LENGTH, 192) if wide else (SHORT_SKETCHES, SHORT_LENGTH, 32))
+    if wide:
+        sets = [(WIDE_SKETCHES, WIDE_LENGTH, 64)]
+        if len(h) <= WIDE_SHORT:
+            sets.append((WIDE_SHORT_SKETCHES * (2 if len(h) <= SHORT else 1), WIDE_SHORT_LENGTH, 192))
+    else:
+        sets = [(SKETCHES, LENGTH, 0)]
+        if len(h) <= SHORT:
+            sets.append((SHORT_SKETCHES, SHORT_LENGTH, 32))
     out = []
     for count, length, offset in sets:
         size = min(length, len(h))
