@@ -185,115 +185,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col
         size = 0
         rows = labelled(docs, labels.filter(F.col(label) == y), label, id_col, max_rows).select(text_of(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
         for r in rows.filter(F.octet_length("t") <= 8 * max_bytes // max_rows).orderBy("h", "t").toLocalIterator():
-            size += len(r["t"])
+            size += len(r["t"].encode("utf-8", "surrogatepass"))
             if 2 * size <= max_bytes:
                 out.append((r["t"], y))
     return out
 
 
-def score(self, texts: list[str | None]) -> np.ndarray:
-        z = self.weights[0] + self.features(texts) @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def contrast(toxic: list[str], ordinary: list[str], least: int = 4, share: float = 0.8, times: int = 3, most: int = 150) -> list[bytes]:
-    """Units that cover the toxic documents, the strongest last (nearest the text).
-
-    A unit counts if ``share`` of the documents with it are toxic, both classes
-    weighing the same. The unit with most toxic documents not yet covered
-    ``times`` times is taken again and again, so that many copies of one
-    document add one unit and not all its words.
-    """
-    counts = Counter(u for d in toxic for u in units(words_of(d)))
-    holds: dict[bytes, list[int]] = {u: [] for u, n in counts.items() if n >= least}
-    del counts
-    others: Counter = Counter()
-    for i, d in enumerate(toxic):
-        for u in units(words_of(d)):
-            if u in holds:
-                holds[u].append(i)
-    for d in ordinary:
-        others.update(u for u in units(words_of(d)) if u in holds)
-    even = len(toxic) / max(len(ordinary), 1)
-    holds = {u: own for u, own in holds.items() if len(own) >= least and len(own) * (1 - share) >= share * even * others[u]}
-    need, picked = [times] * len(toxic), []
-    heap = [(-len(own), -len(u), u) for u, own in holds.items()]
-    heapq.heapify(heap)
-    floor = max(least, len(toxic) // 250)
-    while heap and len(picked) < most:
-        n, size, u = heapq.heappop(heap)
-        now = sum(1 for i in holds[u] if need[i])
-        if now < floor:
-            continue
-        if -n > now:
-            heapq.heappush(heap, (-now, size, u))
-            continue
-        if any(u.startswith(p) or p.startswith(u) for p in picked):
-            continue
-        picked.append(u)
-        for i in holds[u]:
-            need[i] = max(0, need[i] - 1)
-    return picked[::-1]
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Intercept and weights of a logistic regression; ``n`` weighs the rows."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w = np.zeros(a.shape[1])
-    penalty = ridge * np.diag([1e-6, *[1.0] * x.shape[1]])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-a @ w))
-        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (n * (y - p)) - penalty @ w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return np.r_[w[0] - (w[1:] * mean / scale).sum(), w[1:] / scale]
-
-
-def train(rows: list[tuple[str, int]], shares: dict[int, float] | None = None) -> Distance:
-    """From (text, label) pairs. ``shares`` of the labels correct for a sample that holds another mix.
-
-    With one class only, the score is that class's smoothed rate.
-    """
-    rows = sorted(set(rows))
-    rate = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-    flat = Distance(b"\0" * 8, b"\0" * 8, [math.log(rate / (1 - rate)), *[0.0] * FEATURES])
-    if len({y for _, y in rows}) < 2:
-        return flat
-    bad, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
-    pick = contrast(bad, plain)
-    whole = {u.strip() for u in pick if u.endswith(b" ")}
-    starts = {u[1:] for u in pick if not u.endswith(b" ")}
-    marked = lambda w: w in whole or any(w[:k] in starts for k in PREFIXES)
-    # windows to train on: spread evenly over the ordinary texts
-    total = sum(len(t) for t in plain)
-    ordinary = [p for t in plain for p in windows(words_of(t))[:: 1 + total // 2_500_000]]
-    base = trained(ordinary, BASE_BYTES)
-    samples = [b" " + b" ".join(k) + b" " for t in bad for p in windows(words_of(t)) if (k := [x for x in p.split() if marked(x)])]
-    parts = b"".join(u if u.endswith(b" ") else u + b" " for u in pick)
-    toxic = trained(samples, 2048) + parts if len(samples) > 2000 else parts
-    model = Distance(base, toxic + base, flat.weights)
-    y = np.array([y for _, y in rows], dtype=float)
-    held = {1: y.mean(), 0: 1 - y.mean()}
-    n = np.array([(shares or held).get(int(v), held[int(v)]) / held[int(v)] for v in y])
-    model.weights = calibrate(model.features([t for t, _ in rows]), y, n)
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col: str, max_rows: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts of at most ``max_bytes`` in all, by hash of their ids; longer texts wait."""
-    rows = labelled(docs, labels, label, id_col, 4 * max_rows).select("__y", text_of(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
-    share = max_bytes // max_rows
-    # a text adds at most 8 shares, so that the bound holds for any texts
-    rows = rows.filter(F.octet_length("t") <= 8 * share).withColumn("k", F.when(F.col("__y") == 1, 0).otherwise(1)).orderBy("k", "h", "t").limit(2 * max_rows)
-    out: list[tuple[str, int]] = []
-    ordinary: list[tuple[str, int]] = []
-    for r in rows.toLocalIterator():
-        (out if r["__y"] == 1 else ordinary).append((r["t"], r["__y"]))
-    return out + ordinary
-
-
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.3, carry: list[str] | None = None, max_rows: int = 2_500, max_bytes: int = 16_000_000) -> DataFrame:
     """Columns ``carry`` (default: all) plus ``score`` (0 to 1) and ``predicted`` (1 if score >= ``threshold``).
 

@@ -285,6 +285,21 @@ def test_toxicity_by_compression():
     assert len(model.score([None, ""])) == 2 and toxicity.train([]).score(["x"])[0] == 0.5
 
 
+def test_toxicity_sample(spark):
+    rows = [(i, "é" * 50, int(i % 10 == 0)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    learned = labels.filter(~held_out("doc_id")).groupBy("toxic").count().collect()
+    there = {r["toxic"]: r["count"] for r in learned}
+    count = lambda **how: collections.Counter(y for _, y in toxicity.sample(docs, labels, "toxic", "text", "doc_id", **how))
+    # of either class up to max_rows, whatever its share of the labels
+    assert count(max_rows=60, max_bytes=10**6) == {1: 60, 0: 60} and there[1] >= 60
+    # half of max_bytes for each class, in bytes; one class never takes the other's place
+    assert count(max_rows=60, max_bytes=4000) == {1: 20, 0: 20}
+    flipped = labels.withColumn("toxic", 1 - F.col("toxic"))
+    assert collections.Counter(y for _, y in toxicity.sample(docs.drop("toxic"), flipped, "toxic", "text", "doc_id", 50, 10**6)) == {1: 50, 0: 50}
+
+
 @pytest.mark.parametrize("shards", [1, 3, 24])
 def test_minimax(shards):
     random.seed(shards)
