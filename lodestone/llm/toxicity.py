@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .quality_classifier import labelled, learnable
 
 WORDS = 8
 BASE_BYTES = 8192
+#: zstandard trains no smaller dictionary.
+LEAST_BYTES = 256
 PREFIXES = (4, 5, 6, 7)
 FEATURES = 7
 #: Matches of four bytes and more; long chains, so that either dictionary is searched whole.
@@ -59,12 +62,13 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of about ``size`` bytes; few samples are joined as they are."""
-    if sum(map(len, samples)) > 8 * size and len(samples) > 64:
+    """A dictionary of at most ``size`` bytes and an eighth of the samples; below zstandard's least size they are joined."""
+    own = min(size, sum(map(len, samples)) // 8)
+    if own >= LEAST_BYTES and len(samples) >= 8:
         try:
-            return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+            return zstandard.train_dictionary(own, samples, k=64, d=6).as_bytes()
         except zstandard.ZstdError:
-            pass
+            warnings.warn(f"zstandard trained no dictionary from {len(samples)} samples; they are joined", stacklevel=2)
     return b"".join(samples)[:size]
 
 
@@ -166,7 +170,7 @@ def train(rows: list[tuple[str, int]], shares: dict[int, float] | None = None) -
     base = trained(ordinary, BASE_BYTES)
     samples = [b" " + b" ".join(k) + b" " for t in bad for p in windows(words_of(t)) if (k := [x for x in p.split() if marked(x)])]
     parts = b"".join(u if u.endswith(b" ") else u + b" " for u in pick)
-    toxic = trained(samples, 2048) + parts if len(samples) > 2000 else parts
+    toxic = trained(samples, 2048) + parts
     model = Distance(base, toxic + base, flat.weights)
     y = np.array([y for _, y in rows], dtype=float)
     held = {1: y.mean(), 0: 1 - y.mean()}

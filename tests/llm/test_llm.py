@@ -285,6 +285,14 @@ def test_toxicity_by_compression():
     assert len(model.score([None, ""])) == 2 and toxicity.train([]).score(["x"])[0] == 0.5
 
 
+def test_toxic_dictionary_is_trained_at_small_sizes():
+    random.seed(8)
+    rows = [(" ".join(random.choice(["grumblefax", "snotterwick", "blaggardly"] if i % 2 and j % 5 == 0 else ["lora", "mitu", "sela", "ramitu"]) for j in range(80)), i % 2) for i in range(200)]
+    ordinary, toxic = toxicity.train(rows).dictionaries
+    magic = b"\x37\xa4\x30\xec"
+    assert ordinary.startswith(magic) and toxic.startswith(magic)
+
+
 def test_toxicity_sample(spark):
     rows = [(i, "é" * 50, int(i % 10 == 0)) for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
