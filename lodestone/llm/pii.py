@@ -31,8 +31,9 @@ BASE = (("email", "@", EMAIL), ("ip", r"[0-9]\.[0-9]", IP), ("card", r"[0-9](?:[
 FIRST_NAMES = ("James", "Mary", "John", "Linda", "Robert", "Maria", "David", "Sarah", "Pierre", "Hans", "Carlos", "Anna")
 EXTRA = (
     ("name", r"\b(?:Mrs?|Dr|Prof)\. \p{Lu}", r"\b(?:Mrs?|Dr|Prof)\. \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?+"),
-    ("secret", r"AKIA[0-9A-Z]{16}|(?:password|passwd|api_key|secret)=\S", r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|api_key|secret)=[^\s,;]{6,64}"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b"),
+    ("secret", r"AKIA[0-9A-Z]{16}|(?:password|passwd|api_key|secret|token)[ \t]*+=", r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|api_key|secret|token)[ \t]*+=[ \t]*+(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\s,;]{6,}+)"),
+    # 15 characters (4 + 4 + 4 + 3) are the fewest; compact or in groups of four with a shorter last one
+    ("iban", r"\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 )
 KINDS = tuple(k for k, _, _ in (*BASE, *EXTRA))
@@ -81,7 +82,7 @@ def gazetteer(kind: str, found: Column) -> Column:
     if kind == "name":
         return vote(found.rlike(rf"\b(?:{'|'.join(FIRST_NAMES)})\b"), no)
     if kind == "secret":
-        return vote(found.rlike("[0-9]"), found.rlike(r"=(?:x+|\*+|none|null)$"))
+        return vote(found.rlike("[0-9]"), found.rlike(r"=[ \t]*[\"']?(?:x+|\*+|none|null)[\"']?$"))
     if kind == "ssn":
         return vote(no, found.rlike(r"^(?:000|666|9)"))
     return vote(found.rlike(r"^(?:DE|FR|ES|GB|IT|NL|CH|AT|BE)"), no)

@@ -389,6 +389,19 @@ def test_pii(spark):
     assert r["t"].endswith("and [email]") and "[secret]" in r["t"]
 
 
+def test_pii_further_kinds_are_whole(spark):
+    secrets = ["password=" + "aB3" * 40, 'token = "abc def 123456"', "token='q1w2e3r4'", "secret= s3cr3t99", "api_key=k1k2k3k4k5", 'token = "' + "z9" * 60 + '"']
+    ibans = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "CH9300762011623852957", "DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    rows = [(i, f"my key: {t} , then") for i, t in enumerate(secrets + ibans)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = pii.candidates(docs, "text", [F.col("doc_id"), F.col("text")]).collect()
+    kinds = {pii.KINDS.index("secret"): secrets, pii.KINDS.index("iban"): ibans}
+    got = {r["text"][s["start"] : s["end"]] for r in found for s in r["__spans"] if s["kind"] in kinds}
+    assert got == set(secrets + ibans)
+    r = pii.find_pii(docs).select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert {x["t"] for x in r if x["doc_id"] < len(secrets)} == {"my key: [secret] , then"}
+
+
 def test_held_out(spark):
     import zlib
 
