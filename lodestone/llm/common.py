@@ -34,6 +34,18 @@ def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores as set it apart from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,92 +1,130 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text
-on top of the same base, so that what both hold lies equally far back. Each
-window of a text is compressed with either; text of the toxic kind gets shorter
-with the second. The lengths saved, over all windows of the whole text, are
-mapped to a score by a logistic calibration.
-
-What tells toxic from ordinary training text is selected first: words and
-word beginnings that occur in significantly more of the toxic documents. The
-toxic dictionary is trained on the windows of toxic documents reduced to those.
+Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.
+The second is laid before the first, so that what both hold lies equally near.
+A window (a word with its borders) is compressed with either; the bytes saved by
+the toxic dictionary, over all windows of the whole text, are mapped to a score
+by a logistic calibration. Equal windows have equal lengths and are compressed
+once while they stay in a bounded memo.
+
+Toxic documents are ordinary text for the most part, so a dictionary trained on
+all of it holds ordinary text. Compression itself picks the windows to train on:
+the windows of toxic documents (pairs of words) are dealt into two halves, a
+dictionary trained on one half tells how many bytes the windows of the other
+save, and those stay that save more than ordinary windows do. The toxic
+dictionary is trained on these, and picks again, some rounds over.
+
+Bytes are repeated ``STRETCH`` times before they are compressed: a match costs
+about as much as three literal bytes, which would hide short words otherwise.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import warnings
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 from .quality_classifier import labelled, learnable
 
-WORDS = 8
-BASE_BYTES = 8192
+STRETCH = 3
+#: Words of a training window; of an ordinary sample; most bytes of a window.
+PAIR, RUN, LONGEST = 2, 8, 48
+BASE_BYTES, TOXIC_BYTES, SEARCH_BYTES = 49_152, 4_096, 131_072
 #: zstandard trains no smaller dictionary.
 LEAST_BYTES = 256
-PREFIXES = (4, 5, 6, 7)
-FEATURES = 7
-#: Matches of four bytes and more; long chains, so that either dictionary is searched whole.
-STRATEGY, MIN_MATCH, SEARCH_LOG = zstandard.STRATEGY_GREEDY, 4, 9
+ROUNDS = 4
+#: Windows are picked from that saving on at which they are this many times as frequent in toxic as in ordinary text.
+TIMES = 2.0
+#: Savings whose frequency is a feature.
+STEPS = (4, 6, 9, 12, 15, 20)
+FEATURES = 3 + 2 * len(STEPS)
+MEMO = 1 << 18
 #: ASCII bytes other than letters and digits become spaces, A-Z are lowered.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    """Words of the folded text; longer ones come in pieces of ``LONGEST`` bytes."""
+    words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    if all(len(w) <= LONGEST for w in words):
+        return words
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
-def windows(words: list[bytes]) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)]
+def windows(words: list[bytes], size: int) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
-def units(words: list[bytes]) -> set[bytes]:
-    """Whole words (with their spaces) and their beginnings."""
-    own = set(words)
-    return {b" " + w + b" " for w in own} | {b" " + w[:k] for w in own for k in PREFIXES if len(w) > k}
+def stretched(window: bytes) -> bytes:
+    return np.repeat(np.frombuffer(window, dtype=np.uint8), STRETCH).tobytes()
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(3, strategy=STRATEGY, min_match=MIN_MATCH, window_log=15, hash_log=15, chain_log=16, search_log=SEARCH_LOG, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    how = zstandard.ZstdCompressionParameters.from_level(3, strategy=zstandard.STRATEGY_BTOPT, min_match=5, window_log=18, hash_log=16, chain_log=18, search_log=3, target_length=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     own.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of at most ``size`` bytes and an eighth of the samples; below zstandard's least size they are joined."""
-    own = min(size, sum(map(len, samples)) // 8)
-    if own >= LEAST_BYTES and len(samples) >= 8:
-        try:
-            return zstandard.train_dictionary(own, samples, k=64, d=6).as_bytes()
-        except zstandard.ZstdError:
-            warnings.warn(f"zstandard trained no dictionary from {len(samples)} samples; they are joined", stacklevel=2)
-    return b"".join(samples)[:size]
+def lengths(tool: zstandard.ZstdCompressor, samples: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(tool.compress(s)) for s in samples), dtype=np.int64, count=len(samples))
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most ``size`` bytes and a quarter of the samples.
+
+    Few samples are repeated until zstandard can count in them. Where it trains
+    none all the same, samples spread evenly over all are joined.
+    """
+    total = sum(map(len, samples))
+    if 0 < total < 32 * LEAST_BYTES:
+        samples = samples * -(-32 * LEAST_BYTES // total)
+        total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(LEAST_BYTES, min(size, total // 4)), samples, k=segment, d=8).as_bytes()
+    except zstandard.ZstdError:
+        warnings.warn(f"zstandard trained no dictionary from {len(samples)} samples; they are joined", stacklevel=2)
+    return b"".join(samples[:: 1 + total // size])[:size] or b"\0" * 8
+
+
+class Saved(dict):
+    """Bytes that the toxic dictionary saves on a word; a bounded memo."""
+
+    def __init__(self, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
+        self.plain, self.bad = ordinary.compress, toxic.compress
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        window = stretched(b" " + word + b" ")
+        n = self[word] = len(self.plain(window)) - len(self.bad(window))
+        return n
 
 
 class Distance:
     def __init__(self, ordinary: bytes, toxic: bytes, weights):
         self.dictionaries = (ordinary, toxic)
-        self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
+        self.saved = Saved(compressor(ordinary), compressor(toxic))
         self.weights = np.asarray(weights, dtype=float)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
-        plain, bad = self.ordinary.compress, self.toxic.compress
+        memo = self.saved
         for row, text in enumerate(texts):
-            parts = windows(words_of(text or ""))
-            if parts:
-                saved = np.sort(np.fromiter((len(plain(p)) - len(bad(p)) for p in parts), dtype=float, count=len(parts)))[::-1]
-                high = (saved >= 3).sum()
-                out[row] = (saved[0], saved[:3].mean(), np.log1p(high), high / len(parts), (saved >= 2).sum() / len(parts), saved.mean(), np.log1p(len(parts)))
+            words = words_of(text or "")
+            if words:
+                saved = np.fromiter((memo[w] for w in words), dtype=np.int64, count=len(words))
+                at_least = np.array([(saved >= s).sum() for s in STEPS])
+                best = np.sort(saved[np.argpartition(saved, -min(3, len(saved)))[-3:]])
+                out[row] = (best[-1], best.mean(), np.log1p(len(words)), *np.log1p(at_least), *(at_least / len(words)))
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -94,44 +132,50 @@ class Distance:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def contrast(toxic: list[str], ordinary: list[str], least: int = 4, share: float = 0.8, times: int = 3, most: int = 150) -> list[bytes]:
-    """Units that cover the toxic documents, the strongest last (nearest the text).
-
-    A unit counts if ``share`` of the documents with it are toxic, both classes
-    weighing the same. The unit with most toxic documents not yet covered
-    ``times`` times is taken again and again, so that many copies of one
-    document add one unit and not all its words.
-    """
-    counts = Counter(u for d in toxic for u in units(words_of(d)))
-    holds: dict[bytes, list[int]] = {u: [] for u, n in counts.items() if n >= least}
-    del counts
-    others: Counter = Counter()
-    for i, d in enumerate(toxic):
-        for u in units(words_of(d)):
-            if u in holds:
-                holds[u].append(i)
-    for d in ordinary:
-        others.update(u for u in units(words_of(d)) if u in holds)
-    even = len(toxic) / max(len(ordinary), 1)
-    holds = {u: own for u, own in holds.items() if len(own) >= least and len(own) * (1 - share) >= share * even * others[u]}
-    need, picked = [times] * len(toxic), []
-    heap = [(-len(own), -len(u), u) for u, own in holds.items()]
-    heapq.heapify(heap)
-    floor = max(least, len(toxic) // 250)
-    while heap and len(picked) < most:
-        n, size, u = heapq.heappop(heap)
-        now = sum(1 for i in holds[u] if need[i])
-        if now < floor:
-            continue
-        if -n > now:
-            heapq.heappush(heap, (-now, size, u))
-            continue
-        if any(u.startswith(p) or p.startswith(u) for p in picked):
-            continue
-        picked.append(u)
-        for i in holds[u]:
-            need[i] = max(0, need[i] - 1)
-    return picked[::-1]
+def least_saving(toxic: np.ndarray, ordinary: np.ndarray, least: int = 8) -> int:
+    """The least saving that is ``TIMES`` times as frequent among toxic windows, or else that with the highest ratio."""
+    best, at = 0.0, 1
+    for g in range(1, max(2, int(toxic.max(initial=1)) + 1)):
+        n = int((toxic >= g).sum())
+        rate, other = n / max(len(toxic), 1), (ordinary >= g).sum()
+        if n >= least and rate >= TIMES * (other + 0.5) / max(len(ordinary), 1):
+            return g
+        ratio = rate / ((other + 5) / max(len(ordinary), 1))
+        if ratio > best:
+            best, at = ratio, g
+    return at
+
+
+def dictionaries(bad: list[str], plain: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    runs = [stretched(w) for t in plain for w in windows(words_of(t), RUN)]
+    base = trained(runs[:: 1 + sum(map(len, runs)) // 8_000_000], BASE_BYTES, 32 * STRETCH)
+    # each pair of words once, so that copies of a document count as one; the order does not depend on that of the rows
+    toxic, ordinary = (sorted({w for t in texts for w in windows(words_of(t), PAIR)}) for texts in (bad, plain))
+    half = [np.array([xxhash.xxh32_intdigest(w) & 1 for w in ws], dtype=int) for ws in (toxic, ordinary)]
+    toxic, ordinary = [stretched(w) for w in toxic], [stretched(w) for w in ordinary]
+    known = compressor(base)
+    before = (lengths(known, toxic), lengths(known, ordinary))
+    picked = np.arange(len(toxic))
+    for turn in range(ROUNDS):
+        saved = [np.zeros(len(toxic), dtype=int), np.zeros(len(ordinary), dtype=int)]
+        for f in (0, 1):
+            own = [toxic[i] for i in picked if half[0][i] == f]
+            if not own:
+                continue
+            if turn == 0:
+                # as much ordinary as toxic text
+                there = [w for w, h in zip(ordinary, half[1], strict=True) if h == f]
+                there = there[:: max(1, sum(map(len, there)) // max(1, sum(map(len, own))))]
+                one, two = compressor(trained(there, SEARCH_BYTES, 32 * STRETCH)), compressor(trained(own, SEARCH_BYTES, 32 * STRETCH))
+            else:
+                one, two = None, compressor(trained(own, TOXIC_BYTES, 24 * STRETCH) + base)
+            for k, ws in enumerate((toxic, ordinary)):
+                at = np.nonzero(half[k] != f)[0]
+                given = [ws[i] for i in at]
+                saved[k][at] = (before[k][at] if one is None else lengths(one, given)) - lengths(two, given)
+        picked = np.nonzero(saved[0] >= least_saving(*saved))[0]
+    return base, trained([toxic[i] for i in picked], TOXIC_BYTES, 24 * STRETCH) + base
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -156,22 +200,10 @@ def train(rows: list[tuple[str, int]], shares: dict[int, float] | None = None) -
     """
     rows = sorted(set(rows))
     rate = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-    flat = Distance(b"\0" * 8, b"\0" * 8, [math.log(rate / (1 - rate)), *[0.0] * FEATURES])
-    if len({y for _, y in rows}) < 2:
-        return flat
     bad, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
-    pick = contrast(bad, plain)
-    whole = {u.strip() for u in pick if u.endswith(b" ")}
-    starts = {u[1:] for u in pick if not u.endswith(b" ")}
-    marked = lambda w: w in whole or any(w[:k] in starts for k in PREFIXES)
-    # windows to train on: spread evenly over the ordinary texts
-    total = sum(len(t) for t in plain)
-    ordinary = [p for t in plain for p in windows(words_of(t))[:: 1 + total // 2_500_000]]
-    base = trained(ordinary, BASE_BYTES)
-    samples = [b" " + b" ".join(k) + b" " for t in bad for p in windows(words_of(t)) if (k := [x for x in p.split() if marked(x)])]
-    parts = b"".join(u if u.endswith(b" ") else u + b" " for u in pick)
-    toxic = trained(samples, 2048) + parts
-    model = Distance(base, toxic + base, flat.weights)
+    if not any(map(words_of, bad)) or not any(map(words_of, plain)):
+        return Distance(b"\0" * 8, b"\0" * 8, [math.log(rate / (1 - rate)), *[0.0] * FEATURES])
+    model = Distance(*dictionaries(bad, plain), [0.0] * (1 + FEATURES))
     y = np.array([y for _, y in rows], dtype=float)
     held = {1: y.mean(), 0: 1 - y.mean()}
     n = np.array([(shares or held).get(int(v), held[int(v)]) / held[int(v)] for v in y])
@@ -201,16 +233,19 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", text_col: st
     Learns from a bounded sample of labels that are not held out (``max_rows``,
     ``max_bytes``); scores every window of every text. A null or empty text has
     no windows and gets the score of a text that saves nothing. Without labels
-    every score is 0.5. A repeated (text, label) counts once in training. Input
-    columns named ``score`` or ``predicted`` are replaced.
+    every score is 0.5; where the labels are all alike, it is their smoothed
+    rate. A repeated (text, label) counts once in training. An empty table
+    gives no rows; repeated rows each get their score. Input columns named
+    ``score`` or ``predicted`` are replaced, all others stay, whatever their names.
     """
     counts = {r[label]: r["n"] for r in learnable(labels, label, id_col).groupBy(label).agg(F.count("*").alias("n")).collect()}
     shares = {y: n / sum(counts.values()) for y, n in counts.items()}
     model = train(sample(docs, labels, label, text_col, id_col, max_rows, max_bytes), shares)
     sent = docs.sparkSession.sparkContext.broadcast((*model.dictionaries, model.weights))
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("score", "predicted")]
+    (text,) = unused([*names, "score"], "text_")
     kept = [F.col(f"`{c}`") for c in names]
-    given = docs.select(*kept, text_of(text_col).alias("__text"), F.lit(0.0).alias("score"))
+    given = docs.select(*kept, text_of(text_col).alias(text), F.lit(0.0).alias("score"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Distance(*sent.value)

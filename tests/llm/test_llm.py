@@ -293,6 +293,37 @@ def test_toxic_dictionary_is_trained_at_small_sizes():
     assert ordinary.startswith(magic) and toxic.startswith(magic)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_toxicity_at_any_share_of_labels(spark, share):
+    random.seed(9)
+    plain = ["".join(random.choice(["lo", "ra", "mi", "tu", "se", "ki"]) for _ in range(3)) for _ in range(400)]
+    bad, rows = ["grumblefax", "snotterwick", "blaggardly", "twonkish"], []
+    for i in range(900):
+        w = [random.choice(plain) for _ in range(60)]
+        y = int(random.random() < share)
+        if y:
+            for j in random.sample(range(60), 4):
+                w[j] = random.choice(bad)
+        rows.append((i, " ".join(w), y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(docs.drop("toxic"), docs.select("doc_id", "toxic")).join(docs.filter(held_out("doc_id")).select("doc_id", "toxic"), "doc_id").collect()
+    p, y = np.array([r["score"] for r in got]), np.array([r["toxic"] for r in got])
+    assert len(set(p.round(3))) > 2 and p[y == 1].mean() > p[y == 0].mean() + 0.6
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_toxic_dictionary_holds_what_compression_picked():
+    random.seed(10)
+    plain = ["".join(random.choice(["lo", "ra", "mi", "tu", "se"]) for _ in range(3)) for _ in range(200)]
+    bad = [" ".join(random.choice(["snotterwick", random.choice(plain)]) if j % 9 == 0 else random.choice(plain) for j in range(60)) for _ in range(150)]
+    base, both = toxicity.dictionaries(bad, [" ".join(random.choice(plain) for _ in range(60)) for _ in range(150)])
+    word = toxicity.stretched(b"snotterwick")
+    assert both.endswith(base) and word in both and word not in base
+    one, two = toxicity.compressor(base), toxicity.compressor(both)
+    saved = lambda w: len(one.compress(toxicity.stretched(w))) - len(two.compress(toxicity.stretched(w)))
+    assert saved(b" snotterwick ") > max(saved(b" " + w.encode() + b" ") for w in plain[:50])
+
+
 def test_toxicity_sample(spark):
     rows = [(i, "é" * 50, int(i % 10 == 0)) for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
