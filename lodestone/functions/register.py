@@ -6,13 +6,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from . import sentences, tokens
+from .words import tokens_of
 
 
 class Tokenize:
     """One row for each token of a text."""
 
     def eval(self, text: str):
-        for t in sorted(tokens.tokens_of(text or "")):
+        for t in sorted(tokens_of(text or "")):
             yield (t,)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stem import norm_word
-from .tokens import tokens_of
+from .words import tokens_of
 
 # The wording by which a sentence describes a package.
 GO = r"(?:pure[- ])?go(?:lang| programming(?: language)?| language)?"

@@ -3,25 +3,21 @@
 Blocks are runs without white space (after URLs and e-mail addresses are taken
 out); a block is cut into raw tokens by one pattern; camel-case tokens give
 their parts and adjacent part pairs; adjacent tokens of a block give pairs.
-Words are stemmed once for each distinct word and joined back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stem import norm_word
-
-# Fixed values.
-URL = r"https?://\S+"
-EMAIL = r"[A-Za-z0-9_.+-]+@([a-zA-Z0-9_-]+[.])+[A-Za-z]+"
-RAW = r"[A-Za-z]+|[0-9]+|\p{L}[A-Za-z]*|\p{N}[0-9]*|[^\p{P}\p{S}\p{Z}\s\x{85}\x{FEFF}]"
-STOP = ["the", "on", "in", "as"]
+from .words import EMAIL, RAW, STOP, URL, tokens_of
 
 
 def strip_links(text: Column) -> Column:
@@ -59,44 +55,23 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(norm_word, na_action="ignore")
 
 
+def words(text: Column) -> Column:
+    """All raw tokens of a text in order; the same as those of its blocks, as no token holds white space."""
+    return raw_tokens(strip_links(text))
+
+
 def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (``id_col``, token). Each distinct word of the corpus is stemmed once."""
-    spaced = df.select(id_col, F.posexplode(blocks(F.coalesce(F.col(text_col), F.lit("")))).alias("b", "block"))
-    raw = spaced.select(id_col, "b", F.posexplode(raw_tokens(F.col("block"))).alias("p", "word"))
-    parts = raw.select(id_col, "b", "p", "word", camel_parts(F.col("word")).alias("parts"))
-    every = parts.select(F.col("word").alias("w")).unionByName(parts.select(F.explode("parts").alias("w"))).distinct()
-    stems = every.select("w", stem("w").alias("s"))
-    words = parts.join(stems.withColumnsRenamed({"w": "word", "s": "norm"}), "word")
-    single = words.select(id_col, F.col("norm").alias("token")).filter(~F.col("token").isin(STOP))
-    exploded = parts.select(id_col, "b", "p", F.posexplode("parts").alias("q", "w")).join(stems, "w").withColumnsRenamed({"s": "norm"})
-    part_tokens = exploded.select(id_col, F.col("norm").alias("token")).filter(~F.col("token").isin(STOP))
-    by_block = words.groupBy(id_col, "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "norm"))), lambda x: x["norm"]).alias("ts"))
-    by_token = exploded.groupBy(id_col, "b", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "norm"))), lambda x: x["norm"]).alias("ts"))
-    joined = F.zip_with(F.slice("ts", F.lit(1), F.greatest(F.size("ts") - 1, F.lit(0))), F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    out = single.unionByName(part_tokens).unionByName(by_block.select(id_col, F.explode(pairs(F.col("ts"))).alias("token"))).unionByName(by_token.select(id_col, F.explode(joined).alias("token")))
-    return out.distinct()
-
-
-
-_RAW = regex.compile(RAW.replace(r"\x{85}", r"\x85").replace(r"\x{FEFF}", "\ufeff"))
-_URL, _EMAIL, _SPACE = regex.compile(URL), regex.compile(EMAIL), regex.compile(r"[\s\x85\p{Z}]+")
-_LETTERS, _UPPER, _LOWER, _PARTS = (regex.compile(p) for p in (r"\p{L}+", r"\p{Lu}", r"\p{Ll}", r"\p{Lu}[^\p{Lu}]*|^[^\p{Lu}]+"))
-
-
-def tokens_of(text: str) -> set[str]:
-    """The tokens of one text (queries and snippet lines), on the driver or inside a pandas function."""
-    out: set[str] = set()
-    for block in _SPACE.split(_EMAIL.sub("", _URL.sub(" ", text))):
-        before = None
-        for word in _RAW.findall(block):
-            norm = norm_word(word)
-            if _LETTERS.fullmatch(word) and _UPPER.search(word) and _LOWER.search(word):
-                parts = [norm_word(p) for p in _PARTS.findall(word)]
-                out.update(p for p in parts if p not in STOP)
-                out.update(a + b for a, b in zip(parts, parts[1:], strict=False))
-            if norm not in STOP:
-                out.add(norm)
-            if before is not None and before.isascii() == norm.isascii():
-                out.add(before + "-" + norm if norm.isascii() else before + norm)
-            before = norm
-    return out
+    """(``id_col``, token) for each row and each of its distinct tokens, in one pass without a shuffle.
+
+    Each worker keeps the stems of the words it met last.
+    """
+    given = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("token"))
+    out = T.StructType([given.schema[id_col], T.StructField("token", T.ArrayType(T.StringType()))])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem_of = lru_cache(1 << 18)(norm_word)
+        for b in it:
+            found = pa.array([sorted(tokens_of(t, stem_of)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found], names=[id_col, "token"])
+
+    return given.mapInArrow(batches, out).select(id_col, F.explode("token").alias("token"))

@@ -47,10 +47,22 @@ def other_projects(edges: DataFrame) -> DataFrame:
     return without_self(edges).filter(paths.full_project(F.col("importer")) != paths.full_project(F.col("imported")))
 
 
-def assigned_stars(docs: DataFrame, edges: DataFrame) -> DataFrame:
+def import_counts(kinds: DataFrame) -> DataFrame:
+    """For each imported package: importers in normal code, in test code, in real test code, and importing projects.
+
+    ``kinds`` are those of ``edge_kinds``; test imports are real where their
+    project has no normal import of the package.
+    """
+    by = kinds.groupBy("imported", paths.full_project(F.col("importer")).alias("by")).agg(F.count_if(~F.col("test")).alias("normal"), F.count_if("test").alias("tests"))
+    return by.groupBy(F.col("imported").alias("package")).agg(
+        F.sum("normal").alias("imported_len"), F.sum("tests").alias("test_imported_len"), F.sum(F.when(F.col("normal") == 0, F.col("tests")).otherwise(0)).alias("real_test_len"), F.count("*").alias("importing_projects")
+    )
+
+
+def assigned_stars(docs: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Root packages get their project's stars, others their share by how many of its importing projects import them."""
     own = docs.select("package", paths.full_project(F.col("package")).alias("project"))
-    by = without_self(edges).select(F.col("imported").alias("package"), paths.full_project(F.col("importer")).alias("by")).distinct().groupBy("package").agg(F.count("*").alias("n"))
+    by = (import_counts(edge_kinds(edges)) if counts is None else counts).select("package", F.col("importing_projects").alias("n"))
     out = own.join(project_stars(docs), "project", "left").join(project_importers(edges), "project", "left").join(by, "package", "left")
     share = F.col("stars").cast("double") / F.col("importers") * F.coalesce("n", F.lit(0))
     stars = F.when(F.col("package") == F.col("project"), F.col("stars").cast("double")).when(F.col("importers").isNull(), F.lit(0.0)).otherwise(share)
@@ -80,35 +92,55 @@ def effective_imported(imports: DataFrame) -> DataFrame:
 
 
 def static_scores(docs: DataFrame, edges: DataFrame, now: Column, description: Column | None = None) -> DataFrame:
-    """(package, static_score, test_static_score) of each document."""
-    kinds = edge_kinds(edges)
+    """(package, name, static_score, test_static_score, imported_len, test_imported_len, assigned_stars) of each document."""
+    kinds = keep(edge_kinds(edges), "edge-kinds")
+    counts = keep(import_counts(kinds), "import-counts")
     normal = effective_imported(kinds.filter("NOT test"))
-    real = real_tests(kinds)
-    test = effective_imported(real).withColumnRenamed("effective", "effective_test")
-    tests = real.groupBy(F.col("imported").alias("package")).agg(F.count("*").alias("real_test_len"))
-    rows = docs.join(normal, "package", "left").join(test, "package", "left").join(tests, "package", "left").join(reverse(edges), "package", "left").join(assigned_stars(docs, edges), "package", "left")
+    test = effective_imported(real_tests(kinds)).withColumnRenamed("effective", "effective_test")
+    rows = docs.join(normal, "package", "left").join(test, "package", "left").join(counts, "package", "left").join(assigned_stars(docs, kinds, counts), "package", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     text = F.lit("") if description is None else description
     s = scores.static_score(F.coalesce("effective", F.lit(0.0)), F.col("name"), text, zero("assigned_stars"), zero("imported_len"), zero("test_imported_len"), F.col("package"), now)
     t = scores.test_static_score(F.coalesce("effective_test", F.lit(0.0)), F.col("name"), text, zero("assigned_stars"), zero("imported_len"), zero("real_test_len"))
-    return rows.select("package", "name", s.alias("static_score"), t.alias("test_static_score"))
+    return rows.select("package", "name", s.alias("static_score"), t.alias("test_static_score"), zero("imported_len").alias("imported_len"), zero("test_imported_len").alias("test_imported_len"), zero("assigned_stars").alias("assigned_stars"))
 
 
-def placed(scored: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``place``: rows before this one in a global order, by counting ranges instead of one sorted task."""
+def _ranges(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in range partitions of ``order``, with ``__p`` (partition) and ``place`` (rows before this one in the whole order)."""
     spark = scored.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = scored.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
+    # range partitioning samples its input first: kept rows are not computed twice
+    parts = keep(scored, "scored").repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
     parts = keep(parts, "places")
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
     # one row for each partition
     before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return parts.withColumn("__r", own).join(F.broadcast(before), "__p").withColumn("place", F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
+    return parts.withColumn("__r", own).join(F.broadcast(before), "__p").withColumn("place", F.col("__before") + F.col("__r")).drop("__r", "__before")
+
+
+def placed(scored: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``place``: rows before this one in a global order, by counting ranges instead of one sorted task."""
+    return _ranges(scored, order).drop("__p")
 
 
 def ranked(scored: DataFrame, score: str = "static_score", tie: str = "package") -> DataFrame:
-    """Adds ``doc_id`` (position by score, ties by ``tie``) and ``static_rank`` (position of the first row of the same score)."""
-    out = placed(scored, [F.desc(score), F.asc(tie)]).withColumnRenamed("place", "doc_id")
-    first = out.groupBy(score).agg(F.min("doc_id").alias("static_rank"))
-    return out.join(first, score)
+    """Adds ``doc_id`` (position by score, ties by ``tie``) and ``static_rank`` (position of the first row of the same score).
+
+    A score's first row lies in the same range or is known from the range before
+    it, so that rows of one score, however many, never meet in one task.
+    """
+    out = keep(_ranges(scored, [F.desc(score), F.asc(tie)]), "ranked")
+    ends = out.groupBy("__p").agg(F.max(score).alias("high"), F.min(score).alias("low"), F.min_by("place", F.struct(score, "place")).alias("first"))
+    # one row for each range
+    carried, low, first = [], None, None
+    for r in ends.orderBy("__p").collect():
+        from_before = first if r["high"] == low else None
+        carried.append((r["__p"], r["high"], from_before))
+        first = from_before if from_before is not None and r["low"] == r["high"] else r["first"]
+        low = r["low"]
+    carried = out.sparkSession.createDataFrame(carried, "__p int, __high double, __carried long")
+    own = F.min("place").over(Window.partitionBy("__p", score))
+    out = out.withColumn("__own", own).join(F.broadcast(carried), "__p")
+    rank = F.when((F.col(score) == F.col("__high")) & F.col("__carried").isNotNull(), F.col("__carried")).otherwise(F.col("__own"))
+    return out.withColumn("static_rank", rank).withColumnRenamed("place", "doc_id").drop("__p", "__own", "__high", "__carried")

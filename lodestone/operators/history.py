@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 DEPTH = 10
 
 
@@ -22,6 +24,12 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
+def lookup(found: DataFrame, events: DataFrame, package: str) -> DataFrame:
+    """The history page of one package by its lower-cased name: how and when it was found, latest times, newest events."""
+    one = F.col("key") == package.strip().lower()
+    return found.filter(one).join(summary(events.filter(one)).select("key", "latest_success", "latest_failed"), "key", "left").join(lists(events.filter(one)), "key", "left")
+
+
 def lists(events: DataFrame, n: int = DEPTH) -> DataFrame:
     """The newest events of each key as one array, newest first."""
     return latest(events, n).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "ts", "action"))), lambda e: F.struct(e["ts"].alias("ts"), e["action"].alias("action"))).alias("events"))
@@ -39,11 +47,30 @@ def or_empty(found: Column, empty: Column) -> Column:
     return F.coalesce(found, empty)
 
 
+# The hosts whose packages lead to others, and how each kind of these was found.
+RELATED_HOSTS = ("github.com/", "bitbucket.org/")
+WAYS = (("imports", "impoted:"), ("test_imports", "testimported:"), ("references", "reference:"))
+
+
+def leading(packages: DataFrame) -> DataFrame:
+    """Crawled packages of the hosts with persons."""
+    on = F.lit(False)
+    for host in RELATED_HOSTS:
+        on = on | F.col("package").startswith(host)
+    return packages.filter(on)
+
+
+def related_persons(packages: DataFrame) -> DataFrame:
+    """Distinct authors (id, site, name) of crawled packages, on hosts that have persons."""
+    own = leading(packages).select(paths.site(F.col("package")).alias("site"), F.col("author").alias("name")).distinct()
+    return own.select(paths.person_id(F.col("site"), F.col("name")).alias("id"), "site", "name")
+
+
 def related(packages: DataFrame) -> DataFrame:
-    """(package, found_way) of what a crawled package names: imports, test imports, references."""
-    ways = (("imports", "imported:"), ("test_imports", "testimported:"), ("references", "reference:"))
+    """(package, found_way) of what a crawled package names: imports, test imports, references; only of hosts with persons."""
     out = None
-    for col, way in ways:
+    packages = leading(packages)
+    for col, way in WAYS:
         one = packages.select(F.explode(col).alias("package"), F.concat(F.lit(way), F.col("package")).alias("found_way"))
         out = one if out is None else out.unionByName(one)
     return out.distinct()

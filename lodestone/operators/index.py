@@ -45,9 +45,8 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
         F.array_sort(F.collect_list(F.when(~F.col("test"), F.col("importer")))).alias("imported"), F.array_sort(F.collect_list(F.when(F.col("test"), F.col("importer")))).alias("test_imported")
     )
     empty = F.array().cast("array<string>")
-    hits = own.join(scored, "package").join(lists, "package", "left").join(graph.assigned_stars(own, edges), "package")
+    hits = own.join(scored, "package").join(lists, "package", "left")
     hits = hits.withColumns({c: F.coalesce(c, empty) for c in ("imported", "test_imported")})
-    hits = hits.withColumns({"imported_len": F.size("imported"), "test_imported_len": F.size("test_imported")})
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))
     hits = hits.withColumn("important_sentences", sentences.important_sentences(readme, "name", "package"))
     full = keep(graph.ranked(hits), "index-hits")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, sentences
 
 README_BYTES = 100 * 1024
-#: Hosts that answer no more.
-DEAD_HOSTS = ("launchpad.net/",)
+# Fixed value: hosts that answer no more.
+DEAD_HOSTS = ("thezombie.net",)
 
 
 def cut_bytes(text: Column, most: int) -> Column:

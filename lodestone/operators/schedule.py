@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import keep
+from .graph import placed
+
 VERSION = 5
 
 
@@ -17,20 +20,38 @@ def without_vendor(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.col("id").contains("/vendor/"))
 
 
-def on_hosts(entries: DataFrame, hosts: list[str]) -> DataFrame:
-    return entries.filter(F.col("host").isin(hosts))
+def on_hosts(entries: DataFrame, hosts: list[str], never: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of the hosts to crawl that are not among those ``never`` to crawl."""
+    return entries.filter(F.col("host").isin(hosts) & ~F.col("host").isin(*never))
+
+
+def skipped(entries: DataFrame, now: Column) -> DataFrame:
+    """How many due entries the vendor rule leaves out."""
+    return due(entries, now).agg(F.count_if(F.col("id").contains("/vendor/")).alias("vendors"))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Adds ``place`` (from 1): unknown packages first, then the earliest, within each host.
 
+    Ranges of the whole order are counted, so that a host with most of the
+    entries is not one task.
+    """
+    out = keep(placed(rows, [F.asc("host"), F.asc("in_docs"), F.asc("schedule_time"), F.asc("id")]), "queue")
+    # one row for each host
+    first = out.groupBy("host").agg(F.min("place").alias("__first"))
+    return out.join(F.broadcast(first), "host").withColumn("place", F.col("place") - F.col("__first") + 1).drop("__first")
 
-def queue(entries: DataFrame, docs: DataFrame, now: Column, hosts: list[str]) -> DataFrame:
+
+def queue(entries: DataFrame, docs: DataFrame, now: Column, hosts: list[str], never: tuple[str, ...] = ()) -> DataFrame:
     """Due entries with ``in_docs``; unknown packages first, then the earliest, within each host."""
     known = docs.select(F.col("package").alias("id")).distinct().withColumn("in_docs", F.lit(True))
-    rows = on_hosts(without_vendor(due(entries, now)), hosts).join(known, "id", "left").withColumn("in_docs", F.coalesce("in_docs", F.lit(False)))
+    rows = on_hosts(without_vendor(due(entries, now)), hosts, never).join(known, "id", "left").withColumn("in_docs", F.coalesce("in_docs", F.lit(False)))
     return rows.withColumn("etag", F.when(F.col("version") < VERSION, "").otherwise(F.col("etag")))
 
 
 def write_queue(rows: DataFrame, path: str) -> None:
     """One folder for each host, files sorted in crawl order."""
-    rows.repartition("host").sortWithinPartitions("host", "in_docs", "schedule_time", "id").write.mode("overwrite").partitionBy("host").parquet(path)
+    rows.repartitionByRange("host", "in_docs", "schedule_time", "id").sortWithinPartitions("host", "in_docs", "schedule_time", "id").write.mode("overwrite").partitionBy("host").parquet(path)
 
 
 def forget_etags(entries: DataFrame, one_in: int = 10, seed: int = 0) -> DataFrame:
@@ -90,3 +111,30 @@ def broken(entries: DataFrame, docs: DataFrame, like_folder) -> DataFrame:
     odd_end = (n >= 4) & ~like_folder(F.element_at(parts, -1))
     twice = (n >= 6) & (n % 2 == 0) & (F.slice(parts, F.lit(4), F.greatest(half, F.lit(0))) == F.slice(parts, F.lit(4) + half + 1, F.greatest(half, F.lit(0))))
     return entries.join(docs.select(F.col("package").alias("id")), "id", "left_anti").filter(odd_end | twice)
+
+
+def outcomes(results: DataFrame, stop: Column, pause: int = 10) -> DataFrame:
+    """What follows from crawl results (part, seq, at, package, outcome, forbidden) of parts worked off in order.
+
+    ``outcome``: ``invalid`` (a bad path), ``failed``, ``same`` (not modified) or
+    ``ok``. Rows from the first one after ``stop`` on are not worked off. Adds
+    ``action`` (delete or update), ``event`` of the history, ``next`` (what is
+    scheduled: nothing for bad paths, ``failure`` or ``age``) and ``pauses``:
+    after ``pause`` failures in a row, or one forbidden access, which both start
+    the count anew; only successes interrupt a row.
+    """
+    order = Window.partitionBy("part").orderBy("seq")
+    rows = results.withColumn("__late", F.max((F.col("at") > stop).cast("int")).over(order)).filter("__late = 0").drop("__late")
+    failed = F.col("outcome") == "failed"
+    good = F.col("outcome").isin("ok", "same")
+    rows = rows.withColumn("__forbidden", failed & F.col("forbidden"))
+    breaks = (good | F.lag("__forbidden", 1, False).over(order)).cast("int")
+    rows = rows.withColumn("__run", F.sum(breaks).over(order))
+    nth = F.sum(failed.cast("int")).over(Window.partitionBy("part", "__run").orderBy("seq"))
+    return rows.withColumn("pauses", failed & (F.col("forbidden") | (nth % pause == 0))).drop("__run", "__forbidden").withColumns(
+        {
+            "action": F.when(F.col("outcome") == "invalid", "delete").when(F.col("outcome") == "ok", "update"),
+            "event": F.when(good, "Success").when(failed, "Failed").otherwise("Invalid"),
+            "next": F.when(failed, "failure").when(good, "age"),
+        }
+    )

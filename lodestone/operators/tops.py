@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -12,11 +12,20 @@ def top(rows: DataFrame, by: str, n: int, tie: str = "package") -> DataFrame:
     return rows.orderBy(F.desc(by), F.asc(tie)).limit(n)
 
 
-def hot(rows: DataFrame, by: str, n: int, imports: str) -> DataFrame:
-    """The best package of each project that is imported, named and no program, ``n`` projects at most."""
-    own = rows.filter((F.col(imports) > 0) & ~F.col("name").isin("", "main")).withColumn("project", paths.full_project(F.col("package")))
-    best = own.groupBy("project").agg(F.max_by(F.struct("package", "name", by), F.struct(by, F.struct(-F.length("package"), F.col("package")))).alias("b"))
-    return best.select("project", "b.*").orderBy(F.desc(by), F.asc("package")).limit(n)
+def hot(rows: DataFrame, by: str, n: int, imports: str, project: Column | None = None) -> DataFrame:
+    """The best imported, named packages that are no programs, ``n`` at most: none whose project lies in that of a better one.
+
+    ``project`` (default: that of the path) is a slash-separated name; it lies in
+    itself and in its prefixes. A project that is left out for a better ancestor
+    hides nothing that the ancestor doesn't hide too, so that one anti join
+    gives what a walk from the best package down would keep.
+    """
+    own = rows.filter((F.col(imports) > 0) & ~F.col("name").isin("", "main")).withColumn("project", paths.full_project(F.col("package")) if project is None else project)
+    own = own.groupBy("project").agg(F.min_by(F.struct("package", "name", by), F.struct(-F.col(by), "package")).alias("b"))
+    best = own.select("project", "b.*").withColumn("place", F.struct(-F.col(by), F.col("package")))
+    ups = best.select("project", "place", F.explode(paths.ancestors(F.col("project"), 1)).alias("up"))
+    hidden = ups.join(best.select(F.col("project").alias("up"), F.col("place").alias("above")), "up").filter(F.col("above") < F.col("place")).select("project").distinct()
+    return best.join(hidden, "project", "left_anti").drop("place").orderBy(F.desc(by), F.asc("package")).limit(n)
 
 
 def sites(rows: DataFrame, n: int) -> DataFrame:
@@ -24,21 +33,24 @@ def sites(rows: DataFrame, n: int) -> DataFrame:
     return own.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(n)
 
 
-def report(scored: DataFrame, reversed_: DataFrame, n: int) -> DataFrame:
-    """The four lists under one another: (list, place, package, info). Lists have at most ``n`` rows each."""
-    rows = scored.join(reversed_, "package", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("imported_len", "test_imported_len")})
+def report(scored: DataFrame, n: int, project: Column | None = None) -> DataFrame:
+    """The four lists under one another: (list, about, place, name, package, link, info). Lists have at most ``n`` rows each."""
     place = lambda df, by, tie: df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), F.asc(tie))))  # noqa: E731  of n rows
+    shown = paths.display_name(F.col("name"), F.col("package"))
+    both = scored.withColumn("both", F.col("imported_len") + F.col("test_imported_len"))
+    more = scored.select("package", "imported_len", "test_imported_len", "star_count")
+    refs = lambda c: F.concat_ws(" ", F.col(c), F.col("star_count"))
     parts = (
-        ("Hot", place(hot(rows, "static_score", n, "imported_len"), "static_score", "package"), "package", "static_score"),
-        ("Hot Test", place(top(rows.filter("test_imported_len > 0"), "test_static_score", n), "test_static_score", "package"), "package", "test_static_score"),
-        ("Most Imported", place(top(rows.withColumn("both", F.col("imported_len") + F.col("test_imported_len")), "both", n), "both", "package"), "package", "both"),
-        ("Sites", place(sites(rows, n), "n", "site"), "site", "n"),
+        ("Hot", "refs stars", place(hot(scored, "static_score", n, "imported_len", project), "static_score", "package").select("package", "name", "place").join(more, "package"), refs("imported_len")),
+        ("Hot Test", "refs stars", place(top(scored.filter("test_imported_len > 0"), "test_static_score", n), "test_static_score", "package"), refs("test_imported_len")),
+        ("Most Imported", "refs", place(top(both, "both", n), "both", "package"), F.col("both").cast("string")),
     )
     out = None
-    for name, df, key, info in parts:
-        one = df.select(F.lit(name).alias("list"), "place", F.col(key).alias("package"), F.col(info).cast("double").alias("info"))
+    for name, about, df, info in parts:
+        one = df.select(F.lit(name).alias("list"), F.lit(about).alias("about"), "place", shown.alias("name"), "package", F.lit("").alias("link"), info.alias("info"))
         out = one if out is None else out.unionByName(one)
-    return out
+    site = place(sites(scored, n), "n", "site")
+    return out.unionByName(site.select(F.lit("Sites").alias("list"), F.lit("packages").alias("about"), "place", F.col("site").alias("name"), F.lit("").alias("package"), F.concat(F.lit("http://"), F.col("site")).alias("link"), F.col("n").cast("string").alias("info")))
 
 
 def rollup(metrics: DataFrame) -> DataFrame:

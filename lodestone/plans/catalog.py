@@ -12,8 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, scores, sentences, tokens
-from ..operators import graph, history, merge, repos, schedule, search, tops
+from ..functions import paths, scores, sentences, tokens, words
+from ..operators import graph, history, merge, repos, schedule, search, store, tops
 from ..sources import snapshots
 from ..sources import views as v
 from ..sources.views import ACTIONS_SQL, CRAWL_SQL, DOCS_SQL, EDGES_SQL, HISTORY_SQL, PACKAGES_SQL, table
@@ -50,22 +50,32 @@ def sql_values(rows: list[tuple], names: str) -> str:
 PATHS = [
     (p,)
     for p in (
-        "github.com/AsherBond/docker", "gopkg.in/redis.v1", "gopkg.in/inconshreveable/log15.v2", "gopkg.in/fatih/v0/set", "github.com/u/r", "github.com/u/r/index", "code.google.com/p/go.net/websocket",
-        "llamaslayers.net/x/y", "bazil.org/fuse/fs", "launchpad.net/~u/prj/x", "launchpad.net/gocheck/a/b", "labix.org/v2/mgo/bson", "golanger.com/x", "cgl.tideland.biz/a/b", "bitbucket.org/a/b/c/d", "example.org:8080/a/b/c/d",
+        "github.com/mo/ship", "github.com/mo/ship/deck", "gopkg.in/kite.v3", "gopkg.in/lee/tide.v15", "gopkg.in/lee/v0/set", "code.google.com/p/ship.deck/low", "llamaslayers.net/x/y", "bazil.org/fuse/fs",
+        "launchpad.net/~mo/ship/deck", "launchpad.net/ship/a/b", "labix.org/v2/ship/deck", "golanger.com/x", "cgl.tideland.biz/a/b", "bitbucket.org/a/b/c/d", "example.org:8080/a/b/c/d",
         "github.com", "gopkg.in/v1", "gopkg.in", "bad host/x", "a.b", "",
     )
 ]
-P = sql_values(PATHS, "pkg")
+WEB_SQL = "(SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS pkg FROM pages)"
+P = f"(SELECT pkg FROM {sql_values(PATHS, 'pkg')} UNION ALL SELECT pkg FROM {WEB_SQL})"
 PARTS = "(SELECT pkg, string_split(pkg, '/') AS s FROM " + P + ")"
 
 
+def web(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", "").alias("pkg"))
+
+
+def all_paths(spark, sf_dir):
+    """The cases above and the paths of the pages."""
+    return values(spark, PATHS, "pkg string").unionByName(web(spark, sf_dir).select("pkg"))
+
+
 @query(rf"""SELECT pkg, CASE
   WHEN s[1] IN ('github.com', 'bitbucket.org') AND len(s) > 1 THEN s[2] WHEN s[1] = 'llamaslayers.net' THEN 'Nightgunner5'
   WHEN s[1] = 'launchpad.net' AND len(s) > 1 AND s[2][1] = '~' THEN s[2][2:]
   WHEN s[1] = 'gopkg.in' AND len(s) = 2 THEN CASE WHEN regexp_matches(s[2], '^.+\.v') THEN 'go-' || regexp_extract(s[2], '^(.+)\.v', 1) ELSE 'gopkg.in' END
   WHEN s[1] = 'gopkg.in' AND len(s) > 2 THEN s[2] ELSE s[1] END AS author FROM {PARTS}""")
 def path_author(spark, sf_dir):
-    return values(spark, PATHS, "pkg string").select("pkg", paths.author(F.col("pkg")).alias("author"))
+    return all_paths(spark, sf_dir).select("pkg", paths.author(F.col("pkg")).alias("author"))
 
 
 @query(rf"""SELECT pkg, CASE
@@ -75,7 +85,7 @@ def path_author(spark, sf_dir):
   WHEN s[1] = 'gopkg.in' AND len(s) > 1 THEN CASE WHEN regexp_matches(coalesce(s[3], s[2]), '^.+\.v') THEN regexp_extract(coalesce(s[3], s[2]), '^(.+)\.v', 1) ELSE s[1] END
   ELSE pkg END AS project FROM {PARTS}""")
 def path_project(spark, sf_dir):
-    return values(spark, PATHS, "pkg string").select("pkg", paths.project(F.col("pkg")).alias("project"))
+    return all_paths(spark, sf_dir).select("pkg", paths.project(F.col("pkg")).alias("project"))
 
 
 FULL_SQL = """CASE WHEN s[1] IN ('llamaslayers.net', 'bazil.org', 'launchpad.net') THEN array_to_string(s[1:2], '/') WHEN s[1] = 'golanger.com' THEN 'golanger.com/golangers'
@@ -84,19 +94,12 @@ FULL_SQL = """CASE WHEN s[1] IN ('llamaslayers.net', 'bazil.org', 'launchpad.net
 
 @query(f"SELECT pkg, {FULL_SQL} AS project FROM {PARTS}")
 def path_full_project(spark, sf_dir):
-    return values(spark, PATHS, "pkg string").select("pkg", paths.full_project(F.col("pkg")).alias("project"))
+    return all_paths(spark, sf_dir).select("pkg", paths.full_project(F.col("pkg")).alias("project"))
 
 
 @query(f"SELECT pkg, CASE WHEN contains(h, ' ') THEN '' ELSE h END AS host FROM (SELECT pkg, regexp_extract(pkg, '^[^/?#]*', 0) AS h FROM {P})")
 def path_host(spark, sf_dir):
-    return values(spark, PATHS, "pkg string").select("pkg", paths.host(F.col("pkg")).alias("host"))
-
-
-WEB_SQL = "(SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS pkg FROM pages)"
-
-
-def web(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", "").alias("pkg"))
+    return all_paths(spark, sf_dir).select("pkg", paths.host(F.col("pkg")).alias("host"))
 
 
 @query(f"SELECT page_id, split_part(pkg, '/', 1) AS site, CASE WHEN contains(pkg, '/') THEN substr(pkg, strpos(pkg, '/') + 1) ELSE '' END AS path FROM {WEB_SQL}")
@@ -128,7 +131,7 @@ def person_id(spark, sf_dir):
   UNION ALL SELECT pkg, i + 1, CASE WHEN h * 33 + ascii(substr(pkg, i + 1, 1)) > 128 THEN (h * 33 + ascii(substr(pkg, i + 1, 1))) % 128 ELSE h * 33 + ascii(substr(pkg, i + 1, 1)) END FROM b WHERE i < length(pkg))
   SELECT pkg, h AS part FROM b WHERE i = length(pkg)""")
 def partition_hash(spark, sf_dir):
-    return values(spark, PATHS, "pkg string").select("pkg", paths.partition_hash(F.col("pkg")).alias("part"))
+    return all_paths(spark, sf_dir).distinct().select("pkg", paths.partition_hash(F.col("pkg")).alias("part"))
 
 
 @query(f"""WITH {PACKAGES_SQL} SELECT package, array_to_string(s[1:i], '/') AS up FROM (SELECT package, s, unnest(range(2, len(s))) AS i FROM (SELECT package, string_split(package, '/') AS s FROM packages))""")
@@ -145,10 +148,14 @@ def readable_size(spark, sf_dir):
     return values(spark, SIZES, "n long").select("n", paths.readable_size(F.col("n")).alias("size"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN x > 86400 THEN CAST(CAST(round(x / 86400) AS BIGINT) AS VARCHAR) || ' days' WHEN x >= 3600 THEN CAST(CAST(round(x / 3600) AS BIGINT) AS VARCHAR) || ' hours'
+  WHEN x >= 60 THEN CAST(CAST(round(x / 60) AS BIGINT) AS VARCHAR) || ' mins' WHEN x >= 1 THEN CAST(CAST(round(x) AS BIGINT) AS VARCHAR) || ' sec' WHEN n >= 1000000 THEN CAST(n // 1000000 AS VARCHAR) || ' ms'
+  WHEN n >= 1000 THEN CAST(n // 1000 AS VARCHAR) || ' us' ELSE CAST(n AS VARCHAR) || ' ns' END AS shown
+  FROM (SELECT event_id, x, CAST(round(x * 1000000000) AS BIGINT) AS n FROM (SELECT event_id, abs(value) * CASE event_id % 6 WHEN 0 THEN 10000.0 WHEN 1 THEN 100.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.001 WHEN 4 THEN 0.000001 ELSE 0.0 END AS x FROM events))""")
 def readable_duration(spark, sf_dir):
-    rows = [(86401.0,), (86400.0,), (3600.0,), (90.0,), (1.0,), (0.25,), (0.00025,), (0.00000025,), (0.0,)]
-    return values(spark, rows, "seconds double").select("seconds", paths.readable_duration(F.col("seconds")).alias("shown"))
+    k = F.col("event_id") % 6
+    times = F.when(k == 0, 10000.0).when(k == 1, 100.0).when(k == 2, 1.0).when(k == 3, 0.001).when(k == 4, 0.000001).otherwise(0.0)
+    return table(spark, sf_dir, "events").select("event_id", paths.readable_duration(F.abs("value") * times).alias("shown"))
 
 
 CALLS = [("cb", 200), ("a-b.c(1)", 404), ("", 200), ("jQ_$9", 400)]
@@ -196,7 +203,8 @@ def raw(spark, sf_dir):
 
 @query(f"SELECT DISTINCT doc_id, unnest(ts) AS token FROM {RAW_SQL}")
 def raw_tokens(spark, sf_dir):
-    return raw(spark, sf_dir).select("doc_id", F.explode("ts").alias("token")).distinct()
+    """Repeats go within each document, so that nothing is shuffled (ids are unique)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens.words(F.col("text")))).alias("token"))
 
 
 @query(f"SELECT count(*) AS blocks, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT len(ts) AS n FROM {RAW_SQL})")
@@ -207,19 +215,20 @@ def token_counts(spark, sf_dir):
 @query(f"""SELECT DISTINCT doc_id, CASE WHEN octet_length(encode(a)) = length(a) AND octet_length(encode(b)) = length(b) THEN a || '-' || b ELSE a || b END AS pair
   FROM (SELECT doc_id, ts[i] AS a, ts[i + 1] AS b FROM (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM {RAW_SQL})) WHERE (octet_length(encode(a)) = length(a)) = (octet_length(encode(b)) = length(b))""")
 def token_pairs(spark, sf_dir):
-    return raw(spark, sf_dir).select("doc_id", F.explode(tokens.pairs(F.col("ts"))).alias("pair")).distinct()
+    own = F.transform(tokens.blocks(F.col("text")), lambda b: tokens.pairs(tokens.raw_tokens(b)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.flatten(own))).alias("pair"))
 
 
 @query(f"SELECT DISTINCT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(ts) AS t FROM {RAW_SQL}) WHERE lower(t) NOT IN ('the', 'on', 'in', 'as')")
 def stopword_filter(spark, sf_dir):
-    return raw(spark, sf_dir).select("doc_id", F.explode(F.transform("ts", F.lower)).alias("token")).filter(~F.col("token").isin(tokens.STOP)).distinct()
+    own = F.array_except(F.transform(tokens.words(F.col("text")), F.lower), F.array(*[F.lit(t) for t in tokens.STOP]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
 
 
 @query()
 def stem_tokens(spark, sf_dir):
     """Distinct tokens of the documents with their stems; each word is stemmed once."""
-    words = raw(spark, sf_dir).select(F.explode("ts").alias("word")).distinct()
-    return words.select("word", tokens.stem("word").alias("stem"))
+    return raw_tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct().select("word", tokens.stem("word").alias("stem"))
 
 
 @query()
@@ -227,9 +236,14 @@ def search_tokens(spark, sf_dir):
     return tokens.tokenize(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+SENTENCE_SQL = r"""(SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '(-{4,}|={4,})\n', chr(10), 'g'), '-{2,}={2,}|={2,}-{2,}', '', 'g'), '\n\n+'),
+  lambda p: string_split(replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), chr(10), ' '), '. ')) AS ps FROM documents)"""
+
+
+@query(rf"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS i, regexp_replace(CASE WHEN si < len(ss) THEN ss[si] || '.' ELSE ss[si] END, '\s+', ' ', 'g') AS sentence
+  FROM (SELECT doc_id, pi, ss, unnest(range(1, len(ss) + 1)) AS si FROM (SELECT doc_id, pi, ps[pi] AS ss FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS pi FROM {SENTENCE_SQL})))""")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.split_sentences(F.coalesce("text", F.lit("")))).alias("i", "sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.split_sentences(F.coalesce("text", F.lit("")))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
 
 
 @query()
@@ -246,12 +260,12 @@ def corpus_sentence_stats(spark, sf_dir):
 
 @query()
 def snippet(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sentences.snippets(tokens.tokens_of("and to of"))("text").alias("snippet"))
+    return table(spark, sf_dir, "documents").select("doc_id", sentences.snippets(words.tokens_of("and to of"))("text").alias("snippet"))
 
 
 @query()
 def mark_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sentences.marks(tokens.tokens_of("and to of"))("text").alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", sentences.marks(words.tokens_of("and to of"))("text").alias("marked"))
 
 
 @query()
@@ -260,11 +274,17 @@ def markdown_text(spark, sf_dir):
     return docs.select("doc_id", sentences.readme_text(F.when(F.col("doc_id") % 2 == 0, "README.md").otherwise("README"), F.concat(F.lit("# Title\n\n"), F.col("text"))).alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'ShouldIgnore' WHEN doc_id % 11 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'ShouldIgnore' ELSE 'ParseFailed' END ELSE 'ParseSuccess' END AS status,
+  CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN '' ELSE 'p' || CAST(doc_id AS VARCHAR) END AS name, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN '' ELSE regexp_extract(text, '[A-Za-z]+') END AS description,
+  CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN '' ELSE 'x.org/' || lang || ',a.org/b,c.org/' || source END AS imports, doc_id % 5 = 0 AS is_test FROM (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)""")
 def parse_header(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("// Package p"), F.col("doc_id"), F.lit(" does.\npackage p"), F.col("doc_id"), F.lit("\n\nimport (\n\t\"a.org/b\"\n\t\"c.org/d\"\n)\n"))
-    return docs.select("doc_id", sentences.parse_header(F.concat(F.lit("f"), F.col("doc_id"), F.when(F.col("doc_id") % 5 == 0, "_test.go").otherwise(".go")), body).alias("h")).select("doc_id", "h.*")
+    """Source files about the first word of each document: every seventh has an unknown build tag, every eleventh no package clause."""
+    k, text = F.col("doc_id"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    tag = F.when(k % 7 == 0, "// +build ignore\n\n").otherwise("")
+    clause = F.when(k % 11 == 0, "pack").otherwise(text("package p", k))
+    body = text(tag, "// ", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), "\n", clause, "\n\nimport \"x.org/", F.col("lang"), "\"\nimport (\n\t\"a.org/b\"\n\tz \"c.org/", F.col("source"), "\"\n)\n")
+    parsed = table(spark, sf_dir, "documents").select("doc_id", sentences.parse_header(text("f", k, F.when(k % 5 == 0, "_test.go").otherwise(".go")), body).alias("h"))
+    return parsed.select("doc_id", "h.status", "h.name", "h.description", F.array_join("h.imports", ",").alias("imports"), "h.is_test")
 
 
 # --- search --------------------------------------------------------------------------------------------------------
@@ -312,7 +332,8 @@ def search_or(spark, sf_dir):
 def scored(spark, sf_dir):
     """Documents that match the query; the first line is the synopsis, the source the name, language and source the path."""
     docs = table(spark, sf_dir, "documents")
-    own = postings(spark, sf_dir)
+    # one pass over the texts: the postings of the query's tokens serve frequencies and retrieval
+    own = snapshots.keep(postings(spark, sf_dir).filter(F.col("token").isin(*QUERY)), "query-postings")
     query_idf = search.idfs(own, list(QUERY), docs.count())
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
     first = F.lower(F.get(F.split("text", "\n"), F.lit(0)))
@@ -433,8 +454,8 @@ def assigned_stars(spark, sf_dir):
     return graph.assigned_stars(v.docs(spark, sf_dir), v.edges(spark, sf_dir)).select("package", F.round("assigned_stars", 6).alias("assigned_stars"))
 
 
-EFFECT_SQL = """(SELECT imported AS package, sum(CASE WHEN a = split_part(imported, '/', 2) OR p = split_part(imported, '/', 3) THEN 0.5 ELSE 1.0 END) AS effective FROM (
-  SELECT *, row_number() OVER (PARTITION BY imported, p ORDER BY importer) AS j FROM (SELECT *, split_part(importer, '/', 2) AS a, split_part(importer, '/', 3) AS p, row_number() OVER (PARTITION BY imported, split_part(importer, '/', 2) ORDER BY importer) AS i FROM {}) WHERE i = 1)
+EFFECT_SQL = """(SELECT imported AS package, sum(CASE WHEN a = CASE WHEN starts_with(imported, 'code') THEN 'code.google.com' ELSE split_part(imported, '/', 2) END OR p = split_part(imported, '/', 3) THEN 0.5 ELSE 1.0 END) AS effective FROM (
+  SELECT *, row_number() OVER (PARTITION BY imported, p ORDER BY importer) AS j FROM (SELECT *, row_number() OVER (PARTITION BY imported, a ORDER BY importer) AS i FROM (SELECT *, CASE WHEN starts_with(importer, 'code') THEN 'code.google.com' ELSE split_part(importer, '/', 2) END AS a, split_part(importer, '/', 3) AS p FROM {})) WHERE i = 1)
   WHERE j = 1 GROUP BY imported)"""
 
 
@@ -443,15 +464,17 @@ def effective_imported(spark, sf_dir):
     return graph.effective_imported(graph.edge_kinds(v.edges(spark, sf_dir)).filter("NOT test"))
 
 
+BONUS_SQL = """CASE WHEN t = '' THEN 0 ELSE 1 + CASE WHEN octet_length(encode(t)) > 100 THEN 0.5 ELSE 0 END + CASE WHEN starts_with(t, 'Package ' || name) OR starts_with(t, name || ' package') THEN 0.5 WHEN starts_with(t, 'package ' || name) THEN 0.4 ELSE 0 END END + CASE WHEN name NOT IN ('', 'main') THEN 0.1 ELSE 0 END"""
 SCORE_SQL = PROJECT_SQL + f""", k AS (SELECT *, {BY_SQL.format('importer')} AS by FROM kinds), real AS (SELECT importer, imported FROM k WHERE test AND NOT EXISTS (SELECT 1 FROM k n WHERE NOT n.test AND n.imported = k.imported AND n.by = k.by)),
-counts AS (SELECT imported AS package, count(*) FILTER (NOT test) AS i, count(*) FILTER (test) AS t FROM kinds GROUP BY 1), reals AS (SELECT imported AS package, count(*) AS r FROM real GROUP BY 1),
-x AS (SELECT d.package, d.name, coalesce(e.effective, 0) AS e, coalesce(et.effective, 0) AS et, coalesce(i, 0) AS i, coalesce(t, 0) AS t, coalesce(r, 0) AS r, 0.5 * sqrt(greatest(assigned_stars - 3, 0)) AS s, CASE WHEN d.name NOT IN ('', 'main') THEN 0.1 ELSE 0 END AS nb
-  FROM docs d JOIN assigned USING (package) LEFT JOIN counts USING (package) LEFT JOIN reals USING (package) LEFT JOIN {EFFECT_SQL.format('(SELECT * FROM kinds WHERE NOT test)')} e USING (package) LEFT JOIN {EFFECT_SQL.format('real')} et USING (package)),
-scored AS (SELECT package, name, round(1 + e + nb + s * CASE WHEN i + t > 0 THEN CAST(i AS DOUBLE) / (i + t) ELSE 1 END, 6) AS static_score, round(1 + et + nb + least(s * CASE WHEN i + r > 0 THEN CAST(r AS DOUBLE) / (i + r) ELSE 1 END, et), 6) AS test_static_score, i AS imported_len, t AS test_imported_len FROM x)"""
+counts AS (SELECT imported AS package, count(*) FILTER (NOT test) AS i, count(*) FILTER (test) AS tests FROM kinds GROUP BY 1), reals AS (SELECT imported AS package, count(*) AS r FROM real GROUP BY 1),
+x AS (SELECT d.package, d.name, coalesce(e.effective, 0) AS e, coalesce(et.effective, 0) AS et, coalesce(i, 0) AS i, coalesce(tests, 0) AS t, coalesce(r, 0) AS r, 0.5 * sqrt(greatest(assigned_stars - 3, 0)) AS s, {BONUS_SQL} AS nb, d.star_count
+  FROM (SELECT *, trim(description) AS t FROM docs) d JOIN assigned USING (package) LEFT JOIN counts USING (package) LEFT JOIN reals USING (package) LEFT JOIN {EFFECT_SQL.format('(SELECT * FROM kinds WHERE NOT test)')} e USING (package) LEFT JOIN {EFFECT_SQL.format('real')} et USING (package)),
+scored AS (SELECT package, name, star_count, round((1 + e + nb + s * CASE WHEN i + t > 0 THEN CAST(i AS DOUBLE) / (i + t) ELSE 1 END) * CASE WHEN starts_with(package, 'code.google.com/') THEN 0.25 ELSE 1 END, 6) AS static_score, round(1 + et + nb + least(s * CASE WHEN i + r > 0 THEN CAST(r AS DOUBLE) / (i + r) ELSE 1 END, et), 6) AS test_static_score, i AS imported_len, t AS test_imported_len FROM x)"""
 
 
 def static(spark, sf_dir):
-    out = graph.static_scores(v.docs(spark, sf_dir), v.edges(spark, sf_dir), F.lit(NOW))
+    docs = snapshots.keep(v.docs(spark, sf_dir), "docs")
+    out = graph.static_scores(docs, v.edges(spark, sf_dir), F.lit(NOW), F.col("description")).join(docs.select("package", "star_count"), "package")
     return out.withColumns({c: F.round(c, 6) for c in ("static_score", "test_static_score")})
 
 
@@ -471,30 +494,25 @@ def static_rank(spark, sf_dir):
 
 
 TOP_SQL = {
-    "tops_hot": "SELECT package, static_score FROM (SELECT *, row_number() OVER (PARTITION BY {} ORDER BY static_score DESC, length(package), package DESC) AS k FROM scored WHERE imported_len > 0 AND name NOT IN ('', 'main')) WHERE k = 1 ORDER BY static_score DESC, package LIMIT 20".format(BY_SQL.format("package")),
+    "tops_hot": "SELECT package, static_score FROM (SELECT *, row_number() OVER (PARTITION BY {} ORDER BY static_score DESC, package) AS k FROM scored WHERE imported_len > 0 AND name NOT IN ('', 'main')) WHERE k = 1 ORDER BY static_score DESC, package LIMIT 20".format(BY_SQL.format("package")),
     "tops_test": "SELECT package, test_static_score FROM scored WHERE test_imported_len > 0 ORDER BY test_static_score DESC, package LIMIT 20",
     "tops_imported": "SELECT package, imported_len + test_imported_len AS n FROM scored ORDER BY n DESC, package LIMIT 20",
 }
 
 
-def full(spark, sf_dir):
-    rows = static(spark, sf_dir).join(graph.reverse(v.edges(spark, sf_dir)), "package", "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("imported_len", "test_imported_len")})
-
-
 @query(f"WITH {SCORE_SQL} {TOP_SQL['tops_hot']}")
 def tops_hot(spark, sf_dir):
-    return tops.hot(full(spark, sf_dir), "static_score", 20, "imported_len").select("package", "static_score")
+    return tops.hot(static(spark, sf_dir), "static_score", 20, "imported_len").select("package", "static_score")
 
 
 @query(f"WITH {SCORE_SQL} {TOP_SQL['tops_test']}")
 def tops_test(spark, sf_dir):
-    return tops.top(full(spark, sf_dir).filter("test_imported_len > 0"), "test_static_score", 20).select("package", "test_static_score")
+    return tops.top(static(spark, sf_dir).filter("test_imported_len > 0"), "test_static_score", 20).select("package", "test_static_score")
 
 
 @query(f"WITH {SCORE_SQL} {TOP_SQL['tops_imported']}")
 def tops_imported(spark, sf_dir):
-    return tops.top(full(spark, sf_dir).withColumn("n", F.col("imported_len") + F.col("test_imported_len")), "n", 20).select("package", "n")
+    return tops.top(static(spark, sf_dir).withColumn("n", F.col("imported_len") + F.col("test_imported_len")), "n", 20).select("package", "n")
 
 
 @query(f"SELECT lower(split_part(pkg, '/', 1)) AS site, count(*) AS n FROM {WEB_SQL} GROUP BY 1 ORDER BY n DESC, site LIMIT 20")
@@ -502,20 +520,69 @@ def tops_sites(spark, sf_dir):
     return tops.sites(web(spark, sf_dir).withColumnRenamed("pkg", "package"), 20)
 
 
-@query()
+NESTED_SQL = """best AS (SELECT package, static_score, row_number() OVER (ORDER BY static_score DESC, package) AS place FROM scored WHERE imported_len > 0 AND name NOT IN ('', 'main')),
+ups AS (SELECT package, place, array_to_string(s[1:i], '/') AS up FROM (SELECT *, unnest(range(1, len(s))) AS i FROM (SELECT *, string_split(package, '/') AS s FROM best)))"""
+
+
+@query(f"WITH {SCORE_SQL}, {NESTED_SQL} SELECT package, static_score, row_number() OVER (ORDER BY place) AS place FROM best WHERE package NOT IN (SELECT ups.package FROM ups JOIN best b ON ups.up = b.package AND b.place < ups.place) ORDER BY place LIMIT 50")
+def tops_hot_nested(spark, sf_dir):
+    """The hot list where every package is a project, so that projects lie inside others."""
+    rows = tops.hot(static(spark, sf_dir), "static_score", 50, "imported_len", F.col("package"))
+    return rows.select("package", "static_score", F.row_number().over(Window.orderBy(F.desc("static_score"), "package")).cast("long").alias("place"))
+
+
+SHOWN_SQL = "CASE WHEN name = '' THEN '(' || split_part(package, '/', 3) || ')' WHEN name = 'main' THEN 'main - ' || split_part(package, '/', 3) ELSE name END"
+
+
+@query(f"""WITH {SCORE_SQL}, hot AS ({TOP_SQL['tops_hot']}), parts AS (
+  SELECT 'Hot' AS list, 'refs stars' AS about, static_score AS x, package, name, imported_len || ' ' || star_count AS info FROM scored WHERE package IN (SELECT package FROM hot)
+  UNION ALL (SELECT 'Hot Test', 'refs stars', test_static_score, package, name, test_imported_len || ' ' || star_count FROM scored WHERE test_imported_len > 0 ORDER BY test_static_score DESC, package LIMIT 20)
+  UNION ALL (SELECT 'Most Imported', 'refs', imported_len + test_imported_len, package, name, CAST(imported_len + test_imported_len AS VARCHAR) FROM scored ORDER BY imported_len + test_imported_len DESC, package LIMIT 20))
+SELECT list, about, row_number() OVER (PARTITION BY list ORDER BY x DESC, package) AS place, {SHOWN_SQL} AS name, package, '' AS link, info FROM parts
+UNION ALL SELECT 'Sites', 'packages', row_number() OVER (ORDER BY n DESC, site), site, '', 'http://' || site, CAST(n AS VARCHAR) FROM (SELECT split_part(package, '/', 1) AS site, count(*) AS n FROM scored GROUP BY 1)""")
 def tops_report(spark, sf_dir):
-    return tops.report(static(spark, sf_dir), graph.reverse(v.edges(spark, sf_dir)), 20)
+    return tops.report(static(spark, sf_dir), 20).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"WITH {SCORE_SQL} SELECT package FROM scored ORDER BY static_score DESC, package")
+@query(f"WITH {SCORE_SQL} SELECT package, row_number() OVER (ORDER BY static_score DESC, package) - 1 AS doc_id FROM scored")
 def packages_list(spark, sf_dir):
-    return static(spark, sf_dir).select("package")
+    """All packages in the order of their ids, which come with them."""
+    return graph.ranked(static(spark, sf_dir)).select("package", F.col("doc_id").cast("long").alias("doc_id")).orderBy("doc_id")
+
+
+FIND = ("economy", "small")
+FIND_SQL = SCORE_SQL + """, words AS (SELECT package, regexp_extract_all(lower(name || ' ' || package), '[a-z]+|[0-9]+') AS w, regexp_extract_all(lower(name), '[a-z]+|[0-9]+') AS nw FROM docs),
+q AS (SELECT token, CASE WHEN ln(n / greatest(df, 1)) > 1 THEN sqrt(ln(n / greatest(df, 1))) ELSE ln(n / greatest(df, 1)) END AS ti, CASE WHEN ln(n / greatest(nf, 1)) > 1 THEN sqrt(ln(n / greatest(nf, 1))) ELSE ln(n / greatest(nf, 1)) END AS ni
+  FROM (SELECT token, count(*) FILTER (list_contains(w, token)) AS df, count(*) FILTER (list_contains(nw, token)) AS nf, CAST(count(*) AS DOUBLE) AS n FROM words, (SELECT unnest(['economy', 'small']) AS token) GROUP BY token)),
+hit AS (SELECT d.package, lower(d.description) AS syn, lower(d.name) AS nm, lower(substr(d.package, strpos(d.package, '/') + 1)) AS path, s.static_score, s.test_static_score, d.star_count FROM docs d JOIN words USING (package) JOIN scored s USING (package) WHERE list_contains(w, 'economy') AND list_contains(w, 'small')),
+found AS (SELECT package, star_count, greatest(static_score, test_static_score) * (0.04 + sum(CASE WHEN contains(syn, token) THEN 0.25 * ti ELSE 0 END + CASE WHEN contains('the ' || nm || ' thing', token) THEN 0.25 * ti ELSE 0 END + CASE WHEN contains(nm, token) THEN 0.25 * ni ELSE 0 END + CASE WHEN contains(path, token) THEN 0.1 * ti ELSE 0 END)) AS score
+  FROM hit, q GROUP BY package, star_count, static_score, test_static_score)"""
+
+
+@query(f"WITH {FIND_SQL} SELECT package, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, star_count DESC, octet_length(encode(package)), package) AS rank FROM found")
+def search_ranked(spark, sf_dir):
+    """Packages that hold both words, by the better of their static scores times their match, with their rank."""
+    rows = static(spark, sf_dir).join(v.docs(spark, sf_dir).select("package", "description"), "package")
+    cut = lambda c: tokens.raw_tokens(F.lower(c))
+    path = scores.match_path(F.col("package"))
+    rows = snapshots.keep(rows.withColumns({"__name": cut(F.col("name")), "__path": cut(path), "__text": cut(F.concat_ws(" ", "name", "package")), "__synopsis": cut(F.col("description"))}), "find")
+    has = lambda c, t: F.count_if(F.array_contains(c, t))
+    # one row of counts
+    n = rows.agg(F.count("*").alias("n"), *[has("__text", t).alias(f"t_{t}") for t in FIND], *[has("__name", t).alias(f"n_{t}") for t in FIND])
+    n = n.select(*[scores.idf(F.col(f"{k}_{t}"), F.col("n").cast("double")).alias(f"{k}_{t}") for t in FIND for k in "tn"]).first()
+    said = F.concat(F.lit("the "), F.lower("name"), F.lit(" thing"))
+    fields = {"synopsis": (F.lower("description"), F.col("__synopsis")), "sentences": (said, cut(said)), "name": (F.lower("name"), F.col("__name")), "path": (path, F.col("__path"))}
+    match = scores.match_score([(t, n[f"t_{t}"], n[f"n_{t}"]) for t in FIND], fields)
+    hit = rows.filter(F.forall(F.array(*[F.lit(t) for t in FIND]), lambda t: F.array_contains("__text", t)))
+    hit = hit.withColumn("score", F.round(F.greatest("static_score", "test_static_score") * match, 6)).select("package", "score", "star_count")
+    return graph.placed(hit, search.hit_order()).select("package", "score", (F.col("place") + 1).cast("long").alias("rank"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT package, name, star_count, last_updated FROM docs WHERE package = (SELECT min(package) FROM docs)")
 def package_lookup(spark, sf_dir):
     docs = v.docs(spark, sf_dir)
-    return docs.filter(F.col("package") == docs.agg(F.min("package")).first()[0]).select("package", "name", "star_count", "last_updated")
+    least = docs.agg(F.min("package").alias("package"))
+    return docs.join(F.broadcast(least), "package").select("package", "name", "star_count", "last_updated")
 
 
 @query(f"WITH {KINDS_SQL} SELECT importer AS package, count(*) FILTER (NOT test) AS imports, count(*) FILTER (test) AS test_imports, string_agg(imported, ',' ORDER BY imported) AS names FROM kinds GROUP BY importer")
@@ -578,8 +645,7 @@ def queued(spark, sf_dir):
 
 @query(f"WITH {QUEUE_SQL} SELECT id, host, in_docs, row_number() OVER (PARTITION BY host ORDER BY in_docs, schedule_time, id) AS place FROM q")
 def crawl_queue(spark, sf_dir):
-    order = Window.partitionBy("host").orderBy("in_docs", "schedule_time", "id")
-    return queued(spark, sf_dir).select("id", "host", "in_docs", F.row_number().over(order).cast("long").alias("place"))
+    return schedule.ordered(queued(spark, sf_dir)).select("id", "host", "in_docs", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {QUEUE_SQL}, a AS (SELECT *, date_diff('second', schedule_time, {NOW_SQL}) / 3600.0 AS age FROM q) SELECT host, round(max(age), 6) AS max_age, min_by(id, (-age, id)) AS max_id, round(avg(age), 6) AS mean_age, count(*) AS n, count(*) FILTER (NOT in_docs) AS n_new FROM a GROUP BY host")
@@ -650,7 +716,7 @@ def repo_unchanged(spark, sf_dir):
     return out.select(F.col("packages").alias("k"), "signature", "crawl_time")
 
 
-FOLDERS = [(f,) for f in ("go", "v8", "v-8", "js", "1234", "1234-5678", "1234_5678", "Vendor", "my.pkg", "_x", "mynodejs", "src", "net")]
+FOLDERS = [(f,) for f in ("core", "x9", "x-9", "css", "77", "77-88", "7_8", "Vendor", "my.pkg", "_x", "mynodejs", "src", "net")]
 
 
 @query(rf"SELECT folder, NOT lower(folder) IN ({', '.join(repr(x) for x in repos.NOT_SOURCE)}) AND NOT regexp_full_match(lower(folder), '[0-9_-]+') AND NOT contains(folder, '.') AND regexp_matches(lower(folder), '^[a-z]') AND NOT contains(lower(folder), 'nodejs') AS source FROM {sql_values(FOLDERS, 'folder')}")
@@ -666,13 +732,20 @@ def readme_file(spark, sf_dir):
     return values(spark, READMES, "f string").select("f", repos.is_readme(F.col("f")).alias("readme"))
 
 
-BROKEN = [(p, p) for p in ("github.com/u/r/go", "github.com/u/r/js", "github.com/u/r/a/b/a", "github.com/u/r/a/b/c", "github.com/u/r", "github.com/u/r/a/c/a/d", "github.com/u/r/a/b/x/a/y", "github.com/u/r/a/b/c/a/b")]
+BROKEN_SQL = f"""(SELECT p_partkey AS k, 'github.com/u/r/' || a || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/js' WHEN 2 THEN '/' || b || '/' || a WHEN 3 THEN '/' || b || '/' || p_partkey ELSE '/' || b || '/x/' || a || '/' || b END AS id
+  FROM (SELECT p_partkey, lower(p_type) AS a, split_part(p_name, ' ', 2) AS b FROM part))"""
+NOT_SOURCE_SQL = ", ".join(repr(x) for x in repos.NOT_SOURCE)
 
 
-@query()
+@query(rf"""SELECT id FROM (SELECT id, k, string_split(id, '/') AS s FROM {BROKEN_SQL}) WHERE k % 7 <> 0 AND (lower(s[-1]) IN ({NOT_SOURCE_SQL}) OR regexp_full_match(lower(s[-1]), '[0-9_-]+') OR contains(s[-1], '.') OR NOT regexp_matches(lower(s[-1]), '^[a-z]') OR contains(lower(s[-1]), 'nodejs')
+  OR (len(s) = 6 AND s[4] = s[6]) OR (len(s) = 8 AND s[4:5] = s[7:8]))""")
 def broken_path(spark, sf_dir):
-    rows = values(spark, BROKEN, "id string, x string").select("id")
-    return schedule.broken(rows, values(spark, [("none",)], "package string"), repos.like_source_folder)
+    k, a, b = F.col("p_partkey"), F.lower("p_type"), F.get(F.split("p_name", " "), F.lit(1))
+    tail = F.when(k % 5 == 0, "").when(k % 5 == 1, "/js").when(k % 5 == 2, F.concat(F.lit("/"), b, F.lit("/"), a)).when(k % 5 == 3, F.concat(F.lit("/"), b, F.lit("/"), k)).otherwise(F.concat(F.lit("/"), b, F.lit("/x/"), a, F.lit("/"), b))
+    rows = table(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.lit("github.com/u/r/"), a, tail).alias("id"))
+    docs = rows.filter("k % 7 = 0").select(F.concat(F.col("id"), F.lit("#"), F.col("k")).alias("package"))
+    rows = rows.select(F.when(F.col("k") % 7 == 0, F.concat(F.col("id"), F.lit("#"), F.col("k"))).otherwise(F.col("id")).alias("id"))
+    return schedule.broken(rows, docs, repos.like_source_folder)
 
 
 TAGS = [("linux,go1.2",), ("!windows",), ("ignore",), ("darwin",), ("cgo,!386",)]
@@ -697,16 +770,42 @@ def clamp_len(spark, sf_dir):
     return values(spark, LENGTHS, "n string").select("n", scores.list_length(F.col("n")).alias("length"))
 
 
-@query(f"WITH {CRAWL_SQL} SELECT n_path AS package, way AS found_way FROM (SELECT DISTINCT 'imp/' || CAST(k AS VARCHAR) AS n_path, 'imported:' || id AS way FROM crawl UNION SELECT DISTINCT 'test/' || CAST(k AS VARCHAR), 'testimported:' || id FROM crawl)")
+LEADING_SQL = "(SELECT * FROM crawl WHERE starts_with(id, 'github.com/') OR starts_with(id, 'bitbucket.org/'))"
+
+
+def crawled(spark, sf_dir):
+    k = F.col("k")
+    return v.crawl_entries(spark, sf_dir).select(F.col("id").alias("package"), F.concat(F.lit("u"), k % 50).alias("author"), F.array(F.concat(F.lit("imp/"), k)).alias("imports"), F.array(F.concat(F.lit("test/"), k)).alias("test_imports"), F.when(k % 3 == 0, F.array(F.concat(F.lit("ref/"), k % 10))).otherwise(F.array().cast("array<string>")).alias("references"))
+
+
+@query(f"WITH {CRAWL_SQL} SELECT DISTINCT n_path AS package, way AS found_way FROM (SELECT 'imp/' || k AS n_path, 'impoted:' || id AS way FROM {LEADING_SQL} UNION ALL SELECT 'test/' || k, 'testimported:' || id FROM {LEADING_SQL} UNION ALL SELECT 'ref/' || k % 10, 'reference:' || id FROM {LEADING_SQL} WHERE k % 3 = 0)")
 def related_packages(spark, sf_dir):
-    rows = v.crawl_entries(spark, sf_dir).select(F.col("id").alias("package"), F.array(F.concat(F.lit("imp/"), F.col("k"))).alias("imports"), F.array(F.concat(F.lit("test/"), F.col("k"))).alias("test_imports"), F.array().cast("array<string>").alias("references"))
-    return history.related(rows)
+    return history.related(crawled(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {CRAWL_SQL} SELECT DISTINCT host || ':u' || k % 50 AS id, host AS site, 'u' || k % 50 AS name FROM {LEADING_SQL}")
+def related_persons(spark, sf_dir):
+    return history.related_persons(crawled(spark, sf_dir))
+
+
+TREE_SQL = """(SELECT CASE WHEN l_suppkey % 10 = 0 THEN '' ELSE '/f' || l_suppkey END AS folder, 'x' || l_orderkey || '_' || l_linenumber || '.go' AS file, CASE WHEN l_linenumber = 7 AND l_orderkey % 97 = 0 THEN 'ParseFailed' WHEN l_linenumber = 6 THEN 'ShouldIgnore' ELSE 'ParseSuccess' END AS status,
+  CASE WHEN l_suppkey % 3 = 0 THEN 'p' || l_orderkey % 2 WHEN l_suppkey % 7 = 1 THEN '' ELSE 'p' END AS name, CASE WHEN l_orderkey % 50 = 1 THEN 'doc ' || l_partkey ELSE '' END AS description, 'm.org/' || l_partkey % 30 AS import, l_linestatus = 'F' AS is_test FROM lineitem)"""
+
+
+@query(f"""SELECT folder, CASE WHEN len(names) = 1 THEN names[1] END AS name, coalesce(description, '') AS description, array_to_string(list_sort(coalesce(i, [])), ',') AS imports, array_to_string(list_sort(coalesce(t, [])), ',') AS test_imports,
+  CASE WHEN failed THEN 'parse failed' WHEN len(names) = 0 THEN 'no name' WHEN len(names) > 1 THEN 'conflicting names' END AS error
+  FROM (SELECT folder, coalesce(list(DISTINCT name) FILTER (NOT is_test AND name <> ''), []) AS names, string_agg(description, chr(10) ORDER BY file, description) FILTER (description <> '') AS description, list(DISTINCT import) FILTER (NOT is_test) AS i, list(DISTINCT import) FILTER (is_test) AS t, bool_or(status = 'ParseFailed') AS failed
+  FROM {TREE_SQL} WHERE status <> 'ShouldIgnore' GROUP BY folder)""")
 def tree_folders(spark, sf_dir):
-    rows = [("a.go", "ParseSuccess", "x", "doc", ["m.org/n"], False), ("a_test.go", "ParseSuccess", "x", "", ["t.org/t"], True), ("sub/a.go", "ParseSuccess", "y", "", ["m.org/n"], False), ("bad/a.go", "ParseFailed", "", "", [], False), ("two/a.go", "ParseSuccess", "p", "", [], False), ("two/b.go", "ParseSuccess", "q", "", [], False)]
-    return repos.folders(values(spark, rows, "path string, status string, name string, description string, imports array<string>, is_test boolean"))
+    li, n = table(spark, sf_dir, "lineitem"), lambda c: F.col(f"l_{c}")
+    folder = F.when(n("suppkey") % 10 == 0, "").otherwise(F.concat(F.lit("f"), n("suppkey"), F.lit("/")))
+    rows = li.select(
+        F.concat(folder, F.lit("x"), n("orderkey"), F.lit("_"), n("linenumber"), F.lit(".go")).alias("path"),
+        F.when((n("linenumber") == 7) & (n("orderkey") % 97 == 0), "ParseFailed").when(n("linenumber") == 6, "ShouldIgnore").otherwise("ParseSuccess").alias("status"),
+        F.when(n("suppkey") % 3 == 0, F.concat(F.lit("p"), n("orderkey") % 2)).when(n("suppkey") % 7 == 1, "").otherwise("p").alias("name"),
+        F.when(n("orderkey") % 50 == 1, F.concat(F.lit("doc "), n("partkey"))).otherwise("").alias("description"), F.array(F.concat(F.lit("m.org/"), n("partkey") % 30)).alias("imports"), (n("linestatus") == "F").alias("is_test"),
+    )
+    return repos.folders(rows).withColumns({c: F.array_join(c, ",") for c in ("imports", "test_imports")})
 
 
 # --- sources and metrics --------------------------------------------------------------------------------------------
@@ -723,12 +822,10 @@ def latency_buckets(spark, sf_dir):
     return tops.latency(table(spark, sf_dir, "events"), "value")
 
 
-LINKS = [('["a.org/b", "c.org/d"]',), ("[]",), ('["e.org"]',)]
-
-
-@query("SELECT unnest(['a.org/b', 'c.org/d', 'e.org']) AS package")
+@query("""SELECT unnest(json_extract_string(js, '$[*]')) AS package FROM (SELECT CASE WHEN p_partkey % 4 = 0 THEN '[]' ELSE '["a.org/' || p_partkey || '", "b.org/' || p_size || '"]' END AS js FROM part)""")
 def json_links(spark, sf_dir):
-    return snapshots.links(values(spark, LINKS, "js string"), "js")
+    js = F.when(F.col("p_partkey") % 4 == 0, "[]").otherwise(F.concat(F.lit('["a.org/'), "p_partkey", F.lit('", "b.org/'), "p_size", F.lit('"]')))
+    return snapshots.links(table(spark, sf_dir, "part").select(js.alias("js")), "js")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -736,24 +833,104 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-SEGMENTS = [(n,) for n in ("0", "10", "9", "abc", "x2")]
+@query("SELECT CAST(max(o_orderkey) FILTER (o_orderkey % 3 <> 0) AS VARCHAR) AS name FROM orders")
+def segment_max(spark, sf_dir):
+    names = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string"))
+    return snapshots.newest(table(spark, sf_dir, "orders").select(names.alias("name")))
 
 
-@query("SELECT '10' AS name")
-def segment_max(spark, sf_dir):
-    return snapshots.newest(values(spark, SEGMENTS, "name string"))
+# --- the store ------------------------------------------------------------------------------------------------------
+
+STORE_SQL = "store AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'github.com' WHEN 'O' THEN 'bitbucket.org' ELSE 'example.org' END AS site, 'u' || o_custkey AS usr, 'r' || o_orderkey AS name, o_orderkey AS k, o_custkey AS stars FROM orders)"
+
+
+def stored(spark, sf_dir):
+    return v.crawl_entries(spark, sf_dir).select(F.col("host").alias("site"), "k").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("stars")), "k").select("site", F.concat(F.lit("u"), "stars").alias("user"), F.concat(F.lit("r"), "k").alias("name"), F.concat_ws("/", F.concat(F.lit("u"), "stars"), F.concat(F.lit("r"), "k")).alias("path"), "k", "stars")
 
 
-@query("SELECT o_orderpriority AS site, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
+@query(f"WITH {STORE_SQL} SELECT site, row_number() OVER (ORDER BY site) AS place FROM (SELECT DISTINCT site FROM store)")
 def store_sites(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("site")).agg(F.count("*").alias("n"))
+    """Sites in order, with their place (there are few)."""
+    return store.sites(stored(spark, sf_dir)).withColumn("place", F.row_number().over(Window.orderBy("site")).cast("long"))
+
+
+@query(f"WITH {STORE_SQL} SELECT usr || '/' || name AS path, stars, row_number() OVER (ORDER BY usr || '/' || name) - 1 AS place FROM store WHERE site = 'example.org'")
+def store_packages_of_site(spark, sf_dir):
+    rows = store.packages_of(stored(spark, sf_dir), "example.org").select("path", "stars")
+    return graph.placed(rows, [F.asc("path")]).select("path", "stars", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {STORE_SQL} SELECT usr AS owner, name, k, row_number() OVER (ORDER BY usr, name) - 1 AS place FROM store WHERE site = 'bitbucket.org'")
+def store_repositories_of_site(spark, sf_dir):
+    rows = store.repositories_of(stored(spark, sf_dir), "bitbucket.org").select(F.col("user").alias("owner"), "name", "k")
+    return graph.placed(rows, [F.asc("owner"), F.asc("name")]).select("owner", "name", "k", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 10 = 0 AS hit FROM lineitem")
+@query(f"WITH {STORE_SQL} SELECT site, usr || '/' || name AS path, CASE WHEN k % 3 = 0 THEN stars + k ELSE stars END AS stars FROM store UNION ALL SELECT 'new.org', 'n' || k, k FROM store WHERE k % 30 = 0")
+def store_update(spark, sf_dir):
+    """Read, modify, write: every third record gets stars, and records that were not there come to be."""
+    rows = stored(spark, sf_dir)
+    more = rows.filter("k % 3 = 0").select("site", "path", F.col("k").alias("add")).unionByName(rows.filter("k % 30 = 0").select(F.lit("new.org").alias("site"), F.concat(F.lit("n"), "k").alias("path"), F.col("k").alias("add")))
+    return store.update(rows.select("site", "path", "stars"), more, ["site", "path"], {"stars": F.coalesce("stars", F.lit(0)) + F.col("new.add")})
+
+
+@query(f"WITH {STORE_SQL} SELECT name, site, stars, CASE WHEN k % 5 = 0 THEN 'delete' ELSE 'update' END AS action FROM (SELECT name, k, CASE WHEN k % 5 = 0 THEN NULL ELSE site END AS site, CASE WHEN k % 5 = 0 THEN NULL ELSE stars END AS stars FROM store)")
+def packed_records(spark, sf_dir):
+    """Records through their packed form and back; those to be deleted carry no value."""
+    rows = stored(spark, sf_dir).select("name", F.when(F.col("k") % 5 == 0, "delete").otherwise("update").alias("action"), "site", "stars")
+    return store.unpacked(store.packed(rows, "name"), "site string, stars long").select("name", "site", "stars", "action")
+
+
+@query(rf"SELECT page_id, name AS package FROM (SELECT page_id, trim(pkg) AS name FROM {WEB_SQL}) WHERE regexp_full_match(name, '[^/\s]*[^/\s.]\.[^/\s.][^/\s]*(/[^/\s]+)*')")
+def submitted_lines(spark, sf_dir):
+    """Lines of the add page: the paths of the pages that are valid packages."""
+    lines = web(spark, sf_dir).select("page_id", F.concat(F.lit(" "), "pkg", F.lit(" ")).alias("line"))
+    return lines.select("page_id", paths.trim_name(F.col("line")).alias("package")).join(store.from_lines(lines).distinct(), "package").select("page_id", "package")
+
+
+@query(f"WITH {HISTORY_SQL} SELECT key, ts, action, rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS rn FROM (SELECT 'pkg/' || key AS key, ts, event_id, action FROM history WHERE key = 7) WHERE action <> 'None') WHERE rn <= 10")
+def crawl_history(spark, sf_dir):
+    """The history page of one package, asked for in capitals."""
+    events = v.history(spark, sf_dir).withColumn("key", F.concat(F.lit("pkg/"), "key"))
+    found = events.select("key").distinct().withColumns({"found_time": F.lit(NOW), "found_way": F.lit("web")})
+    rows = history.lookup(found, events, " PKG/7").select("key", F.posexplode("events").alias("rn", "e"))
+    return rows.select("key", "e.ts", "e.action", (F.col("rn") + 1).cast("long").alias("rn"))
+
+
+RESULTS_SQL = "results AS (SELECT o_custkey % 8 AS part, o_orderkey AS seq, TIMESTAMP '1999-06-17 00:00:00' + to_seconds(o_orderkey // 8) AS due, CASE o_orderpriority[1] WHEN '1' THEN 'ok' WHEN '2' THEN 'invalid' ELSE 'failed' END AS outcome, o_orderkey % 101 = 0 AS forbidden FROM orders)"
+
+
+@query(f"""WITH RECURSIVE {RESULTS_SQL}, live AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) AS i FROM (SELECT *, max(due > TIMESTAMP '1999-06-17 00:02:00') OVER (PARTITION BY part ORDER BY seq) AS late FROM results) WHERE NOT late),
+walk AS (SELECT part, i, seq, outcome, CAST(0 AS BIGINT) + CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END AS fails, outcome = 'failed' AND forbidden AS pauses FROM live WHERE i = 1
+  UNION ALL SELECT l.part, l.i, l.seq, l.outcome, CASE WHEN l.outcome = 'ok' THEN 0 ELSE CASE WHEN w.pauses THEN 0 ELSE w.fails END + CASE WHEN l.outcome = 'failed' THEN 1 ELSE 0 END END,
+    l.outcome = 'failed' AND (l.forbidden OR CASE WHEN w.pauses THEN 0 ELSE w.fails END + 1 >= 10) FROM walk w JOIN live l ON l.part = w.part AND l.i = w.i + 1)
+SELECT seq, CASE outcome WHEN 'ok' THEN 'update' WHEN 'invalid' THEN 'delete' END AS action, CASE outcome WHEN 'ok' THEN 'Success' WHEN 'invalid' THEN 'Invalid' ELSE 'Failed' END AS event, CASE outcome WHEN 'ok' THEN 'age' WHEN 'failed' THEN 'failure' END AS next, pauses FROM walk""")
+def crawl_outcomes(spark, sf_dir):
+    """What follows from the results of a crawl in eight parts, up to its deadline."""
+    k, word = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit(NOW)) + F.floor(k / 8))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("part"), k.alias("seq"), at.alias("at"), F.when(word == "1", "ok").when(word == "2", "invalid").otherwise("failed").alias("outcome"), (k % 101 == 0).alias("forbidden"))
+    return schedule.outcomes(rows, F.lit(NOW) + F.expr("INTERVAL 2 MINUTES")).select("seq", "action", "event", "next", "pauses")
+
+
+@query(f"WITH {CRAWL_SQL} SELECT count(*) FILTER (contains(id, '/vendor/')) AS vendors FROM crawl WHERE version <> 5 OR schedule_time <= {NOW_SQL}")
+def vendor_drops(spark, sf_dir):
+    return schedule.skipped(v.crawl_entries(spark, sf_dir), F.lit(NOW))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 10 = 0 THEN 'kept ' ELSE 'read ' END || l_partkey AS info FROM lineitem")
 def cache_lookup(spark, sf_dir):
-    """Lines whose part is in the cache (every tenth part)."""
-    cache = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("hit"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(cache, "l_partkey", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """Contents of the lines' parts: from the cache for every tenth part, else read anew, each once."""
+    cache = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("sha"), F.concat(F.lit("kept "), "p_partkey").alias("info"))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("sha"))
+    out, _ = snapshots.cached(files, cache, lambda d: d.withColumn("info", F.concat(F.lit("read "), "sha")))
+    return out.select("l_orderkey", "l_linenumber", F.col("sha").alias("l_partkey"), "info")
+
+
+@query("SELECT count(*) FILTER (l_partkey % 10 = 0) AS hit, count(*) FILTER (l_partkey % 10 <> 0) AS missed, count(DISTINCT l_partkey) FILTER (l_partkey % 10 <> 0) AS sign_saved FROM lineitem")
+def cache_counts(spark, sf_dir):
+    cache = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("sha"), F.lit("").alias("info"))
+    return snapshots.cache_counts(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sha")), cache)
 
 
 @query("SELECT count(*) AS n FROM lineitem")

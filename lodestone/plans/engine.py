@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, sentences, tokens
+from ..functions.words import tokens_of
 from ..operators import graph, index, packages, search, tops
 from ..sources.snapshots import Segments
 
@@ -58,7 +60,7 @@ class Engine:
         """All hits with ``match_score``, ``score`` and ``rank`` (from 1), best first."""
         if self.segment is None:
             return self.spark.createDataFrame([], "package string, score double, rank long")
-        query = sorted(tokens.tokens_of(q))
+        query = sorted(tokens_of(q))
         words = lambda c: F.filter(F.flatten(F.transform(tokens.blocks(c), lambda b: tokens.raw_tokens(F.lower(b)))), lambda t: t != "")
         low = lambda c: F.lower(tokens.strip_links(c))
         said = F.array_join(F.transform("important_sentences", lambda s: F.lower(s)), " ")
@@ -73,7 +75,7 @@ class Engine:
 
     def results(self, q: str, number: int = 1) -> dict:
         """One page of folded, marked-up results with totals and page links."""
-        query = tokens.tokens_of(q)
+        query = tokens_of(q)
         rows = search.folded(self.search(q).select("package", "name", "synopsis", "score", "rank")).cache()
         try:
             total, shown = rows.count(), rows.filter("parent IS NULL")
@@ -93,7 +95,7 @@ class Engine:
     def package(self, name: str) -> DataFrame:
         """The API row of a package; its rank counts from one."""
         return self.hits_full.filter(F.col("package") == name).select(
-            "package", "name", F.greatest("star_count", F.lit(0)).alias("stars"), "synopsis", "description", "imported", "test_imported", "project_url", (F.col("static_rank") + 1).alias("static_rank"), "readme_fn", "readme_data"
+            "package", "name", F.greatest("star_count", F.lit(0)).alias("stars"), "synopsis", "description", "imports", "test_imports", "imported", "test_imported", "project_url", (F.col("static_rank") + 1).alias("static_rank"), "readme_fn", "readme_data"
         )
 
     def view(self, name: str) -> DataFrame:
@@ -108,8 +110,8 @@ class Engine:
         return self.hits_full.filter(F.col("package") == name).select("package", "name", "imports", "test_imports", "imported", "test_imported")
 
     def tops(self, n: int = 20) -> DataFrame:
-        rows = self.hits.select("package", "name", "static_score", "test_static_score")
-        return tops.report(rows, self.hits.select("package", "imported_len", "test_imported_len"), min(max(n, 20), 100))
+        rows = self.hits.select("package", "name", "static_score", "test_static_score", "imported_len", "test_imported_len", "star_count", "project_url")
+        return tops.report(rows, min(max(n, 20), 100), F.col("project_url"))
 
     def totals(self) -> DataFrame:
         return self.hits.agg(F.count("*").alias("packages"), F.countDistinct("project_url").alias("projects"))
@@ -117,26 +119,45 @@ class Engine:
     def badge(self, name: str) -> DataFrame:
         return self.hits.filter(F.col("package") == name).select(F.format_string("<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"100\" height=\"20\"><text x=\"4\" y=\"14\">rank %d</text></svg>", F.col("static_rank") + 1).alias("svg"))
 
+    def found(self, q: str) -> DataFrame:
+        """The first hits of a query as the interface returns them, best first."""
+        top = self.search(q).orderBy("rank").limit(API_HITS).select("rank", "name", "package", "author", "synopsis", "project_url")
+        return top.join(self.hits_full.select("package", "description"), "package").orderBy("rank")
+
+    def all_depends(self) -> DataFrame:
+        return self.hits_full.select("package", "name", "imports", "test_imports", "imported", "test_imported", "doc_id").orderBy("doc_id").drop("doc_id")
+
     def api(self, action: str, callback: str = "", **params) -> tuple[int, str]:
         """(status, JSON or JSONP body) of an action: package, packages, package_depends, tops, search."""
+        action = action.lower()
         if action == "package":
-            rows = self.package(params.get("id", ""))
-        elif action == "packages":
-            rows = self.packages()
+            name = params.get("id", "")
+            keys = {"package": "Package", "name": "Name", "stars": "StarCount", "synopsis": "Synopsis", "description": "Description", "imported": "Imported", "test_imported": "TestImported", "imports": "Imports", "test_imports": "TestImports", "project_url": "ProjectURL", "static_rank": "StaticRank"}
+            bodies = self._json(self.package(name), keys)
+            return self._say(200, bodies[0], callback) if bodies else self._say(404, json.dumps(f"Package {name} not found!"), callback)
+        if action == "packages":
+            bodies = [json.dumps(r["package"], ensure_ascii=False) for r in self.packages().toLocalIterator()]
         elif action == "package_depends":
-            rows = self.depends(params.get("id", ""))
+            bodies = self._json(self.all_depends(), {"name": "Name", "package": "Package", "imports": "Imports", "test_imports": "TestImports", "imported": "Imported", "test_imported": "TestImported"})
         elif action == "tops":
             size = str(params.get("len", ""))
-            rows = self.tops(int(size) if size.isdigit() else 0)
+            lists: dict[str, dict] = {}
+            for r in self.tops(int(size) if size.isdigit() else 0).orderBy("place").collect():
+                items = lists.setdefault(r["list"], {"Name": r["list"], "Info": r["about"], "Items": []})["Items"]
+                items.append({"Index": r["place"], "Name": r["name"], "Package": r["package"], "Link": r["link"], "Info": r["info"]})
+            bodies = [json.dumps(lists[k], ensure_ascii=False) for k in ("Hot", "Hot Test", "Most Imported", "Sites") if k in lists]
         elif action == "search":
-            rows = self.search(str(params.get("q", "")).strip()).orderBy("rank").limit(API_HITS).select("name", "package", "author", "synopsis", "project_url")
+            q = str(params.get("q", "")).strip()
+            hits = self._json(self.found(q), {"name": "name", "package": "package", "author": "author", "synopsis": "synopsis", "description": "description", "project_url": "projecturl"})
+            return self._say(200, '{"query":' + json.dumps(q, ensure_ascii=False) + ',"hits":[' + ",".join(hits) + "]}", callback)
         else:
-            return self._say(400, '{"error":"unknown action"}', callback)
-        bodies = [r["j"] for r in rows.select(F.to_json(F.struct("*")).alias("j")).collect()]
-        if action in ("package", "package_depends"):
-            return self._say(200, bodies[0], callback) if bodies else self._say(404, '{"error":"not found"}', callback)
+            return self._say(400, json.dumps(f"Unknown action: {action}"), callback)
         return self._say(200, "[" + ",".join(bodies) + "]", callback)
 
+    def _json(self, rows: DataFrame, keys: dict[str, str]) -> list[str]:
+        """One JSON object for each row, in the order of the rows; ``keys`` renames its columns."""
+        return [r["j"] for r in rows.select(F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items()]), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+
     def _say(self, code: int, body: str, callback: str) -> tuple[int, str]:
         name = "".join(c for c in callback if c.isascii() and (c.isalnum() or c in "_$"))
         return code, f"{name}({code}, {body});" if name else body

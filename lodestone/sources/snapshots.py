@@ -14,10 +14,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _own[0]
@@ -146,6 +148,22 @@ def canned(requests: DataFrame, responses: DataFrame, on: str = "uri") -> DataFr
     return requests.join(responses, on, "left").withColumn("status", F.when(F.col("body").isNull(), 404).otherwise(200))
 
 
+def cache_counts(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files whose contents the cache holds, files it misses, and signatures that are saved for these."""
+    known = files.select("sha").join(cache.select("sha").withColumn("__hit", F.lit(True)), "sha", "left")
+    return known.agg(F.count_if("__hit").alias("hit"), F.count_if(F.col("__hit").isNull()).alias("missed"), F.countDistinct(F.when(F.col("__hit").isNull(), F.col("sha"))).alias("sign_saved"))
+
+
+def count_files(df: DataFrame) -> DataFrame:
+    """Part files that hold rows, and rows."""
+    return df.select(F.input_file_name().alias("f")).agg(F.countDistinct("f").alias("files"), F.count("*").alias("entries"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object for each row; the folder counts once its marker is there."""
+    df.write.mode("overwrite").json(path)
+
+
 def cached(files: DataFrame, cache: DataFrame, parse) -> tuple[DataFrame, DataFrame]:
     """Parsed contents by signature: from the cache where it holds them, else by ``parse``; and what is new to the cache."""
     known = files.join(cache.withColumn("__hit", F.lit(True)), "sha", "left")

@@ -11,13 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, package, name, star_count) from part; the lowest key of each brand and type is the root package."""
+    """(id, package, name, star_count, description) from part; the lowest key of each brand and type is the root package.
+
+    One brand lies on the closed host; descriptions are of five kinds.
+    """
     part = table(spark, sf_dir, "part")
-    base = F.concat(F.lit("github.com/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), F.col("p_type"))
+    kind, name = F.col("p_partkey") % 5, F.col("p_name")
+    description = (
+        F.when(kind == 0, F.concat(F.lit("Package "), name, F.lit(" does more."))).when(kind == 1, F.concat(name, F.lit(" package for all"))).when(kind == 2, F.concat(F.lit("  package "), name))
+        .when(kind == 3, F.concat(name, F.repeat(F.lit(" and so on"), 11))).otherwise(F.lit(" "))
+    )
+    base = F.concat(F.when(F.col("p_brand") == "Brand#7", "code.google.com/").otherwise("github.com/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), F.col("p_type"))
     root = F.min("p_partkey").over(Window.partitionBy("p_brand", "p_type"))
     return part.select(
         F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") == root, base).otherwise(F.concat(base, F.lit("/p"), F.col("p_partkey"))).alias("package"),
-        F.col("p_name").alias("name"), F.col("p_size").alias("star_count"),
+        name.alias("name"), F.col("p_size").alias("star_count"), description.alias("description"),
     )
 
 
@@ -68,8 +76,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PACKAGES_SQL = """packages AS (
-  SELECT p_partkey AS id, 'github.com/' || replace(p_brand, '#', '') || '/' || p_type ||
-    CASE WHEN p_partkey = min(p_partkey) OVER (PARTITION BY p_brand, p_type) THEN '' ELSE '/p' || CAST(p_partkey AS VARCHAR) END AS package, p_name AS name, p_size AS star_count FROM part)"""
+  SELECT p_partkey AS id, CASE WHEN p_brand = 'Brand#7' THEN 'code.google.com/' ELSE 'github.com/' END || replace(p_brand, '#', '') || '/' || p_type ||
+    CASE WHEN p_partkey = min(p_partkey) OVER (PARTITION BY p_brand, p_type) THEN '' ELSE '/p' || CAST(p_partkey AS VARCHAR) END AS package, p_name AS name, p_size AS star_count,
+    CASE p_partkey % 5 WHEN 0 THEN 'Package ' || p_name || ' does more.' WHEN 1 THEN p_name || ' package for all' WHEN 2 THEN '  package ' || p_name WHEN 3 THEN p_name || repeat(' and so on', 11) ELSE ' ' END AS description FROM part)"""
 DOCS_SQL = PACKAGES_SQL + """, docs AS (
   SELECT packages.*, last_updated FROM packages LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_updated FROM lineitem GROUP BY l_partkey) ON id = l_partkey)"""
 EDGES_SQL = DOCS_SQL + """, edges AS (

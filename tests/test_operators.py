@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, history, merge, repos, schedule, search
+from lodestone.operators import graph, history, merge, repos, schedule, search, store, tops
 from lodestone.operators.index import DOC
 from lodestone.plans.engine import Engine
+from lodestone.sources import snapshots
 from lodestone.sources.snapshots import Segments, cached, canned, load, newest, save
 from lodestone.streaming import jobs
 
@@ -85,16 +86,18 @@ def test_history(spark):
 
 
 def test_repositories(spark):
-    rows = [("u", "never", None), ("u", "ten", T0 - 10 * DAY), ("u", "fifteen", T0 - 15 * DAY)]
+    rows = [("a", "x", T0 - 3 * DAY), ("b", "y", None), ("c", "z", T0 - 40 * DAY), ("d", "w", T0 - 4 * DAY)]
     got = repos.most_overdue(spark.createDataFrame(rows, "user string, name string, crawl_time timestamp"), 2).collect()
-    assert [r["name"] for r in got] == ["never", "fifteen"]
-    cases = [(None, T0, T0, "OutOfDate"), (T0 - 5 * DAY, T0, T0 - 4 * DAY, "OutOfDate"), (T0 - 5 * DAY, T0, T0 - 6 * DAY, "UpToDate")]
-    for crawl, info, updated, want in cases:
-        df = spark.createDataFrame([(crawl, info, updated)], "c timestamp, i timestamp, u timestamp")
-        assert df.select(repos.status(F.col("c"), F.col("i"), F.col("u"), F.lit(T0))).first()[0] == want
-    files = [("a.go", "ParseSuccess", "p", "", ["x.org/y"], False), ("sub/a.go", "ParseSuccess", "q", "", ["x.org/y"], False), ("sub/i.go", "ShouldIgnore", "", "", [], False)]
-    found = {r["folder"]: (r["name"], r["imports"], r["error"]) for r in repos.folders(spark.createDataFrame(files, "path string, status string, name string, description string, imports array<string>, is_test boolean")).collect()}
-    assert found == {"": ("p", ["x.org/y"], None), "/sub": ("q", ["x.org/y"], None)}
+    assert [r["name"] for r in got] == ["y", "z"]
+    cases = [
+        (None, T0, T0, "OutOfDate"), (T0 - 6 * DAY, T0 - DAY, T0 - 3 * DAY, "OutOfDate"), (T0 - 6 * DAY, T0 - DAY, T0 - 8 * DAY, "UpToDate"),
+        (T0 - 3 * DAY, T0 - 20 * DAY, T0, "UpToDate"), (T0 - 8 * DAY, T0 - 20 * DAY, T0 - 30 * DAY, "OutOfDate"),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "k int, c timestamp, i timestamp, u timestamp")
+    assert [r["s"] for r in df.select("k", repos.status(F.col("c"), F.col("i"), F.col("u"), F.lit(T0)).alias("s")).orderBy("k").collect()] == [c[3] for c in cases]
+    files = [("m.go", "ParseSuccess", "p", "top", ["x.org/y", "a.org/b"], False), ("m_test.go", "ParseSuccess", "p", "", ["t.org/t"], True), ("low/n.go", "ParseSuccess", "q", "", [], False), ("low/i.go", "ShouldIgnore", "z", "", ["no.org"], False), ("two/a.go", "ParseSuccess", "r", "", [], False), ("two/b.go", "ParseSuccess", "s", "", [], False)]
+    found = {r["folder"]: (r["name"], r["imports"], r["test_imports"], r["error"]) for r in repos.folders(spark.createDataFrame(files, "path string, status string, name string, description string, imports array<string>, is_test boolean")).collect()}
+    assert found == {"": ("p", ["a.org/b", "x.org/y"], ["t.org/t"], None), "/low": ("q", [], [], None), "/two": (None, [], [], "conflicting names")}
 
 
 def test_segments(spark, tmp_path):
@@ -130,40 +133,128 @@ def test_canned_and_cache(spark):
     assert {r["path"]: r["info"] for r in out.collect()} == {"f": "known", "g": "new s2", "h": "new s2"} and fresh.count() == 1
 
 
+POND, REEDS, LILY, FROG = "github.com/mo/pond", "github.com/mo/pond/reeds", "github.com/mo/lily", "github.com/kim/frog"
+
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
-    g, i, v = "github.com/ann/eng", "github.com/ann/eng/indexer", "github.com/ann/lib"
-    doc = lambda name, pkg, imports, tests, text: (name, pkg, None, T0, 0, text, text, "https://" + pkg, "README.md", "# About\n\nReads needles.", imports, tests, None)
-    docs = spark.createDataFrame([doc("eng", g, [], [v, g], ""), doc("main", i, [g, v, i], [], ""), doc("lib", v, None, None, "")], DOC)
+    doc = lambda name, pkg, imports, tests, text="": (name, pkg, None, T0, 0, "", text, "https://" + pkg, "README.md", "# About\n\nReads needles.", imports, tests, None)
+    docs = [doc("pond", POND, [LILY, POND], None), doc("main", REEDS, [POND, LILY], [LILY]), doc("lily", LILY, None, []), doc("frog", FROG, [LILY], [POND, FROG], " ")]
     e = Engine(spark, f"file://{tmp_path_factory.mktemp('idx')}/index")
     assert e.search("x").count() == 0 and e.total() == 0
-    e.index(docs, F.lit(T0))
+    e.index(spark.createDataFrame(docs, DOC), F.lit(T0))
     return e
 
 
 def test_index(engine):
-    rows = {r["package"].removeprefix("github.com/ann/"): r for r in engine.hits_full.collect()}
-    assert [r["package"].removeprefix("github.com/ann/") for r in engine.packages().collect()] == ["eng", "lib", "eng/indexer"]
-    assert rows["eng"]["imported_len"] == 1 and rows["eng"]["test_imports"] == ["github.com/ann/lib"] and rows["lib"]["test_imported_len"] == 1
-    assert {k: (round(r["static_score"], 6), r["static_rank"]) for k, r in rows.items()} == {"eng": (1.6, 0), "lib": (1.6, 0), "eng/indexer": (1.0, 2)}
+    rows = {r["package"]: r for r in engine.hits_full.collect()}
+    assert [r["package"] for r in engine.packages().collect()] == [LILY, POND, FROG, REEDS]
+    assert {k: (r["imported_len"], r["test_imported_len"]) for k, r in rows.items()} == {LILY: (3, 0), POND: (1, 1), FROG: (0, 0), REEDS: (0, 0)}
+    assert rows[POND]["imports"] == [LILY] and rows[REEDS]["test_imports"] == [] and rows[FROG]["test_imports"] == [POND]
+    # lily: 1 for frog's owner, half for its own, who also wrote pond; pond: half for its own program
+    assert {k: (round(r["static_score"], 6), r["static_rank"]) for k, r in rows.items()} == {LILY: (2.6, 0), POND: (1.6, 1), FROG: (1.1, 2), REEDS: (1.0, 3)}
     assert "imported" not in engine.hits.columns
 
 
 def test_search_and_api(engine):
-    assert {r["package"] for r in engine.search("needles eng").collect()} == {"github.com/ann/eng", "github.com/ann/eng/indexer"}
-    assert engine.search("").count() == 3
+    assert {r["package"] for r in engine.search("needles pond").collect()} == {POND, REEDS}
+    assert engine.search("").count() == 4
     page = engine.results("needles")
-    assert page["total"] == 3 and page["folded"] == 1 and page["docs"][0]["subs"] in (["github.com/ann/eng/indexer"], [])
-    code, body = engine.api("package", id="github.com/ann/eng")
-    assert code == 200 and json.loads(body)["static_rank"] == 1
-    assert engine.api("package", id="none")[0] == 404 and engine.api("what")[0] == 400
-    assert engine.api("packages", callback="c-b")[1].startswith("cb(200, [")
-    assert len(json.loads(engine.api("search", q="needles")[1])) == 3
-    assert engine.tops().filter("list = 'Sites'").first()["info"] == 3.0
-    assert engine.view("github.com/ann/eng").first()["show_readme"] is True
-    assert "rank 1" in engine.badge("github.com/ann/eng").first()["svg"]
-    assert engine.depends("github.com/ann/lib").first()["imported"] == ["github.com/ann/eng/indexer"]
-    assert engine.totals().first()["packages"] == 3
+    assert page["total"] == 4 and page["folded"] == 1 and {d["package"]: d["subs"] for d in page["docs"]} == {LILY: [], POND: [REEDS], FROG: []}
+    code, body = engine.api("package", id=POND)
+    got = json.loads(body)
+    assert code == 200 and got["StaticRank"] == 2 and got["Imports"] == [LILY] and got["Imported"] == [REEDS] and got["TestImported"] == [FROG]
+    assert engine.api("package", id="none") == (404, '"Package none not found!"') and engine.api("what")[0] == 400
+    assert engine.api("packages", callback="c-b")[1] == 'cb(200, ["' + '","'.join([LILY, POND, FROG, REEDS]) + '"]);'
+    found = json.loads(engine.api("search", q=" needles ")[1])
+    assert found["query"] == "needles" and [h["package"] for h in found["hits"]] == [LILY, POND, FROG, REEDS]
+    assert list(found["hits"][0]) == ["name", "package", "author", "synopsis", "description", "projecturl"]
+    lists = {x["Name"]: x for x in json.loads(engine.api("tops")[1])}
+    assert [i["Package"] for i in lists["Hot"]["Items"]] == [LILY, POND] and lists["Hot"]["Items"][0]["Info"] == "3 0"
+    assert lists["Sites"]["Items"] == [{"Index": 1, "Name": "github.com", "Package": "", "Link": "http://github.com", "Info": "4"}]
+    assert [d["Package"] for d in json.loads(engine.api("package_depends")[1])] == [LILY, POND, FROG, REEDS]
+    assert engine.view(POND).first()["show_readme"] is True
+    assert "rank 2" in engine.badge(POND).first()["svg"]
+    assert engine.depends(LILY).first()["imported"] == [FROG, POND, REEDS]
+    assert engine.totals().first()["packages"] == 4
+
+
+def test_hot_list_against_the_walk(spark):
+    random.seed(8)
+    for _ in range(3):
+        names = list({"h/" + "/".join(random.choice("abc") for _ in range(random.randint(1, 4))) for _ in range(30)})
+        rows = [(n, "x", float(random.randint(1, 5)), random.randint(0, 3)) for n in names]
+        got = [r["package"] for r in tops.hot(spark.createDataFrame(rows, "package string, name string, s double, i int"), "s", 12, "i", F.col("package")).collect()]
+        taken: list = []
+        for n, _, _, i in sorted(rows, key=lambda r: (-r[2], r[0])):
+            if i and len(taken) < 12 and not any(n == t or n.startswith(t + "/") for t in taken):
+                taken.append(n)
+        assert got == taken
+
+
+def test_ranks_of_equal_scores_across_ranges(spark):
+    random.seed(9)
+    rows = [(f"p{i:04d}", float(random.choice([1, 1, 1, 1, 2, 3]))) for i in range(500)]
+    got = {r["package"]: (r["doc_id"], r["static_rank"]) for r in graph.ranked(spark.createDataFrame(rows, "package string, static_score double")).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    first: dict = {}
+    for i, (p, s) in enumerate(order):
+        first.setdefault(s, i)
+        assert got[p] == (i, first[s])
+
+
+def test_store_tables(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    schema = "id string, schedule_time timestamp, version int, etag string"
+    from pyspark.sql.types import StructType
+
+    tables = store.CrawlTables(spark, f"{root}/db", StructType.fromDDL(schema))
+    assert tables.sync() == []
+    tables.put("package", spark.createDataFrame([("a.org/x", T0, 5, "e")], schema))
+    assert tables.sync() == ["package"] and tables.sync() == []
+    again = store.CrawlTables(spark, f"{root}/db", StructType.fromDDL(schema))
+    assert again.tables["package"].count() == 1 and again.tables["person"].count() == 0
+    store.snapshot(again.tables, f"{root}/snap")
+    assert store.restore(spark, f"{root}/snap", {"package": StructType.fromDDL(schema)})["package"].first()["etag"] == "e"
+    with pytest.raises(FileNotFoundError):
+        store.restore(spark, f"{root}/none", {})
+
+
+def test_submitted_packages_become_entries(spark, tmp_path):
+    root = f"file://{tmp_path}/import"
+    assert store.submit(spark, root, "no path\nfmt") == (0, "no path\nfmt")
+    assert store.submit(spark, root, " a.org/new \nfmt\nb.org/old") == (2, "")
+    entries = spark.createDataFrame([("b.org/old", T0 - DAY)], "id string, schedule_time timestamp")
+    got: list = []
+    n = store.drain(spark, root, entries, spark.createDataFrame([], "package string"), F.lit(T0), lambda df: got.extend(df.collect()))
+    assert n == 1 and [(r["id"], r["found_way"]) for r in got] == [("a.org/new", "web")] and Segments(spark, root).all() == []
+
+
+def test_outcomes_against_the_walk(spark):
+    random.seed(4)
+    rows = [(random.randint(0, 2), i, T0 + i * dt.timedelta(seconds=1), f"p{i}", random.choice(["failed"] * 8 + ["ok", "same", "invalid"]), random.random() < 0.03) for i in range(400)]
+    stop = T0 + dt.timedelta(seconds=350)
+    got = {r["seq"]: r["pauses"] for r in schedule.outcomes(spark.createDataFrame(rows, "part int, seq int, at timestamp, package string, outcome string, forbidden boolean"), F.lit(stop)).collect()}
+    want, fails = {}, {}
+    for part, seq, at, _, outcome, forbidden in rows:
+        if at > stop:
+            continue
+        n = fails.get(part, 0) + (outcome == "failed")
+        want[seq] = outcome == "failed" and (forbidden or n >= 10)
+        fails[part] = 0 if outcome in ("ok", "same") or want[seq] else n
+    assert got == want and sum(want.values()) > 3
+
+
+def test_shared_folder_is_not_local_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        snapshots.shared_dir(Session)
 
 
 def test_streams(spark, tmp_path):

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import tokens
 from lodestone.functions.register import register
 from lodestone.operators import history, packages, repos, schedule
 
@@ -35,6 +36,8 @@ def test_touch_and_persons(spark):
 
 def test_actions_and_folders(spark):
     rows = spark.createDataFrame([("a.org/x", "ok"), ("a.org/vendor/x", "ok"), ("b.org", "invalid"), ("c.org", "failed")], "package string, outcome string")
+    dead = spark.createDataFrame([("thezombie.net/x", "ok"), ("launchpad.net/x", "ok")], "package string, outcome string")
+    assert {r["package"]: r["action"] for r in packages.actions(dead, F.lit(T0)).collect()} == {"thezombie.net/x": "delete", "launchpad.net/x": "update"}
     assert {r["package"]: r["action"] for r in packages.actions(rows, F.lit(T0)).collect()} == {"a.org/x": "update", "a.org/vendor/x": "delete", "b.org": "delete"}
     subs = spark.createDataFrame([("a.org/x", ["go", "js", "net"])], "package string, folders array<string>")
     got = history.from_folders(subs, spark.createDataFrame([("a.org/x/net",)], "key string"), repos.like_source_folder).collect()
@@ -51,6 +54,15 @@ def test_schedule_times(spark):
 def test_token_index_and_sql(spark):
     by_id, by_token = packages.token_index(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (1, "a")], "id int, t string"), "id", "t")
     assert {r["id"]: r["tokens"] for r in by_id.collect()} == {1: ["a", "b"], 2: ["a"]} and {r["t"]: r["ids"] for r in by_token.collect()}["a"] == [1, 2]
+    # a UDF that has run holds handles of the session; registering must not carry them along
+    assert spark.createDataFrame([("ponies",)], "w string").select(tokens.stem("w")).first()[0] == "poni"
     register(spark)
     assert spark.sql("SELECT stem('ponies') AS s").first()["s"] == "poni"
     assert {r["token"] for r in spark.sql("SELECT * FROM tokenize('Hello world')").collect()} == {"hello", "world"}
+
+
+def test_related_only_of_hosts_with_persons(spark):
+    rows = [("github.com/mo/x", "mo", ["a.org/b"], [], ["r.org/r"]), ("example.org/y", "e", ["c.org/d"], [], [])]
+    df = spark.createDataFrame(rows, "package string, author string, imports array<string>, test_imports array<string>, references array<string>")
+    assert {(r["package"], r["found_way"]) for r in history.related(df).collect()} == {("a.org/b", "impoted:github.com/mo/x"), ("r.org/r", "reference:github.com/mo/x")}
+    assert [r["id"] for r in history.related_persons(df).collect()] == ["github.com:mo"]
