@@ -13,9 +13,11 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(shared_dir, "_own", None) or tempfile.mkdtemp(prefix="lodestone-")
         shared_dir._own = path
         path = f"file://{path}" if path.startswith("/") else path
@@ -31,7 +33,19 @@ def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df = df.coalesce(4 * max(1, spark.sparkContext.defaultParallelism)) if slim else df
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            spark = df.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def unused(columns: list[str], *names: str) -> tuple[str, ...]:

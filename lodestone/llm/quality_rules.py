@@ -3,7 +3,8 @@
 Every count of a text comes from one nested expression; there is no shuffle and
 no user function. Repeated passages are found by hashing each window of eight
 words (64 bits over the words themselves), so a document with no equal hashes
-costs one pass; otherwise hashes are sorted together with their positions.
+costs one pass; otherwise hashes are sorted with their positions, and windows of
+equal hash are compared word by word.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, text_of
+from .common import SPACE, let, text_of, unused
 
 WINDOW = 8
 # Frequent words of four languages.
@@ -46,33 +47,31 @@ RULES = (
 )
 
 
-def covered(hashes: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more, from the window hashes in order of position."""
+def covered(hashes: Column, words: Column) -> Column:
+    """Words covered by windows that occur twice or more, from the window hashes in order of position.
 
-    def with_mask(mask: Column) -> Column:
-        high = F.bitwise_not(mask)
-        keys = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))
-
-        def positions(k: Column) -> Column:
-            def same(x: Column, j: Column) -> Column:
-                return F.coalesce(x.bitwiseAND(high) == F.get(k, j).bitwiseAND(high), F.lit(False))
+    Windows are sorted by their whole hash, then position; neighbours of equal
+    hash count if their words are equal too.
+    """
 
-            return F.filter(F.transform(k, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x.bitwiseAND(mask))), lambda p: p.isNotNull())
+    def positions(k: Column) -> Column:
+        def same(x: Column, j: Column) -> Column:
+            other = F.get(k, j)
+            return F.coalesce((x["h"] == other["h"]) & (F.slice(words, x["p"] + 1, F.lit(WINDOW)) == F.slice(words, other["p"] + 1, F.lit(WINDOW))), F.lit(False))
 
-        return F.aggregate(
-            F.sort_array(let(keys, positions)),
-            F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
-            lambda a, p: F.struct((p + WINDOW).alias("to"), (a["n"] + WINDOW - F.greatest(a["to"] - p, F.lit(0).cast("long"))).alias("n")),
-            lambda a: a["n"],
-        )
+        return F.transform(F.filter(k, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["p"].cast("long"))
 
-    # the low bits hold the position, the others the hash
-    return let((F.pow(F.lit(2.0), F.ceil(F.log2(F.size(hashes) + F.lit(1.0)))) - 1).cast("long"), with_mask)
+    return F.aggregate(
+        F.sort_array(let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), positions)),
+        F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
+        lambda a, p: F.struct((p + WINDOW).alias("to"), (a["n"] + WINDOW - F.greatest(a["to"] - p, F.lit(0).cast("long"))).alias("n")),
+        lambda a: a["n"],
+    )
 
 
 def repeated_words(words: Column) -> Column:
     def of(hashes: Column) -> Column:
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(hashes))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(hashes, words))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, of))
@@ -122,10 +121,11 @@ def apply_rules(docs: DataFrame, text_col: str = "text", base=BASE, rules=RULES,
     own = (*COUNTS, "failed_rules", "base_failed", "kept")
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
     kept = [F.col(f"`{c}`") for c in names]
-    out = docs.select(*kept, metrics(text_of(text_col)).alias("__m"))
+    (m,) = unused([*names, *own], "counts_")
+    out = docs.select(*kept, metrics(text_of(text_col)).alias(m))
     out = out.select(
-        *kept, *[F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("__m.lines.dup").cast("long").alias("n_dup_lines"),
-        F.col("__m.n_repeat_words").alias("n_repeat_words"), F.col("__m.lines.n").cast("long").alias("n_lines"), F.col("__m.n_stop_words").alias("n_stop_words"), F.col("__m.n_shouts").alias("n_shouts"),
+        *kept, *[F.col(f"{m}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col(f"{m}.lines.dup").cast("long").alias("n_dup_lines"),
+        F.col(f"{m}.n_repeat_words").alias("n_repeat_words"), F.col(f"{m}.lines.n").cast("long").alias("n_lines"), F.col(f"{m}.n_stop_words").alias("n_stop_words"), F.col(f"{m}.n_shouts").alias("n_shouts"),
     )
     bad = [F.when(fails(r), F.lit(r.name)) for r in (*base, *rules)]
     out = out.withColumn("failed_rules", F.filter(F.array(*bad), lambda x: x.isNotNull()))
