@@ -2,7 +2,7 @@
 
 1. Candidates: four base patterns with exact checks, and looser patterns for
    further kinds. Patterns are possessive and anchored so that each runs in
-   time linear in the text.
+   time linear in the text; spans are put together from the pieces around them.
 2. Labelers vote on each candidate (1, -1 or 0 for abstaining): pattern check,
    gazetteer, words before it, and its borders.
 3. Votes are counted by pattern over all documents (at most a few thousand
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_of
+from .common import let, materialize, text_of, unused
 
 # The base kinds in their order, each with what a text must hold for the pattern to be tried, and the pattern.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -27,8 +27,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BASE = (("email", "@", EMAIL), ("ip", r"[0-9]\.[0-9]", IP), ("card", r"[0-9](?:[ -]?[0-9]){15}", CARD), ("phone", r"\+[0-9]", PHONE))
+# Given names, common in English, French, German, Spanish and Italian.
+FIRST_NAMES = (
+    "Adam Albert Alexander Alice Alfred Amelia Amy Andrea Andrew Anna Anne Antonio Arthur Barbara Benjamin Bernard Brian Camille Carl Carla Carlos Caroline Catherine Charles Charlotte Chloe Christian "
+    "Christine Christopher Claire Claudia Clara Daniel David Deborah Diana Diego Dorothy Edward Elena Elisabeth Elizabeth Emily Emma Eric Esther Eva Felix Fernando Francesca Francis Francisco Frank Frederic "
+    "Friedrich Gabriel George Giovanni Giulia Grace Greta Hannah Hans Heinrich Helen Helena Henri Henry Ines Ingrid Isabel Isabella Jack Jacques Jakob James Jane Javier Jean Jennifer Jessica Joan Johann John "
+    "Jonas Jorge Joseph Juan Julia Julien Karen Karl Katharina Kevin Klaus Laura Lea Leon Linda Lisa Louis Louise Luca Lucas Lucia Luis Lukas Manuel Marco Margaret Maria Marie Mark Marta Martin Mary Matteo "
+    "Matthew Max Michael Michel Miguel Monica Nancy Nicolas Nicole Nina Noah Oliver Olivia Oscar Otto Pablo Patricia Patrick Paul Paula Pedro Peter Philip Pierre Rachel Rebecca Richard Robert Roberto Rosa Ruth "
+    "Samuel Sandra Sara Sarah Sebastian Sofia Sophie Stefan Stephen Susan Susanne Teresa Thomas Ursula Victor Victoria Walter Werner William Wolfgang Yves"
+).split()
 # Further kinds.
-FIRST_NAMES = ("James", "Mary", "John", "Linda", "Robert", "Maria", "David", "Sarah", "Pierre", "Hans", "Carlos", "Anna")
 EXTRA = (
     ("name", r"\b(?:Mrs?|Dr|Prof)\. \p{Lu}", r"\b(?:Mrs?|Dr|Prof)\. \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?+"),
     ("secret", r"AKIA[0-9A-Z]{16}|(?:password|passwd|api_key|secret|token)[ \t]*+=", r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|api_key|secret|token)[ \t]*+=[ \t]*+(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\s,;]{6,}+)"),
@@ -88,47 +96,99 @@ def gazetteer(kind: str, found: Column) -> Column:
     return vote(found.rlike(r"^(?:DE|FR|ES|GB|IT|NL|CH|AT|BE)"), no)
 
 
+def scanned(xs: Column, zero: Column, join) -> Column:
+    """``join`` over all elements before each one, beginning with ``zero``.
+
+    Arrays can only be grown by copying them; blocks of about the root of the
+    length keep that far below the square of it.
+    """
+
+    def running(part: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct(join(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("now"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+
+    def of(size: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / size).cast("int") - 1), lambda b: F.slice(xs, b * size + 1, size))
+
+        def blocks(parts: Column) -> Column:
+            totals = F.transform(parts, lambda p: F.aggregate(p, zero, join))
+            return F.flatten(F.zip_with(parts, running(totals, zero), running))
+
+        return let(parts, blocks)
+
+    return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(let(F.ceil(F.sqrt(F.size(xs))).cast("int"), of))
+
+
 def spans_of(text: Column, k: int, kind: str, hint: str, pattern: str, base: bool) -> Column:
-    """The candidates of one kind. Positions come from the lengths of the matches and of the pieces between them."""
+    """The candidates of one kind. Positions come from the lengths of the matches and of the pieces between them.
+
+    The context of a candidate is what lies between it and its neighbours, with
+    the neighbour before: the text itself is never cut from its beginning.
+    """
 
     def place(matches: Column) -> Column:
         pieces = F.split(text, pattern, -1)
 
         def collect(pieces: Column) -> Column:
-            def step(a: Column, i: Column) -> Column:
-                start = a["pos"] + F.length(F.get(pieces, i))
-                found = F.get(matches, i)
-                end = start + F.length(found)
-                before = text.substr(F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
-                after = text.substr(end + 1, F.lit(1))
-                ok = passes(kind, found)
-                votes = F.array(
-                    vote(ok, ~ok), gazetteer(kind, found), vote(before.rlike(FOR), before.rlike(AGAINST)),
-                    vote(before.rlike(r"(?:^|[\s(\[<:,;=])$") & after.rlike(r"^(?:$|[\s)\]>:,;.])"), before.rlike(r"[\p{L}0-9]$") | after.rlike(r"^[\p{L}0-9]")),
-                )
-                shape = F.when(F.length(found) < 12, 0).when(F.length(found) < 20, 1).when(F.length(found) < 40, 2).otherwise(3)
-                one = F.struct(F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), (ok if base else F.lit(False)).alias("base"), votes.alias("votes"), shape.alias("shape"))
-                return F.struct(end.alias("pos"), F.concat(a["out"], F.array(one)).cast(f"array<{SPAN}>").alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda a: a["out"])
-
-        return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(let(pieces, collect))
+            steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+
+            def build(ends: Column) -> Column:
+                def one(found: Column, i: Column) -> Column:
+                    start = F.get(ends, i) + F.length(F.get(pieces, i))
+                    end = start + F.length(found)
+                    before = F.right(F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), F.get(pieces, i)), F.lit(32))
+                    after = F.left(F.concat(F.left(F.get(pieces, i + 1), F.lit(1)), F.coalesce(F.left(F.get(matches, i + 1), F.lit(1)), F.lit(""))), F.lit(1))
+                    ok = passes(kind, found)
+                    votes = F.array(
+                        vote(ok, ~ok), gazetteer(kind, found), vote(before.rlike(FOR), before.rlike(AGAINST)),
+                        vote(before.rlike(r"(?:^|[\s(\[<:,;=])$") & after.rlike(r"^(?:$|[\s)\]>:,;.])"), before.rlike(r"[\p{L}0-9]$") | after.rlike(r"^[\p{L}0-9]")),
+                    )
+                    shape = F.when(F.length(found) < 12, 0).when(F.length(found) < 20, 1).when(F.length(found) < 40, 2).otherwise(3)
+                    return F.struct(F.lit(k).alias("kind"), start.alias("start"), end.alias("end"), (ok if base else F.lit(False)).alias("base"), votes.alias("votes"), shape.alias("shape"))
+
+                return F.transform(matches, one)
+
+            return let(scanned(steps, F.lit(0), lambda a, x: a + x), build)
+
+        return F.when(F.size(matches) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(let(pieces, collect).cast(f"array<{SPAN}>"))
 
     tried = text.contains(hint) if hint == "@" else text.rlike(hint)
     return F.when(tried, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def candidates(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """``keep`` plus ``__spans``: all candidates by kind and start; further kinds only where no base span lies."""
+def apart(base: Column, more: Column) -> Column:
+    """``base`` and those of ``more`` that overlap no span of ``base`` that passed its check.
 
-    def of(text: Column) -> Column:
-        def join(base: Column) -> Column:
-            more = F.concat(*[spans_of(text, len(BASE) + k, *x, base=False) for k, x in enumerate(EXTRA)])
-            return F.concat(base, F.filter(more, lambda s: ~F.exists(base, lambda b: b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    All spans in the order of their starts: the greatest end before a span and
+    the least start after it tell whether one of them overlaps it.
+    """
+    far = 2**31 - 1
+
+    def of(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0))
+        starts = F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(far)))
+
+        def keep(found: Column) -> Column:
+            free = lambda s, i: (F.get(found["to"], i) <= s["start"]) & (F.get(found["from"], F.size(spans) - 1 - i) >= s["end"])
+            return F.filter(spans, lambda s, i: (s["kind"] >= len(BASE)) & free(s, i))
+
+        return let(F.struct(scanned(ends, F.lit(0), lambda a, x: F.greatest(a, x)).alias("to"), scanned(starts, F.lit(far), lambda a, x: F.least(a, x)).alias("from")), keep)
+
+    # equal starts: base spans first, so that a further span behind them sees their end
+    by_start = F.transform(F.concat(base, more), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base"), s["votes"].alias("votes"), s["shape"].alias("shape")))
+    kept = F.transform(let(F.array_sort(by_start), of), lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "votes", "shape")]))
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), F.concat(base, more)).otherwise(F.concat(base, F.array_sort(kept)))
 
-        return let(F.concat(*[spans_of(text, k, *x, base=True) for k, x in enumerate(BASE)]), join)
 
-    return docs.select(*keep, let(text_of(text_col), of).alias("__spans"))
+def candidates(docs: DataFrame, text_col: str, keep: list[Column], spans: str = "spans") -> DataFrame:
+    """``keep`` plus ``spans``: all candidates by kind and start; further kinds only where no base span lies."""
+
+    def of(text: Column) -> Column:
+        base = F.concat(*[spans_of(text, k, *x, base=True) for k, x in enumerate(BASE)])
+        more = F.concat(*[spans_of(text, len(BASE) + k, *x, base=False) for k, x in enumerate(EXTRA)])
+        return let(F.struct(base.alias("base"), more.alias("more")), lambda s: apart(s["base"], s["more"]))
+
+    return docs.select(*keep, let(text_of(text_col), of).alias(spans))
 
 
 def estimate(counts: list[tuple[int, tuple, int, float]], rounds: int = 50) -> list[float]:
@@ -193,9 +253,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
     """
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() != "spans"]
     kept = [F.col(f"`{c}`") for c in names]
-    slim = materialize(candidates(docs, text_col, kept), "pii-spans")
+    (own,) = unused([*names, "spans"], "spans_")
+    slim = materialize(candidates(docs, text_col, kept, own), "pii-spans")
     # one row for each kind, votes and shape: at most 8 * 81 * 4
-    rows = slim.select(F.explode("__spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n")).collect()
+    rows = slim.select(F.explode(own).alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count("*").alias("n")).collect()
     counts = sorted((r["kind"], tuple(r["votes"]), r["shape"], float(r["n"])) for r in rows)
     weights = train(counts, estimate(counts)) if counts else [0.0] * (5 + len(KINDS) + len(LABELERS))
     k0, v0, s0 = 1, 1 + len(KINDS), 1 + len(KINDS) + len(LABELERS)
@@ -209,7 +270,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
         return F.struct(s["kind"].alias("rank"), F.get(names_, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), (1 / (1 + F.exp(-z))).alias("score"))
 
     # a candidate of a base kind that failed its check is dropped for good
-    sure = F.filter(F.transform("__spans", scored), lambda s: s["base"] | ((s["rank"] >= len(BASE)) & (s["score"] >= least)))
+    sure = F.filter(F.transform(own, scored), lambda s: s["base"] | ((s["rank"] >= len(BASE)) & (s["score"] >= least)))
     return slim.select(*kept, F.array_sort(sure).alias("spans"))
 
 
@@ -218,11 +279,23 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first stays.
+
+    A null text stays null. The text is taken apart into code points once.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    one = "struct<start:int,end:int,kind:string>"
 
     def step(a: Column, s: Column) -> Column:
-        gap = text.substr(a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0)))
-        return F.when(s["start"] < a["pos"], a).otherwise(F.struct(s["end"].alias("pos"), F.concat(a["out"], gap, F.lit("["), s["kind"], F.lit("]")).alias("out")))
+        more = F.concat(a["out"], F.array(F.struct(a["pos"].alias("start"), s["start"].alias("end"), s["kind"].alias("kind")))).cast(f"array<{one}>")
+        return F.when(s["start"] < a["pos"], a).otherwise(F.struct(s["end"].alias("pos"), more.alias("out")))
+
+    kept = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{one}>").alias("out")), step)
+
+    def put(both: Column) -> Column:
+        chars, gaps = both["chars"], both["kept"]
+        cut = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
+        parts = F.transform(gaps["out"], lambda g: F.concat(cut(g["start"], g["end"]), F.lit("["), g["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(gaps["pos"], F.size(chars)))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], text.substr(a["pos"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(F.split(text, "").alias("chars"), kept.alias("kept")), put))

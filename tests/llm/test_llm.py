@@ -4,9 +4,11 @@ import collections
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontam, licenses, minhash, mixing, pii, quality_classifier, quality_rules, queries, sharding, toxicity
@@ -427,12 +429,44 @@ def test_pii_further_kinds_are_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     found = pii.candidates(docs, "text", [F.col("doc_id"), F.col("text")]).collect()
     kinds = {pii.KINDS.index("secret"): secrets, pii.KINDS.index("iban"): ibans}
-    got = {r["text"][s["start"] : s["end"]] for r in found for s in r["__spans"] if s["kind"] in kinds}
+    got = {r["text"][s["start"] : s["end"]] for r in found for s in r["spans"] if s["kind"] in kinds}
     assert got == set(secrets + ibans)
     r = pii.find_pii(docs).select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("t")).collect()
     assert {x["t"] for x in r if x["doc_id"] < len(secrets)} == {"my key: [secret] , then"}
 
 
+def test_pii_against_brute_force_where_kinds_overlap(spark):
+    random.seed(13)
+    bits = ["a@b.co", "password=abc123xyz", "token=q1w2e3@r4.de", "1.2.3.4", "123-45-6789", "Mr. John Smith", "4539 1488 0343 6467", "+1 (345) 678-9012", " ", ", ", "é", "DE89370400440532013000"]
+    texts = ["".join(random.choice(bits) for _ in range(25)) for _ in range(60)]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "text", [F.col("doc_id")]).collect()
+    alone = [pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "text", [F.col("doc_id")])]
+    assert len(alone[0].collect()) == len(rows)
+    for r in rows:
+        t, spans = texts[r["doc_id"]], r["spans"]
+        base = [s for s in spans if s["base"]]
+        more = [s for s in spans if s["kind"] >= len(pii.BASE)]
+        assert all(m["end"] <= b["start"] or b["end"] <= m["start"] for m in more for b in base)
+        # whatever matches and overlaps no base span is there
+        for k, (_, _, pattern) in enumerate(pii.EXTRA, len(pii.BASE)):
+            want = [m.span() for m in regex.finditer(pattern, t) if all(m.end() <= b["start"] or b["end"] <= m.start() for b in base)]
+            assert [(s["start"], s["end"]) for s in more if s["kind"] == k] == want
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = " ".join(f"user{i}@host{i}.org" for i in range(16_000))
+    began = time.perf_counter()
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("spans", pii.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    assert len(r["spans"]) == 16_000 and time.perf_counter() - began < 20
+    assert all(text[s["start"] : s["end"]] == f"user{i}@host{i}.org" for i, s in enumerate(r["spans"])) and r["t"] == " ".join(["[email]"] * 16_000)
+
+
+def test_scanned(spark):
+    for n in (0, 1, 2, 7, 100):
+        r = spark.range(1).select(F.expr(f"transform(sequence(1, {n}), x -> cast(x as int))" if n else "cast(array() as array<int>)").alias("x")).select(pii.scanned(F.col("x"), F.lit(0), lambda a, x: a + x).alias("s")).first()
+        assert r["s"] == [i * (i + 1) // 2 for i in range(n)]
+
+
 def test_held_out(spark):
     import zlib
 
