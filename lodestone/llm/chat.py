@@ -40,8 +40,13 @@ def examples(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     no rows; other columns are left out.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turn = F.struct(F.col(turn_col).alias("t"), text(role_col).alias("role"), text(text_col).alias("text"))
-    rows = turns.select(F.col(id_col), turn.alias("__turn")).groupBy(id_col).agg(F.sort_array(F.collect_list("__turn")).alias("__turns"))
+    turn = F.struct(F.col(f"`{turn_col}`").alias("t"), text(f"`{role_col}`").alias("role"), text(f"`{text_col}`").alias("text"))
+    own = ("example", "n_turns", "formatted", "loss_end", "loss_start")
+    if id_col.lower() in own:
+        raise ValueError(f"{id_col} is the name of a result column")
+    # the id apart from the names used on the way
+    name, id_col = id_col, "__id"
+    rows = turns.select(F.col(f"`{name}`").alias(id_col), turn.alias("__turn")).groupBy(id_col).agg(F.sort_array(F.collect_list("__turn")).alias("__turns"))
     pieces = F.transform("__turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("[TURN]"), escape(t["role"]), F.lit("[/TURN]")).alias("head"), escape(t["text"]).alias("body")))
     rows = rows.select(id_col, pieces.alias("__pieces"))
     last = F.size("__pieces") - 1
@@ -54,7 +59,7 @@ def examples(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
         rows.select(id_col, F.col("example").cast("long").alias("example"), (F.col("__at") + 1).cast("long").alias("n_turns"), whole.alias("formatted"), target.alias("__target"))
         .withColumn("loss_end", end.cast("long"))
         .withColumn("loss_start", F.when(F.col("__target.role") == "assistant", end - F.length("__target.body")).otherwise(end).cast("long"))
-        .drop("__target")
+        .drop("__target").withColumnRenamed(id_col, name)
     )
 
 

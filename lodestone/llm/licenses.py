@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unused
 
 LEAST = 0.8
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -170,7 +170,8 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str
     """
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() != "licenses"]
     kept = [F.col(f"`{c}`") for c in names]
-    given = docs.select(*kept, text_of(text_col).alias("__text"), F.array().cast(FOUND).alias("licenses"))
+    (text,) = unused([*names, "licenses"], "text_")
+    given = docs.select(*kept, text_of(text_col).alias(text), F.array().cast(FOUND).alias("licenses"))
     use = dict(TEMPLATES if templates is None else templates)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +180,4 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, tuple[str
             rows = [[dict(zip(("license", "start", "end", "coverage"), f, strict=True)) for f in scanner.find(words_of(t.as_py()))] for t in b.column(b.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, b.schema.field("licenses").type)], schema=b.schema)
 
-    return given.mapInArrow(batches, given.schema).drop("__text")
+    return given.mapInArrow(batches, given.schema).drop(text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of
+from .common import held_out, text_of, unused
 from .quality_rules import STOP_WORDS
 
 STATISTICS = (
@@ -121,11 +121,14 @@ def learnable(labels: DataFrame, label: str, id_col: str) -> DataFrame:
     return labels.filter(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, max_rows: int) -> DataFrame:
-    """The documents of at most ``max_rows`` learnable labels (by hash of the id), with ``__y``; none is held out."""
-    rows = learnable(labels, label, id_col).select(F.col(id_col), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64(id_col), id_col, "__y").limit(max_rows)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col: str, max_rows: int) -> DataFrame:
+    """(label, text columns) of at most ``max_rows`` learnable labels of known documents, by hash of the id; none is held out."""
+    known = learnable(labels, label, id_col).select(F.col(id_col), F.col(label).cast("int").alias("y")).join(docs.select(id_col).distinct(), id_col, "left_semi")
+    rows = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows)
     # at most max_rows rows of two numbers
-    return docs.join(F.broadcast(rows), id_col)
+    rows = rows.select(F.col(id_col).alias("label_of"), F.col("y").alias("label_is"))
+    clear = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return clear.join(F.broadcast(rows), clear["id"] == rows["label_of"]).select("id", "text", F.col("label_is").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_rows: int = 20_000) -> Trees:
@@ -134,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
             x = statistics(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
 
-    rows = labelled(docs, labels, label, id_col, max_rows).select("__y", text_of(text_col)).mapInArrow(batches, "y int, x array<float>").toPandas()
+    rows = labelled(docs, labels, label, text_col, id_col, max_rows).select("y", "text").mapInArrow(batches, "y int, x array<float>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float32).reshape(-1, len(STATISTICS))
     y = rows["y"].to_numpy(dtype=float)
     order = np.lexsort((*x.T, y))  # the same trees in whatever order the rows arrive
@@ -153,7 +156,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
     trees = train(docs, labels, label, text_col, id_col, max_rows)
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("score", "predicted")]
     kept = [F.col(f"`{c}`") for c in names]
-    given = docs.select(*kept, text_of(text_col).alias("__text"), F.lit(0.0).alias("score"))
+    (text,) = unused([*names, "score"], "text_")
+    given = docs.select(*kept, text_of(text_col).alias(text), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast((trees.base, trees.feature, trees.threshold, trees.left, trees.right, trees.value, trees.roots, trees.depth))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names."""
-    aside = {c: f"__in_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("score", "predicted")}
+    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names.
+
+    A null text counts as empty and is judged as such; equal texts are judged
+    alike, repeated rows stay or go together; an empty table gives no rows;
+    without labels every score is 0.5 and nothing reaches the threshold.
+    """
+    clash = [c for c in docs.columns if c.lower() in ("score", "predicted")]
+    aside = dict(zip(clash, unused(docs.columns, *[f"in_{c}" for c in clash]), strict=True))
     out = score(docs.withColumnsRenamed(aside), labels, **options).filter("predicted = 1")
     return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])

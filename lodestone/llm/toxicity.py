@@ -219,7 +219,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col
     out: list[tuple[str, int]] = []
     for y in (1, 0):
         size = 0
-        rows = labelled(docs, labels.filter(F.col(label) == y), label, id_col, max_rows).select(text_of(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
+        rows = labelled(docs, labels.filter(F.col(label) == y), label, text_col, id_col, max_rows).select(F.col("text").alias("t"), F.xxhash64("id").alias("h"))
         for r in rows.filter(F.octet_length("t") <= 8 * max_bytes // max_rows).orderBy("h", "t").toLocalIterator():
             size += len(r["t"].encode("utf-8", "surrogatepass"))
             if 2 * size <= max_bytes:
