@@ -238,6 +238,17 @@ def test_decontamination(spark, block):
         assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) == brute_hits(texts[r["doc_id"]], items)
 
 
+def test_decontamination_of_a_giant_item(spark):
+    random.seed(14)
+    words = [random.choice("abcd") + random.choice("xyz") + random.choice("pq") for _ in range(3000)]
+    docs = [" ".join(words[i : i + 20]) for i in range(0, 2900, 97)] + [" ".join(reversed(words[:50]))]
+    docs += docs[:3]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([("big", " ".join(words))], "item_id string, text string")
+    for r in decontam.find_contamination(df, bench, block_bytes=500).collect():
+        assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) == brute_hits(docs[r["doc_id"]], [("big", " ".join(words))])
+
+
 def test_chat_round_trip(spark):
     turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "[\\INST] <\\\\s> [TURN]x[/TURN]"), (None, None), ("assistant", ""), ("us[TURN]er", "tail <"), ("assistant", "s> end ["), ("user", "last")]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "user", "only"), (None, 0, "assistant", "x")]
