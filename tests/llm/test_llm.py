@@ -91,6 +91,59 @@ def test_targets_and_flow():
     assert sorted(sum(f.values()) for f in flows) == [10, 10]
 
 
+def best_mix(patterns, quotas, repeats):
+    """Largest flow and least repetition cost over all integer assignments."""
+    import itertools
+
+    names = sorted(quotas)
+    arcs = [(i, s) for i, (own, _) in enumerate(patterns) for s in own]
+    best = (0, 0)
+    for flow in itertools.product(*[range(min(repeats * patterns[i][1], quotas[s]) + 1) for i, s in arcs]):
+        used = [sum(f for f, (j, _) in zip(flow, arcs, strict=True) if j == i) for i in range(len(patterns))]
+        if any(u > repeats * patterns[i][1] for i, u in enumerate(used)) or any(sum(f for f, (_, t) in zip(flow, arcs, strict=True) if t == s) > quotas[s] for s in names):
+            continue
+        cost = sum(r * min(max(u - r * patterns[i][1], 0), patterns[i][1]) for i, u in enumerate(used) for r in range(1, repeats))
+        best = max(best, (sum(flow), -cost))
+    return best
+
+
+def test_flow_against_all_assignments():
+    random.seed(15)
+    for _ in range(25):
+        patterns = [(random.sample("abc", random.randint(1, 2)), random.randint(0, 3)) for _ in range(3)]
+        quotas = {s: random.randint(0, 5) for s in "abc"}
+        got = mixing.route(patterns, quotas)
+        used = [sum(f.values()) for f in got]
+        assert all(sum(f.get(s, 0) for f in got) <= quotas[s] for s in quotas) and all(u <= 2 * patterns[i][1] for i, u in enumerate(used))
+        assert (sum(used), -sum(max(0, u - patterns[i][1]) for i, u in enumerate(used))) == best_mix(patterns, quotas, 2)
+
+
+def test_flow_of_many_patterns():
+    random.seed(16)
+    names = [f"s{i}" for i in range(40)]
+    patterns = [(random.sample(names, random.randint(1, 4)), random.randint(1, 1000)) for _ in range(10_000)]
+    total = sum(n for _, n in patterns)
+    began = time.perf_counter()
+    got = mixing.route(patterns, {s: round(1.5 * total / 40) for s in names})
+    assert time.perf_counter() - began < 20
+    assert sum(sum(f.values()) for f in got) > 1.45 * total
+
+
+def test_mixing_of_equal_rows(spark):
+    # a third of the rows has one id and text, others have none
+    rows = [(7, "w w w", "a")] * 1000 + [(None, "x y", "a")] * 500 + [(i, "z " * (i % 9), "a" if i % 2 else "b") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_documents(df, word_count(text_of("text")), bucket_docs=50).collect()
+    by, goals = collections.Counter(), {r["source"]: r["targets"][0] for r in out}
+    for r in out:
+        by[r["source"]] += r["taken"]
+        assert 0 <= r["copies"] <= 2
+    assert len(out) == 3000 and all(abs(by[s] - goals[s]) <= 9 for s in goals)
+    again = mixing.mix_documents(df.repartition(5), word_count(text_of("text")), bucket_docs=50).collect()
+    count = lambda rs: collections.Counter((r["doc_id"], r["text"], r["source"], r["copies"]) for r in rs)
+    assert count(out) == count(again)
+
+
 def test_mixing(spark):
     random.seed(2)
     rows = [(i, "w " * random.randint(0, 30), random.choice(["a", "b", "c", "d", None, "a", "a"])) for i in range(3000)]
