@@ -428,7 +428,7 @@ def test_minimax(shards):
 
 def test_shards(spark):
     rows = [(i, "text %d" % (i % 700)) for i in range(2000)] + [(10_000 + i, "hot") for i in range(1500)]
-    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id", "text"], cell_rows=64).collect()
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id", "text"]).collect()
     where, slots, sizes = {}, collections.defaultdict(list), collections.Counter()
     for r in out:
         assert where.setdefault(r["text"], r["shard"]) == r["shard"]
@@ -439,6 +439,39 @@ def test_shards(spark):
     assert max(others) < 1.1 * min(others)
 
 
+@pytest.mark.parametrize("bits", [(2, 1), (4, 2), (16, 8)])
+def test_capacity_is_that_over_all_groups(spark, monkeypatch, bits):
+    random.seed(17)
+    monkeypatch.setattr(sharding, "FIRST_BITS", bits[0])
+    monkeypatch.setattr(sharding, "MORE_BITS", bits[1])
+    texts = ["t%d " % random.randint(0, 400) * random.randint(1, 20) for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = df.select("doc_id", F.xxhash64("text").alias("h")).collect()
+    by = collections.Counter()
+    for r in hashes:
+        by[r["h"]] += len(texts[r["doc_id"]].encode()) + 8
+    sizes = collections.Counter()
+    shard_of = {}
+    for r in sharding.shard_documents(df, n_shards=9).collect():
+        sizes[r["shard"]] += r["size"]
+        shard_of[r["text"]] = r["shard"]
+    order = [by[h] for h in sorted(by)]
+    assert max(order) * 9 < sum(order)
+    assert max(sizes.values()) == sharding.minimax_capacity(order, 9)
+
+
+def test_shards_of_null_and_equal_ids(spark, tmp_path):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (None, None), (1, ""), (1, ""), (2, "b" * 50)], "doc_id long, text string")
+    out = sharding.shard_documents(df, n_shards=3).collect()
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 6 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in out if not r["text"]}) == 1
+    sharding.write_shards(df, f"file://{tmp_path}/s", n_shards=3)
+    assert spark.read.parquet(f"file://{tmp_path}/s").count() == 6
+
+
 def test_licenses(spark):
     scanner = licenses.Scanner()
     for name, texts in licenses.TEMPLATES.items():
