@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, unused
 
 K = 5
 LEAST = 0.8
@@ -146,7 +146,8 @@ def aligned_similarity(a: list, b: list, least: float = LEAST) -> float:
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``key`` (of the exact text), ``n`` (k-mers) and ``values``; texts without words have none."""
-    given = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     schema = "id {}, key binary, n long, values array<long>".format(dict(given.dtypes)["id"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +182,28 @@ def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(batches, "a binary, b binary"), name)
 
 
-def components(edges: DataFrame, most: int = 40, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``key`` and ``label`` (the least key it is connected with) of all ends of ``edges`` (a, b).
 
     Alternating large-star and small-star steps until nothing changes. With
     ``rounds``, as many steps: equal labels are then connected, but connected
-    keys may have different labels, and links are lost in them.
+    keys may have different labels, and links are lost in them. The least
+    neighbours are written before they are joined, so that the links of a node
+    with very many can be split among tasks.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = now if rounds else materialize(now, "cc", slim=True)
-    state = None
-    for _ in range(rounds or most):
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", slim=True)
+    state, turn = None, 0
+    while rounds is None or turn < rounds:
+        turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc", slim=True)
         # every node keeps a link to the least of its neighbours
-        large = materialize(large.filter("u <> v").distinct(), "cc", slim=True)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc", slim=True)
+        discard(now, least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc", slim=True)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", slim=True)
+        discard(large, least)
         if rounds is None:
             new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if new == state:
@@ -208,7 +212,14 @@ def components(edges: DataFrame, most: int = 40, rounds: int | None = None) -> D
     ends = now.groupBy("u").agg(F.min("v").alias("label"))
     # a least key that is itself an end of a longer chain has the label found for it
     heads = now.select(F.col("v").alias("key")).distinct().join(ends.select(F.col("u").alias("key")), "key", "left_anti")
-    return materialize(ends.select(F.col("u").alias("key"), "label").unionByName(heads.select("key", F.col("key").alias("label"))), "omh-labels", slim=True)
+    out = materialize(ends.select(F.col("u").alias("key"), "label").unionByName(heads.select("key", F.col("key").alias("label"))), "omh-labels", slim=True)
+    discard(now)
+    return out
+
+
+def several(own: DataFrame) -> DataFrame:
+    """(v, size) of the buckets that hold several classes; written, so that joins with it can split large buckets."""
+    return materialize(own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("v", "size"), "omh-several", slim=True)
 
 
 def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,8 +229,7 @@ def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
     in wide buckets those that no other text of such buckets has are counted
     out, and a text that keeps too few for the wanted similarity is done.
     """
-    mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("v", "size")
-    rows = materialize(own.join(mixed, "v").select("v", "key", "n", "c", "size"), "omh-undecided")
+    rows = materialize(own.join(several(own), "v").select("v", "key", "n", "c", "size"), "omh-undecided")
     wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +238,17 @@ def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
             hashes = [kmers(words_of(t), known) for t in b.column(3).to_pylist()]
             values = pa.array([sketches(h, wide=True).view(np.int64) for h in hashes], pa.list_(pa.int64()))
             own = pa.array([labelled(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], values, own], names=["key", "n", "c", "values", "kmers"])
+            halves = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), values, own], names=["key", "n", "c", "k1", "k2", "values", "kmers"])
 
-    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, values array<long>, kmers array<long>")
+    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, k1 long, k2 long, values array<long>, kmers array<long>")
     again = materialize(again, "omh-wide")
-    alone = again.select("key", F.explode("kmers").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("key").alias("key")).filter("m = 1").groupBy("key").agg(F.count("*").alias("u"))
-    again = again.join(alone, "key", "left").select("key", "n", "c", "values", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
-    again = materialize(again.filter(F.col("s") >= LEAST * F.col("n")).select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
-    again = again.join(again.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v"), "v")
+    # a k-mer that is there once has one owner: the least of either half of its owner's key is that key's
+    alone = again.select("k1", "k2", F.explode("kmers").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("k1").alias("k1"), F.min("k2").alias("k2")).filter("m = 1").groupBy("k1", "k2").agg(F.count("*").alias("u"))
+    kept = again.join(alone, ["k1", "k2"], "left").select("key", "n", "c", "values", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    kept = materialize(kept.filter(F.col("s") >= LEAST * F.col("n")).select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
+    discard(again)
+    again = kept.join(several(kept).select("v"), "v")
     return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s"))
 
 
@@ -255,14 +268,15 @@ def to_centre(own: DataFrame, edges: DataFrame | None, turn: int) -> DataFrame:
         own = own.join(edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d")), "key", "left")
         order = F.struct(-F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("key", F.lit(0)).alias("h"))
     centre = own.groupBy("v").agg(F.min(F.struct(order.alias("o"), "key", "n", "c", "s")).alias("z"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v", "z")
+    # written before it is joined, so that a large bucket can be split among tasks
+    centre = materialize(centre, "omh-centres", slim=True)
     pairs = own.join(centre, (own["v"] == centre["v"]) & (F.col("c") != F.col("z.c")) & alike(F.col("n"), F.col("z.n"), F.col("s"), F.col("z.s")))
     return pairs.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b"))
 
 
 def across(own: DataFrame) -> DataFrame:
     """Every pair of texts of different classes in a bucket that may be similar enough."""
-    mixed = own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-    left = materialize(own.join(mixed, "v").select("v", "key", "n", "c", "s"), "omh-across")
+    left = materialize(own.join(several(own), "v").select("v", "key", "n", "c", "s"), "omh-across")
     right = left.select(F.col("v").alias("v2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
     pairs = left.join(right, (F.col("v") == F.col("v2")) & (F.col("c") < F.col("c2")) & alike(F.col("n"), F.col("n2"), F.col("s"), F.col("s2")))
     return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
@@ -279,12 +293,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     no rows; other columns are left out. ``with_key`` adds the digest of the text.
     """
     slim = materialize(sketched(docs, id_col, text_col), "omh-sketches")
-    nodes = slim.filter("key IS NOT NULL AND n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("values").alias("values"))
-    rows = nodes.select("key", "n", F.explode("values").alias("v"))
-    shared = rows.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
+    worded = slim.filter("key IS NOT NULL AND n > 0")
+    # copies fall together before anything is dealt by bucket, and meet by bucket and text, not in one task
+    rows = worded.select("key", "n", F.explode("values").alias("v")).distinct()
+    shared = materialize(rows.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v"), "omh-shared", slim=True)
     members = materialize(rows.join(shared, "v"), "omh-buckets")
-    texts = docs.select(F.unhex(F.md5(F.col(text_col).cast("string"))).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = materialize(texts.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "omh-texts")
+    discard(shared)
+    # one row of each text; copies are told apart by the hash of their id, so that a text with very many is spread
+    chosen = worded.select("key", F.xxhash64("id").alias("r")).groupBy("key").agg(F.min("r").alias("r")).join(members.select("key").distinct(), "key", "left_semi")
+    texts = docs.select(F.unhex(F.md5(F.col(f"`{text_col}`").cast("string"))).alias("key"), F.xxhash64(F.col(f"`{id_col}`")).alias("r"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = materialize(texts.join(materialize(chosen, "omh-chosen", slim=True), ["key", "r"]).drop("r").dropDuplicates(["key"]), "omh-texts")
     own = members.withColumns({"s": F.col("n"), "c": F.col("key")})
     edges = done = label = None
     for turn in range(2 * STARS + 1):
@@ -312,14 +330,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One document of each class, that with the least id, with the columns it came with.
 
     Rows equal in id and text count as one document. Rows with a null id or a
-    null text stay.
+    null text stay. Empty texts are one class, texts of any length are compared
+    whole. An empty table gives no rows.
     """
-    found = materialize(classes(docs, id_col, text_col, with_key=True), "omh-found")
-    gone = found.filter((F.col(id_col) != F.col("class_id")) & F.col("key").isNotNull()).select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
-    again = found.filter((F.col(id_col) == F.col("class_id")) & F.col("key").isNotNull()).groupBy(F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__id", "__key")
-    key = F.unhex(F.md5(F.col(f"`{text_col}`").cast("string")))
-    marked = docs.withColumn("__own", key)
-    on = lambda other: (marked[id_col] == other["__id"]) & (marked["__own"] == other["__key"])
+    (own,) = unused(docs.columns, "key_")
+    given, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    found = materialize(classes(docs, id_col, text_col, with_key=True), "omh-found").filter(F.col("key").isNotNull())
+    head = F.col(id_col) == F.col("class_id")
+    gone = found.filter(~head).select(F.col(id_col).alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    again = found.filter(head).groupBy(F.col(id_col).alias("gone_id"), F.col("key").alias("gone_key")).agg(F.count("*").alias("n")).filter("n > 1").select("gone_id", "gone_key")
+    marked = docs.withColumn(own, F.unhex(F.md5(text)))
+    on = lambda other: (given == other["gone_id"]) & (F.col(own) == other["gone_key"])
     drop = gone.unionByName(again)
     once = marked.join(drop, on(drop), "left_anti")
-    return once.unionByName(marked.join(again, on(again), "left_semi").dropDuplicates([id_col, "__own"])).drop("__own")
+    return once.unionByName(marked.join(again, on(again), "left_semi").dropDuplicates([id_col, own])).drop(own)
