@@ -40,6 +40,8 @@ WIDE, WIDE_SKETCHES, WIDE_LENGTH = 16, 100, 12
 #: Of so few k-mers, twelve are too rarely those of a near copy: texts of up to ``WIDE_SHORT`` k-mers get shorter
 #: sketches besides, those of up to ``SHORT`` twice as many.
 WIDE_SHORT, WIDE_SHORT_SKETCHES, WIDE_SHORT_LENGTH = 200, 24, 4
+#: Cells of the bit sets that bound how many k-mers two texts of wide buckets share.
+BITS = 4096
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -222,12 +224,20 @@ def several(own: DataFrame) -> DataFrame:
     return materialize(own.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("v", "size"), "omh-several", slim=True)
 
 
-def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
+def bits_of(own: np.ndarray) -> np.ndarray:
+    """The labelled k-mers as a set of ``BITS`` cells, in words of 64."""
+    cells = np.zeros(BITS, dtype=np.uint8)
+    cells[(own >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(cells).view(np.int64)
+
+
+def undecided(own: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets (v, key, n, c, s) that still hold several classes; wide ones are dealt anew by the second family.
 
     ``s`` bounds how many k-mers a text can share with any other of its bucket:
     in wide buckets those that no other text of such buckets has are counted
-    out, and a text that keeps too few for the wanted similarity is done.
+    out, and a text that keeps too few for the wanted similarity is done. Also
+    (key, bits): the k-mers of texts of wide buckets as bits.
     """
     rows = materialize(own.join(several(own), "v").select("v", "key", "n", "c", "size"), "omh-undecided")
     wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
@@ -236,20 +246,22 @@ def undecided(own: DataFrame, texts: DataFrame) -> DataFrame:
         known = Hashes()
         for b in it:
             hashes = [kmers(words_of(t), known) for t in b.column(3).to_pylist()]
-            values = pa.array([sketches(h, wide=True).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            own = pa.array([labelled(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            own = [labelled(h) for h in hashes]
+            values = [sketches(h, wide=True).view(np.int64) for h in hashes]
             halves = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), values, own], names=["key", "n", "c", "k1", "k2", "values", "kmers"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (values, [o.view(np.int64) for o in own], [bits_of(o) for o in own])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), *lists], names=["key", "n", "c", "k1", "k2", "values", "kmers", "bits"])
 
-    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, k1 long, k2 long, values array<long>, kmers array<long>")
+    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, k1 long, k2 long, values array<long>, kmers array<long>, bits array<long>")
     again = materialize(again, "omh-wide")
     # a k-mer that is there once has one owner: the least of either half of its owner's key is that key's
     alone = again.select("k1", "k2", F.explode("kmers").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("k1").alias("k1"), F.min("k2").alias("k2")).filter("m = 1").groupBy("k1", "k2").agg(F.count("*").alias("u"))
-    kept = again.join(alone, ["k1", "k2"], "left").select("key", "n", "c", "values", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
-    kept = materialize(kept.filter(F.col("s") >= LEAST * F.col("n")).select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
+    kept = again.join(alone, ["k1", "k2"], "left").select("key", "n", "c", "values", "bits", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")).filter(F.col("s") >= LEAST * F.col("n"))
+    bits = materialize(kept.select("key", "bits", "n", "c", "s", "values"), "omh-bits")
     discard(again)
-    again = kept.join(several(kept).select("v"), "v")
-    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s"))
+    again = materialize(bits.select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
+    again = again.join(several(again).select("v"), "v")
+    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s")), bits.select("key", "bits")
 
 
 def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
@@ -274,11 +286,23 @@ def to_centre(own: DataFrame, edges: DataFrame | None, turn: int) -> DataFrame:
     return pairs.select(F.least("key", "z.key").alias("a"), F.greatest("key", "z.key").alias("b"))
 
 
-def across(own: DataFrame) -> DataFrame:
-    """Every pair of texts of different classes in a bucket that may be similar enough."""
-    left = materialize(own.join(several(own), "v").select("v", "key", "n", "c", "s"), "omh-across")
-    right = left.select(F.col("v").alias("v2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
-    pairs = left.join(right, (F.col("v") == F.col("v2")) & (F.col("c") < F.col("c2")) & alike(F.col("n"), F.col("n2"), F.col("s"), F.col("s2")))
+def may_share(n: Column, m: Column, x: Column, y: Column) -> Column:
+    """Whether the bits of two texts leave room for enough common k-mers (unknown bits do).
+
+    A k-mer whose cell the other text doesn't hold is not in that text, so the
+    bound is never too low.
+    """
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, k: t + k)
+    return F.coalesce((1 + LEAST) * F.least(n - apart(x, y), m - apart(y, x)) >= LEAST * (n + m), F.lit(True))
+
+
+def across(own: DataFrame, bits: DataFrame) -> DataFrame:
+    """Every pair of texts of different classes in a bucket whose lengths, rare k-mers and bits leave it similar enough."""
+    left = own.join(several(own), "v").select("v", "key", "n", "c", "s").join(bits, "key", "left")
+    left = materialize(left, "omh-across")
+    right = left.select(F.col("v").alias("v2"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("s").alias("s2"), F.col("bits").alias("bits2"))
+    near = alike(F.col("n"), F.col("n2"), F.col("s"), F.col("s2")) & may_share(F.col("n"), F.col("n2"), F.col("bits"), F.col("bits2"))
+    pairs = left.join(right, (F.col("v") == F.col("v2")) & (F.col("c") < F.col("c2")) & near)
     return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
 
 
@@ -302,26 +326,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     # one row of each text; copies are told apart by the hash of their id, so that a text with very many is spread
     chosen = worded.select("key", F.xxhash64("id").alias("r")).groupBy("key").agg(F.min("r").alias("r")).join(members.select("key").distinct(), "key", "left_semi")
     texts = docs.select(F.unhex(F.md5(F.col(f"`{text_col}`").cast("string"))).alias("key"), F.xxhash64(F.col(f"`{id_col}`")).alias("r"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = materialize(texts.join(materialize(chosen, "omh-chosen", slim=True), ["key", "r"]).drop("r").dropDuplicates(["key"]), "omh-texts")
+    chosen = materialize(chosen, "omh-chosen", slim=True)
+    # as many as there are texts with candidates: never broadcast, at whatever size
+    texts = materialize(texts.join(chosen.hint("merge"), ["key", "r"]).drop("r").dropDuplicates(["key"]), "omh-texts")
+    discard(chosen)
+    spent = [slim, members, texts]
     own = members.withColumns({"s": F.col("n"), "c": F.col("key")})
-    edges = done = label = None
+    edges = done = label = bits = None
     for turn in range(2 * STARS + 1):
         if turn == STARS:
-            own = members = materialize(undecided(own, texts), "omh-mixed")
-        pairs = across(own) if turn == 2 * STARS else to_centre(own, edges, turn)
+            own, bits = undecided(own, texts)
+            own = members = materialize(own, "omh-mixed")
+            spent.append(members)
+        pairs = across(own, bits) if turn == 2 * STARS else to_centre(own, edges, turn)
         pairs = pairs.distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "omh-pairs", slim=True)
         found = verified(pairs, texts, "omh-links")
+        spent += [pairs, found]
         done = pairs if done is None else done.unionByName(pairs)
         edges = found if edges is None else edges.unionByName(found)
         # labels of one step are hints that keep only some of the links; whole labels start from all links
         links = edges if turn == 2 * STARS - 1 else found
         known = links if label is None else links.unionByName(label.select(F.col("key").alias("a"), F.col("label").alias("b")))
         label = components(known, rounds=1 if turn < 2 * STARS - 1 else None)
+        spent.append(label)
         own = members.drop("c").join(label, "key", "left").withColumns({"c": F.coalesce("label", "key"), "s": F.col("s") if "s" in members.columns else F.col("n")}).drop("label")
     keyed = slim.select("id", "key").join(label, "key", "left").select("id", "key", F.coalesce("label", "key").alias("class"))
     keyed = materialize(keyed, "omh-keyed")
     heads = materialize(keyed.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "omh-classes")
+    discard(*spent)
     out = keyed.join(heads, "class", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), *[F.col("key")] * with_key)
 

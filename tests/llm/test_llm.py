@@ -250,6 +250,40 @@ def test_minhash_follows_chains(spark):
     assert got == {i: root(i) for i, _ in rows}
 
 
+def test_bits_never_bound_too_low(spark):
+    rng = random.Random(21)
+    vocab = ["v%d" % i for i in range(300)]
+    base = [rng.choice(vocab) for _ in range(400)]
+    hashes, known = [], minhash.Hashes()
+    for _ in range(12):
+        w = list(base)
+        for j in rng.sample(range(400), rng.randint(0, 20)):
+            w[j] = rng.choice(vocab)
+        hashes.append(minhash.labelled(minhash.kmers([x.encode() for x in w], known)))
+    rows = [(i, len(h), [int(x) for x in minhash.bits_of(h)]) for i, h in enumerate(hashes)] + [(99, 300, None)]
+    a = spark.createDataFrame(rows, "i int, n long, x array<long>")
+    b = a.withColumnsRenamed({"i": "j", "n": "m", "x": "y"})
+    got = {(r["i"], r["j"]): r["ok"] for r in a.crossJoin(b).select("i", "j", minhash.may_share(F.col("n"), F.col("m"), F.col("x"), F.col("y")).alias("ok")).collect()}
+    similar = lambda p, q: len(set(p.tolist()) & set(q.tolist())) / len(set(p.tolist()) | set(q.tolist()))
+    pairs = [(i, j) for i in range(12) for j in range(12)]
+    assert all(got[i, j] for i, j in pairs if similar(hashes[i], hashes[j]) >= minhash.LEAST)
+    assert all(got[99, j] for j in range(12))
+    assert not all(got[i, j] for i, j in pairs)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_minhash_recall_on_the_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r["doc_id"], minhash.words_of(r["text"])) for r in docs.filter("text IS NOT NULL").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    n = found = 0
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if x and y and minhash.aligned_similarity(x, y) >= minhash.LEAST:
+                n, found = n + 1, found + (got[a] == got[b])
+    assert n > 5 and found >= 0.99 * n
+
+
 def test_dedup_keeps_one(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, None), (5, "other words"), (5, "a b c d e f g"), (None, "a b c d e f g"), (1, "a b c d e f g")]
     got = sorted(minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: (r["doc_id"] or 0, r["text"] or ""))
