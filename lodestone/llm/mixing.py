@@ -157,8 +157,8 @@ def mix_documents(
     spark = docs.sparkSession
     own = ("size", "sources", "source_sizes", "targets", "copies", "taken")
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in own]
-    pattern, order, row, pid, whole, rest, buckets, bucket, cut, room, some = unused(
-        [*names, *own], "pattern_", "order_", "row_", "pid_", "whole_", "rest_", "buckets_", "bucket_", "cut_", "room_", "some_"
+    pattern, order, row, pid, whole, rest, buckets, bucket, cut, room, some, ties_, tie_size, slice_, before, place = unused(
+        [*names, *own], "pattern_", "order_", "row_", "pid_", "whole_", "rest_", "buckets_", "bucket_", "cut_", "room_", "some_", "ties_", "tie_size_", "slice_", "before_", "place_"
     )
     col = lambda c: F.col(f"`{c}`")
     member = col(member_col)
@@ -217,15 +217,15 @@ def mix_documents(
         return ties[[pid, order, "size", "n", some]]
 
     chosen = tied.groupBy(pid).applyInPandas(fill, f"`{pid}` int, `{order}` long, size long, n long, `{some}` long")
-    chosen = materialize(chosen.withColumnRenamed("size", "tie_size"), "mix-chosen")
-    edge = edge.join(chosen, (edge[pid] == chosen[pid]) & (edge[order] == chosen[order]) & (edge["size"] == chosen["tie_size"])).drop(chosen[pid], chosen[order]).drop("tie_size")
-    all_or_none = edge.filter((F.col(some) == 0) | (F.col(some) == F.col("n"))).withColumn("copies", F.col(whole) + (F.col(some) > 0).cast("long"))
+    chosen = materialize(chosen.withColumnsRenamed({"size": tie_size, "n": ties_}), "mix-chosen")
+    edge = edge.join(chosen, (edge[pid] == chosen[pid]) & (edge[order] == chosen[order]) & (edge["size"] == chosen[tie_size])).drop(chosen[pid], chosen[order]).drop(tie_size)
+    all_or_none = edge.filter((F.col(some) == 0) | (F.col(some) == F.col(ties_))).withColumn("copies", F.col(whole) + (F.col(some) > 0).cast("long"))
     # of a group that fits in part, the first rows; rows are numbered within slices of their table and slices are counted
-    part = edge.filter((F.col(some) > 0) & (F.col(some) < F.col("n"))).withColumn("slice", F.floor(F.col(row) / 2**33))
-    counts = part.groupBy(pid, order, "slice").agg(F.count("*").alias("here"))
-    up = Window.partitionBy(pid, order).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(up), F.lit(0))).drop("here")
-    place = F.row_number().over(Window.partitionBy(pid, order, "slice").orderBy(row))
-    part = part.withColumn("place", place).join(counts, [pid, order, "slice"]).withColumn("copies", F.col(whole) + (F.col("before") + F.col("place") <= F.col(some)).cast("long"))
-    result = [*[col(c) for c in names], "size", "sources", "source_sizes", "targets", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    part = edge.filter((F.col(some) > 0) & (F.col(some) < F.col(ties_))).withColumn(slice_, F.floor(F.col(row) / 2**33))
+    counts = part.groupBy(pid, order, slice_).agg(F.count("*").alias("here"))
+    up = Window.partitionBy(pid, order).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(pid, order, slice_, F.coalesce(F.sum("here").over(up), F.lit(0)).alias(before))
+    part = part.withColumn(place, F.row_number().over(Window.partitionBy(pid, order, slice_).orderBy(row))).join(counts, [pid, order, slice_])
+    part = part.withColumn("copies", F.col(whole) + (F.col(before) + F.col(place) <= F.col(some)).cast("long"))
+    result = [*[col(c) for c in names], "size", "sources", "source_sizes", "targets", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
     return sure.select(*result).unionByName(all_or_none.select(*result)).unionByName(part.select(*result))

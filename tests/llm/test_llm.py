@@ -511,12 +511,16 @@ def test_licenses(spark):
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
             words = licenses.words_of(t)
-            found = scanner.find([b"noise"] * 40 + words + [b"noise"] * 40 + words)
-            assert found[0][1:] == (40, 40 + len(words), 1.0) and len(found) == 2, name
+            found = scanner.find([b"noise"] * 400 + words + [b"noise"] * 400 + words)
+            assert found[0][1:] == (400, 400 + len(words), 1.0) and len(found) == 2, name
+            assert found[0][0] == name
     words = licenses.words_of(licenses.TEMPLATES["MIT"][1])
     words[10] = words[30] = b"changed"
     assert scanner.find(words)[0][0] == "MIT"
     assert scanner.find(licenses.words_of("the license of the software and the public general version under")) == []
+    # words of a template over and over are no license, and cost no alignment for each of them
+    began = time.perf_counter()
+    assert scanner.find([b"software", b"the", b"of", b"copyright"] * 20_000) == [] and time.perf_counter() - began < 10
     a, b = list("abcXdefg"), list("abcdYefg")
     assert patience_ok(licenses.patience(a, b), a, b)
 
