@@ -159,7 +159,7 @@ def find_contamination(
     """Columns ``carry`` (default: all) plus ``n_words``, ``spans`` (word spans inside benchmark windows) and ``items``.
 
     Every whole text is searched for every window. The search tables of one
-    block of items are broadcast at a time (some 300 bytes a word, about 100 MB
+    block of items are broadcast at a time (some 400 bytes a word, about 120 MB
     at the default ``block_bytes``). A larger benchmark takes a pass over the
     source for each block, which keeps only the spans found, by digest of the
     text; texts are never written. Null or word-less texts have no words and no
