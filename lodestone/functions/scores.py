@@ -19,6 +19,15 @@ def idf(df: Column, total: Column) -> Column:
     return F.when(x > 1, F.sqrt(x)).otherwise(x)
 
 
+def shared_weight(n: Column, same: Column, factor: float) -> Column:
+    """What each of ``n`` packages of one project (or author) adds: less with their number, and for its own project by ``factor``."""
+    return F.when(same, factor).otherwise(1.0) / F.sqrt(n.cast("double"))
+
+
+# The factors of a package's own project and own author.
+OWN_PROJECT, OWN_AUTHOR = 0.1, 0.5
+
+
 def legacy_factor(now: Column) -> Column:
     out = None
     for day, factor in LEGACY_FACTORS:

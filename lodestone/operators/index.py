@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import paths, sentences, tokens
+from ..functions import paths, sentences, tokens, zeros
 from ..sources.snapshots import Segments, keep, save
 from . import graph
 
@@ -22,14 +22,19 @@ HEAVY = ("description", "readme_fn", "readme_data", "imported", "test_imported")
 
 def clean(docs: DataFrame) -> DataFrame:
     """Nulls as zero values, self-imports taken out, test imports without normal ones, authors filled in."""
-    text = {c: F.coalesce(c, F.lit("")) for c in ("name", "synopsis", "description", "project_url", "readme_fn", "readme_data")}
+    text = {c: zeros.text(F.col(c)) for c in ("name", "synopsis", "description", "project_url", "readme_fn", "readme_data")}
     empty = F.array().cast("array<string>")
     own = F.array("package")
     normal = F.array_except(F.coalesce("imports", empty), own)
-    out = docs.withColumns(text | {"star_count": F.coalesce("star_count", F.lit(0)), "exported": F.coalesce("exported", empty), "test_imports": F.array_except(F.array_except(F.coalesce("test_imports", empty), normal), own)})
+    out = docs.withColumns(text | {"star_count": zeros.number(F.col("star_count")), "exported": zeros.strings(F.col("exported")), "test_imports": F.array_except(F.array_except(F.coalesce("test_imports", empty), normal), own)})
     return out.withColumn("imports", normal).withColumn("author", F.coalesce(F.nullif("author", F.lit("")), paths.author(F.col("package"))))
 
 
+def searched(*fields: str | Column) -> Column:
+    """The text whose tokens are the union of those of the fields: a line break parts blocks."""
+    return F.concat_ws("\n", *fields)
+
+
 def import_edges(docs: DataFrame) -> DataFrame:
     one = lambda c, test: docs.select(F.col("package").alias("importer"), F.explode(c).alias("imported"), F.lit(test).alias("test"))
     return one("imports", False).unionByName(one("test_imports", True)).distinct()
@@ -50,7 +55,7 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))
     hits = hits.withColumn("important_sentences", sentences.important_sentences(readme, "name", "package"))
     full = keep(graph.ranked(hits), "index-hits")
-    text = F.concat_ws("\n", "name", "package", "description", "readme_data", "author", F.array_join("exported", "\n"))
+    text = searched("name", "package", "description", "readme_data", "author", F.array_join("exported", "\n"))
     words = tokens.tokenize(full.select("doc_id", text.alias("t")), "doc_id", "t").select(F.lit("text").alias("field"), "token", "doc_id")
     names = tokens.tokenize(full.select("doc_id", F.col("name").alias("t")), "doc_id", "t").select(F.lit("name").alias("field"), "token", "doc_id")
     ids = full.select(F.lit("pkg").alias("field"), F.col("package").alias("token"), "doc_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, sentences
+from ..functions import paths, sentences, zeros
+from ..sources.snapshots import save
 
 README_BYTES = 100 * 1024
 # Fixed value: hosts that answer no more.
@@ -41,20 +42,23 @@ def exported(functions: Column, types: Column) -> Column:
     return F.array_union(functions, types)
 
 
-def to_doc(crawled: DataFrame, now: Column) -> DataFrame:
-    """Crawled packages in the shape of documents: author from the path, updated now, valid imports only."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+def to_doc(crawled: DataFrame, now: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Crawled packages in the shape of documents: author from the path, updated now, valid imports only.
+
+    ``carry`` names further columns to keep.
+    """
+    text = lambda c: zeros.text(F.col(c))
     return crawled.select(
-        text("name").alias("name"), "package", paths.author(F.col("package")).alias("author"), now.cast("timestamp").alias("last_updated"), F.coalesce("star_count", F.lit(0)).alias("star_count"),
+        text("name").alias("name"), "package", paths.author(F.col("package")).alias("author"), now.cast("timestamp").alias("last_updated"), zeros.number(F.col("star_count")).alias("star_count"),
         F.when((text("synopsis") == "") & (text("doc") == ""), sentences.synopsis(text("readme_data"))).otherwise(text("synopsis")).alias("synopsis"), text("doc").alias("description"), text("project_url").alias("project_url"),
-        text("readme_fn").alias("readme_fn"), cut_bytes(text("readme_data"), README_BYTES).alias("readme_data"), remote_only(F.col("imports")).alias("imports"), remote_only(F.col("test_imports")).alias("test_imports"), F.col("exported"),
+        text("readme_fn").alias("readme_fn"), cut_bytes(text("readme_data"), README_BYTES).alias("readme_data"), remote_only(F.col("imports")).alias("imports"), remote_only(F.col("test_imports")).alias("test_imports"), F.col("exported"), *carry,
     )
 
 
 def to_record(crawled: DataFrame, now: Column) -> DataFrame:
     """Crawled packages in the shape of the store: the document's fields, references and the crawl time, by site and path."""
-    doc = to_doc(crawled, now)
-    return doc.join(crawled.select("package", "references"), "package").select(paths.site(F.col("package")).alias("site"), paths.rest(F.col("package")).alias("path"), "*").withColumn("crawl_time", F.col("last_updated"))
+    doc = to_doc(crawled, now, ("references",))
+    return doc.select(paths.site(F.col("package")).alias("site"), paths.rest(F.col("package")).alias("path"), "*").withColumn("crawl_time", F.col("last_updated"))
 
 
 def touch(feed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -70,12 +74,20 @@ def append_persons(persons: DataFrame, found: DataFrame, now: Column) -> DataFra
 
 
 def token_index(rows: DataFrame, id_col: str, token_col: str) -> tuple[DataFrame, DataFrame]:
-    """Sorted token sets by id, and id sets by token."""
+    """Sorted token sets by id, and the ids of tokens, one row each: a common token has too many for a list."""
     pairs = rows.select(id_col, token_col).distinct()
-    return (
-        pairs.groupBy(id_col).agg(F.array_sort(F.collect_set(token_col)).alias("tokens")),
-        pairs.groupBy(token_col).agg(F.array_sort(F.collect_set(id_col)).alias("ids")),
-    )
+    return pairs.groupBy(id_col).agg(F.array_sort(F.collect_list(token_col)).alias("tokens")), pairs.select(token_col, id_col)
+
+
+def save_token_index(pairs: DataFrame, path: str) -> None:
+    """The rows of a token index, sorted by token, so that a lookup reads few row groups."""
+    save(pairs.repartitionByRange(*pairs.columns).sortWithinPartitions(*pairs.columns), path)
+
+
+def ids_of(pairs: DataFrame, token: str) -> DataFrame:
+    """The ids of one token of a token index (token, id)."""
+    by, own = pairs.columns
+    return pairs.filter(F.col(by) == token).select(own)
 
 
 def actions(crawled: DataFrame, now: Column) -> DataFrame:

@@ -73,6 +73,37 @@ def folders(files: DataFrame) -> DataFrame:
     return out.select("folder", F.when(F.size("names") == 1, F.get("names", F.lit(0))).alias("name"), "description", "imports", "test_imports", error.alias("error"))
 
 
+def info_age(crawl_time: Column, now: Column) -> Column:
+    """Seconds since a repository record was read."""
+    return F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(crawl_time.cast("timestamp"))
+
+
+def info_holds(crawl_time: Column, now: Column) -> Column:
+    """Whether a repository record is young enough to be used again: below two days."""
+    return F.coalesce(info_age(crawl_time, now) < 2 * 86400, F.lit(False))
+
+
+def put(packages: Column, path: Column, package: Column) -> Column:
+    """A map of packages with one put into it."""
+    return F.map_concat(F.map_filter(packages, lambda k, _: k != path), F.create_map(path, package))
+
+
+# Fixed value: what a search for repositories is narrowed to.
+LANGUAGE = "language:go"
+
+
+def search_query(q: Column) -> Column:
+    return F.when(q.contains(LANGUAGE), q).otherwise(F.trim(F.concat(q, F.lit(" " + LANGUAGE))))
+
+
+def feed_skips(feed: DataFrame) -> DataFrame:
+    """How many rows of a search feed have no owner or time, and how many others no user or path."""
+    user = F.coalesce(F.nullif("owner_name", F.lit("")), F.col("owner_login"))
+    no_owner = (F.col("owner_name").isNull() & F.col("owner_login").isNull()) | F.col("updated_at").isNull()
+    empty = (F.coalesce(user, F.lit("")) == "") | (F.coalesce("path", F.lit("")) == "")
+    return feed.agg(F.count("*").alias("total"), F.count_if(no_owner).alias("no_owner_or_time"), F.count_if(~no_owner & empty).alias("no_user_or_path"))
+
+
 def touched(feed: DataFrame) -> DataFrame:
     """Usable rows of a search feed: owner's name, else login; rows without owner, time, user or path are left out."""
     user = F.coalesce(F.nullif("owner_name", F.lit("")), F.col("owner_login"))

@@ -46,7 +46,7 @@ def queue(entries: DataFrame, docs: DataFrame, now: Column, hosts: list[str], ne
     """Due entries with ``in_docs``; unknown packages first, then the earliest, within each host."""
     known = docs.select(F.col("package").alias("id")).distinct().withColumn("in_docs", F.lit(True))
     rows = on_hosts(without_vendor(due(entries, now)), hosts, never).join(known, "id", "left").withColumn("in_docs", F.coalesce("in_docs", F.lit(False)))
-    return rows.withColumn("etag", F.when(F.col("version") < VERSION, "").otherwise(F.col("etag")))
+    return current_etags(rows)
 
 
 def write_queue(rows: DataFrame, path: str) -> None:
@@ -54,9 +54,19 @@ def write_queue(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("host", "in_docs", "schedule_time", "id").sortWithinPartitions("host", "in_docs", "schedule_time", "id").write.mode("overwrite").partitionBy("host").parquet(path)
 
 
+def dealt(key: Column, seed: int, among: int) -> Column:
+    """A number below ``among`` that only key and seed decide, so that reruns agree."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % among
+
+
 def forget_etags(entries: DataFrame, one_in: int = 10, seed: int = 0) -> DataFrame:
     """Every so-manieth entry, by hash, loses its etag and so is read anew."""
-    return entries.withColumn("etag", F.when(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(one_in)) == 0, "").otherwise(F.col("etag")))
+    return entries.withColumn("etag", F.when(dealt(F.col("id"), seed, one_in) == 0, "").otherwise(F.col("etag")))
+
+
+def current_etags(entries: DataFrame) -> DataFrame:
+    """Entries of an older version have no etag that counts."""
+    return entries.withColumn("etag", F.when(F.col("version") < VERSION, "").otherwise(F.col("etag")))
 
 
 def age_statistics(rows: DataFrame, now: Column) -> DataFrame:
@@ -95,7 +105,7 @@ def append_new(entries: DataFrame, found: DataFrame, docs: DataFrame, now: Colum
 
 def next_crawl(now: Column, days: int, key: Column, seed: int = 0) -> Column:
     """``days`` from now, plus or minus a tenth by the hash of ``key``."""
-    spread = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_001)) / 1_000_000.0
+    spread = dealt(key, seed, 1_000_001) / 1_000_000.0
     return F.timestamp_seconds(F.unix_timestamp(now) + (days * 86400 * (0.9 + 0.2 * spread)).cast("long"))
 
 

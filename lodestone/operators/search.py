@@ -78,4 +78,45 @@ def pages(entries: int, size: int = PAGE) -> int:
 
 def page_links(number: int, total: int, reach: int = 10) -> dict:
     """Page numbers before and after, and the previous and next one (0: none)."""
-    return {"before": [p for p in range(1, number) if number - p < reach], "after": [p for p in range(number + 1, total + 1) if p - number < reach], "prev": number - 1 if number > 1 else 0, "next": number + 1 if number < total else 0}
+    there = lambda p: p if 0 < p <= total else 0
+    near = [p for p in range(1, total + 1) if abs(p - number) < reach]
+    return {"before": [p for p in near if p < number], "after": [p for p in near if p > number], "prev": there(number - 1), "next": there(number + 1)}
+
+
+def page_link_columns(number: Column, total: Column, reach: int = 10) -> dict[str, Column]:
+    """``page_links`` as columns."""
+    all_pages = F.when(total > 0, F.sequence(F.lit(1), F.greatest(total, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    there = lambda p: F.when((p > 0) & (p <= total), p).otherwise(0)
+    return {
+        "before": F.filter(all_pages, lambda p: (p < number) & (number - p < reach)), "after": F.filter(all_pages, lambda p: (p > number) & (p - number < reach)),
+        "prev": there(number - 1), "next": there(number + 1),
+    }
+
+
+# The columns of a hit as the interface returns it, with their keys there.
+API_KEYS = {"name": "name", "package": "package", "author": "author", "synopsis": "synopsis", "description": "description", "project_url": "projecturl"}
+
+
+def as_json(keys: dict[str, str]) -> Column:
+    """One JSON object of the columns in ``keys`` under their names there; nulls are kept."""
+    return F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items()]), {"ignoreNullFields": "false"})
+
+
+def shows_readme(description: Column, readme: Column) -> Column:
+    """Whether the page of a package shows its readme: there is one, and hardly a description."""
+    return (F.octet_length(description) < 10) & (F.octet_length(readme) > 0)
+
+
+def badge(place: Column) -> Column:
+    """A picture of a package's place, counted from one."""
+    return F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="100" height="20"><text x="4" y="14">rank %d</text></svg>', place)
+
+
+def badge_snippets(base: str, pkg: Column) -> dict[str, Column]:
+    """How a page shows the badge of a package: ``html`` and ``markdown``; ``base`` is the address of the service."""
+    id_ = F.url_encode(pkg)
+    picture, page_ = F.concat(F.lit(f"{base}/badge?id="), id_), F.concat(F.lit(f"{base}/view?id="), id_)
+    return {
+        "html": F.concat(F.lit('<a href="'), page_, F.lit('"><img src="'), picture, F.lit('" alt="rank"></a>')),
+        "markdown": F.concat(F.lit("[![rank]("), picture, F.lit(")]("), page_, F.lit(")")),
+    }

@@ -101,7 +101,7 @@ class Engine:
     def view(self, name: str) -> DataFrame:
         """``package`` with whether its readme is worth showing, cut to 20 KiB."""
         rows = self.package(name)
-        return rows.withColumn("show_readme", (F.octet_length("description") < 10) & (F.octet_length("readme_data") > 0)).withColumn("readme_data", packages.cut_bytes(F.col("readme_data"), 20 * 1024))
+        return rows.withColumn("show_readme", search.shows_readme(F.col("description"), F.col("readme_data"))).withColumn("readme_data", packages.cut_bytes(F.col("readme_data"), 20 * 1024))
 
     def packages(self) -> DataFrame:
         return self.hits.select("package", "doc_id").orderBy("doc_id").select("package")
@@ -117,7 +117,7 @@ class Engine:
         return self.hits.agg(F.count("*").alias("packages"), F.countDistinct("project_url").alias("projects"))
 
     def badge(self, name: str) -> DataFrame:
-        return self.hits.filter(F.col("package") == name).select(F.format_string("<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"100\" height=\"20\"><text x=\"4\" y=\"14\">rank %d</text></svg>", F.col("static_rank") + 1).alias("svg"))
+        return self.hits.filter(F.col("package") == name).select(search.badge(F.col("static_rank") + 1).alias("svg"))
 
     def found(self, q: str) -> DataFrame:
         """The first hits of a query as the interface returns them, best first."""
@@ -148,7 +148,7 @@ class Engine:
             bodies = [json.dumps(lists[k], ensure_ascii=False) for k in ("Hot", "Hot Test", "Most Imported", "Sites") if k in lists]
         elif action == "search":
             q = str(params.get("q", "")).strip()
-            hits = self._json(self.found(q), {"name": "name", "package": "package", "author": "author", "synopsis": "synopsis", "description": "description", "project_url": "projecturl"})
+            hits = self._json(self.found(q), search.API_KEYS)
             return self._say(200, '{"query":' + json.dumps(q, ensure_ascii=False) + ',"hits":[' + ",".join(hits) + "]}", callback)
         else:
             return self._say(400, json.dumps(f"Unknown action: {action}"), callback)
@@ -156,7 +156,7 @@ class Engine:
 
     def _json(self, rows: DataFrame, keys: dict[str, str]) -> list[str]:
         """One JSON object for each row, in the order of the rows; ``keys`` renames its columns."""
-        return [r["j"] for r in rows.select(F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items()]), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
+        return [r["j"] for r in rows.select(search.as_json(keys).alias("j")).toLocalIterator()]
 
     def _say(self, code: int, body: str, callback: str) -> tuple[int, str]:
         name = "".join(c for c in callback if c.isascii() and (c.isalnum() or c in "_$"))

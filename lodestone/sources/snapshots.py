@@ -133,6 +133,18 @@ def newest(names: DataFrame, col: str = "name") -> DataFrame:
     return names.agg(F.max_by(col, F.struct(number.isNotNull(), number, F.col(col))).alias("name"))
 
 
+def next_free(names: DataFrame, col: str = "name") -> DataFrame:
+    """The smallest number that no name of a table of segment names is."""
+    used = names.select(F.col(col).try_cast("int").alias("n")).filter("n >= 0").distinct()
+    after = used.select((F.col("n") + 1).alias("n")).unionByName(names.sparkSession.range(1).select(F.col("id").cast("int").alias("n")))
+    return after.join(used, "n", "left_anti").agg(F.min("n").alias("name"))
+
+
+def next_max(names: DataFrame, col: str = "name") -> DataFrame:
+    """One more than the greatest name; 0 if there is none or it is no number."""
+    return newest(names, col).select(F.coalesce(F.col("name").try_cast("int") + 1, F.lit(0)).alias("name"))
+
+
 def links(df: DataFrame, json_col: str) -> DataFrame:
     """Exploded elements of a JSON array of strings."""
     return df.select(F.explode(F.from_json(json_col, "array<string>")).alias("package"))

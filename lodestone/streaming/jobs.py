@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import merge as merging
+from ..operators import tops
 from ..operators.history import DEPTH
 from ..sources.snapshots import load, save
 
@@ -56,6 +57,33 @@ def merge_actions(actions: DataFrame, docs_path: str, schema, checkpoint: str):
     return actions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def flush_metrics(metrics: DataFrame, path: str, checkpoint: str, seconds: int = 60):
+    """Every so often, the metrics (name, method, value) that came in since, reduced by their method, go to ``path``."""
+
+    def one(batch: DataFrame, n: int) -> None:
+        tops.rollup(batch).withColumn("flush", F.lit(n)).write.mode("append").parquet(path)
+
+    return metrics.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+
+
+def until(running, seconds: float) -> bool:
+    """Waits for a streaming query to end, at most so long; then it is stopped. Whether it ended by itself."""
+    ended = running.awaitTermination(seconds)
+    if not ended:
+        running.stop()
+    return bool(ended)
+
+
+def rounds(stages: list, more) -> int:
+    """Runs the stages one after another as long as ``more()`` says so. Number of rounds."""
+    n = 0
+    while more():
+        for stage in stages:
+            stage()
+        n += 1
+    return n
+
+
 def newest_segment(engine, seconds: int = 30):
     """A rate stream that makes ``engine`` look for a newer segment every so often."""
     ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()

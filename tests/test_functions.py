@@ -171,3 +171,4 @@ def test_pages():
     assert pages(0) == 0 and pages(11) == 2
     assert page_links(1, 3) == {"before": [], "after": [2, 3], "prev": 0, "next": 2}
     assert page_links(20, 40)["before"] == list(range(11, 20))
+    assert page_links(9, 3) == {"before": [1, 2, 3], "after": [], "prev": 0, "next": 0} and page_links(1, 0)["next"] == 0

@@ -273,3 +273,21 @@ def test_streams(spark, tmp_path):
     own = StructType.fromDDL(schema)
     jobs.merge_actions(spark.readStream.schema(schema + ", action string").parquet(acts), f"file://{tmp_path}/docs", own, f"{tmp_path}/cp2").start().awaitTermination(120)
     assert load(spark, f"file://{tmp_path}/docs", own).count() == 2
+
+
+def test_metrics_are_flushed_until_the_deadline(spark, tmp_path):
+    spark.createDataFrame([("a", "sum", 1.0), ("a", "sum", 2.0), ("b", "max", 5.0), ("b", "max", 4.0)], "name string, method string, value double").write.json(str(tmp_path / "in"))
+    metrics = spark.readStream.schema("name string, method string, value double").json(str(tmp_path / "in"))
+    running = jobs.flush_metrics(metrics, str(tmp_path / "out"), str(tmp_path / "c"), 1).start()
+    try:
+        running.processAllAvailable()
+        assert not jobs.until(running, 0.1) and not running.isActive
+    finally:
+        running.stop()
+    assert {(r["name"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 3.0), ("b", 5.0)}
+
+
+def test_rounds_of_stages():
+    log, left = [], iter([True, True, False])
+    assert jobs.rounds([lambda: log.append("crawl"), lambda: log.append("index")], lambda: next(left)) == 2
+    assert log == ["crawl", "index"] * 2
