@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ WIDE, WIDE_SKETCHES, WIDE_LENGTH = 16, 100, 12
 WIDE_SHORT, WIDE_SHORT_SKETCHES, WIDE_SHORT_LENGTH = 200, 24, 4
 #: Cells of the bit sets that bound how many k-mers two texts of wide buckets share.
 BITS = 4096
+#: Bytes, or ranks, that are worked on at a time: what a very long text takes besides grows with its words only.
+PIECE = 1 << 20
 FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -50,26 +51,42 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 ODD = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-
-
-def kmers(words: list[bytes], known: Hashes) -> np.ndarray:
-    """Hashes of the k-mers; a text of fewer than five words is one k-mer."""
-    w = np.fromiter((known[x] for x in words), dtype=np.uint64, count=len(words))
+#: One for each place of a k-mer in its sketch, so that the order counts.
+PLACES = ODD[-WIDE_LENGTH:]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of ``words_of`` a text: the sum of the mixed bytes of a word with their places in it."""
+    plain = text.lower().encode("utf-8", "surrogatepass").translate(FOLD)
+    folded = np.frombuffer(plain, dtype=np.uint8)
+    out, start = [], 0
+    while start < len(folded):
+        end = plain.find(b" ", start + PIECE)  # a word is not cut
+        end = len(folded) if end < 0 else end
+        at = np.flatnonzero(folded[start:end] != 32)
+        if len(at):
+            first = np.ones(len(at), dtype=bool)
+            first[1:] = at[1:] != at[:-1] + 1
+            starts = np.flatnonzero(first)
+            place = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+            letters = folded[start:end][at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)
+            out.append(mix(np.add.reduceat(mix(letters), starts)))
+        start = end
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
+
+def kmers(w: np.ndarray) -> np.ndarray:
+    """Hashes of the k-mers of a text with such word hashes, one at least; a text of fewer than five words is one k-mer."""
     k = min(K, len(w))
     n = len(w) - k + 1
     h = np.zeros(n, dtype=np.uint64)
@@ -80,10 +97,13 @@ def kmers(words: list[bytes], known: Hashes) -> np.ndarray:
 
 def labelled(h: np.ndarray) -> np.ndarray:
     """k-mer hashes told apart by occurrence number."""
+    s = np.sort(h)
+    if not (s[1:] == s[:-1]).any():
+        return mix(h)
     order = np.argsort(h, kind="stable")
     s = h[order]
     at = np.arange(len(s))
-    first = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], at, 0))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), at, 0))
     out = np.empty_like(h)
     out[order] = mix(s + (at - first).astype(np.uint64) * ODD[20])
     return out
@@ -104,12 +124,11 @@ def sketches(h: np.ndarray, wide: bool = False) -> np.ndarray:
     for count, length, offset in sets:
         size = min(length, len(h))
         seeds = ODD[offset : offset + count, None]
-        ranks = mix(own[None, :] * seeds)
-        picked = np.sort(np.argpartition(ranks, size - 1, axis=1)[:, :size], axis=1)
-        value = mix(seeds[:, 0] + np.uint64(size))
-        for j in range(size):
-            value = mix(value * ODD[21] + own[picked[:, j]])
-        out.append(value)
+        step = max(1, PIECE // len(h))
+        picked = np.concatenate([np.argpartition(mix(own[None, :] * seeds[i : i + step]), size - 1, axis=1)[:, :size] for i in range(0, count, step)])
+        picked.sort(axis=1)
+        together = np.add.reduce(mix(own[picked] * PLACES[:size]), axis=1)
+        out.append(mix(together + mix(seeds[:, 0] + np.uint64(size))))
     return np.concatenate(out)
 
 
@@ -153,12 +172,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = "id {}, key binary, n long, values array<long>".format(dict(given.dtypes)["id"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in it:
             counts, values = [], []
-            for text in b.column(2).to_pylist():
-                words = words_of(text) if text else []
-                h = kmers(words, known) if words else np.empty(0, dtype=np.uint64)
+            for text in b.column(2):
+                w = word_hashes(text.as_py() or "")
+                h = kmers(w) if len(w) else w
                 counts.append(len(h))
                 values.append(sketches(h).view(np.int64) if len(h) else np.empty(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["id", "key", "n", "values"])
@@ -243,9 +261,8 @@ def undecided(own: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in it:
-            hashes = [kmers(words_of(t), known) for t in b.column(3).to_pylist()]
+            hashes = [kmers(word_hashes(t.as_py())) for t in b.column(3)]
             own = [labelled(h) for h in hashes]
             values = [sketches(h, wide=True).view(np.int64) for h in hashes]
             halves = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=">i8").astype(np.int64).reshape(-1, 2)

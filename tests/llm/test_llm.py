@@ -202,6 +202,23 @@ def test_minhash_finds_copies(spark):
     assert all(got[a] == got[b] for a, b in pairs)
 
 
+def test_word_hashes_stand_for_the_words(monkeypatch):
+    rng = random.Random(31)
+    letters = "abB9é \n.-ß\U0001f600"
+    texts = ["", " .,", "x" * 50] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    whole = [minhash.word_hashes(t).tolist() for t in texts]
+    known = {}
+    for text, hashes in zip(texts, whole, strict=True):
+        words = minhash.words_of(text)
+        assert len(words) == len(hashes) and all(known.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(known.values())) == len(known)
+    sketched = [minhash.sketches(minhash.kmers(np.array(h, dtype=np.uint64)), wide=True).tolist() for h in whole if h]
+    # long texts come in pieces, and long matrices of ranks in blocks
+    monkeypatch.setattr(minhash, "PIECE", 7)
+    assert [minhash.word_hashes(t).tolist() for t in texts] == whole
+    assert [minhash.sketches(minhash.kmers(np.array(h, dtype=np.uint64)), wide=True).tolist() for h in whole if h] == sketched
+
+
 def test_second_family_finds_short_texts():
     rng = np.random.default_rng(12)
 
@@ -254,12 +271,12 @@ def test_bits_never_bound_too_low(spark):
     rng = random.Random(21)
     vocab = ["v%d" % i for i in range(300)]
     base = [rng.choice(vocab) for _ in range(400)]
-    hashes, known = [], minhash.Hashes()
+    hashes = []
     for _ in range(12):
         w = list(base)
         for j in rng.sample(range(400), rng.randint(0, 20)):
             w[j] = rng.choice(vocab)
-        hashes.append(minhash.labelled(minhash.kmers([x.encode() for x in w], known)))
+        hashes.append(minhash.labelled(minhash.kmers(minhash.word_hashes(" ".join(w)))))
     rows = [(i, len(h), [int(x) for x in minhash.bits_of(h)]) for i, h in enumerate(hashes)] + [(99, 300, None)]
     a = spark.createDataFrame(rows, "i int, n long, x array<long>")
     b = a.withColumnsRenamed({"i": "j", "n": "m", "x": "y"})
