@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, minhash, mixing, packing, pii, quality_classifier, quality_rules, retrieval, sharding, toxicity
+from . import chat, decontam, late, licenses, minhash, mixing, packing, pii, quality_classifier, quality_rules, retrieval, sharding, toxicity
 from .common import held_out, text_of, word_count
 
 
@@ -170,6 +172,24 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def with_copies(sales: DataFrame) -> DataFrame:
+    """``sales`` and the later copies that its contract adds."""
+    kinds = {f.name: f.dataType for f in sales.schema.fields}
+    h, day = F.crc32(F.col("sale_id").cast("string").cast("binary")), F.floor(late.micros("sold_at", kinds["sold_at"]) / F.lit(late.DAY).cast("decimal(20,0)"))
+    again = sales.filter((h % 3 == 0) & (day % 7 == 0))
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    moved = {"total": F.col("total") + 1, "sold_at": F.col("sold_at") + days(h % 2), "arrived_at": F.col("arrived_at") + days(1 + h % 97)}
+    return sales.unionByName(again.select(*[moved.get(c, F.col(c)).alias(c) for c in sales.columns]))
+
+
+def op13_late_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = table(spark, sf_dir, "sales")
+    size = 1 + sales.count() // 700
+    root, cutoff = late.new_folder(spark, "late-sales"), int(datetime(2024, 4, 10, tzinfo=UTC).timestamp()) * 1_000_000
+    touched = late.lay_out(with_copies(sales), cutoff, size, root)
+    return late.describe(spark, root, sales.schema, touched)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -183,5 +203,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_ranked_search": op12_ranked_search,
+    "op13_late_partitions": op13_late_partitions,
 }
 ORACLE = {"op1_quality_rules": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "op12_ranked_search": OP12_SQL}
