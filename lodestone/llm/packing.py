@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ WORD = re.compile(rf" ?[{PLAIN}]+(?=[.,;:]*(?:[{BLANK}]|\Z))|[.,;:]+(?=[{BLANK}]
 #: A blank where a text can be parted.
 GAP = re.compile(rf"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 #: Characters looked at a time, and words that are remembered with their ids.
-STRETCH, MEMO = 1 << 20, 1 << 19
+STRETCH, MEMO = 1 << 20, 1 << 20
 #: Ids of words, kept by a worker from task to task, for each tokenizer file.
 KNOWN: dict[str, dict[str, bytes]] = {}
 
@@ -75,13 +76,15 @@ class Encoder:
             gap = GAP.search(text, start + STRETCH)
             end = gap.start() if gap else len(text)
             words = WORD.findall(text, start, end)
-            new = list({w for w in words if w not in known})
+            new = set(words).difference(known)
             if new:
                 if len(known) > MEMO:
                     known.clear()
-                    new = list(set(words))
+                    new = set(words)
+                new = list(new)
                 for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                    ids = e.ids
+                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
             out.append(b"".join(map(known.__getitem__, words)))
             start = end
         return b"".join(out)
