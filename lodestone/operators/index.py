@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import paths, sentences, tokens, zeros
+from ..functions import paths, scores, sentences, tokens, zeros
 from ..sources.snapshots import Segments, keep, save
-from . import graph
+from . import blocks, graph
 
 _strings = T.ArrayType(T.StringType())
 DOC = T.StructType(
@@ -41,7 +41,7 @@ def import_edges(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """``hits_full``, ``hits`` (without heavy columns) and ``postings`` (field, token, doc_id)."""
+    """``hits_full``, ``hits`` (without heavy columns), ``postings`` (field, token, doc_id), and their ``blocks`` and ``ranges``."""
     own = keep(clean(docs).dropDuplicates(["package"]), "index-docs")
     edges = keep(import_edges(own), "index-edges")
     scored = graph.static_scores(own, edges, now, F.col("description")).drop("name")
@@ -54,12 +54,18 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
     hits = hits.withColumns({c: F.coalesce(c, empty) for c in ("imported", "test_imported")})
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))
     hits = hits.withColumn("important_sentences", sentences.important_sentences(readme, "name", "package"))
-    full = keep(graph.ranked(hits), "index-hits")
+    full = keep(graph.ranked(hits).withColumn("range", blocks.range_of(F.col("doc_id"))), "index-hits")
     text = searched("name", "package", "description", "readme_data", "author", F.array_join("exported", "\n"))
     words = tokens.tokenize(full.select("doc_id", text.alias("t")), "doc_id", "t").select(F.lit("text").alias("field"), "token", "doc_id")
     names = tokens.tokenize(full.select("doc_id", F.col("name").alias("t")), "doc_id", "t").select(F.lit("name").alias("field"), "token", "doc_id")
     ids = full.select(F.lit("pkg").alias("field"), F.col("package").alias("token"), "doc_id")
-    return {"hits_full": full, "hits": full.drop(*HEAVY), "postings": words.unionByName(names).unionByName(ids)}
+    postings = keep(words.unionByName(names).unionByName(ids), "index-postings")
+    numbered = full.select(
+        "doc_id", F.col("doc_id").alias("place"), F.greatest("static_score", "test_static_score").alias("prior"), F.lower("name").alias("name"), scores.match_path(F.col("package")).alias("path"), "synopsis",
+        F.array_join("important_sentences", " ").alias("sentences"),
+    )
+    found = {"blocks": blocks.of_postings(postings.filter("field = 'text'"), numbered), "ranges": blocks.of_docs(numbered)}
+    return {"hits_full": full, "hits": full.drop(*HEAVY), "postings": postings} | found
 
 
 def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
@@ -69,6 +75,8 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
     name = segments.new_max()
     for key, df in tables.items():
         df = df.repartitionByRange("field", "token").sortWithinPartitions("field", "token", "doc_id") if key == "postings" else df
+        df = blocks.ordered(df) if key == "blocks" else df
+        df = df.repartitionByRange("range").sortWithinPartitions("range") if key == "hits" else df
         save(df, f"{root}/{name}/{key}")
     segments.finish(name)
     segments.clear_outdated()

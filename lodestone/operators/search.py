@@ -55,12 +55,25 @@ def demoted(hits: DataFrame, below: int = RERANK_BELOW) -> DataFrame:
     return hits.withColumn("occurrence", nth).withColumn("final_score", F.when((F.col("occurrence") > 1) & idle, F.col("score") / F.col("occurrence")).otherwise(F.col("score")))
 
 
-def folded(hits: DataFrame) -> DataFrame:
+def hit_key() -> Column:
+    """What orders hits like ``hit_order``, as one ascending value."""
+    return F.struct((-F.col("score")).alias("s"), (-F.col("star_count")).alias("n"), F.octet_length("package").alias("l"), F.col("package").alias("p"))
+
+
+def before(hits: DataFrame, shown: list[tuple]) -> list[int]:
+    """How many hits come before each of a few (package, score, star_count), in one pass."""
+    if not shown:
+        return []
+    keys = [F.struct(F.lit(-s).alias("s"), F.lit(-n).alias("n"), F.octet_length(F.lit(p)).alias("l"), F.lit(p).alias("p")) for p, s, n in shown]
+    return list(hits.select(hit_key().alias("key")).agg(*[F.count_if(F.col("key") < k) for k in keys]).first())
+
+
+def folded(hits: DataFrame, order: str | Column = "rank") -> DataFrame:
     """Adds ``parent``: the longest earlier hit above this path that is not folded itself; null if none is.
 
-    A hit is folded if any earlier hit lies above it. ``rank`` gives the order.
+    A hit is folded if any earlier hit lies above it. ``order`` tells hits apart.
     """
-    own = hits.select("package", "rank")
+    own = hits.select("package", (F.col(order) if isinstance(order, str) else order).alias("rank"))
     ups = own.select("package", "rank", F.explode(paths.ancestors(F.col("package"))).alias("up"))
     above = ups.join(own.select(F.col("package").alias("up"), F.col("rank").alias("up_rank")), "up").filter("up_rank < rank")
     inside = above.select(F.col("package").alias("up")).distinct()

@@ -112,6 +112,7 @@ def submit(spark: SparkSession, root: str, text: str) -> tuple[int, str]:
         name = segments.new_max()
         found.write.mode("append").json(f"{root}/{name}/packages")
         segments.finish(name)
+        segments.announce(name)
     return n, "" if n else text
 
 

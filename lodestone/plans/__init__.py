@@ -1,3 +1,3 @@
 """Registered queries (importing this package registers them all) and the engine built on the operators."""
 
-from . import catalog, records  # noqa: F401
+from . import catalog, records, stored  # noqa: F401

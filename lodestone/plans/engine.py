@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, sentences, tokens
 from ..functions.words import tokens_of
-from ..operators import graph, index, packages, search, tops
+from ..operators import blocks, index, packages, search, tops
 from ..sources.snapshots import Segments
 
 API_HITS = 100
@@ -29,7 +29,7 @@ class Engine:
         if name is None or name == self.segment:
             return False
         read = lambda t: self.spark.read.parquet(f"{self.root}/{name}/{t}")
-        self.hits_full, self.hits, self.postings = read("hits_full"), read("hits"), read("postings")
+        self.hits_full, self.hits, self.postings, self.blocks, self.ranges = (read(t) for t in ("hits_full", "hits", "postings", "blocks", "ranges"))
         self.segment, self._total = name, self.hits.count()
         return True
 
@@ -56,40 +56,66 @@ class Engine:
 
         return [(t, one("text", t), one("name", t)) for t in query]
 
-    def search(self, q: str) -> DataFrame:
-        """All hits with ``match_score``, ``score`` and ``rank`` (from 1), best first."""
-        if self.segment is None:
-            return self.spark.createDataFrame([], "package string, score double, rank long")
-        query = sorted(tokens_of(q))
+    def _scored(self, query: list[str]):
+        """Adds ``match_score`` and ``score`` to hits."""
         words = lambda c: F.filter(F.flatten(F.transform(tokens.blocks(c), lambda b: tokens.raw_tokens(F.lower(b)))), lambda t: t != "")
         low = lambda c: F.lower(tokens.strip_links(c))
         said = F.array_join(F.transform("important_sentences", lambda s: F.lower(s)), " ")
         path = scores.match_path(F.col("package"))
         fields = {"synopsis": (low(F.col("synopsis")), words(F.col("synopsis"))), "sentences": (said, words(said)), "name": (F.lower("name"), words(F.col("name"))), "path": (path, words(path))}
-        match = scores.match_score(self._idfs(query), fields) if query else F.lit(1.0)
-        found = self._found(query).withColumn("match_score", match).withColumn("score", F.greatest("static_score", "test_static_score") * F.col("match_score"))
-        final = search.demoted(found)
-        order = [F.desc("final_score"), F.desc("score"), F.desc("star_count"), F.octet_length("package"), F.asc("package")]
-        out = graph.placed(final, order).withColumn("rank", F.col("place") + 1).drop("place")
-        return out.withColumn("score", F.col("final_score")).drop("final_score", "occurrence")
+        idfs = self._idfs(query)
+        match = scores.match_score(idfs, fields) if query else F.lit(1.0)
+        return idfs, lambda hits: hits.withColumn("match_score", match).withColumn("score", F.greatest("static_score", "test_static_score") * F.col("match_score"))
+
+    def search(self, q: str) -> DataFrame:
+        """All hits with ``match_score`` and ``score``, in no order; ``search.hit_order`` puts the best first. Nothing is written."""
+        if self.segment is None:
+            return self.spark.createDataFrame([], "package string, score double")
+        query = sorted(tokens_of(q))
+        _, score = self._scored(query)
+        return search.demoted(score(self._found(query))).withColumn("score", F.col("final_score")).drop("final_score", "occurrence")
+
+    def top(self, q: str, k: int = API_HITS) -> DataFrame:
+        """The best ``k`` hits with ``score`` and ``rank`` (from 1).
+
+        From so many hits on that repeated names are not demoted, they come from
+        posting blocks: most hits are then neither read nor scored.
+        """
+        if self.segment is None:
+            return self.spark.createDataFrame([], "package string, score double, rank int")
+        query = sorted(tokens_of(q))
+        if self._found(query).limit(search.RERANK_BELOW).count() < search.RERANK_BELOW:
+            best = self.search(q).orderBy(*search.hit_order()).limit(k)
+        else:
+            idfs, score = self._scored(query)
+            best = blocks.top(self.blocks, self.ranges, self.hits.withColumn("place", F.col("doc_id")), idfs, k, score, search.hit_order()[1:]).hits
+        # k rows
+        return best.withColumn("rank", F.row_number().over(Window.orderBy(*search.hit_order())))
 
     def results(self, q: str, number: int = 1) -> dict:
         """One page of folded, marked-up results with totals and page links."""
         query = tokens_of(q)
-        rows = search.folded(self.search(q).select("package", "name", "synopsis", "score", "rank")).cache()
+        if self.segment is None:
+            return {"total": 0, "entries": 0, "folded": 0, "docs": [], "pages": search.page_links(number, 0)}
+        hits = self.search(q).select("package", "name", "synopsis", "score", "star_count").cache()
+        rows = search.folded(hits, search.hit_key()).cache()
         try:
             total, shown = rows.count(), rows.filter("parent IS NULL")
             entries = shown.count()
-            page = search.page(shown, [F.asc("rank")], number)
+            page = search.page(shown, search.hit_order(), number)
             subs = rows.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("up")).agg(F.array_sort(F.collect_list("package")).alias("subs"))
             full = self.hits_full.select("package", "description")
             page = page.join(subs, page["package"] == subs["up"], "left").join(full, "package").select(
-                "rank", "package", "score", sentences.marks(query)(paths.display_name(F.col("name"), F.col("package"))).alias("name"), sentences.marks(query)("package").alias("marked"),
+                "package", "score", "star_count", sentences.marks(query)(paths.display_name(F.col("name"), F.col("package"))).alias("name"), sentences.marks(query)("package").alias("marked"),
                 sentences.marks(query)(sentences.snippets(query)("description")).alias("summary"), F.coalesce("subs", F.array().cast("array<string>")).alias("subs"),
             )
-            docs = [r.asDict() for r in page.orderBy("rank").collect()]
+            docs = [r.asDict() for r in page.orderBy(*search.hit_order()).collect()]
+            # ranks of what is shown only
+            for d, n in zip(docs, search.before(hits, [(d["package"], d["score"], d["star_count"]) for d in docs]), strict=True):
+                d["rank"] = n + 1
         finally:
             rows.unpersist()
+            hits.unpersist()
         return {"total": total, "entries": entries, "folded": total - entries, "docs": docs, "pages": search.page_links(number, search.pages(entries))}
 
     def package(self, name: str) -> DataFrame:
@@ -121,7 +147,7 @@ class Engine:
 
     def found(self, q: str) -> DataFrame:
         """The first hits of a query as the interface returns them, best first."""
-        top = self.search(q).orderBy("rank").limit(API_HITS).select("rank", "name", "package", "author", "synopsis", "project_url")
+        top = self.top(q).select("rank", "name", "package", "author", "synopsis", "project_url")
         return top.join(self.hits_full.select("package", "description"), "package").orderBy("rank")
 
     def all_depends(self) -> DataFrame:

@@ -112,6 +112,21 @@ class Segments:
         fs, new = _fs(self.spark, self.root)
         fs.create(new(f"{self.root}/{name}/.done")).close()
 
+    @property
+    def inbox(self) -> str:
+        """Where finished segments are announced, one small file each, for a stream to pick up."""
+        return f"{self.root}-finished"
+
+    def announce(self, name: str) -> None:
+        """Says that a segment is finished. The file is written aside and renamed, as a stream reads a file once."""
+        fs, new = _fs(self.spark, self.root)
+        fs.mkdirs(new(self.inbox))
+        aside = new(f"{self.inbox}/.{name}")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(('{"segment": "' + name + '"}\n').encode()))
+        stream.close()
+        fs.rename(aside, new(f"{self.inbox}/{name}-{uuid.uuid4().hex}.json"))
+
     def remove(self, name: str) -> None:
         fs, new = _fs(self.spark, self.root)
         fs.delete(new(f"{self.root}/{name}"), True)

@@ -2,41 +2,84 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import merge as merging
 from ..operators import tops
 from ..operators.history import DEPTH
-from ..sources.snapshots import load, save
+from ..sources.snapshots import Segments, exists
+from ..sources.versions import Table
 
 EVENTS = "key long, ts timestamp, action string"
-STATE = "found_time timestamp, latest_success timestamp, latest_failed timestamp, times array<timestamp>, actions array<string>"
 OUT = "key long, found_time timestamp, latest_success timestamp, latest_failed timestamp, events long, last_action string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    found, good, bad, times, actions = state.get if state.exists else (None, None, None, [], [])
-    times, actions = list(times), list(actions)
-    for rows in batches:
-        for ts, action in rows.sort_values("ts")[["ts", "action"]].itertuples(index=False):
-            found = ts if found is None or ts < found else found
-            if action == "None":
-                continue
-            good = ts if action == "Success" and (good is None or ts > good) else good
-            bad = ts if action == "Failed" and (bad is None or ts > bad) else bad
-            times, actions = [ts, *times][:DEPTH], [action, *actions][:DEPTH]
-    state.update((found, good, bad, times, actions))
-    yield pd.DataFrame({"key": [key[0]], "found_time": [found], "latest_success": [good], "latest_failed": [bad], "events": [len(times)], "last_action": [actions[0] if actions else None]})
+class History(StatefulProcessor):
+    """The history of a key: its newest events as a list, its first and latest times as a value, and a timer for idle keys.
+
+    Events come in any order; the list holds the newest ``DEPTH``, newest first,
+    of equal times the one that came last. A key without events for ``idle``
+    milliseconds is forgotten.
+    """
 
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
 
-def history(events: DataFrame) -> DataFrame:
-    """The history record of each key that got events; the newest ten events are its state, newest first."""
-    return events.groupBy("key").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.newest = handle.getListState("newest", "ts timestamp, action string")
+        self.ends = handle.getValueState("ends", "found_time timestamp, latest_success timestamp, latest_failed timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        found, good, bad = self.ends.get() if self.ends.exists() else (None, None, None)
+        events = list(self.newest.get()) if self.newest.exists() else []
+        for batch in rows:
+            batch = batch.dropna(subset=["ts"])
+            if not len(batch):
+                continue
+            first = batch["ts"].min().to_pydatetime()
+            found = first if found is None or first < found else found
+            for action, own in batch.groupby("action")["ts"]:
+                last = own.max().to_pydatetime()
+                good = last if action == "Success" and (good is None or last > good) else good
+                bad = last if action == "Failed" and (bad is None or last > bad) else bad
+            told = batch[batch["action"].notna() & (batch["action"] != "None")]
+            # a batch may be long: only its newest rows are looked at one by one
+            told = told.iloc[::-1].sort_values("ts", ascending=False, kind="stable").head(DEPTH)
+            events = sorted([(t.to_pydatetime(), a) for t, a in told[["ts", "action"]].itertuples(index=False)] + events, key=lambda e: e[0], reverse=True)[:DEPTH]
+        self.ends.update((found, good, bad))
+        if events:
+            self.newest.put(events)
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
+        yield pd.DataFrame({"key": [key[0]], "found_time": [found], "latest_success": [good], "latest_failed": [bad], "events": [len(events)], "last_action": [events[0][1] if events else None]}).astype({c: "datetime64[us]" for c in ("found_time", "latest_success", "latest_failed")})
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        self.ends.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def history(events: DataFrame, idle_seconds: float | None = None) -> DataFrame:
+    """The history record of each key that got events; the newest ten events are its state, newest first.
+
+    With ``idle_seconds``, keys without events for so long are forgotten. State
+    is kept in RocksDB, which the session is set to.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    idle = None if idle_seconds is None else int(idle_seconds * 1000)
+    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=History(idle), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -44,19 +87,49 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "action").agg(F.count("*").alias("n"))
 
 
-def merge_actions(actions: DataFrame, docs_path: str, schema, checkpoint: str):
-    """Merges each batch of arriving actions into the stored documents (package, last_updated, ...)."""
+def merge_actions(actions: DataFrame, table: Table, checkpoint: str):
+    """Merges each batch of arriving actions into the stored documents (package, last_updated, ...), a version for each batch.
 
-    def one(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        old = load(spark, docs_path, schema).withColumn("action", F.lit("original"))
-        payload = [c for c in schema.names if c not in ("package", "last_updated")]
-        merged = merging.live(merging.merge(old.unionByName(batch.select(old.columns)), *payload))
-        save(merged.select(schema.names), docs_path)
+    Only buckets that a batch touches are written anew; a batch that is run
+    again after a crash counts once.
+    """
+    payload = [c for c in table.schema.names if c not in ("package", "last_updated")]
+
+    def merge(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        both = rows.withColumn("action", F.lit("original")).unionByName(changes.select(*rows.columns, "action"))
+        return merging.live(merging.merge(both, *payload)).select(table.schema.names)
+
+    def one(batch: DataFrame, n: int) -> None:
+        table.change(batch, merge, mark=(checkpoint, n))
 
     return actions.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def drain_segments(spark: SparkSession, root: str, table: Table, entries: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """Takes the packages of announced segments into ``table``, then removes the segments.
+
+    ``entries`` makes rows of the table from (package). A package that the table
+    has stays as it is. The version tells which batches it has, so a segment
+    counts once, wherever the stream is stopped and started again.
+    """
+
+    def merge(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        return rows.unionByName(changes.join(rows.select(table.key), table.key, "left_anti").select(rows.columns))
+
+    def one(batch: DataFrame, n: int) -> None:
+        segments = Segments(spark, root)
+        names = sorted({r["segment"] for r in batch.select("segment").collect()})  # segments, not packages
+        there = [f"{root}/{x}/packages" for x in names if exists(spark, f"{root}/{x}/packages")]
+        if there:
+            found = entries(spark.read.schema("package string").json(there)).select(table.schema.names).dropDuplicates([table.key])
+            table.change(found, merge, mark=(checkpoint, n))
+        for x in names:
+            segments.remove(x)
+
+    names = spark.readStream.schema("segment string").json(Segments(spark, root).inbox)
+    return names.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def flush_metrics(metrics: DataFrame, path: str, checkpoint: str, seconds: int = 60):
     """Every so often, the metrics (name, method, value) that came in since, reduced by their method, go to ``path``."""
 

@@ -12,6 +12,7 @@ from lodestone.operators.index import DOC
 from lodestone.plans.engine import Engine
 from lodestone.sources import snapshots
 from lodestone.sources.snapshots import Segments, cached, canned, load, newest, save
+from lodestone.sources.versions import Table
 from lodestone.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 10)
@@ -271,8 +272,9 @@ def test_streams(spark, tmp_path):
     from pyspark.sql.types import StructType
 
     own = StructType.fromDDL(schema)
-    jobs.merge_actions(spark.readStream.schema(schema + ", action string").parquet(acts), f"file://{tmp_path}/docs", own, f"{tmp_path}/cp2").start().awaitTermination(120)
-    assert load(spark, f"file://{tmp_path}/docs", own).count() == 2
+    stored = Table(spark, f"file://{tmp_path}/docs", own, "package", 4)
+    jobs.merge_actions(spark.readStream.schema(schema + ", action string").parquet(acts), stored, f"{tmp_path}/cp2").start().awaitTermination(120)
+    assert stored.read().count() == 2
 
 
 def test_metrics_are_flushed_until_the_deadline(spark, tmp_path):
