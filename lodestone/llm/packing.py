@@ -52,24 +52,54 @@ STRETCH, MEMO = 1 << 20, 1 << 20
 KNOWN: dict[str, dict[str, bytes]] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones of Latin-1 as they are, the others, in order, from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = byte_letters()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers; ids of words are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.known = Tokenizer.from_file(path), KNOWN.setdefault(path, {})
         # strings with ids of their own part a text before anything else does
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        # such tokenizers hand words of letters to their model as they are, written in bytes
+        self.direct = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space and self.tokenizer.normalizer is None
 
     def ids(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
             return self.plain(text)
         return b"".join(self.special_ids[t] if k % 2 else self.plain(t) for k, t in enumerate(self.special.split(text)))
 
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of new words."""
+        others, known = [], self.known
+        if self.direct:
+            tokenize = self.tokenizer.model.tokenize
+            for w in words:
+                if (w.isascii() or max(w) <= "\u024f") and w[-1:].isalpha() and w.replace(" ", "", 1).isalpha():
+                    ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTES))]
+                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    others.append(w)
+        else:
+            others = list(words)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            ids = e.ids
+            known[w] = struct.pack(f"<{len(ids)}I", *ids)
+
     def plain(self, text: str) -> bytes:
         out, start, known = [], 0, self.known
         while start < len(text):
@@ -81,10 +111,7 @@ class Encoder:
                 if len(known) > MEMO:
                     known.clear()
                     new = set(words)
-                new = list(new)
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                self.learn(new)
             out.append(b"".join(map(known.__getitem__, words)))
             start = end
         return b"".join(out)

@@ -44,7 +44,7 @@ def ids_of(data: bytes) -> list[int]:
 
 def test_ids_are_those_of_the_tokenizer(tokenizer, monkeypatch):
     rng = random.Random(3)
-    bits = [" ", "  ", "\n", " \n", "a", "B", "é", "1", "'s", " '", "!", ".", ".,", ")", "\t", "\x1c", "　", "\xa0", "word", " Word", "<|endoftext|>", "漢", "\x85", "​", "ſ", "\r\n", " 're", "x" * 40]
+    bits = [" ", "  ", "\n", " \n", "a", "B", "é", "1", "'s", " '", "!", ".", ".,", ")", "\t", "\x1c", "　", "\xa0", "word", " Word", "<|endoftext|>", "漢", "\x85", "​", "ſ", "ªb", "aª", "Ωa", "ĳ", "Ǆ", "ʰ", "\r\n", " 're", "x" * 40]
     for stretch in (3, 1 << 20):
         monkeypatch.setattr(packing, "STRETCH", stretch)
         encoder = packing.Encoder(TOKENIZER)
