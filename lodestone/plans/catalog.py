@@ -24,6 +24,17 @@ NOW = dt.datetime(1999, 6, 17)
 NOW_SQL = "TIMESTAMP '1999-06-17 00:00:00'"
 
 
+class Given:
+    """Columns made of a test table by expressions that read alike in Spark and in DuckDB."""
+
+    def __init__(self, of: str, **columns: str):
+        self.of, self.columns = of, columns
+        self.sql = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {of})"
+
+    def rows(self, spark, sf_dir) -> DataFrame:
+        return table(spark, sf_dir, self.of).select(*[F.expr(e).alias(c) for c, e in self.columns.items()])
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -112,12 +123,15 @@ def remove_host(spark, sf_dir):
     return web(spark, sf_dir).select("page_id", paths.remove_host(F.col("pkg")).alias("path"))
 
 
-NAMES = [("main", "github.com/a/b"), ("", "github.com/a/b/c"), ("x", "github.com/a/b"), ("", "a.b")]
+NAMES = Given(
+    "part", k="p_partkey", name="CASE p_partkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN '' ELSE p_brand END",
+    pkg="CASE p_partkey % 3 WHEN 0 THEN concat('a', p_partkey) WHEN 1 THEN concat('github.com/', p_brand, '/r', p_partkey) ELSE concat('github.com/', p_brand, '/r/', p_type) END",
+)
 
 
-@query(f"SELECT name, pkg, CASE WHEN name = '' THEN '(' || p || ')' WHEN name = 'main' THEN 'main - ' || p ELSE name END AS shown FROM (SELECT *, coalesce(nullif(split_part(pkg, '/', 3), ''), pkg) AS p FROM {sql_values(NAMES, 'name, pkg')})")
+@query(f"SELECT k, CASE WHEN name = '' THEN '(' || p || ')' WHEN name = 'main' THEN 'main - ' || p ELSE name END AS shown FROM (SELECT *, coalesce(nullif(split_part(pkg, '/', 3), ''), pkg) AS p FROM {NAMES.sql})")
 def display_name(spark, sf_dir):
-    return values(spark, NAMES, "name string, pkg string").select("name", "pkg", paths.display_name(F.col("name"), F.col("pkg")).alias("shown"))
+    return NAMES.rows(spark, sf_dir).select("k", paths.display_name(F.col("name"), F.col("pkg")).alias("shown"))
 
 
 @query("SELECT c_custkey, 'site' || CAST(c_nationkey AS VARCHAR) || ':' || c_name AS id, 'site' || CAST(c_nationkey AS VARCHAR) AS site, split_part(c_name, ':', 1) AS person FROM customer")
@@ -139,13 +153,14 @@ def path_ancestors(spark, sf_dir):
     return v.packages(spark, sf_dir).select("package", F.explode(paths.ancestors(F.col("package"))).alias("up"))
 
 
-SIZES = [(0,), (5,), (1023,), (1024,), (10_240,), (15_000,), (102_400,), (5_000_000,), (3_000_000_000,), (7_000_000_000_000,), (9_000_000_000_000_000,)]
+# powers of 1024 themselves, values beside them and between them
+SIZES = Given("events", k="event_id", n="CAST(CASE event_id % 4 WHEN 0 THEN 1 ELSE event_id % 1100 END AS BIGINT) * CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 WHEN 4 THEN 1099511627776 ELSE 1125899906842624 END - event_id % 2")
 
 
-@query(f"""SELECT n, CASE WHEN floor(x) < 10 THEN format('{{:.2f}}', x) WHEN floor(x) < 100 THEN format('{{:.1f}}', x) ELSE CAST(CAST(floor(x) AS BIGINT) AS VARCHAR) END || ['', 'K', 'M', 'G', 'T', 'P'][k + 1] AS size
-  FROM (SELECT n, k, n / (1024.0 ** k) AS x FROM (SELECT CAST(n AS BIGINT) AS n, CASE WHEN n < 1024 THEN 0 ELSE CAST(least(floor(ln(n) / ln(1024) + 1e-12), 5) AS INTEGER) END AS k FROM {sql_values(SIZES, "n")}))""")
+@query(f"""SELECT k, CASE WHEN floor(x) < 10 THEN format('{{:.2f}}', x) WHEN floor(x) < 100 THEN format('{{:.1f}}', x) ELSE CAST(CAST(floor(x) AS BIGINT) AS VARCHAR) END || ['', 'K', 'M', 'G', 'T', 'P'][i + 1] AS size
+  FROM (SELECT k, i, n / (1024.0 ** i) AS x FROM (SELECT k, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 WHEN n < 1125899906842624 THEN 4 ELSE 5 END AS i FROM {SIZES.sql} WHERE n >= 0))""")
 def readable_size(spark, sf_dir):
-    return values(spark, SIZES, "n long").select("n", paths.readable_size(F.col("n")).alias("size"))
+    return SIZES.rows(spark, sf_dir).filter("n >= 0").select("k", paths.readable_size(F.col("n")).alias("size"))
 
 
 @query("""SELECT event_id, CASE WHEN x > 86400 THEN CAST(CAST(round(x / 86400) AS BIGINT) AS VARCHAR) || ' days' WHEN x >= 3600 THEN CAST(CAST(round(x / 3600) AS BIGINT) AS VARCHAR) || ' hours'
@@ -158,29 +173,36 @@ def readable_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", paths.readable_duration(F.abs("value") * times).alias("shown"))
 
 
-CALLS = [("cb", 200), ("a-b.c(1)", 404), ("", 200), ("jQ_$9", 400)]
+CALLS = Given(
+    "pages", k="page_id", cb="CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('cb', page_id) WHEN 2 THEN concat('a-', page_id, '.b(1)') WHEN 3 THEN concat('jQ_$', page_id) ELSE substr(url, 1, 12) END",
+    code="CAST(CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 400 END AS INTEGER)",
+)
 
 
-@query(f"""SELECT cb, code, CASE WHEN f = '' THEN '{{"a":1}}' ELSE f || '(' || CAST(code AS VARCHAR) || ', ' || '{{"a":1}}' || ');' END AS body FROM (SELECT *, regexp_replace(cb, '[^A-Za-z0-9_$]', '', 'g') AS f FROM {sql_values(CALLS, "cb, code")})""")
+@query(f"""SELECT k, CASE WHEN f = '' THEN '{{"k":' || k || '}}' ELSE f || '(' || CAST(code AS VARCHAR) || ', ' || '{{"k":' || k || '}}' || ');' END AS body FROM (SELECT *, regexp_replace(cb, '[^A-Za-z0-9_$]', '', 'g') AS f FROM {CALLS.sql})""")
 def jsonp(spark, sf_dir):
-    return values(spark, CALLS, "cb string, code int").select("cb", "code", paths.jsonp(F.col("cb"), F.col("code"), F.to_json(F.struct(F.lit(1).alias("a")))).alias("body"))
+    return CALLS.rows(spark, sf_dir).select("k", paths.jsonp(F.col("cb"), F.col("code"), F.to_json(F.struct("k"))).alias("body"))
 
 
-REMOTE = [(" github.com/a/b ",), ("中github.com/a文",), ("fmt",), ("a.b//c",), ("net/http",), ("example.org/x y",), ("example.org",), (".a/b",)]
+REMOTE = Given(
+    "pages", k="page_id",
+    pkg="CASE page_id % 8 WHEN 0 THEN concat(' ', replace(url, 'https://', ''), ' ') WHEN 1 THEN concat('中host.org/a', page_id, '文') WHEN 2 THEN concat('net', page_id) WHEN 3 THEN concat('a.b//c', page_id) WHEN 4 THEN concat('net/http', page_id) "
+    "WHEN 5 THEN concat('host.org/x y', page_id) WHEN 6 THEN concat('.host/', page_id) ELSE concat('host', page_id, '.org') END",
+)
 
 
-@query(rf"""SELECT pkg, name, regexp_full_match(name, '[^/\s]*[^/\s.]\.[^/\s.][^/\s]*(/[^/\s]+)*') AS valid FROM (SELECT pkg, regexp_replace(trim(pkg), '^[^\x00-\x{{80}}]+|[^\x00-\x{{80}}]+$', '', 'g') AS name FROM {sql_values(REMOTE, "pkg")})""")
+@query(rf"""SELECT k, name, regexp_full_match(name, '[^/\s]*[^/\s.]\.[^/\s.][^/\s]*(/[^/\s]+)*') AS valid FROM (SELECT k, regexp_replace(trim(pkg), '^[^\x00-\x{{80}}]+|[^\x00-\x{{80}}]+$', '', 'g') AS name FROM {REMOTE.sql})""")
 def valid_remote_path(spark, sf_dir):
-    rows = values(spark, REMOTE, "pkg string").withColumn("name", paths.trim_name(F.col("pkg")))
+    rows = REMOTE.rows(spark, sf_dir).select("k", paths.trim_name(F.col("pkg")).alias("name"))
     return rows.withColumn("valid", paths.valid_remote(F.col("name")))
 
 
-FILES = [("u", "r", "", "a.x"), ("u", "r", "sub", "a.x"), ("u", "r", "/sub/", "a.x")]
+FILES = Given("part", k="p_partkey", u="p_brand", r="concat('r', p_partkey % 9)", p="CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN lower(p_type) WHEN 2 THEN concat('/', lower(p_type), '/') ELSE concat(lower(p_type), '//in') END", f="concat('f', p_partkey, '.x')")
 
 
-@query(f"SELECT u, r, p, f, regexp_replace(u || '/' || r || '/' || p || '/' || f, '/+', '/', 'g') AS path FROM {sql_values(FILES, 'u, r, p, f')}")
+@query(f"SELECT k, regexp_replace(u || '/' || r || '/' || p || '/' || f, '/+', '/', 'g') AS path FROM {FILES.sql}")
 def full_file_path(spark, sf_dir):
-    return values(spark, FILES, "u string, r string, p string, f string").withColumn("path", paths.full_path(F.col("u"), F.col("r"), F.col("p"), F.col("f")))
+    return FILES.rows(spark, sf_dir).select("k", paths.full_path(F.col("u"), F.col("r"), F.col("p"), F.col("f")).alias("path"))
 
 
 # --- text ----------------------------------------------------------------------------------------------------------
@@ -716,20 +738,28 @@ def repo_unchanged(spark, sf_dir):
     return out.select(F.col("packages").alias("k"), "signature", "crawl_time")
 
 
-FOLDERS = [(f,) for f in ("core", "x9", "x-9", "css", "77", "77-88", "7_8", "Vendor", "my.pkg", "_x", "mynodejs", "src", "net")]
+# words of parts as they are, with a sign or number that rules them out, and each of the names that hold no packages
+FOLDERS = Given(
+    "part", k="p_partkey",
+    folder="CASE p_partkey % 9 WHEN 0 THEN lower(p_type) WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN concat(split_part(p_name, ' ', 2), p_partkey % 7) WHEN 3 THEN concat('_', lower(p_type)) WHEN 4 THEN concat(lower(p_type), '.v', p_size) "
+    "WHEN 5 THEN concat(p_size, '-', p_partkey) WHEN 6 THEN concat('on', 'nodejs', p_size) WHEN 7 THEN concat(p_size, 'th') ELSE element_at(array_of_names, CAST(p_partkey % n_names AS INTEGER) + 1) END".replace("array_of_names", "{names}").replace("n_names", str(len(repos.NOT_SOURCE))),
+)
+_names = ", ".join(f"'{x if i % 2 else x.upper()}'" for i, x in enumerate(repos.NOT_SOURCE))
+FOLDERS = Given("part", **{c: e.replace("{names}", f"array({_names})") for c, e in FOLDERS.columns.items()})
+FOLDERS_SQL = FOLDERS.sql.replace(f"array({_names})", f"[{_names}]").replace("element_at", "list_extract")
 
 
-@query(rf"SELECT folder, NOT lower(folder) IN ({', '.join(repr(x) for x in repos.NOT_SOURCE)}) AND NOT regexp_full_match(lower(folder), '[0-9_-]+') AND NOT contains(folder, '.') AND regexp_matches(lower(folder), '^[a-z]') AND NOT contains(lower(folder), 'nodejs') AS source FROM {sql_values(FOLDERS, 'folder')}")
+@query(rf"SELECT k, NOT lower(folder) IN ({', '.join(repr(x) for x in repos.NOT_SOURCE)}) AND NOT regexp_full_match(lower(folder), '[0-9_-]+') AND NOT contains(folder, '.') AND regexp_matches(lower(folder), '^[a-z]') AND NOT contains(lower(folder), 'nodejs') AS source FROM {FOLDERS_SQL}")
 def subfolder(spark, sf_dir):
-    return values(spark, FOLDERS, "folder string").select("folder", repos.like_source_folder(F.col("folder")).alias("source"))
+    return FOLDERS.rows(spark, sf_dir).select("k", repos.like_source_folder(F.col("folder")).alias("source"))
 
 
-READMES = [(f,) for f in ("README.md", "readme", "ReadMe.markdown", "readme.a.md", "README", "me.md")]
+READMES = Given("part", k="p_partkey", f="CASE p_partkey % 6 WHEN 0 THEN 'readme' WHEN 1 THEN concat('README.', lower(p_type)) WHEN 2 THEN concat('ReadMe.', p_size, '.md') WHEN 3 THEN concat(lower(p_type), '.md') WHEN 4 THEN concat('readme', p_size) ELSE 'ReadMe.' END")
 
 
-@query(rf"SELECT f, lower(regexp_replace(f, '\.[^.]*$', '')) = 'readme' AS readme FROM {sql_values(READMES, 'f')}")
+@query(rf"SELECT k, lower(regexp_replace(f, '\.[^.]*$', '')) = 'readme' AS readme FROM {READMES.sql}")
 def readme_file(spark, sf_dir):
-    return values(spark, READMES, "f string").select("f", repos.is_readme(F.col("f")).alias("readme"))
+    return READMES.rows(spark, sf_dir).select("k", repos.is_readme(F.col("f")).alias("readme"))
 
 
 BROKEN_SQL = f"""(SELECT p_partkey AS k, 'github.com/u/r/' || a || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '/js' WHEN 2 THEN '/' || b || '/' || a WHEN 3 THEN '/' || b || '/' || p_partkey ELSE '/' || b || '/x/' || a || '/' || b END AS id
@@ -748,12 +778,12 @@ def broken_path(spark, sf_dir):
     return schedule.broken(rows, docs, repos.like_source_folder)
 
 
-TAGS = [("linux,go1.2",), ("!windows",), ("ignore",), ("darwin",), ("cgo,!386",)]
+TAGS = Given("events", k="event_id", tags="concat(CASE event_id % 3 WHEN 0 THEN '' ELSE '!' END, CASE event_id % 5 WHEN 0 THEN 'linux' WHEN 1 THEN 'darwin' WHEN 2 THEN '386' WHEN 3 THEN 'cgo' ELSE concat('go1.', event_id % 20) END, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',cgo' ELSE concat(',', event_type) END)")
 
 
-@query(f"SELECT tags, len(list_filter(string_split(tags, ','), lambda t: NOT ltrim(t, '!') IN ('linux', '386', 'darwin', 'cgo') AND NOT starts_with(ltrim(t, '!'), 'go'))) > 0 AS ignored FROM {sql_values(TAGS, 'tags')}")
+@query(f"SELECT k, len(list_filter(string_split(tags, ','), lambda t: NOT ltrim(t, '!') IN ('linux', '386', 'darwin', 'cgo') AND NOT starts_with(ltrim(t, '!'), 'go'))) > 0 AS ignored FROM {TAGS.sql}")
 def build_tags(spark, sf_dir):
-    return values(spark, TAGS, "tags string").select("tags", repos.build_ignored(F.split("tags", ",")).alias("ignored"))
+    return TAGS.rows(spark, sf_dir).select("k", repos.build_ignored(F.split("tags", ",")).alias("ignored"))
 
 
 @query("SELECT s_suppkey, CASE WHEN a < 0 THEN b WHEN b < 0 THEN a WHEN least(a, b) <= greatest(a, b) // 3 THEN greatest(a, b) ELSE (a + b) * 3 // 4 END AS stars FROM (SELECT s_suppkey, s_suppkey % 40 - 2 AS a, s_suppkey * 7 % 60 - 3 AS b FROM supplier)")
@@ -762,12 +792,12 @@ def fuse_stars(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", scores.fuse_stars(k % 40 - 2, k * 7 % 60 - 3).alias("stars"))
 
 
-LENGTHS = [("5",), ("50",), ("500",), ("x",), ("",)]
+LENGTHS = Given("orders", k="o_orderkey", n="CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus WHEN 1 THEN '' WHEN 2 THEN concat('-', o_orderkey) ELSE concat('', o_orderkey % 150) END")
 
 
-@query(f"SELECT n, least(greatest(coalesce(try_cast(n AS INTEGER), 0), 20), 100) AS length FROM {sql_values(LENGTHS, 'n')}")
+@query(f"SELECT k, least(greatest(coalesce(try_cast(n AS INTEGER), 0), 20), 100) AS length FROM {LENGTHS.sql}")
 def clamp_len(spark, sf_dir):
-    return values(spark, LENGTHS, "n string").select("n", scores.list_length(F.col("n")).alias("length"))
+    return LENGTHS.rows(spark, sf_dir).select("k", scores.list_length(F.col("n")).alias("length"))
 
 
 LEADING_SQL = "(SELECT * FROM crawl WHERE starts_with(id, 'github.com/') OR starts_with(id, 'bitbucket.org/'))"

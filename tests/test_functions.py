@@ -1,7 +1,9 @@
 """Literal cases of path, text and score functions."""
 
 import datetime as dt
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,11 +58,13 @@ def test_sizes_and_durations(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("xyz 7q 日本語", {"xyz", "7", "q", "7-q", "日", "本", "語", "日本", "本語"}),
-        ("GetPutDel", {"get", "put", "del", "getput", "putdel", "getputdel"}),
-        ("Her page was http://a-place.example", {"her", "page", "was"}),
-        ("Bye some.one+7@the-mail.example.org", {"bye"}),
-        ("Q\ufeff", {"q"}),
+        ("up-to it", {"up", "to", "up-to", "it"}),
+        ("mp3 + 4 km", {"mp", "3", "mp-3", "4", "km"}),
+        ("新しい", {"新", "し", "い", "新し", "しい"}),
+        ("myHttpServer", {"my", "http", "server", "myhttp", "httpserver", "myhttpserver"}),
+        ("look at https://q.example/z?k=1#top soon", {"look", "at", "soon"}),
+        ("ask me_2.x@sub.host.example now", {"ask", "now"}),
+        ("end\ufeff", {"end"}),
         ("", set()),
     ],
 )
@@ -81,31 +85,25 @@ def test_stems():
         assert stem.norm_word(word) == want
 
 
-TEXT = """
-Tidepool keeps small queues on disk (KV files).
-It never blocks a writer for long. When a reader
-falls behind, it is told so.
-
-What is inside
-
- store  the files themselves
-
-replay  reads old queues again after a crash\x20
-
- --== Notes -- for careful people ==--
-
-bench   numbers, made on one old laptop/desktop/phone.
-"""
-
-
 def test_sentence_split(spark):
-    want = [
-        "Tidepool keeps small queues on disk (KV files).", "It never blocks a writer for long.", "When a reader falls behind, it is told so.", "What is inside", "store the files themselves",
-        "replay reads old queues again after a crash", "Notes -- for careful people", "bench numbers, made on one old laptop/desktop/phone.",
-    ]
-    got = column(spark, [TEXT, ""], sentences.split_sentences)
-    assert [s.strip() for s in got[0]] == want
-    assert got[1] == [""]
+    """Paragraphs of known sentences, with line breaks and runs of blanks between words, and rules around headings."""
+    rng = random.Random(12)
+    texts, wants = ["", " \n "], [[""], [""]]
+    for _ in range(40):
+        body, want = [], []
+        count = rng.randint(1, 5)
+        for at in range(count):
+            said = [[rng.choice(["moss", "fern.7", "(bark)", "-", "twig/leaf"]) for _ in range(rng.randint(1, 7))] for _ in range(rng.randint(1, 4))]
+            said = [[*words_[:-1], "end"] for words_ in said]
+            want += [" ".join(w) + "." for w in said[:-1]] + [" ".join(said[-1])]
+            paragraph = ". ".join(rng.choice([" ", "\n", "   "]).join(w) for w in said)
+            kind = rng.randint(0 if at < count - 1 else 1, 3)
+            # a heading, which has a line behind it, is underlined, or stands between two kinds of strokes
+            body.append(paragraph + "\n" + rng.choice("-=") * rng.randint(4, 9) + "\n" if kind == 0 else f"--{'=' * rng.randint(2, 4)} {paragraph} =={'-' * rng.randint(2, 3)}" if kind == 1 else paragraph)
+        texts.append(rng.choice(["", "\n\n"]) + "\n\n".join(body) + rng.choice(["", "\n"]))
+        wants.append(want)
+    got = column(spark, texts, sentences.split_sentences)
+    assert [[s.strip() for s in g] for g in got] == wants
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -114,12 +112,22 @@ def test_both_splitters_agree(spark):
     assert rows and all(sentences.sentences_of(r["text"]) == r["s"] for r in rows)
 
 
-def test_important_sentences():
-    yes = ["tide implements queues on disk.", "Package tide provides a queue", "pat/pool is a queue", "codehost/pat/pool is more than a queue", "This is a queue", "tide是一个queue", "这个项目是queue", "the pool package provides queues", "A tiny durable queue library.", "Golang port of an old queue"]
-    no = ["一个非项目queue", "When a reader falls behind, it is told so."]
-    assert sentences.important("\n\n".join(yes + no), "tide", "codehost/pat/pool") == yes
-    assert sentences.important("PondKeeper is a keeper written in Golang![S](https://x.y/a.png?b=m). It is fast.", "main", "github.com/w/PondKeeper") == ["PondKeeper is a keeper written in Golang."]
-    assert len(sentences.important("PondKeeper is an odd keeper.", "main", "github.com/+w/PondKeeper")) == 1
+@pytest.mark.parametrize("kind", ["library", "plugin", "wrapper", "tool"])
+def test_important_sentences(kind):
+    """A sentence counts by its own wording, by where it ends, or by the name of the package before a verb."""
+    pkg = "host.org/lee/stone"
+    wording = [f"This {kind} will allow us to sort maps", f"The {kind} can be used to count stars", f"A naive go {kind} that sorts", "Yet another sorter", f"The goal of this {kind} is peace", "Some functions for maps", "Api for stars"]
+    ending = ["Sorted maps in golang.", "Fast counting using go"]
+    whole = [f"A quick sorter {kind}."]
+    named = ["Stone, sorted maps: it is fast", "Stone - sorted maps", "lee/stone wraps a sorter", "package stone is intended to sort", "S t o n e is a sorter"]
+    other = ["Bread was late again.", f"Rain fell on every {kind}", "We sorted maps by hand", "pebble wraps a sorter"]
+    mixed = [x for row in itertools.zip_longest(other, wording, named, ending, whole) for x in row if x]
+    assert sentences.important("\n\n".join(mixed), "main", pkg) == [x for x in mixed if x not in other]
+
+
+def test_names_with_signs_and_pictures():
+    assert len(sentences.important("c++x wraps maps.", "main", "host.org/lee/c++x")) == 1
+    assert sentences.important("Stone is a sorter ![pic](http://p.q/r.png)", "", "host.org/lee/stone") == ["Stone is a sorter "]
 
 
 def test_brackets_and_markdown():
@@ -155,9 +163,17 @@ def test_scores(spark):
 
 
 def test_folders_and_files(spark):
-    names = ["core", "x9", "x-9", "css", "77", "77-88", "7_8", "a.b", "Vendor"]
-    assert column(spark, names, repos.like_source_folder) == [True, True, True, False, False, False, False, False, False]
-    assert column(spark, ["README.md", "readme", "readmes"], repos.is_readme) == [True, True, False]
+    """Random names and all fixed ones, against the rules in plain code."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abZ19-_.é") for _ in range(rng.randint(1, 4))) for _ in range(300)] + [n for x in repos.NOT_SOURCE for n in (x, x.upper(), x + "s")] + ["inNodeJSout", "golf", "ré"]
+
+    def holds(name):
+        low = name.lower()
+        return low not in repos.NOT_SOURCE and "." not in name and "nodejs" not in low and "a" <= low[0] <= "z" and not all(c in "0123456789_-" for c in low)
+
+    assert column(spark, names, repos.like_source_folder) == [holds(n) for n in names]
+    files = [stem_ + end for stem_ in ("readme", "READme", "readme2", "unread", "") for end in ("", ".", ".txt", ".md", ".a.b")]
+    assert column(spark, files, repos.is_readme) == [f.rpartition(".")[0].lower() == "readme" if "." in f else f.lower() == "readme" for f in files]
 
 
 def test_broken_paths(spark):
