@@ -16,6 +16,7 @@ large group of near copies costs a few comparisons for each text.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,6 +133,17 @@ def sketches(h: np.ndarray, wide: bool = False) -> np.ndarray:
     return np.concatenate(out)
 
 
+def increasing(values: list[int]) -> int:
+    """Length of the longest increasing subsequence of different numbers."""
+    ends: list[int] = []
+    for v in values:
+        if not ends or v > ends[-1]:
+            ends.append(v)
+        else:
+            ends[bisect_left(ends, v)] = v
+    return len(ends)
+
+
 def aligned_similarity(a: list, b: list, least: float = LEAST) -> float:
     """k-mers inside aligned runs over all k-mers of both texts; 0 where it is surely below ``least``."""
     if a == b:
@@ -139,9 +151,17 @@ def aligned_similarity(a: list, b: list, least: float = LEAST) -> float:
     na, nb = len(a) - K + 1, len(b) - K + 1
     if na < 1 or nb < 1 or min(na, nb) < least * max(na, nb):
         return 0.0
-    common = (Counter(zip(*(a[j : j + na] for j in range(K)), strict=True)) & Counter(zip(*(b[j : j + nb] for j in range(K)), strict=True))).total()
+    ka, kb = list(zip(*(a[j : j + na] for j in range(K)), strict=True)), list(zip(*(b[j : j + nb] for j in range(K)), strict=True))
+    ca, cb = Counter(ka), Counter(kb)
+    common = (ca & cb).total()
     if common < least * (na + nb - common):
         return 0.0
+    # k-mers that are there once in both are aligned in increasing order: no more of them than the longest such run has
+    place = {k: j for j, k in enumerate(kb) if cb[k] == 1 and ca[k] == 1}
+    once = [place[k] for k in ka if k in place]
+    most = increasing(once) + common - len(once)
+    if most < least * (na + nb - most):
+        return 0.0
     # furthest-reaching paths by number of edits; (x, k-mers, run) for each diagonal
     band = int((1 - least) * (na + nb)) + 4 * K
     best: dict[int, tuple[int, int, int]] = {1: (0, 0, 0)}

@@ -122,13 +122,18 @@ def learnable(labels: DataFrame, label: str, id_col: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, text_col: str, id_col: str, max_rows: int) -> DataFrame:
-    """(label, text columns) of at most ``max_rows`` learnable labels of known documents, by hash of the id; none is held out."""
+    """(id, text, y) of at most ``max_rows`` learnable labels of known documents, by hash of the id; none is held out.
+
+    Of documents that share an id, one is taken, so that no more rows than labels come out.
+    """
     known = learnable(labels, label, id_col).select(F.col(id_col), F.col(label).cast("int").alias("y")).join(docs.select(id_col).distinct(), id_col, "left_semi")
     rows = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows)
     # at most max_rows rows of two numbers
     rows = rows.select(F.col(id_col).alias("label_of"), F.col("y").alias("label_is"))
     clear = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return clear.join(F.broadcast(rows), clear["id"] == rows["label_of"]).select("id", "text", F.col("label_is").alias("y"))
+    own = clear.join(F.broadcast(rows.select("label_of").distinct()), clear["id"] == F.col("label_of"), "left_semi")
+    once = own.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return once.join(F.broadcast(rows), once["id"] == rows["label_of"]).select("id", "text", F.col("label_is").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_rows: int = 20_000) -> Trees:

@@ -38,6 +38,8 @@ STRETCH = 3
 #: Words of a training window; of an ordinary sample; most bytes of a window.
 PAIR, RUN, LONGEST = 2, 8, 48
 BASE_BYTES, TOXIC_BYTES, SEARCH_BYTES = 49_152, 4_096, 131_072
+#: Bytes of ordinary windows, spread over all of the sample, that the base dictionary is trained on (the sample itself is larger).
+BASE_TEXT = 8_000_000
 #: zstandard trains no smaller dictionary.
 LEAST_BYTES = 256
 ROUNDS = 4
@@ -149,7 +151,7 @@ def least_saving(toxic: np.ndarray, ordinary: np.ndarray, least: int = 8) -> int
 def dictionaries(bad: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary."""
     runs = [stretched(w) for t in plain for w in windows(words_of(t), RUN)]
-    base = trained(runs[:: 1 + sum(map(len, runs)) // 8_000_000], BASE_BYTES, 32 * STRETCH)
+    base = trained(runs[:: 1 + sum(map(len, runs)) // BASE_TEXT], BASE_BYTES, 32 * STRETCH)
     # each pair of words once, so that copies of a document count as one; the order does not depend on that of the rows
     toxic, ordinary = (sorted({w for t in texts for w in windows(words_of(t), PAIR)}) for texts in (bad, plain))
     half = [np.array([xxhash.xxh32_intdigest(w) & 1 for w in ws], dtype=int) for ws in (toxic, ordinary)]

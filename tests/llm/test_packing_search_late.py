@@ -411,3 +411,54 @@ def test_layout_of_nothing_and_of_zoned_times(spark, tmp_path):
     touched = late.lay_out(zoned, 1, 5, f"file://{tmp_path}/z")
     row = late.describe(spark, f"file://{tmp_path}/z", zoned.schema, touched).first()
     assert (row["day"], row["n_rows"], row["rewritten"]) == (3, 1, False)
+
+
+# --- the bound on training rows
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    from lodestone.llm import quality_classifier
+
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.range(5).select((F.col("id") * 4).alias("doc_id"), F.lit("other").alias("text")))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, 1), (8, 0)], "doc_id long, quality int")
+    rows = quality_classifier.labelled(docs, labels, "quality", "text", "doc_id", 10).collect()
+    assert len(rows) <= 4 and len({r["text"] for r in rows if r["id"] == 1}) == 1
+    assert len(quality_classifier.labelled(docs, labels, "quality", "text", "doc_id", 2).collect()) == 2
+
+
+# --- alignment of texts whose parts changed places
+
+
+def test_swapped_halves_are_told_apart_quickly():
+    import time
+
+    from lodestone.llm import minhash
+
+    half = [[b"w%d" % (2 * i + k) for i in range(100_000)] for k in (0, 1)]
+    start = time.time()
+    assert minhash.aligned_similarity(half[0] + half[1], half[1] + half[0]) == 0.0
+    assert time.time() - start < 10
+
+
+def test_order_bound_never_hides_a_pair():
+    from itertools import combinations
+
+    from lodestone.llm import minhash
+
+    rng = random.Random(4)
+    for _ in range(200):
+        own = rng.sample(range(9), rng.randint(0, 9))
+        want = max((n for n in range(len(own) + 1) for c in combinations(own, n) if list(c) == sorted(c)), default=0)
+        assert minhash.increasing(own) == want
+    for _ in range(150):
+        a = [b"%d" % rng.randint(0, 30) for _ in range(60)]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(b))
+            kind = rng.randint(0, 3)
+            b[i : i + (kind != 0)] = [b"x"] * (kind < 2)
+            if kind == 3:
+                b = b[i:] + b[:i]
+        # with the bound (least 0.8) and without it (least so low that nothing is left out)
+        exact = minhash.aligned_similarity(a, b, 1e-9)
+        assert minhash.aligned_similarity(a, b) in (exact, 0.0) and (exact < 0.8 or minhash.aligned_similarity(a, b) == exact)
