@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import stemming
 from .stem import norm_word
 from .words import EMAIL, RAW, STOP, URL, tokens_of
 
@@ -55,6 +56,29 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(norm_word, na_action="ignore")
 
 
+def camel_tokens(token: Column) -> Column:
+    """Stems of the parts of a camel-case token, and adjacent ones joined."""
+
+    def of(parts: Column) -> Column:
+        joined = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.concat(F.filter(parts, lambda p: ~p.isin(STOP)), joined)
+
+    return stemming.let(F.transform(camel_parts(token), stemming.stem), of)
+
+
+def token_set(text: Column) -> Column:
+    """The distinct tokens of a text as one expression, without Python workers; the same as ``tokenize`` gives.
+
+    It stems each token anew, where ``tokenize`` remembers stems.
+    """
+
+    def of(raw: Column) -> Column:
+        own = stemming.let(F.transform(raw, stemming.stem), lambda norms: F.concat(F.filter(norms, lambda t: ~t.isin(STOP)), pairs(norms)))
+        return F.concat(own, F.flatten(F.transform(raw, camel_tokens)))
+
+    return F.array_distinct(F.flatten(F.transform(blocks(text), lambda b: stemming.let(raw_tokens(b), of))))
+
+
 def words(text: Column) -> Column:
     """All raw tokens of a text in order; the same as those of its blocks, as no token holds white space."""
     return raw_tokens(strip_links(text))

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, scores, sentences, tokens, words
+from ..functions import describing, paths, scores, sentences, stemming, tokens, words
 from ..operators import graph, history, merge, repos, schedule, search, store, tops
 from ..sources import snapshots
 from ..sources import views as v
@@ -247,36 +247,66 @@ def stopword_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
 
 
-@query()
+@query(f"""WITH given AS (SELECT DISTINCT unnest(ts) AS word FROM {RAW_SQL}), {stemming.stem_sql("SELECT word FROM given")} SELECT word, stem FROM stems""")
 def stem_tokens(spark, sf_dir):
-    """Distinct tokens of the documents with their stems; each word is stemmed once."""
-    return raw_tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct().select("word", tokens.stem("word").alias("stem"))
+    """Distinct tokens of the documents with their stems; each word is stemmed once, by column expressions."""
+    return raw_tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct().select("word", stemming.stem(F.col("word")).alias("stem"))
 
 
-@query()
+SEARCH_TOKENS_SQL = rf"""WITH tok AS (SELECT doc_id, bi, i, ts[i] AS word FROM (SELECT doc_id, bi, ts, unnest(range(1, len(ts) + 1)) AS i FROM {RAW_SQL})),
+camel AS (SELECT doc_id, bi, i, regexp_extract_all(word, '\p{{Lu}}[^\p{{Lu}}]*|^[^\p{{Lu}}]+') AS ps FROM tok WHERE regexp_full_match(word, '\p{{L}}+') AND regexp_matches(word, '\p{{Lu}}') AND regexp_matches(word, '\p{{Ll}}')),
+part AS (SELECT doc_id, bi, i, j, ps[j] AS word FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM camel)),
+{stemming.stem_sql("SELECT word FROM tok UNION SELECT word FROM part")},
+norm AS (SELECT doc_id, stem AS a, lead(stem) OVER (PARTITION BY doc_id, bi ORDER BY i) AS b FROM tok JOIN stems USING (word)),
+inner_ AS (SELECT doc_id, stem AS a, lead(stem) OVER (PARTITION BY doc_id, bi, i ORDER BY j) AS b FROM part JOIN stems USING (word)),
+wide AS (SELECT doc_id, a, b, octet_length(encode(a)) = length(a) AS p, octet_length(encode(b)) = length(b) AS q FROM norm WHERE b IS NOT NULL)
+SELECT doc_id, a AS token FROM norm WHERE a NOT IN ('the', 'on', 'in', 'as') UNION SELECT doc_id, CASE WHEN p THEN a || '-' || b ELSE a || b END FROM wide WHERE p = q
+UNION SELECT doc_id, a FROM inner_ WHERE a NOT IN ('the', 'on', 'in', 'as') UNION SELECT doc_id, a || b FROM inner_ WHERE b IS NOT NULL"""
+
+
+@query(SEARCH_TOKENS_SQL)
 def search_tokens(spark, sf_dir):
     return tokens.tokenize(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(SEARCH_TOKENS_SQL)
+def search_token_columns(spark, sf_dir):
+    """The same tokens by column expressions alone."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens.token_set(F.coalesce("text", F.lit("")))).alias("token"))
+
+
 SENTENCE_SQL = r"""(SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '(-{4,}|={4,})\n', chr(10), 'g'), '-{2,}={2,}|={2,}-{2,}', '', 'g'), '\n\n+'),
   lambda p: string_split(replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), chr(10), ' '), '. ')) AS ps FROM documents)"""
 
 
-@query(rf"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS i, regexp_replace(CASE WHEN si < len(ss) THEN ss[si] || '.' ELSE ss[si] END, '\s+', ' ', 'g') AS sentence
-  FROM (SELECT doc_id, pi, ss, unnest(range(1, len(ss) + 1)) AS si FROM (SELECT doc_id, pi, ps[pi] AS ss FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS pi FROM {SENTENCE_SQL})))""")
+SPLIT_SQL = rf"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) - 1 AS i, regexp_replace(CASE WHEN si < len(ss) THEN ss[si] || '.' ELSE ss[si] END, '\s+', ' ', 'g') AS sentence
+  FROM (SELECT doc_id, pi, ss, unnest(range(1, len(ss) + 1)) AS si FROM (SELECT doc_id, pi, ps[pi] AS ss FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS pi FROM {SENTENCE_SQL})))"""
+
+
+@query(SPLIT_SQL)
 def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences.split_sentences(F.coalesce("text", F.lit("")))).alias("i", "sentence")).withColumn("i", F.col("i").cast("long"))
 
 
-@query()
-def important_sentences(spark, sf_dir):
+NAMED_SQL = f"""WITH {describing.chosen_sql(f"SELECT s.doc_id AS k, i, sentence, 'pkg' || s.doc_id AS name, 'github.com/u/' || lower(regexp_extract(coalesce(text, ''), '[A-Za-z]+')) AS pkg FROM ({SPLIT_SQL}) s JOIN documents d ON d.doc_id = s.doc_id")}"""
+
+
+def described(spark, sf_dir):
+    """The important sentences of each document, as of a package called after its first word."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", sentences.important_sentences("text", F.concat(F.lit("pkg"), F.col("doc_id")), F.concat(F.lit("github.com/u/pkg"), F.col("doc_id"))).alias("sentences"))
+    pkg = F.concat(F.lit("github.com/u/"), F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0)))
+    return docs.select("doc_id", "text", describing.chosen(F.col("text"), F.concat(F.lit("pkg"), F.col("doc_id")), pkg).alias("sentences"))
 
 
-@query()
+@query(f"{NAMED_SQL} SELECT k AS doc_id, string_agg(sentence, chr(10) ORDER BY i) AS sentences FROM chosen GROUP BY k")
+def important_sentences(spark, sf_dir):
+    """Chosen by wording and by a pattern of each document's own, without Python workers."""
+    return described(spark, sf_dir).filter(F.size("sentences") > 0).select("doc_id", F.array_join("sentences", "\n").alias("sentences"))
+
+
+@query(f"{NAMED_SQL} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM documents WHERE text <> '') AS with_text, count(DISTINCT k) AS with_important, count(*) AS sentences FROM chosen")
 def corpus_sentence_stats(spark, sf_dir):
-    rows = important_sentences(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = described(spark, sf_dir)
     return rows.agg(F.count("*").alias("docs"), F.count_if(F.length("text") > 0).alias("with_text"), F.count_if(F.size("sentences") > 0).alias("with_important"), F.sum(F.size("sentences")).alias("sentences"))
 
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import paths, scores, sentences, stem, tokens, words
+from lodestone.functions import describing, paths, scores, sentences, stem, stemming, tokens, words
 from lodestone.operators import repos, schedule
 from lodestone.operators.search import page_links, pages
 
@@ -188,3 +188,31 @@ def test_pages():
     assert page_links(1, 3) == {"before": [], "after": [2, 3], "prev": 0, "next": 2}
     assert page_links(20, 40)["before"] == list(range(11, 20))
     assert page_links(9, 3) == {"before": [1, 2, 3], "after": [], "prev": 0, "next": 0} and page_links(1, 0)["next"] == 0
+
+
+def test_stem_columns_are_the_stems(spark):
+    """Random words with all endings of the rules, against the plain algorithm."""
+    rng = random.Random(1)
+    ends = [a for a, _ in stem.STEP2 + stem.STEP3] + list(stem.STEP4) + ["ed", "ing", "eed", "sses", "ies", "s", "y", "e", "ll", "izing", "bled", "tted", ""]
+    given = sorted({"".join(rng.choice("aeiouybcdtlszwx") for _ in range(rng.randint(0, 6))) + rng.choice(ends) + rng.choice(["", "s", "e"]) for _ in range(8000)} | {"IDE", "Generics", "yyyy", "ayy", "É", "no-word", "x1"})
+    assert column(spark, given, stemming.stem) == [stem.norm_word(w) for w in given]
+
+
+def test_token_columns_are_the_tokens(spark):
+    rng = random.Random(2)
+    bits = ["Hopping", "runs", "myHttpServer", "XMLFile", "the", "42", "新しい", "é", "a.b", "x-y", "http://q.r/s", "me@h.org", " ", "\n", "　", "!", "Ärger", "ÄrgerNis"]
+    given = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    assert [set(t) for t in column(spark, given, tokens.token_set)] == [words.tokens_of(t) for t in given]
+
+
+def test_chosen_columns_are_the_important_sentences(spark):
+    rng = random.Random(7)
+    bits = ["Stone", "stone", "stones", "s t o n e", "lee/stone", "package", "the", "go", "(x)", "(a) (b)", "wraps", "is a", "- ", ", ", "of", "a library", "using golang.", "![p](q)", "This tool", "that", "rain", "c++"]
+    rows = []
+    for i in range(400):
+        text = ". ".join(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 4)))
+        rows.append((i, text, rng.choice(["", "main", "stone", "tool-go", None]), rng.choice(["host.org/lee/stone", "stones", "h.org/c++", "", "h.org/u/re.x-go", None])))
+    df = spark.createDataFrame(rows, "i int, text string, name string, pkg string")
+    got = {r["i"]: r["s"] for r in df.select("i", describing.chosen(F.col("text"), F.col("name"), F.col("pkg")).alias("s")).collect()}
+    want = {i: sentences.important(t, n or "", p or "") for i, t, n, p in rows}
+    assert got == want and sum(map(len, want.values())) > 100
