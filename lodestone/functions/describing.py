@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import sentences
-from .stemming import let
+from .stemming import let, stem, stem_sql
 
 #: Wording that tells by itself, from the start, at the end or of the whole sentence.
 WORDING = f"^(?:{'|'.join(sentences.PREFIXES)})|{sentences.SUFFIX.pattern}|^(?:{sentences.WRAP.pattern})$"
@@ -77,3 +77,39 @@ def chosen_sql(rows: str) -> str:
     return f"""given AS ({rows}), parts AS (SELECT k, string_split(lower(pkg), '/') AS ps, lower(name) AS n FROM (SELECT DISTINCT k, name, pkg FROM given)), lasts AS (SELECT *, ps[-1] AS l FROM parts),
 patterns AS (SELECT k, '{q(BEFORE)}' || array_to_string({ends}, '') || {own} || {named} || '{q(BEHIND)}' AS pattern FROM lasts),
 chosen AS (SELECT k, i, regexp_replace(sentence, '{q(sentences.IMAGE)}', '', 'g') AS sentence FROM (SELECT k, i, sentence, pattern, {low} AS low FROM given JOIN patterns USING (k)) WHERE regexp_matches(low, '{q(WORDING)}') OR regexp_matches(low, pattern))"""
+
+
+#: Words that may be marked; what stands between them is shown as it is.
+WORD = r"[A-Za-z]+|[0-9]+|\p{L}[A-Za-z]*|\p{N}[0-9]*"
+# Signs that HTML writes in another way.
+HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+
+
+def html(text: Column) -> Column:
+    for sign, written in HTML:
+        text = F.replace(text, F.lit(sign), F.lit(written))
+    return text
+
+
+def marked(text: Column, tokens: list[str]) -> Column:
+    """The text as HTML, with the words whose normal form is a query token in bold."""
+    own = sorted(tokens)
+    bold = lambda w: F.when(stem(w).isin(own), F.concat(F.lit("<b>"), html(w), F.lit("</b>"))).otherwise(html(w))
+    found, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    # one gap more than words
+    return F.array_join(F.zip_with(gaps, F.transform(found, bold), lambda g, w: F.concat(html(g), F.coalesce(w, F.lit("")))), "")
+
+
+def marked_sql(rows: str, tokens: list[str]) -> str:
+    """CTEs ending in ``marked`` (k, marked) of the statement ``rows`` (k, text), for DuckDB."""
+
+    def escape(c: str) -> str:
+        for sign, written in HTML:
+            c = f"replace({c}, '{sign.replace(chr(39), chr(39) * 2)}', '{written}')"
+        return c
+
+    own = ", ".join(f"'{t}'" for t in sorted(tokens))
+    return rf"""shown AS ({rows}), cut AS (SELECT k, regexp_extract_all(text, '{WORD}') AS ws, regexp_split_to_array(text, '{WORD}') AS gs FROM shown), word_at AS (SELECT k, i, ws[i] AS word FROM (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM cut)),
+{stem_sql("SELECT word FROM word_at")},
+bits AS (SELECT k, 2 * i AS place, CASE WHEN stem IN ({own}) THEN '<b>' || {escape("word")} || '</b>' ELSE {escape("word")} END AS bit FROM word_at JOIN stems USING (word) UNION ALL SELECT k, 2 * i - 1, {escape("gs[i]")} FROM (SELECT k, gs, unnest(range(1, len(gs) + 1)) AS i FROM cut)),
+marked AS (SELECT k, string_agg(bit, '' ORDER BY place) AS marked FROM bits GROUP BY k)"""

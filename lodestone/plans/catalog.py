@@ -315,9 +315,13 @@ def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sentences.snippets(words.tokens_of("and to of"))("text").alias("snippet"))
 
 
-@query()
+MARKED = ["and", "of", "to"]
+
+
+@query(f"WITH {describing.marked_sql("SELECT doc_id AS k, text FROM documents WHERE text IS NOT NULL AND text <> ''", MARKED)} SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE marked END AS marked FROM documents d LEFT JOIN marked ON k = d.doc_id")
 def mark_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sentences.marks(words.tokens_of("and to of"))("text").alias("marked"))
+    """Marked by column expressions."""
+    return table(spark, sf_dir, "documents").select("doc_id", describing.marked(F.col("text"), MARKED).alias("marked"))
 
 
 @query()

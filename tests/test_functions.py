@@ -216,3 +216,10 @@ def test_chosen_columns_are_the_important_sentences(spark):
     got = {r["i"]: r["s"] for r in df.select("i", describing.chosen(F.col("text"), F.col("name"), F.col("pkg")).alias("s")).collect()}
     want = {i: sentences.important(t, n or "", p or "") for i, t, n, p in rows}
     assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_marked_columns_are_the_marked_texts(spark):
+    rng = random.Random(9)
+    bits = ["Running", "runs", "run", "<b>", "&", "'q'", '"', " ", "\n", "42", "新", "é", "x2y", "-", "the"]
+    given = ["", " ", "runs", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(200)]]
+    assert column(spark, given, lambda c: describing.marked(c, ["run", "42", "新"])) == [sentences.marked(t, {"run", "42", "新"}) for t in given]
