@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from . import sentences, tokens
+from . import sentences, source, tokens
 from .words import tokens_of
 
 
@@ -21,5 +21,5 @@ def register(spark: SparkSession) -> None:
     """``stem(word)``, ``important_sentences(text, name, package)``, ``parse_header(path, body)`` and the table function ``tokenize(text)``."""
     spark.udf.register("stem", tokens.stem)
     spark.udf.register("important_sentences", sentences.important_sentences)
-    spark.udf.register("parse_header", sentences.parse_header)
+    spark.udf.register("parse_header", source.parse_header)
     spark.udtf.register("tokenize", udtf(Tokenize, returnType="token: string"))

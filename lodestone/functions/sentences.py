@@ -212,30 +212,3 @@ def marks(tokens: set[str]):
         return text.map(lambda t: marked(t, tokens), na_action="ignore")
 
     return of
-
-
-def header(path: str, body: str) -> dict:
-    """Package clause, doc comment, imports, test flag and status of a source file."""
-    test = path.endswith("_test.go")
-    tags = [t for line in re.findall(r"^// \+build (.*)$", body, flags=re.M) for t in line.split()]
-    known = {"linux", "386", "darwin", "cgo"}
-    if any(t.lstrip("!") not in known and not t.lstrip("!").startswith("go") for t in tags):
-        return {"status": "ShouldIgnore", "name": "", "description": "", "imports": [], "is_test": test}
-    m = re.search(r"(?:\A|\n)((?://[^\n]*\n)*|/\*.*?\*/\s*)package\s+(\w+)", body, flags=re.S)
-    if not m:
-        return {"status": "ShouldIgnore" if test else "ParseFailed", "name": "", "description": "", "imports": [], "is_test": test}
-    doc = re.sub(r"^// ?|^/\*|\*/\s*$", "", m[1], flags=re.M).strip() if "+build" not in m[1] else ""
-    rest = body[m.end() :]
-    single = re.findall(r"^import\s+(?:[\w.]+\s+)?\"([^\"]+)\"", rest, flags=re.M)
-    several = [p for block in re.findall(r"^import\s*\((.*?)^\)", rest, flags=re.M | re.S) for p in re.findall(r"\"([^\"]+)\"", block)]
-    return {"status": "ParseSuccess", "name": m[2], "description": doc, "imports": single + several, "is_test": test}
-
-
-HEADER = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("status", "name", "description")] + [T.StructField("imports", T.ArrayType(T.StringType())), T.StructField("is_test", T.BooleanType())]
-)
-
-
-@F.pandas_udf(HEADER)
-def parse_header(path: pd.Series, body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([header(p, b or "") for p, b in zip(path, body, strict=True)], columns=["status", "name", "description", "imports", "is_test"])

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import describing, paths, scores, sentences, stemming, tokens, words
+from ..functions import describing, paths, scores, sentences, source, stemming, tokens, words
 from ..operators import graph, history, merge, repos, schedule, search, store, tops
 from ..sources import snapshots
 from ..sources import views as v
@@ -338,8 +338,10 @@ def parse_header(spark, sf_dir):
     k, text = F.col("doc_id"), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
     tag = F.when(k % 7 == 0, "// +build ignore\n\n").otherwise("")
     clause = F.when(k % 11 == 0, "pack").otherwise(text("package p", k))
-    body = text(tag, "// ", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), "\n", clause, "\n\nimport \"x.org/", F.col("lang"), "\"\nimport (\n\t\"a.org/b\"\n\tz \"c.org/", F.col("source"), "\"\n)\n")
-    parsed = table(spark, sf_dir, "documents").select("doc_id", sentences.parse_header(text("f", k, F.when(k % 5 == 0, "_test.go").otherwise(".go")), body).alias("h"))
+    # one line with two imports, a group, an import in a comment, and one in a string behind the first declaration
+    start = text(tag, "/* import \"none.org/x\" */\n\n// ", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), "\n", clause, "\n\n")
+    body = text(start, "import (\"x.org/", F.col("lang"), "\"; `a.org/b`)\nimport (\n\t// \"c.org/no\"\n\tz \"c.org/", F.col("source"), "\"\n)\nvar s = `\nimport \"d.org/no\"`\n")
+    parsed = table(spark, sf_dir, "documents").select("doc_id", source.parse_header(text("f", k, F.when(k % 5 == 0, "_test.go").otherwise(".go")), body).alias("h"))
     return parsed.select("doc_id", "h.status", "h.name", "h.description", F.array_join("h.imports", ",").alias("imports"), "h.is_test")
 
 

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import describing, paths, scores, sentences, stem, stemming, tokens, words
+from lodestone.functions import describing, paths, scores, sentences, source, stem, stemming, tokens, words
 from lodestone.operators import repos, schedule
 from lodestone.operators.search import page_links, pages
 
@@ -145,11 +145,41 @@ def test_snippet_and_marks():
     assert sentences.marked("a <needle> here", {"needl"}) == "a &lt;<b>needle</b>&gt; here"
 
 
-def test_header():
-    h = sentences.header("a_test.go", "// Doc of x.\npackage x\n\nimport \"a.org/b\"\nimport (\n\t\"c.org/d\"\n)\n")
-    assert h == {"status": "ParseSuccess", "name": "x", "description": "Doc of x.", "imports": ["a.org/b", "c.org/d"], "is_test": True}
-    assert sentences.header("a.go", "// +build ignore\n\npackage x")["status"] == "ShouldIgnore"
-    assert sentences.header("a.go", "no clause")["status"] == "ParseFailed"
+HEADS = [
+    # path, body, status, name, doc, imports
+    ("a_test.go", '// Doc of x.\npackage x\n\nimport "a.org/b"\nimport (\n\t"c.org/d"\n)\n', "ParseSuccess", "x", "Doc of x.", ["a.org/b", "c.org/d"]),
+    ("a.go", 'package x; import ("a"; b "c"; . "d"; _ `e`); import "f"', "ParseSuccess", "x", "", ["a", "c", "d", "e", "f"]),
+    ("a.go", '/* import "no" */ package x /* import ( */\nimport /* "no" */ "yes" // "no"\n', "ParseSuccess", "x", 'import "no"', ["yes"]),
+    ("a.go", 'package x\n\nimport "a"\n\nvar s = `\nimport "no"\n`\nimport "no"', "ParseSuccess", "x", "", ["a"]),
+    ("a.go", 'package x\n// import "no"\n/*\nimport "no"\n*/\nimport (\n)\nfunc f() {}', "ParseSuccess", "x", "", []),
+    ("a.go", '// License.\n\n// One.\n// Two.\npackage x', "ParseSuccess", "x", "One.\nTwo.", []),
+    ("a.go", '// One.\n\npackage x', "ParseSuccess", "x", "", []),
+    ("a.go", '\ufeff/*\nLong\n  doc.\n*/\npackage über', "ParseSuccess", "über", "Long\ndoc.", []),
+    ("a.go", 'package x\nimport "a\\x2fb\\u002fc\\"d"', "ParseSuccess", "x", "", ['a/b/c"d']),
+    ("a.go", "// +build ignore\n\npackage x", "ShouldIgnore", "", "", []),
+    ("a.go", "// +build linux,!cgo go1.2\n\npackage x", "ParseSuccess", "x", "", []),
+    ("a.go", 'package x\n// +build ignore\nimport "a"', "ParseSuccess", "x", "", ["a"]),
+    ("a.go", "no clause", "ParseFailed", "", "", []),
+    ("a_test.go", "no clause", "ShouldIgnore", "", "", []),
+    ("a.go", 'package x\nimport (\n"a"\n', "ParseFailed", "", "", []),
+    ("a.go", "", "ParseFailed", "", "", []),
+    ("a.go", "// package x", "ParseFailed", "", "", []),
+    ("a.go", "package 7", "ParseFailed", "", "", []),
+]
+
+
+@pytest.mark.parametrize(("path", "body", "status", "name", "doc", "imports"), HEADS)
+def test_header(path, body, status, name, doc, imports):
+    assert source.header(path, body) == {"status": status, "name": name, "description": doc, "imports": imports, "is_test": path.endswith("_test.go")}
+
+
+def test_header_of_a_long_file():
+    """Only the head is read: what follows may be anything, and long."""
+    import time
+
+    start = time.time()
+    assert source.header("a.go", 'package x\nimport "a"\nvar s = 1\n' + "/* '\"` " * 1_000_000)["imports"] == ["a"]
+    assert source.header("a.go", "/*" * 200_000)["status"] == "ParseFailed" and time.time() - start < 20
 
 
 def test_scores(spark):
