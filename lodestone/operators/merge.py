@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,12 @@ def counters(merged: DataFrame) -> DataFrame:
 def drop_matching(docs: DataFrame, patterns: list[str]) -> DataFrame:
     """Packages that match none of the patterns."""
     return docs.filter(~F.col("package").rlike("|".join(f"({p})" for p in patterns))) if patterns else docs
+
+
+STATUSES = ("new", "updated", "unchanged", "deleted")
+
+
+def observed(merged: DataFrame) -> tuple[DataFrame, Observation]:
+    """``merged`` with an observation of how many rows have each status: known once an action, such as writing, has run over it."""
+    counts = Observation()
+    return merged.observe(counts, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]), counts

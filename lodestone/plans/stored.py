@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import scores
-from ..operators import blocks, graph, search
-from ..sources import responses, snapshots, versions
+from ..operators import blocks, graph, merge, search
+from ..sources import cache, responses, snapshots, versions
 from ..sources import views as v
 from ..sources.views import HISTORY_SQL
 from ..streaming import jobs
-from .catalog import CRAWL_SQL, IDF_SQL, NOW, PACKAGES_SQL, POST_SQL, QUERY, SCORE_SQL, postings, query, table
+from .catalog import CRAWL_SQL, IDF_SQL, NOW, ORACLE, PACKAGES_SQL, POST_SQL, QUERY, SCORE_SQL, postings, query, table
 from .engine import Engine
 
 # --- posting blocks -------------------------------------------------------------------------------------------------
@@ -258,3 +258,25 @@ def saved_repositories(spark, sf_dir):
     asked = orders.select(kind.alias("kind"), key.alias("key")).filter("kind = 'repository'")
     found = responses.answered(asked, saved)
     return found.select("key", "status", F.from_json("body", "stargazers_count long")["stargazers_count"].alias("stars"))
+
+
+# --- counters that come with writing --------------------------------------------------------------------------------
+
+
+@query(ORACLE["merge_counts"])
+def observed_merge(spark, sf_dir):
+    """Counts of the merge, observed while its result is written."""
+    merged, counts = merge.observed(merge.merge(v.actions(spark, sf_dir), "stars"))
+    snapshots.keep(merged, "merged-docs")
+    return spark.createDataFrame([(s, n) for s, n in counts.get.items() if n], "status string, n long")
+
+
+@query("""WITH f AS (SELECT l_partkey AS sha FROM lineitem), c AS (SELECT p_partkey AS sha, p_partkey % 30 <> 0 AS whole FROM part WHERE p_partkey % 10 = 0), k AS (SELECT f.sha, whole FROM f LEFT JOIN c USING (sha)),
+m AS (SELECT DISTINCT sha FROM k WHERE whole IS NULL OR NOT whole)
+SELECT count(*) FILTER (whole) AS hit, count(*) FILTER (whole IS NULL) AS missed, count(*) FILTER (NOT whole) AS get_error, (SELECT count(*) FROM m WHERE sha % 7 <> 0) AS sign_saved, (SELECT count(*) FROM m WHERE sha % 7 = 0) AS set_error FROM k""")
+def observed_cache(spark, sf_dir):
+    """Counts of a pass through the cache: some entries can't be read, some contents can't be parsed."""
+    cache_ = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("sha"), F.when(F.col("p_partkey") % 30 != 0, "kept").alias("info"))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("sha"))
+    passed = cache.through(files, cache_, lambda rows: rows.withColumn("info", F.when(F.col("sha") % 7 != 0, "parsed")))
+    return spark.createDataFrame([tuple(passed.counts[c] for c in ("hit", "missed", "get_error", "sign_saved", "set_error"))], "hit long, missed long, get_error long, sign_saved long, set_error long")

@@ -225,3 +225,28 @@ def test_saved_responses(spark, tmp_path):
     assert read().filter("kind = 'none'").collect() == []
     asked = spark.createDataFrame([("user", "u3"), ("user", "gone"), ("tree", "u3")], "kind string, key string")
     assert {(r["kind"], r["key"]): r["status"] for r in responses.answered(asked, read()).collect()} == {("user", "u3"): 200, ("user", "gone"): 404, ("tree", "u3"): 404}
+
+
+# --- counters
+
+
+def test_counters_come_with_writing(spark):
+    from lodestone.operators import merge
+    from lodestone.sources import cache
+
+    files = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5), ("d", 6), (None, 7)], "sha string, n int")
+    held = spark.createDataFrame([("a", "A"), ("b", None), ("z", "Z")], "sha string, info string")
+    asked = []
+
+    def parse(rows):
+        asked.append(rows)
+        return rows.withColumn("info", F.when(F.col("sha") != "c", F.upper("sha")))
+
+    passed = cache.through(files, held, parse)
+    assert passed.counts == {"hit": 2, "missed": 4, "get_error": 1, "sign_saved": 2, "set_error": 2}
+    assert {r["n"]: r["info"] for r in passed.rows.collect()} == {1: "A", 2: "A", 3: "B", 4: None, 5: "D", 6: "D", 7: None}
+    assert {tuple(r) for r in passed.fresh.collect()} == {("b", "B"), ("d", "D")} and asked[0].count() == 4
+    rows = spark.createDataFrame([("p", 1, "original"), ("p", 2, "update"), ("q", 1, "update"), ("r", 1, "original"), ("s", 1, "original"), ("s", 2, "delete")], "package string, last_updated int, action string")
+    merged, counts = merge.observed(merge.merge(rows))
+    merged.write.format("noop").mode("overwrite").save()
+    assert counts.get == {"new": 1, "updated": 1, "unchanged": 1, "deleted": 1}
