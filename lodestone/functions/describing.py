@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import sentences
 from .stemming import let, stem, stem_sql
+from .tokens import token_set
 
 #: Wording that tells by itself, from the start, at the end or of the whole sentence.
 WORDING = f"^(?:{'|'.join(sentences.PREFIXES)})|{sentences.SUFFIX.pattern}|^(?:{sentences.WRAP.pattern})$"
@@ -21,6 +22,10 @@ BEFORE, BEHIND = rf"^(?:package )?(?:{sentences.THE} )?(?:", f")(?: package)?(?:
 SPACED, BRACKETS = r" (?:(?:\([^)]*\))+ )+", r"\([^)]*\)"
 
 
+#: White space at the ends of texts and lines, for Spark and for DuckDB.
+SPACE, SPACE_SQL = r"[\s\x{85}\p{Z}\x1C-\x1F]", r"[\s\x{85}\p{Z}\x1C-\x1F\x0B]"
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(text, SIGNS, r"\\$1")
 
@@ -113,3 +118,61 @@ def marked_sql(rows: str, tokens: list[str]) -> str:
 {stem_sql("SELECT word FROM word_at")},
 bits AS (SELECT k, 2 * i AS place, CASE WHEN stem IN ({own}) THEN '<b>' || {escape("word")} || '</b>' ELSE {escape("word")} END AS bit FROM word_at JOIN stems USING (word) UNION ALL SELECT k, 2 * i - 1, {escape("gs[i]")} FROM (SELECT k, gs, unnest(range(1, len(gs) + 1)) AS i FROM cut)),
 marked AS (SELECT k, string_agg(bit, '' ORDER BY place) AS marked FROM bits GROUP BY k)"""
+
+
+def snippet(text: Column, tokens: list[str], most: int = 300) -> Column:
+    """Lines of a text within ``most`` bytes, chosen by two folds: first those with query tokens not met before, then others in order.
+
+    The first line is always there; gaps are shown as dots.
+    """
+    wanted = F.array(*[F.lit(t) for t in sorted(tokens)]).cast("array<string>")
+    trimmed = lambda c: F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    state = lambda seen, used, chosen, stop: F.struct(seen.alias("seen"), used.cast("int").alias("used"), chosen.alias("chosen"), stop.alias("stop"))
+    line = lambda s, i: F.struct(i.alias("i"), F.octet_length(s).alias("size"), F.array_intersect(wanted, token_set(s)).alias("hits"))
+
+    def by_tokens(now: Column, x: Column) -> Column:
+        new = F.array_except(x["hits"], now["seen"])
+        take = ~now["stop"] & ((x["i"] == 0) | ((F.size(new) > 0) & (now["used"] + x["size"] + 1 < most)))
+        used = now["used"] + F.when(take, x["size"] + 1).otherwise(0)
+        return state(F.array_union(now["seen"], new), used, F.when(take, F.array_append(now["chosen"], x["i"])).otherwise(now["chosen"]), now["stop"] | (take & (used == most)))
+
+    def in_order(now: Column, x: Column) -> Column:
+        open_ = ~now["stop"] & ~F.array_contains(now["chosen"], x["i"]) & (x["size"] > 0)
+        fits = now["used"] + x["size"] < most
+        take = open_ & fits
+        return state(now["seen"], now["used"] + F.when(take, x["size"] + 1).otherwise(0), F.when(take, F.array_append(now["chosen"], x["i"])).otherwise(now["chosen"]), now["stop"] | (open_ & ~fits))
+
+    def shown(lines: Column) -> Column:
+        def joined(chosen: Column) -> Column:
+            gap = lambda i, k: F.when((i > 1) & ((k == 0) | (F.get(chosen, k - 1) != i - 1)), "...").when(k > 0, " ").otherwise("")
+            said = F.array_join(F.transform(chosen, lambda i, k: F.concat(gap(i, k), F.get(lines, i))), "")
+            return F.concat(said, F.when(F.element_at(chosen, -1) != F.size(lines) - 1, "...").otherwise(""))
+
+        start = state(F.array().cast("array<string>"), F.lit(0), F.array().cast("array<int>"), F.lit(False))
+        folded = lambda xs: let(F.aggregate(xs, start, by_tokens), lambda one: F.aggregate(xs, state(one["seen"], one["used"], one["chosen"], one["used"] >= most), in_order))
+        return let(let(F.transform(lines, line), folded), lambda end: let(F.array_sort(end["chosen"]), joined))
+
+    whole = lambda t: F.when(F.octet_length(t) <= most, t).otherwise(let(F.transform(F.split(t, "\n"), trimmed), shown))
+    return let(trimmed(text), whole)
+
+
+def snippet_sql(rows: str, hits: str, tokens: list[str], most: int = 300) -> str:
+    """CTEs ending in ``snippets`` (k, snippet) of ``rows`` (k, text), for DuckDB; ``hits`` makes (k, i, token) of ``line`` (k, i, line).
+
+    The folds are recursive, one step for each line.
+    """
+    trimmed = lambda c: rf"regexp_replace({c}, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g')"
+    own = ", ".join(f"'{t}'" for t in sorted(tokens))
+    return f"""text_of AS (SELECT k, {trimmed('text')} AS t FROM ({rows})), cut AS (SELECT k, list_transform(string_split(t, chr(10)), lambda x: {trimmed('x')}) AS ls FROM text_of WHERE octet_length(encode(t)) > {most}),
+line AS (SELECT k, i - 1 AS i, ls[i] AS line FROM (SELECT k, ls, unnest(range(1, len(ls) + 1)) AS i FROM cut)),
+hit AS (SELECT k, i, list(token) AS hits FROM ({hits}) WHERE token IN ({own}) GROUP BY k, i),
+told AS (SELECT line.k, line.i, octet_length(encode(line)) AS size, coalesce(hits, CAST([] AS VARCHAR[])) AS hits FROM line LEFT JOIN hit ON hit.k = line.k AND hit.i = line.i),
+one AS (SELECT k, CAST(-1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS chosen, FALSE AS stop FROM cut
+  UNION ALL SELECT k, i, list_distinct(list_concat(seen, new)), used + CASE WHEN take THEN size + 1 ELSE 0 END, CASE WHEN take THEN list_append(chosen, i) ELSE chosen END, stop OR (take AND used + size + 1 = {most})
+  FROM (SELECT *, NOT stop AND (i = 0 OR (len(new) > 0 AND used + size + 1 < {most})) AS take FROM (SELECT o.k, t.i, o.seen, o.used, o.chosen, o.stop, t.size, list_filter(t.hits, lambda h: NOT list_contains(o.seen, h)) AS new FROM one o JOIN told t ON t.k = o.k AND t.i = o.i + 1))),
+two AS (SELECT k, CAST(-1 AS BIGINT) AS i, used, chosen, used >= {most} AS stop FROM (SELECT k, arg_max(used, i) AS used, arg_max(chosen, i) AS chosen FROM one GROUP BY k)
+  UNION ALL SELECT k, i, used + CASE WHEN free AND fits THEN size + 1 ELSE 0 END, CASE WHEN free AND fits THEN list_append(chosen, i) ELSE chosen END, stop OR (free AND NOT fits)
+  FROM (SELECT o.k, t.i, o.used, o.chosen, o.stop, t.size, NOT o.stop AND NOT list_contains(o.chosen, t.i) AND t.size > 0 AS free, o.used + t.size < {most} AS fits FROM two o JOIN told t ON t.k = o.k AND t.i = o.i + 1)),
+picked AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM (SELECT k, unnest(arg_max(chosen, i)) AS i FROM two GROUP BY k)),
+said AS (SELECT p.k, string_agg(CASE WHEN p.i > 1 AND (before IS NULL OR before <> p.i - 1) THEN '...' WHEN before IS NOT NULL THEN ' ' ELSE '' END || line, '' ORDER BY p.i) AS s, max(p.i) AS last FROM picked p JOIN line l ON l.k = p.k AND l.i = p.i GROUP BY p.k),
+snippets AS (SELECT k, t AS snippet FROM text_of WHERE octet_length(encode(t)) <= {most} OR t IS NULL UNION ALL SELECT said.k, s || CASE WHEN last <> len(ls) - 1 THEN '...' ELSE '' END FROM said JOIN cut ON cut.k = said.k)"""

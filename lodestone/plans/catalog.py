@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import describing, paths, scores, sentences, source, stemming, tokens, words
+from ..functions import describing, paths, scores, sentences, source, stemming, tokens
 from ..operators import graph, history, merge, repos, schedule, search, store, tops
 from ..sources import snapshots
 from ..sources import views as v
@@ -253,15 +253,20 @@ def stem_tokens(spark, sf_dir):
     return raw_tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct().select("word", stemming.stem(F.col("word")).alias("stem"))
 
 
-SEARCH_TOKENS_SQL = rf"""WITH tok AS (SELECT doc_id, bi, i, ts[i] AS word FROM (SELECT doc_id, bi, ts, unnest(range(1, len(ts) + 1)) AS i FROM {RAW_SQL})),
+def tokens_ctes(raw_sql: str) -> str:
+    """CTEs of the tokens of the blocks (doc_id, bi, ts) of ``raw_sql``."""
+    return rf"""tok AS (SELECT doc_id, bi, i, ts[i] AS word FROM (SELECT doc_id, bi, ts, unnest(range(1, len(ts) + 1)) AS i FROM {raw_sql})),
 camel AS (SELECT doc_id, bi, i, regexp_extract_all(word, '\p{{Lu}}[^\p{{Lu}}]*|^[^\p{{Lu}}]+') AS ps FROM tok WHERE regexp_full_match(word, '\p{{L}}+') AND regexp_matches(word, '\p{{Lu}}') AND regexp_matches(word, '\p{{Ll}}')),
 part AS (SELECT doc_id, bi, i, j, ps[j] AS word FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM camel)),
 {stemming.stem_sql("SELECT word FROM tok UNION SELECT word FROM part")},
 norm AS (SELECT doc_id, stem AS a, lead(stem) OVER (PARTITION BY doc_id, bi ORDER BY i) AS b FROM tok JOIN stems USING (word)),
 inner_ AS (SELECT doc_id, stem AS a, lead(stem) OVER (PARTITION BY doc_id, bi, i ORDER BY j) AS b FROM part JOIN stems USING (word)),
-wide AS (SELECT doc_id, a, b, octet_length(encode(a)) = length(a) AS p, octet_length(encode(b)) = length(b) AS q FROM norm WHERE b IS NOT NULL)
-SELECT doc_id, a AS token FROM norm WHERE a NOT IN ('the', 'on', 'in', 'as') UNION SELECT doc_id, CASE WHEN p THEN a || '-' || b ELSE a || b END FROM wide WHERE p = q
+wide AS (SELECT doc_id, a, b, octet_length(encode(a)) = length(a) AS p, octet_length(encode(b)) = length(b) AS q FROM norm WHERE b IS NOT NULL)"""
+
+
+TOKENS_OF = """SELECT doc_id, a AS token FROM norm WHERE a NOT IN ('the', 'on', 'in', 'as') UNION SELECT doc_id, CASE WHEN p THEN a || '-' || b ELSE a || b END FROM wide WHERE p = q
 UNION SELECT doc_id, a FROM inner_ WHERE a NOT IN ('the', 'on', 'in', 'as') UNION SELECT doc_id, a || b FROM inner_ WHERE b IS NOT NULL"""
+SEARCH_TOKENS_SQL = f"WITH {tokens_ctes(RAW_SQL)} {TOKENS_OF}"
 
 
 @query(SEARCH_TOKENS_SQL)
@@ -310,12 +315,17 @@ def corpus_sentence_stats(spark, sf_dir):
     return rows.agg(F.count("*").alias("docs"), F.count_if(F.length("text") > 0).alias("with_text"), F.count_if(F.size("sentences") > 0).alias("with_important"), F.sum(F.size("sentences")).alias("sentences"))
 
 
-@query()
-def snippet(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sentences.snippets(words.tokens_of("and to of"))("text").alias("snippet"))
+MARKED = ["and", "of", "to"]
+# lines as documents of their own, numbered below 1,000,000
+LINE_RAW_SQL = RAW_SQL.replace("FROM documents", "FROM (SELECT k * 1000000 + i AS doc_id, line AS text FROM line)")
+LINE_HITS_SQL = f"SELECT doc_id // 1000000 AS k, doc_id % 1000000 AS i, token FROM (WITH {tokens_ctes(LINE_RAW_SQL)} {TOKENS_OF})"
+SNIPPET_SQL = f"WITH RECURSIVE {describing.snippet_sql('SELECT doc_id AS k, text FROM documents', LINE_HITS_SQL, MARKED)} SELECT k AS doc_id, snippet FROM snippets"
 
 
-MARKED = ["and", "of", "to"]
+@query(SNIPPET_SQL)
+def snippet(spark, sf_dir):
+    """Chosen by folds over the lines; the oracle steps through them."""
+    return table(spark, sf_dir, "documents").select("doc_id", describing.snippet(F.col("text"), MARKED).alias("snippet"))
 
 
 @query(f"WITH {describing.marked_sql("SELECT doc_id AS k, text FROM documents WHERE text IS NOT NULL AND text <> ''", MARKED)} SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE marked END AS marked FROM documents d LEFT JOIN marked ON k = d.doc_id")

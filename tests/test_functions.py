@@ -253,3 +253,11 @@ def test_marked_columns_are_the_marked_texts(spark):
     bits = ["Running", "runs", "run", "<b>", "&", "'q'", '"', " ", "\n", "42", "新", "é", "x2y", "-", "the"]
     given = ["", " ", "runs", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(200)]]
     assert column(spark, given, lambda c: describing.marked(c, ["run", "42", "新"])) == [sentences.marked(t, {"run", "42", "新"}) for t in given]
+
+
+def test_snippet_columns_are_the_snippets(spark):
+    rng = random.Random(10)
+    bits = ["running", "run", "moss", "fern", "42", " ", "é", "stone", "a-b", ""]
+    given = ["", " ", *["\n".join(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 14))) for _ in range(150)]]
+    for most in (20, 60, 120):
+        assert column(spark, given, lambda c, most=most: describing.snippet(c, ["run", "42", "stone"], most)) == [sentences.snippet(t, {"run", "42", "stone"}, most) for t in given]
