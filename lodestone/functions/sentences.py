@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import markdown
 from .stem import norm_word
 from .words import tokens_of
 
@@ -126,15 +127,7 @@ def important_sentences(text: pd.Series, name: pd.Series, pkg: pd.Series) -> pd.
     return pd.Series([important(t or "", n or "", p or "") for t, n, p in zip(text, name, pkg, strict=True)])
 
 
-def plain(md: str) -> str:
-    """Markdown as text: code fences, headings, emphasis, quotes, images and links lose their marks."""
-    s = re.sub(r"^(?:```|~~~)[^\n]*$", "", md, flags=re.M)
-    s = re.sub(r"!\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])?", r"\1", s)
-    s = re.sub(r"\[+([^\]\[]*)\]+(?:\([^)]*\)|\[[^\]]*\])", r"\1", s)
-    s = re.sub(r"^ {0,3}#{1,6}[ \t]*(.*?)[ \t]*#*[ \t]*$|^ {0,3}#+([^\s#].*)$", lambda m: m[1] or m[2] or "", s, flags=re.M)
-    s = re.sub(r"^ {0,3}>\s?", "", s, flags=re.M)
-    s = re.sub(r"^\s*(?:[*+-]|\d+\.)\s+", "", s, flags=re.M)
-    return re.sub(r"(\*\*|__|`+)(.+?)\1|(?<![\w*])[*_](\S.*?)[*_](?![\w*])", lambda m: m[2] or m[3], s).strip()
+plain = markdown.text_of
 
 
 @F.pandas_udf(T.StringType())

@@ -261,3 +261,37 @@ def test_snippet_columns_are_the_snippets(spark):
     given = ["", " ", *["\n".join(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 14))) for _ in range(150)]]
     for most in (20, 60, 120):
         assert column(spark, given, lambda c, most=most: describing.snippet(c, ["run", "42", "stone"], most)) == [sentences.snippet(t, {"run", "42", "stone"}, most) for t in given]
+
+
+MARKDOWN = [
+    ("One\n===\ntwo *em* and __st__\nmore\n\nThree ##\n---", "One\n\ntwo em and st\nmore\n\nThree ##"),
+    ("#1 first\n# second #\n####### seven", "1 first\n\nsecond\n\n####### seven"),
+    ("- a\n- b\n  1. c\n     still c\n\n     para of c\n- d\nlazy d\n\nafter", "a\n\nb\n\nc\nstill c\n\npara of c\n\nd\nlazy d\n\nafter"),
+    ("> q\nlazy\n> - item\n> > deep\n\nout", "q\nlazy\n\nitem\n\ndeep\n\nout"),
+    ("~~~~sh\n# *kept*\n~~~\n~~~~\nend", "# *kept*\n~~~\n\nend"),
+    ("```\nno end", "no end"),
+    ("para\n    not code\n\n    code *x*\n\n      more\n\nend", "para\nnot code\n\ncode *x*\n\n  more\n\nend"),
+    ("[a](http://x.y/(z) \"t\") [b][R] [r] [none] [c][] ![p](q.png)\n\n[r]: <u> 'v'", "a b r [none] c p"),
+    ("[![badge](b.svg)](http://ci) text", "badge text"),
+    ("`a  *b*` ``c`d`` \\*e\\* &lt;f&gt; <g@h.i> <j:k> <b>l</b><br/>", "a *b* c`d *e* <f> g@h.i j:k l"),
+    ("snake_case_x 2*3*4 **bold**ly ***both*** ~~old~~", "snake_case_x 2*3*4 boldly both old"),
+    ("* * *\n___\nx\n<!-- y\nz --> w", "x\nw"),
+    ("| h | i |\n|---|:-:|\n| j | k |", "h | i\nj | k"),
+    ("a  \nb\\\nc", "a\nb\nc"),
+    ("", ""), (" \n\t\n", ""), ("-", ""), ("x\r\ny", "x\ny"),
+]
+
+
+@pytest.mark.parametrize(("given", "want"), MARKDOWN)
+def test_markdown(given, want):
+    assert sentences.plain(given) == want
+
+
+def test_markdown_of_marks_only_is_quick():
+    import time
+
+    start = time.time()
+    for mark in ("[", "*a ", "`", "> ", "- ", "<", "_a ", "![", "\n- ", "~~a"):
+        sentences.plain(mark * 10_000)
+    sentences.plain("\n".join(" " * i + "- x" for i in range(200)))
+    assert time.time() - start < 30
