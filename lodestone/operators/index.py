@@ -17,7 +17,7 @@ DOC = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("synopsis", "description", "project_url", "readme_fn", "readme_data")]
     + [T.StructField(c, _strings) for c in ("imports", "test_imports", "exported")]
 )
-HEAVY = ("description", "readme_fn", "readme_data", "imported", "test_imported")
+HEAVY = ("description", "readme_fn", "readme_data")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -41,17 +41,15 @@ def import_edges(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """``hits_full``, ``hits`` (without heavy columns), ``postings`` (field, token, doc_id), and their ``blocks`` and ``ranges``."""
+    """``hits_full``, ``hits`` (without heavy columns), ``importers`` (package, importer, test), ``postings`` (field, token, doc_id), and their ``blocks`` and ``ranges``.
+
+    Importers stay one row each: a package may have very many.
+    """
     own = keep(clean(docs).dropDuplicates(["package"]), "index-docs")
     edges = keep(import_edges(own), "index-edges")
     scored = graph.static_scores(own, edges, now, F.col("description")).drop("name")
     kinds = graph.edge_kinds(edges)
-    lists = kinds.groupBy(F.col("imported").alias("package")).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("test"), F.col("importer")))).alias("imported"), F.array_sort(F.collect_list(F.when(F.col("test"), F.col("importer")))).alias("test_imported")
-    )
-    empty = F.array().cast("array<string>")
-    hits = own.join(scored, "package").join(lists, "package", "left")
-    hits = hits.withColumns({c: F.coalesce(c, empty) for c in ("imported", "test_imported")})
+    hits = own.join(scored, "package")
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))
     hits = hits.withColumn("important_sentences", sentences.important_sentences(readme, "name", "package"))
     full = keep(graph.ranked(hits).withColumn("range", blocks.range_of(F.col("doc_id"))), "index-hits")
@@ -65,7 +63,8 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
         F.array_join("important_sentences", " ").alias("sentences"),
     )
     found = {"blocks": blocks.of_postings(postings.filter("field = 'text'"), numbered), "ranges": blocks.of_docs(numbered)}
-    return {"hits_full": full, "hits": full.drop(*HEAVY), "postings": postings} | found
+    importers = kinds.select(F.col("imported").alias("package"), "importer", "test")
+    return {"hits_full": full, "hits": full.drop(*HEAVY), "importers": importers, "postings": postings} | found
 
 
 def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
@@ -77,6 +76,7 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
         df = df.repartitionByRange("field", "token").sortWithinPartitions("field", "token", "doc_id") if key == "postings" else df
         df = blocks.ordered(df) if key == "blocks" else df
         df = df.repartitionByRange("range").sortWithinPartitions("range") if key == "hits" else df
+        df = df.repartitionByRange("package", "importer").sortWithinPartitions("package", "importer") if key == "importers" else df
         save(df, f"{root}/{name}/{key}")
     segments.finish(name)
     segments.clear_outdated()

@@ -29,7 +29,7 @@ class Engine:
         if name is None or name == self.segment:
             return False
         read = lambda t: self.spark.read.parquet(f"{self.root}/{name}/{t}")
-        self.hits_full, self.hits, self.postings, self.blocks, self.ranges = (read(t) for t in ("hits_full", "hits", "postings", "blocks", "ranges"))
+        self.hits_full, self.hits, self.importers, self.postings, self.blocks, self.ranges = (read(t) for t in ("hits_full", "hits", "importers", "postings", "blocks", "ranges"))
         self.segment, self._total = name, self.hits.count()
         return True
 
@@ -118,9 +118,18 @@ class Engine:
             hits.unpersist()
         return {"total": total, "entries": entries, "folded": total - entries, "docs": docs, "pages": search.page_links(number, search.pages(entries))}
 
+    def _listed(self, name: str | None = None) -> DataFrame:
+        """The row of a package, or all rows, with ``imported`` and ``test_imported``: the lists of its importers."""
+        one = F.lit(True) if name is None else F.col("package") == name
+        lists = self.importers.filter(one).groupBy("package").agg(
+            F.array_sort(F.collect_list(F.when(~F.col("test"), F.col("importer")))).alias("imported"), F.array_sort(F.collect_list(F.when(F.col("test"), F.col("importer")))).alias("test_imported")
+        )
+        empty = F.array().cast("array<string>")
+        return self.hits_full.filter(one).join(lists, "package", "left").withColumns({c: F.coalesce(c, empty) for c in ("imported", "test_imported")})
+
     def package(self, name: str) -> DataFrame:
         """The API row of a package; its rank counts from one."""
-        return self.hits_full.filter(F.col("package") == name).select(
+        return self._listed(name).select(
             "package", "name", F.greatest("star_count", F.lit(0)).alias("stars"), "synopsis", "description", "imports", "test_imports", "imported", "test_imported", "project_url", (F.col("static_rank") + 1).alias("static_rank"), "readme_fn", "readme_data"
         )
 
@@ -133,7 +142,7 @@ class Engine:
         return self.hits.select("package", "doc_id").orderBy("doc_id").select("package")
 
     def depends(self, name: str) -> DataFrame:
-        return self.hits_full.filter(F.col("package") == name).select("package", "name", "imports", "test_imports", "imported", "test_imported")
+        return self._listed(name).select("package", "name", "imports", "test_imports", "imported", "test_imported")
 
     def tops(self, n: int = 20) -> DataFrame:
         rows = self.hits.select("package", "name", "static_score", "test_static_score", "imported_len", "test_imported_len", "star_count", "project_url")
@@ -151,7 +160,7 @@ class Engine:
         return top.join(self.hits_full.select("package", "description"), "package").orderBy("rank")
 
     def all_depends(self) -> DataFrame:
-        return self.hits_full.select("package", "name", "imports", "test_imports", "imported", "test_imported", "doc_id").orderBy("doc_id").drop("doc_id")
+        return self._listed().select("package", "name", "imports", "test_imports", "imported", "test_imported", "doc_id").orderBy("doc_id").drop("doc_id")
 
     def api(self, action: str, callback: str = "", **params) -> tuple[int, str]:
         """(status, JSON or JSONP body) of an action: package, packages, package_depends, tops, search."""

@@ -149,6 +149,7 @@ def engine(spark, tmp_path_factory):
 
 def test_index(engine):
     rows = {r["package"]: r for r in engine.hits_full.collect()}
+    assert {(r["package"], r["importer"], r["test"]) for r in engine.importers.collect()} == {(LILY, POND, False), (LILY, REEDS, False), (LILY, FROG, False), (POND, REEDS, False), (POND, FROG, True)}
     assert [r["package"] for r in engine.packages().collect()] == [LILY, POND, FROG, REEDS]
     assert {k: (r["imported_len"], r["test_imported_len"]) for k, r in rows.items()} == {LILY: (3, 0), POND: (1, 1), FROG: (0, 0), REEDS: (0, 0)}
     assert rows[POND]["imports"] == [LILY] and rows[REEDS]["test_imports"] == [] and rows[FROG]["test_imports"] == [POND]

@@ -67,7 +67,7 @@ def test_blocks_are_bounded_and_cover_all(corpus):
 def test_search_writes_nothing(spark, tmp_path):
     from lodestone.operators.index import DOC
 
-    doc = lambda pkg: (pkg[-1], pkg, None, None, 0, "a tree", "", "", "", "", [], [], None)
+    doc = lambda pkg: (pkg[-1], pkg, None, None, 0, "a tree", "a tree", "", "", "", [], [], None)
     engine = Engine(spark, f"file://{tmp_path}/index")
     engine.index(spark.createDataFrame([doc("h.org/u/a"), doc("h.org/u/b"), doc("h.org/u/b/c")], DOC), F.lit("2024-01-01").cast("timestamp"))
     files = lambda: {p for p in tmp_path.rglob("*")} | {p for p in shared.rglob("*")}
