@@ -136,7 +136,7 @@ CRAWL_KEYS = "package string, last_updated timestamp, version int"
 
 
 def versioned(spark, name: str, ddl: str, key: str) -> versions.Table:
-    return versions.Table(spark, f"{snapshots.shared_dir(spark)}/{name}-{uuid.uuid4().hex}", StructType.fromDDL(ddl), key)
+    return versions.Table(spark, f"{snapshots.shared_dir(spark)}/{name}-{uuid.uuid4().hex}", StructType.fromDDL(ddl), key, 16)
 
 
 def crawl_rows(spark, sf_dir) -> DataFrame:
