@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -25,7 +25,8 @@ class History(StatefulProcessor):
 
     Events come in any order; the list holds the newest ``DEPTH``, newest first,
     of equal times the one that came last. A key without events for ``idle``
-    milliseconds is forgotten.
+    milliseconds is forgotten. Times are microseconds, which read alike in rows
+    and in state.
     """
 
     def __init__(self, idle: int | None = None):
@@ -33,26 +34,26 @@ class History(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.newest = handle.getListState("newest", "ts timestamp, action string")
-        self.ends = handle.getValueState("ends", "found_time timestamp, latest_success timestamp, latest_failed timestamp")
+        self.newest = handle.getListState("newest", "ts long, action string")
+        self.ends = handle.getValueState("ends", "found_time long, latest_success long, latest_failed long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         found, good, bad = self.ends.get() if self.ends.exists() else (None, None, None)
         events = list(self.newest.get()) if self.newest.exists() else []
-        for batch in rows:
-            batch = batch.dropna(subset=["ts"])
-            if not len(batch):
+        # the oldest first; of equal times the one that came first, so that it leaves first
+        newest = [(t, -i, a) for i, (t, a) in enumerate(events)]
+        heapq.heapify(newest)
+        for n, r in enumerate(rows, 1):
+            ts, action = r["ts"], r["action"]
+            if ts is None:
                 continue
-            first = batch["ts"].min().to_pydatetime()
-            found = first if found is None or first < found else found
-            for action, own in batch.groupby("action")["ts"]:
-                last = own.max().to_pydatetime()
-                good = last if action == "Success" and (good is None or last > good) else good
-                bad = last if action == "Failed" and (bad is None or last > bad) else bad
-            told = batch[batch["action"].notna() & (batch["action"] != "None")]
-            # a batch may be long: only its newest rows are looked at one by one
-            told = told.iloc[::-1].sort_values("ts", ascending=False, kind="stable").head(DEPTH)
-            events = sorted([(t.to_pydatetime(), a) for t, a in told[["ts", "action"]].itertuples(index=False)] + events, key=lambda e: e[0], reverse=True)[:DEPTH]
+            found = ts if found is None or ts < found else found
+            good = ts if action == "Success" and (good is None or ts > good) else good
+            bad = ts if action == "Failed" and (bad is None or ts > bad) else bad
+            if action is not None and action != "None":
+                # a batch may be long: never more than the newest are held
+                (heapq.heappush if len(newest) < DEPTH else heapq.heappushpop)(newest, (ts, n, action))
+        events = [(t, a) for t, _, a in sorted(newest, reverse=True)]
         self.ends.update((found, good, bad))
         if events:
             self.newest.put(events)
@@ -60,9 +61,9 @@ class History(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
-        yield pd.DataFrame({"key": [key[0]], "found_time": [found], "latest_success": [good], "latest_failed": [bad], "events": [len(events)], "last_action": [events[0][1] if events else None]}).astype({c: "datetime64[us]" for c in ("found_time", "latest_success", "latest_failed")})
+        yield Row(key=key[0], found_time=found, latest_success=good, latest_failed=bad, events=len(events), last_action=events[0][1] if events else None)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
         self.newest.clear()
         self.ends.clear()
         return iter([])
@@ -74,12 +75,16 @@ class History(StatefulProcessor):
 def history(events: DataFrame, idle_seconds: float | None = None) -> DataFrame:
     """The history record of each key that got events; the newest ten events are its state, newest first.
 
-    With ``idle_seconds``, keys without events for so long are forgotten. State
+    With ``idle_seconds``, keys without events for so long are forgotten; as
+    timers keep asking for batches without data, such a stream ends only when it
+    is stopped. Without, there are no timers, and it ends with its input. State
     is kept in RocksDB, which the session is set to.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     idle = None if idle_seconds is None else int(idle_seconds * 1000)
-    return events.groupBy("key").transformWithStateInPandas(statefulProcessor=History(idle), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
+    timed = events.withColumn("ts", F.unix_micros("ts")).groupBy("key")
+    rows = timed.transformWithState(statefulProcessor=History(idle), outputStructType=OUT.replace("timestamp", "long"), outputMode="Update", timeMode="None" if idle is None else "ProcessingTime")
+    return rows.withColumns({c: F.timestamp_micros(c) for c in ("found_time", "latest_success", "latest_failed")})
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -278,6 +278,21 @@ def test_streams(spark, tmp_path):
     assert stored.read().count() == 2
 
 
+def test_history_stream_ends_with_its_input(spark, tmp_path):
+    # no timers, no batches without data; the second file finds the state of the first; of equal times the event that came last counts
+    path = f"{tmp_path}/events"
+    first = [(1, T0 + DAY * 20, "Failed"), (1, T0 - DAY, "Invalid")]
+    spark.createDataFrame(first, jobs.EVENTS).coalesce(1).write.parquet(path)
+    rows = [(1, T0 + DAY * i, "Success") for i in range(12)] + [(1, T0 + DAY * 11, "Failed"), (1, None, "Success"), (2, T0, None)]
+    spark.createDataFrame(rows, jobs.EVENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    q = jobs.history(stream).writeStream.outputMode("update").format("memory").queryName("ended").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert jobs.until(q, 120)
+    found = [tuple(r) for r in spark.table("ended").collect()]
+    assert (1, T0 - DAY, T0 + DAY * 11, T0 + DAY * 20, 10, "Failed") in found and (2, T0, None, None, 0, None) in found
+    assert len(found) == 3
+
+
 def test_metrics_are_flushed_until_the_deadline(spark, tmp_path):
     spark.createDataFrame([("a", "sum", 1.0), ("a", "sum", 2.0), ("b", "max", 5.0), ("b", "max", 4.0)], "name string, method string, value double").write.json(str(tmp_path / "in"))
     metrics = spark.readStream.schema("name string, method string, value double").json(str(tmp_path / "in"))
