@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from . import markdown
 from .stem import norm_word
+from .stemming import let
 from .words import tokens_of
 
 # The wording by which a sentence describes a package.
@@ -73,11 +74,14 @@ def split_sentences(text: Column) -> Column:
     trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     body = F.regexp_replace(F.regexp_replace(trimmed(text), r"(?:-{4,}|={4,})\n", "\n"), r"-{2,}={2,}|={2,}-{2,}", "")
 
-    def of(paragraph: Column) -> Column:
-        parts = F.split(F.regexp_replace(trimmed(paragraph), "\n", " "), r"\. ")
+    # bound once: inside a lambda, the parts would be split anew for each sentence
+    def of(parts: Column) -> Column:
         return F.transform(parts, lambda s, i: F.regexp_replace(F.when(i < F.size(parts) - 1, F.concat(s, F.lit("."))).otherwise(s), r"\s+", " "))
 
-    return F.flatten(F.transform(F.split(body, r"\n\n+"), of))
+    def parted(paragraph: Column) -> Column:
+        return let(F.split(F.regexp_replace(trimmed(paragraph), "\n", " "), r"\. "), of)
+
+    return F.flatten(F.transform(F.split(body, r"\n\n+"), parted))
 
 
 def sentences_of(text: str) -> list[str]:

@@ -295,3 +295,12 @@ def test_markdown_of_marks_only_is_quick():
         sentences.plain(mark * 10_000)
     sentences.plain("\n".join(" " * i + "- x" for i in range(200)))
     assert time.time() - start < 30
+
+
+def test_sentences_are_split_once(spark):
+    # a paragraph is split for itself, not again for each of its sentences
+    own = sentences.split_sentences(F.col("t"))
+    assert str(own).count("split(") == 2
+    text = ". ".join(f"word{i}\tx" for i in range(5000)) + "\n\nlast"
+    found = spark.createDataFrame([(text,)], "t string").select(own.alias("s")).first()["s"]
+    assert found == [f"word{i} x." for i in range(4999)] + ["word4999 x", "last"]
