@@ -47,7 +47,8 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
     """
     own = keep(clean(docs).dropDuplicates(["package"]), "index-docs")
     edges = keep(import_edges(own), "index-edges")
-    scored = graph.static_scores(own, edges, now, F.col("description")).drop("name")
+    # rounded before they are ranked: scores that differ by an order of summation are equal, and ties go by package
+    scored = graph.static_scores(own, edges, now, F.col("description")).drop("name").withColumns({c: F.round(c, 6) for c in ("static_score", "test_static_score")})
     kinds = graph.edge_kinds(edges)
     hits = own.join(scored, "package")
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))

@@ -309,3 +309,14 @@ def test_rounds_of_stages():
     log, left = [], iter([True, True, False])
     assert jobs.rounds([lambda: log.append("crawl"), lambda: log.append("index")], lambda: next(left)) == 2
     assert log == ["crawl", "index"] * 2
+
+
+def test_scores_that_differ_by_summation_are_ranked_alike(spark, monkeypatch):
+    from lodestone.operators import index
+
+    plain = graph.static_scores
+    noisy = lambda *a: plain(*a).withColumn("static_score", F.col("static_score") + F.when(F.col("package") == "x.org/b", 1e-9).otherwise(0.0))
+    monkeypatch.setattr(graph, "static_scores", noisy)
+    docs = spark.createDataFrame([("n", p, None, T0, 0, "", "", "", "", "", [], [], []) for p in ("x.org/b", "x.org/a")], index.DOC)
+    hits = {r["package"]: (r["doc_id"], r["static_rank"]) for r in index.build(docs, F.lit(T0))["hits"].collect()}
+    assert hits == {"x.org/a": (0, 0), "x.org/b": (1, 0)}
