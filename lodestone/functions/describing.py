@@ -60,7 +60,8 @@ def chosen(text: Column, name: Column, pkg: Column) -> Column:
     empty = lambda c: F.coalesce(c, F.lit(""))
 
     def by(pattern: Column) -> Column:
-        says = lambda s: let(without_brackets(F.lower(s)), lambda low: low.rlike(WORDING) | F.regexp_like(low, pattern))
+        # regexp_instr keeps the row's compiled pattern from one sentence to the next, regexp_like compiles it for each
+        says = lambda s: let(without_brackets(F.lower(s)), lambda low: low.rlike(WORDING) | (F.regexp_instr(low, pattern) > 0))
         return F.transform(F.filter(sentences.split_sentences(empty(text)), says), lambda s: F.regexp_replace(s, sentences.IMAGE, ""))
 
     return let(name_pattern(empty(name), empty(pkg)), by)

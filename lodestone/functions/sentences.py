@@ -117,11 +117,17 @@ def name_pattern(name: str, pkg: str) -> re.Pattern:
 
 def important(text: str, name: str, pkg: str) -> list[str]:
     """The sentences that say what a package is, without image links."""
-    own = name_pattern(name, pkg)
+    own = None
     out = []
     for s in sentences_of(text):
         low = remove_brackets(s.lower())
-        if PREFIX.match(low) or SUFFIX.search(low) or WRAP.fullmatch(low) or own.match(low):
+        if not low:
+            continue
+        if not (told := PREFIX.match(low) or SUFFIX.search(low) or WRAP.fullmatch(low)):
+            # made only where a sentence asks for it: compiling takes milliseconds
+            own = own or name_pattern(name, pkg)
+            told = own.match(low)
+        if told:
             out.append(re.sub(IMAGE, "", s))
     return out
 

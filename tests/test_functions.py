@@ -304,3 +304,16 @@ def test_sentences_are_split_once(spark):
     text = ". ".join(f"word{i}\tx" for i in range(5000)) + "\n\nlast"
     found = spark.createDataFrame([(text,)], "t string").select(own.alias("s")).first()["s"]
     assert found == [f"word{i} x." for i in range(4999)] + ["word4999 x", "last"]
+
+
+def test_patterns_of_names_are_made_only_where_they_are_asked_for(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("compiled")
+
+    assert sentences.important("Ship makes interface for x", "ship", "github.com/mo/ship") == ["Ship makes interface for x"]
+    monkeypatch.setattr(sentences, "name_pattern", fail)
+    assert sentences.important("", "ship", "github.com/mo/ship") == [] and sentences.important("This provides a thing", "ship", "a.b/c") == ["This provides a thing"]
+
+
+def test_row_patterns_are_compiled_once_for_a_row(spark):
+    assert "regexp_instr" in str(describing.chosen(F.col("t"), F.col("n"), F.col("p")))
