@@ -1,8 +1,12 @@
-"""The import graph: reverse edges, project importers, stars, effective imports, static ranks."""
+"""The import graph: reverse edges, project importers, stars, effective imports, static ranks.
+
+``by_project`` folds kinds of imports into one row for each package and project
+of importers; counts, stars and effective imports of an index come from these.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores
@@ -61,9 +65,13 @@ def import_counts(kinds: DataFrame) -> DataFrame:
 
 def assigned_stars(docs: DataFrame, edges: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Root packages get their project's stars, others their share by how many of its importing projects import them."""
+    return _assigned(docs, project_importers(edges), import_counts(edge_kinds(edges)) if counts is None else counts)
+
+
+def _assigned(docs: DataFrame, importers: DataFrame, counts: DataFrame) -> DataFrame:
     own = docs.select("package", paths.full_project(F.col("package")).alias("project"))
-    by = (import_counts(edge_kinds(edges)) if counts is None else counts).select("package", F.col("importing_projects").alias("n"))
-    out = own.join(project_stars(docs), "project", "left").join(project_importers(edges), "project", "left").join(by, "package", "left")
+    by = counts.select("package", F.col("importing_projects").alias("n"))
+    out = own.join(project_stars(docs), "project", "left").join(importers, "project", "left").join(by, "package", "left")
     share = F.col("stars").cast("double") / F.col("importers") * F.coalesce("n", F.lit(0))
     stars = F.when(F.col("package") == F.col("project"), F.col("stars").cast("double")).when(F.col("importers").isNull(), F.lit(0.0)).otherwise(share)
     return out.select("package", stars.alias("assigned_stars"))
@@ -84,20 +92,76 @@ def effective_imported(imports: DataFrame) -> DataFrame:
     aggregations with partial sums instead of a fold over one long list.
     """
     rows = imports.select(F.col("imported").alias("package"), "importer", paths.author(F.col("importer")).alias("by"), paths.project(F.col("importer")).alias("of"))
+    return _effective(rows, "importer", "by")
+
+
+def _effective(rows: DataFrame, order: str, owner: str) -> DataFrame:
+    """``effective_imported`` of (package, ``order``, ``owner``, of)."""
     # an empty owner is never taken for a repeated one
-    first = rows.groupBy("package", F.when(F.col("by") == "", F.col("importer")).alias("alone"), "by").agg(F.min_by("of", "importer").alias("of"), F.min("importer").alias("importer"))
-    once = first.groupBy("package", "of").agg(F.min_by("by", "importer").alias("by"))
-    own = ((F.col("by") != "") & (F.col("by") == paths.author(F.col("package")))) | (F.col("of") == paths.project(F.col("package")))
+    first = rows.groupBy("package", F.when(F.col(owner) == "", F.col(order)).alias("alone"), owner).agg(F.min_by("of", order).alias("of"), F.min(order).alias(order))
+    once = first.groupBy("package", "of").agg(F.min_by(owner, order).alias(owner))
+    own = ((F.col(owner) != "") & (F.col(owner) == paths.author(F.col("package")))) | (F.col("of") == paths.project(F.col("package")))
     return once.groupBy("package").agg(F.sum(F.when(own, 0.5).otherwise(1.0)).alias("effective"))
 
 
+#: Rows of wide names that one task of a shuffle holds.
+PART_ROWS = 300_000
+IMPORTER = ("place", "by", "owner", "of")
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for so many rows: a task holds no more of them in larger tables."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def as_importers(packages: DataFrame) -> DataFrame:
+    """Adds to packages what their imports are folded by: ``place`` in the order of names, full project ``by``, ``owner`` and short project ``of``."""
+    pkg = F.col("package")
+    return placed(packages, [F.asc("package")]).withColumns({"by": paths.full_project(pkg), "owner": paths.author(pkg), "of": paths.project(pkg)})
+
+
+def by_project(kinds: DataFrame) -> DataFrame:
+    """(imported, by, owner, of, normal, tests, first, first_test, used) of ``kinds`` (importer, imported, test) with the columns of ``as_importers``.
+
+    Importers of a project count together. ``first`` and ``first_test`` are the
+    least places among those that import in normal code and in tests, ``used``
+    tells how many of the whole full project import in normal code.
+    """
+    own = kinds.groupBy("imported", "by", "owner", "of").agg(
+        F.count_if(~F.col("test")).alias("normal"), F.count_if("test").alias("tests"), F.min(F.when(~F.col("test"), F.col("place"))).alias("first"), F.min(F.when(F.col("test"), F.col("place"))).alias("first_test")
+    )
+    return own.withColumn("used", F.sum("normal").over(Window.partitionBy("imported", "by")))
+
+
+def counts_of(folded: DataFrame) -> DataFrame:
+    """``import_counts`` of rows of ``by_project``."""
+    by = folded.groupBy("imported", "by").agg(F.sum("normal").alias("normal"), F.sum("tests").alias("tests"))
+    return by.groupBy(F.col("imported").alias("package")).agg(
+        F.sum("normal").alias("imported_len"), F.sum("tests").alias("test_imported_len"), F.sum(F.when(F.col("normal") == 0, F.col("tests")).otherwise(0)).alias("real_test_len"), F.count("*").alias("importing_projects")
+    )
+
+
+def effective_of(folded: DataFrame, first: str = "first") -> DataFrame:
+    """``effective_imported`` of rows of ``by_project``, by ``first`` or, for real tests, by ``first_test`` where ``used`` is 0."""
+    rows = folded.filter(F.col(first).isNotNull()).select(F.col("imported").alias("package"), F.col(first).alias("place"), "owner", "of")
+    return _effective(rows, "place", "owner")
+
+
 def static_scores(docs: DataFrame, edges: DataFrame, now: Column, description: Column | None = None) -> DataFrame:
-    """(package, name, static_score, test_static_score, imported_len, test_imported_len, assigned_stars) of each document."""
-    kinds = keep(edge_kinds(edges), "edge-kinds")
-    counts = keep(import_counts(kinds), "import-counts")
-    normal = effective_imported(kinds.filter("NOT test"))
-    test = effective_imported(real_tests(kinds)).withColumnRenamed("effective", "effective_test")
-    rows = docs.join(normal, "package", "left").join(test, "package", "left").join(counts, "package", "left").join(assigned_stars(docs, kinds, counts), "package", "left")
+    """(package, name, static_score, test_static_score, imported_len, test_imported_len, assigned_stars) of each document.
+
+    ``edges``: (importer, imported, test), or rows of ``by_project``.
+    """
+    if "used" not in edges.columns:
+        kinds = keep(edge_kinds(edges), "edge-kinds")
+        importers = keep(as_importers(kinds.select(F.col("importer").alias("package")).distinct()), "importers").withColumnRenamed("package", "importer")
+        edges = by_project(kinds.join(importers, "importer"))
+    folded = keep(edges, "imports-by-project")
+    counts = keep(counts_of(folded), "import-counts")
+    normal = effective_of(folded)
+    test = effective_of(folded.filter("used = 0"), "first_test").withColumnRenamed("effective", "effective_test")
+    own = folded.select(paths.full_project(F.col("imported")).alias("project"), "by").distinct().groupBy("project").agg(F.count("*").alias("importers"))
+    rows = docs.join(normal, "package", "left").join(test, "package", "left").join(counts, "package", "left").join(_assigned(docs, own, counts), "package", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     text = F.lit("") if description is None else description
     s = scores.static_score(F.coalesce("effective", F.lit(0.0)), F.col("name"), text, zero("assigned_stars"), zero("imported_len"), zero("test_imported_len"), F.col("package"), now)

@@ -35,9 +35,10 @@ def searched(*fields: str | Column) -> Column:
     return F.concat_ws("\n", *fields)
 
 
-def import_edges(docs: DataFrame) -> DataFrame:
-    one = lambda c, test: docs.select(F.col("package").alias("importer"), F.explode(c).alias("imported"), F.lit(test).alias("test"))
-    return one("imports", False).unionByName(one("test_imports", True)).distinct()
+def kinds_of(docs: DataFrame, *more: str) -> DataFrame:
+    """(importer, imported, test) of clean documents: their lists hold each import once; ``more`` columns come along."""
+    one = lambda c, test: docs.select(F.col("package").alias("importer"), *more, F.explode(c).alias("imported"), F.lit(test).alias("test"))
+    return graph.without_self(one("imports", False).unionByName(one("test_imports", True)))
 
 
 def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
@@ -46,10 +47,11 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
     Importers stay one row each: a package may have very many.
     """
     own = keep(clean(docs).dropDuplicates(["package"]), "index-docs")
-    edges = keep(import_edges(own), "index-edges")
+    importers = keep(graph.as_importers(own.select("package")), "index-importers")
+    n = graph.parts(own.sparkSession, own.agg(F.sum(F.size("imports") + F.size("test_imports"))).first()[0] or 0)
+    folded = graph.by_project(kinds_of(own.join(importers, "package"), *graph.IMPORTER).repartition(n, "imported", "by"))
     # rounded before they are ranked: scores that differ by an order of summation are equal, and ties go by package
-    scored = graph.static_scores(own, edges, now, F.col("description")).drop("name").withColumns({c: F.round(c, 6) for c in ("static_score", "test_static_score")})
-    kinds = graph.edge_kinds(edges)
+    scored = graph.static_scores(own, folded, now, F.col("description")).drop("name").withColumns({c: F.round(c, 6) for c in ("static_score", "test_static_score")})
     hits = own.join(scored, "package")
     readme = sentences.readme_text(F.col("readme_fn"), F.col("readme_data"))
     hits = hits.withColumn("important_sentences", sentences.important_sentences(readme, "name", "package"))
@@ -64,8 +66,8 @@ def build(docs: DataFrame, now: Column) -> dict[str, DataFrame]:
         F.array_join("important_sentences", " ").alias("sentences"),
     )
     found = {"blocks": blocks.of_postings(postings.filter("field = 'text'"), numbered), "ranges": blocks.of_docs(numbered)}
-    importers = kinds.select(F.col("imported").alias("package"), "importer", "test")
-    return {"hits_full": full, "hits": full.drop(*HEAVY), "importers": importers, "postings": postings} | found
+    rows = kinds_of(own).select(F.col("imported").alias("package"), "importer", "test")
+    return {"hits_full": full, "hits": full.drop(*HEAVY), "importers": rows, "postings": postings} | found
 
 
 def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
@@ -74,7 +76,7 @@ def write(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
     segments.clear_undone()
     name = segments.new_max()
     for key, df in tables.items():
-        df = df.repartitionByRange("field", "token").sortWithinPartitions("field", "token", "doc_id") if key == "postings" else df
+        df = df.repartitionByRange("field", "token", "doc_id").sortWithinPartitions("field", "token", "doc_id") if key == "postings" else df
         df = blocks.ordered(df) if key == "blocks" else df
         df = df.repartitionByRange("range").sortWithinPartitions("range") if key == "hits" else df
         df = df.repartitionByRange("package", "importer").sortWithinPartitions("package", "importer") if key == "importers" else df

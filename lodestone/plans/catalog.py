@@ -497,7 +497,7 @@ def exclude_imports(spark, sf_dir):
 
 @query(f"WITH {KINDS_SQL}, k AS (SELECT *, {BY_SQL.format('importer')} AS by FROM kinds) SELECT importer, imported FROM k WHERE test AND NOT EXISTS (SELECT 1 FROM k n WHERE NOT n.test AND n.imported = k.imported AND n.by = k.by)")
 def real_test_imports(spark, sf_dir):
-    return graph.real_tests(graph.edge_kinds(v.edges(spark, sf_dir)))
+    return graph.real_tests(v.kinds(spark, sf_dir))
 
 
 PROJECT_SQL = KINDS_SQL + f""", importers AS (SELECT {BY_SQL.format('imported')} AS project, count(DISTINCT {BY_SQL.format('importer')}) AS importers FROM kinds GROUP BY 1),
@@ -529,7 +529,8 @@ EFFECT_SQL = """(SELECT imported AS package, sum(CASE WHEN a = CASE WHEN starts_
 
 @query(f"WITH {KINDS_SQL} SELECT package, CAST(effective AS DOUBLE) AS effective FROM {EFFECT_SQL.format('(SELECT * FROM kinds WHERE NOT test)')}")
 def effective_imported(spark, sf_dir):
-    return graph.effective_imported(graph.edge_kinds(v.edges(spark, sf_dir)).filter("NOT test"))
+    importers = snapshots.keep(graph.as_importers(v.packages(spark, sf_dir).select("id", "package")), "importers")
+    return graph.effective_of(graph.by_project(v.kinds(spark, sf_dir, importers)))
 
 
 BONUS_SQL = """CASE WHEN t = '' THEN 0 ELSE 1 + CASE WHEN octet_length(encode(t)) > 100 THEN 0.5 ELSE 0 END + CASE WHEN starts_with(t, 'Package ' || name) OR starts_with(t, name || ' package') THEN 0.5 WHEN starts_with(t, 'package ' || name) THEN 0.4 ELSE 0 END END + CASE WHEN name NOT IN ('', 'main') THEN 0.1 ELSE 0 END"""
@@ -542,7 +543,8 @@ scored AS (SELECT package, name, star_count, round((1 + e + nb + s * CASE WHEN i
 
 def static(spark, sf_dir):
     docs = snapshots.keep(v.docs(spark, sf_dir), "docs")
-    out = graph.static_scores(docs, v.edges(spark, sf_dir), F.lit(NOW), F.col("description")).join(docs.select("package", "star_count"), "package")
+    importers = snapshots.keep(graph.as_importers(docs.select("id", "package")), "importers")
+    out = graph.static_scores(docs, graph.by_project(v.kinds(spark, sf_dir, importers)), F.lit(NOW), F.col("description")).join(docs.select("package", "star_count"), "package")
     return out.withColumns({c: F.round(c, 6) for c in ("static_score", "test_static_score")})
 
 

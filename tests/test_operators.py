@@ -320,3 +320,21 @@ def test_scores_that_differ_by_summation_are_ranked_alike(spark, monkeypatch):
     docs = spark.createDataFrame([("n", p, None, T0, 0, "", "", "", "", "", [], [], []) for p in ("x.org/b", "x.org/a")], index.DOC)
     hits = {r["package"]: (r["doc_id"], r["static_rank"]) for r in index.build(docs, F.lit(T0))["hits"].collect()}
     assert hits == {"x.org/a": (0, 0), "x.org/b": (1, 0)}
+
+
+def test_scores_by_project_are_those_of_the_edges(spark):
+    random.seed(11)
+    hosts = ["github.com/{a}/{p}", "github.com/{a}/{p}/x", "gopkg.in/{p}.v1", "{a}.org", "/{p}"]
+    name = lambda: random.choice(hosts).format(a=random.choice("abc"), p=random.choice("pqr"))
+    edges = spark.createDataFrame(sorted({(name(), name(), random.random() < 0.5) for _ in range(400)}), "importer string, imported string, test boolean")
+    kinds = graph.edge_kinds(edges)
+    own = graph.as_importers(kinds.select(F.col("importer").alias("package")).distinct()).withColumnRenamed("package", "importer")
+    folded = graph.by_project(kinds.join(own, "importer")).cache()
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert rows(graph.counts_of(folded)) == rows(graph.import_counts(kinds))
+    assert rows(graph.effective_of(folded)) == rows(graph.effective_imported(kinds.filter("NOT test")))
+    assert rows(graph.effective_of(folded.filter("used = 0"), "first_test")) == rows(graph.effective_imported(graph.real_tests(kinds)))
+
+
+def test_parts_grow_with_the_rows(spark):
+    assert graph.parts(spark, 10) == 4 and graph.parts(spark, 3_000_001) == 11
