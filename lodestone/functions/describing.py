@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import sentences
 from .stemming import let, stem, stem_sql
-from .tokens import token_set
+from .tokens import tokens_among
 
 #: Wording that tells by itself, from the start, at the end or of the whole sentence.
 WORDING = f"^(?:{'|'.join(sentences.PREFIXES)})|{sentences.SUFFIX.pattern}|^(?:{sentences.WRAP.pattern})$"
@@ -126,10 +126,9 @@ def snippet(text: Column, tokens: list[str], most: int = 300) -> Column:
 
     The first line is always there; gaps are shown as dots.
     """
-    wanted = F.array(*[F.lit(t) for t in sorted(tokens)]).cast("array<string>")
     trimmed = lambda c: F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
     state = lambda seen, used, chosen, stop: F.struct(seen.alias("seen"), used.cast("int").alias("used"), chosen.alias("chosen"), stop.alias("stop"))
-    line = lambda s, i: F.struct(i.alias("i"), F.octet_length(s).alias("size"), F.array_intersect(wanted, token_set(s)).alias("hits"))
+    line = lambda s, i: F.struct(i.alias("i"), F.octet_length(s).alias("size"), tokens_among(s, sorted(tokens)).alias("hits"))
 
     def by_tokens(now: Column, x: Column) -> Column:
         new = F.array_except(x["hits"], now["seen"])

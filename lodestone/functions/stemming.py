@@ -12,6 +12,8 @@ statement in SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ def _by_length(rules: list[Rule]) -> list[Rule]:
 
 TWO, THREE = (_by_length([(a, SOME, b) for a, b in step]) for step in (STEP2, STEP3))
 FOUR = _by_length([(a, MORE if a != "ion" else f"(?:{MORE}.*|{MORE[:-len(C)]})[st]$", "") for a in STEP4])
+#: How each word ends that some rule may change; all others are their own stems.
+ENDING = "(?:[sye]|ed|ing|ll|al|er|or|ic|[ae]nt|ion|ou|ism|[tlc]i|ful)$"
 #: After -ed and -ing: what the rest ends with, and what is done.
 MENDED = (("(?:at|bl|iz)$", "add"), (DOUBLE, "cut"))
 
@@ -45,12 +49,17 @@ def _cut(word: Column, n: int) -> Column:
 
 
 def _step(word: Column, rules: list[Rule]) -> Column:
+    """The rules by their last letters, so that a word meets few of them; their order stays."""
     out = None
-    for ending, rest, new in rules:
-        left = _cut(word, len(ending))
-        value = F.when(left.rlike(rest), F.concat(left, F.lit(new)) if new else left).otherwise(word)
-        has = word.endswith(ending)
-        out = F.when(has, value) if out is None else out.when(has, value)
+    for last in sorted({ending[-1] for ending, _, _ in rules}):
+        own = None
+        for ending, rest, new in (r for r in rules if r[0].endswith(last)):
+            left = _cut(word, len(ending))
+            value = F.when(left.rlike(rest), F.concat(left, F.lit(new)) if new else left).otherwise(word)
+            has = word.endswith(ending)
+            own = F.when(has, value) if own is None else own.when(has, value)
+        own, has = own.otherwise(word), word.endswith(last)
+        out = F.when(has, own) if out is None else out.when(has, own)
     return out.otherwise(word)
 
 
@@ -94,7 +103,12 @@ def porter(word: Column) -> Column:
         out = let(out, _by(rules))
     out = let(out, _last)
     out = let(out, lambda w: F.when(w.endswith("ll") & w.rlike(MORE), _cut(w, 1)).otherwise(w))
-    return F.when(word.rlike("^[a-z]{3,}$"), F.lower(out)).otherwise(word)
+    return F.when(word.rlike(f"^(?=[a-z]{{3,}}$).*{ENDING}"), F.lower(out)).otherwise(word)
+
+
+def kernel(stem_: str) -> str:
+    """What each word of a stem begins with: the rules cut words, and write i, e, l and le at most at their ends."""
+    return re.sub("(?<=.)(?:le|[lei])$", "", stem_)
 
 
 def stem(word: Column) -> Column:

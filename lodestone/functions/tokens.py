@@ -7,6 +7,7 @@ their parts and adjacent part pairs; adjacent tokens of a block give pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,17 +67,44 @@ def camel_tokens(token: Column) -> Column:
     return stemming.let(F.transform(camel_parts(token), stemming.stem), of)
 
 
+#: A word with a capital behind its first letter; only such words have more than one camel part.
+INNER = r"\p{L}\p{Lu}"
+
+
 def token_set(text: Column) -> Column:
     """The distinct tokens of a text as one expression, without Python workers; the same as ``tokenize`` gives.
 
-    It stems each token anew, where ``tokenize`` remembers stems.
+    It stems each different block of a text, where ``tokenize`` remembers stems.
+    """
+    empty = F.array().cast("array<string>")
+
+    def of(raw: Column) -> Column:
+        norms = lambda n: F.concat(F.filter(n, lambda t: ~t.isin(STOP)), F.when(F.size(n) > 1, pairs(n)).otherwise(empty))
+        return stemming.let(F.transform(raw, stemming.stem), norms)
+
+    def of_block(b: Column) -> Column:
+        with_camel = lambda raw: F.concat(of(raw), F.flatten(F.transform(raw, camel_tokens)))
+        return stemming.let(raw_tokens(b), lambda raw: F.when(b.rlike(INNER), with_camel(raw)).otherwise(of(raw)))
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(blocks(text)), of_block)))
+
+
+def tokens_among(text: Column, wanted: list[str]) -> Column:
+    """The tokens of ``token_set`` that are in ``wanted``, in its order.
+
+    Words that begin like none of these, and have no inner capital, are not
+    stemmed; pairs are looked for only where one is wanted.
     """
+    own = F.array(*[F.lit(t) for t in wanted]).cast("array<string>")
+    if not wanted or any(not t.isascii() or "-" in t for t in wanted):
+        return F.array_intersect(own, token_set(text))
+    begins = "^(?:" + "|".join(sorted({re.escape(stemming.kernel(t)) for t in wanted})) + ")"
 
     def of(raw: Column) -> Column:
-        own = stemming.let(F.transform(raw, stemming.stem), lambda norms: F.concat(F.filter(norms, lambda t: ~t.isin(STOP)), pairs(norms)))
-        return F.concat(own, F.flatten(F.transform(raw, camel_tokens)))
+        plain = F.filter(F.transform(F.filter(raw, lambda w: F.lower(w).rlike(begins)), stemming.stem), lambda t: ~t.isin(STOP))
+        return F.concat(plain, F.flatten(F.transform(F.filter(raw, lambda w: w.rlike(INNER)), camel_tokens)))
 
-    return F.array_distinct(F.flatten(F.transform(blocks(text), lambda b: stemming.let(raw_tokens(b), of))))
+    return F.array_intersect(own, stemming.let(words(text), of))
 
 
 def words(text: Column) -> Column:

@@ -317,3 +317,25 @@ def test_patterns_of_names_are_made_only_where_they_are_asked_for(spark, monkeyp
 
 def test_row_patterns_are_compiled_once_for_a_row(spark):
     assert "regexp_instr" in str(describing.chosen(F.col("t"), F.col("n"), F.col("p")))
+
+
+def test_tokens_among_wanted_are_those_of_the_set(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import stemming, tokens
+    from lodestone.functions.stem import STEP2, STEP3, STEP4, norm_word
+    from lodestone.functions.words import tokens_of
+
+    random.seed(7)
+    ends = [a for a, _ in (*STEP2, *STEP3)] + [*STEP4, "s", "es", "ed", "eed", "ing", "y", "e", "ll", "ies", "sses", ""]
+    made = sorted({random.choice(["rel", "hop", "and", "to", "of", "abil", "xy", "cabl", "tro", "yel", "generic", "l", "i"]) + random.choice(ends) + random.choice(ends) for _ in range(1500)})
+    assert all(w.startswith(stemming.kernel(norm_word(w))) for w in made)
+    got = spark.createDataFrame([(w,) for w in made], "w string").select("w", stemming.stem(F.col("w")).alias("s")).collect()
+    assert [r["s"] for r in got] == [norm_word(r["w"]) for r in got]
+    texts = ["And ANd aingNd toFrom To-day offs", "ToSwer TosWer inTheEnd", "andfulness, tower! ands", "Großand über-all 中文 and", ""] + [" ".join(random.choice(made).title() if random.random() < 0.3 else random.choice(made) for _ in range(12)) for _ in range(40)]
+    for wanted in (["and", "of", "to"], ["and", "in", "tower"], ["relat", "the", "cabl", "hope"], ["and-of", "to"], ["中文"]):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.tokens_among(F.col("t"), wanted).alias("x"), tokens.token_set(F.col("t")).alias("all")).collect()
+        assert all(set(r["all"]) == tokens_of(r["t"]) for r in rows)
+        assert [r["x"] for r in rows] == [[w for w in wanted if w in tokens_of(r["t"])] for r in rows]
