@@ -32,10 +32,34 @@ def of_postings(postings: DataFrame, docs: DataFrame, size: int = SIZE) -> DataF
 
     A block has ``size`` places at most.
     """
-    own = postings.distinct().join(docs.select("doc_id", "place", "prior"), "doc_id").withColumn("range", range_of(F.col("place"), size))
-    return own.groupBy("field", "token", "range").agg(
-        F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"), F.max("prior").alias("best"), F.array_sort(F.collect_list("place")).alias("places")
-    )
+    return of_places(postings.distinct().join(docs.select("doc_id", "place", "prior"), "doc_id").withColumn("range", range_of(F.col("place"), size)), size)
+
+
+def of_places(own: DataFrame, size: int = SIZE) -> DataFrame:
+    """The blocks of distinct (field, token, place) with ``prior`` and ``range``; rows that are dealt by ``range`` are not shuffled again.
+
+    Numbers are gathered as bits, 64 a column, so that the aggregation keeps no lists and sorts nothing.
+    """
+    at = F.col("place") - F.col("range") * size
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (at - 64 * i).cast("int"))
+    words = range(-(-size // 64))
+    bits = [F.bit_or(F.when(F.floor(at / 64) == i, bit(i)).otherwise(F.lit(0).cast("long"))).alias(f"__{i}") for i in words]
+    out = own.groupBy("range", "token", "field").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"), F.max("prior").alias("best"), *bits)
+
+    def there(place: Column) -> Column:
+        i = place - F.col("range") * size
+        found = F.lit(False)
+        for w in words:
+            found = F.when(F.floor(i / 64) == w, F.call_function("getbit", F.col(f"__{w}"), (i - 64 * w).cast("int")) == 1).otherwise(found)
+        return found
+
+    places = F.when(F.col("n") == 1, F.array("first")).when(F.col("n") == 2, F.array("first", "last")).otherwise(F.filter(F.sequence("first", "last"), there))
+    return out.select("field", "token", "range", "first", "last", "n", "best", places.alias("places"))
+
+
+def frequencies(blocks: DataFrame, field: str = "text") -> DataFrame:
+    """(token, df): documents of each token, from the heads of its blocks."""
+    return blocks.filter(F.col("field") == field).groupBy("token").agg(F.sum("n").alias("df"))
 
 
 def of_docs(docs: DataFrame, size: int = SIZE) -> DataFrame:

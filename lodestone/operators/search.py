@@ -27,9 +27,14 @@ def matching(postings: DataFrame, tokens: list[str], mode: str = "and") -> DataF
 
 def idfs(postings: DataFrame, tokens: list[str], total: int) -> list[tuple[str, float, float]]:
     """(token, text idf, name idf) of the query's tokens; a query has few."""
-    by = frequencies(postings.filter(F.col("token").isin(sorted(set(tokens))))).withColumn("idf", scores.idf(F.col("df"), F.lit(float(total))))
+    return idfs_of(frequencies(postings.filter(F.col("token").isin(sorted(set(tokens))))), tokens, total)
+
+
+def idfs_of(counts: DataFrame, tokens: list[str], total: int) -> list[tuple[str, float, float]]:
+    """``idfs`` of (token, df)."""
+    by = counts.filter(F.col("token").isin(sorted(set(tokens)))).withColumn("idf", scores.idf(F.col("df"), F.lit(float(total))))
     known = {r["token"]: r["idf"] for r in by.collect()}
-    missing = postings.sparkSession.range(1).select(scores.idf(F.lit(0), F.lit(float(max(total, 1)))).alias("i")).first()["i"]
+    missing = counts.sparkSession.range(1).select(scores.idf(F.lit(0), F.lit(float(max(total, 1)))).alias("i")).first()["i"]
     return [(t, known.get(t, missing), known.get(t, missing)) for t in sorted(set(tokens))]
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import describing, paths, scores, sentences, source, stemming, tokens
@@ -243,8 +243,12 @@ def token_pairs(spark, sf_dir):
 
 @query(f"SELECT DISTINCT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(ts) AS t FROM {RAW_SQL}) WHERE lower(t) NOT IN ('the', 'on', 'in', 'as')")
 def stopword_filter(spark, sf_dir):
-    own = F.array_except(F.transform(tokens.words(F.col("text")), F.lower), F.array(*[F.lit(t) for t in tokens.STOP]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("token"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(distinct_words(F.col("text"))).alias("token"))
+
+
+def distinct_words(text: Column) -> Column:
+    """The distinct words of a text in small letters, without stop words."""
+    return F.array_except(F.transform(tokens.words(text), F.lower), F.array(*[F.lit(t) for t in tokens.STOP]))
 
 
 @query(f"""WITH given AS (SELECT DISTINCT unnest(ts) AS word FROM {RAW_SQL}), {stemming.stem_sql("SELECT word FROM given")} SELECT word, stem FROM stems""")

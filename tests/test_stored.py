@@ -250,3 +250,19 @@ def test_counters_come_with_writing(spark):
     merged, counts = merge.observed(merge.merge(rows))
     merged.write.format("noop").mode("overwrite").save()
     assert counts.get == {"new": 1, "updated": 1, "unchanged": 1, "deleted": 1}
+
+
+def test_blocks_have_the_places_of_their_range(spark):
+    random.seed(4)
+    docs = spark.createDataFrame([(1000 + i, i, float(500 - i)) for i in range(400)], "doc_id long, place long, prior double")
+    held = {(t, i) for t, share in (("a", 1.0), ("b", 0.4), ("c", 0.02), ("d", 0.01)) for i in range(400) if random.random() < share}
+    posts = spark.createDataFrame([("text", t, 1000 + i) for t, i in held] * 2, "field string, token string, doc_id long")
+    for size in (32, 64, 128, 200):
+        want = {}
+        for t, i in held:
+            want.setdefault((t, i // size), []).append(i)
+        got = {(r["token"], r["range"]): r for r in blocks.of_postings(posts, docs, size).collect()}
+        assert {k: r["places"] for k, r in got.items()} == {k: sorted(x) for k, x in want.items()}
+        assert all((r["first"], r["last"], r["n"], r["best"]) == (min(want[k]), max(want[k]), len(want[k]), 500.0 - min(want[k])) for k, r in got.items())
+    made = blocks.of_postings(posts, docs)
+    assert {r["token"]: r["df"] for r in blocks.frequencies(made).collect()} == {t: sum(x == t for x, _ in held) for t in "abcd"}
