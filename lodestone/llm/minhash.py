@@ -9,9 +9,11 @@ is linked if the k-mers inside aligned runs make up ``LEAST`` of all.
 
 Exact copies meet first. Within a bucket, texts are compared with a centre
 (a few times, with better centres); what then still lies in different classes is
-compared pair by pair, in wide buckets after a second, longer family of sketches
-has parted texts that only share a passage. So no candidate is left out and a
-large group of near copies costs a few comparisons for each text.
+compared pair by pair. Texts of wide buckets are first dealt anew by their rarest
+k-mers, in a common order: one for each that two similar texts may not share, and
+one more, so that such texts meet for certain and those that only share a passage
+don't. So no candidate is left out and a large group of near copies costs a few
+comparisons for each text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, unused
@@ -34,9 +36,11 @@ STARS = 2
 #: Sketches and k-mers in each; texts of up to ``SHORT`` k-mers also get sketches of two.
 SKETCHES, LENGTH = 24, 6
 SHORT, SHORT_SKETCHES, SHORT_LENGTH = 40, 12, 2
-#: Second family, for texts from buckets of more than ``WIDE`` texts in several classes: a passage that many
-#: unlike texts share fills such buckets, and longer sketches part those texts.
-WIDE, WIDE_SKETCHES, WIDE_LENGTH = 16, 100, 12
+#: Texts from buckets of more than ``WIDE`` texts in several classes are dealt anew by their rarest k-mers: a passage
+#: that many unlike texts share fills such buckets.
+WIDE = 16
+#: Second family of sketches, longer ones, which part texts that only share a passage.
+WIDE_SKETCHES, WIDE_LENGTH = 100, 12
 #: Of so few k-mers, twelve are too rarely those of a near copy: texts of up to ``WIDE_SHORT`` k-mers get shorter
 #: sketches besides, those of up to ``SHORT`` twice as many.
 WIDE_SHORT, WIDE_SHORT_SKETCHES, WIDE_SHORT_LENGTH = 200, 24, 4
@@ -270,40 +274,52 @@ def bits_of(own: np.ndarray) -> np.ndarray:
 
 
 def undecided(own: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets (v, key, n, c, s) that still hold several classes; wide ones are dealt anew by the second family.
-
-    ``s`` bounds how many k-mers a text can share with any other of its bucket:
-    in wide buckets those that no other text of such buckets has are counted
-    out, and a text that keeps too few for the wanted similarity is done. Also
-    (key, bits): the k-mers of texts of wide buckets as bits.
+    """Buckets (v, key, n, c, s) that still hold several classes; texts of wide ones are dealt anew by k-mers.
+
+    In wide buckets, k-mers that no text of another class has are counted out;
+    the others stand in one order for all texts, the rarest first. ``s`` counts
+    those of a text from the bucket's k-mer on, so that two texts share no more
+    than the lesser ``s`` of the bucket of the first k-mer they share. Where
+    ``s`` is too low for the wanted similarity, a text needs no bucket: it has
+    at most one for each five of its k-mers, and one. Also (key, bits): the
+    k-mers of texts of wide buckets as bits.
     """
     rows = materialize(own.join(several(own), "v").select("v", "key", "n", "c", "size"), "omh-undecided")
     wide = rows.filter(F.col("size") > WIDE).select("key", "n", "c").distinct()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hashes = [kmers(word_hashes(t.as_py())) for t in b.column(3)]
-            own = [labelled(h) for h in hashes]
-            values = [sketches(h, wide=True).view(np.int64) for h in hashes]
+            own = [labelled(kmers(word_hashes(t.as_py()))) for t in b.column(3)]
             halves = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=">i8").astype(np.int64).reshape(-1, 2)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (values, [o.view(np.int64) for o in own], [bits_of(o) for o in own])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), *lists], names=["key", "n", "c", "k1", "k2", "values", "kmers", "bits"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([o.view(np.int64) for o in own], [bits_of(o) for o in own])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(halves[:, 0]), pa.array(halves[:, 1]), *lists], names=["key", "n", "c", "k1", "k2", "kmers", "bits"])
 
-    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, k1 long, k2 long, values array<long>, kmers array<long>, bits array<long>")
+    again = wide.join(texts, "key").select("key", "n", "c", "text").mapInArrow(batches, "key binary, n long, c binary, k1 long, k2 long, kmers array<long>, bits array<long>")
     again = materialize(again, "omh-wide")
     # a k-mer that is there once has one owner: the least of either half of its owner's key is that key's
     alone = again.select("k1", "k2", F.explode("kmers").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("k1").alias("k1"), F.min("k2").alias("k2")).filter("m = 1").groupBy("k1", "k2").agg(F.count("*").alias("u"))
-    kept = again.join(alone, ["k1", "k2"], "left").select("key", "n", "c", "values", "bits", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")).filter(F.col("s") >= LEAST * F.col("n"))
-    bits = materialize(kept.select("key", "bits", "n", "c", "s", "values"), "omh-bits")
+    kept = again.join(alone, ["k1", "k2"], "left").filter(F.col("n") - F.coalesce("u", F.lit(0)) >= LEAST * F.col("n"))
+    kept = materialize(kept.select("key", "n", "c", "kmers", "bits"), "omh-bits")
     discard(again)
-    again = materialize(bits.select(F.explode("values").alias("v"), "key", "n", "c", "s"), "omh-wide")
+    held = kept.select(F.explode("kmers").alias("v"), "key", "n", "c")
+    from_last = Window.partitionBy("key").orderBy(F.desc("size"), F.desc("v"))
+    dealt = held.join(several(held), "v").withColumn("s", F.row_number().over(from_last).cast("long")).filter(F.col("s") >= LEAST * F.col("n"))
+    again = materialize(dealt.select("v", "key", "n", "c", "s"), "omh-wide")
     again = again.join(several(again).select("v"), "v")
-    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s")), bits.select("key", "bits")
+    return rows.filter(F.col("size") <= WIDE).select("v", "key", "n", "c", F.col("n").alias("s")).unionByName(again.select("v", "key", "n", "c", "s")), kept.select("key", "bits")
+
+
+def enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether so many shared k-mers make texts of n and m similar enough (a tie does, whatever the rounding).
+
+    ``shared`` stands here once: what a condition has twice, Spark works out for every row, also where it isn't asked for.
+    """
+    return shared >= LEAST / (1 + LEAST) * (n + m) - 0.001
 
 
 def alike(n: Column, m: Column, s: Column, t: Column) -> Column:
     """Whether texts of n and m k-mers, of which at most s and t can be shared, may be similar enough."""
-    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & ((1 + LEAST) * F.least(s, t) >= LEAST * (n + m))
+    return (F.least(n, m) >= LEAST * F.greatest(n, m)) & enough(F.least(s, t), n, m)
 
 
 def to_centre(own: DataFrame, edges: DataFrame | None, turn: int) -> DataFrame:
@@ -330,7 +346,7 @@ def may_share(n: Column, m: Column, x: Column, y: Column) -> Column:
     bound is never too low.
     """
     apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, k: t + k)
-    return F.coalesce((1 + LEAST) * F.least(n - apart(x, y), m - apart(y, x)) >= LEAST * (n + m), F.lit(True))
+    return F.coalesce(enough(F.least(n - apart(x, y), m - apart(y, x)), n, m), F.lit(True))
 
 
 def across(own: DataFrame, bits: DataFrame) -> DataFrame:
