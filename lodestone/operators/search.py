@@ -120,6 +120,22 @@ def as_json(keys: dict[str, str]) -> Column:
     return F.to_json(F.struct(*[F.col(c).alias(k) for c, k in keys.items()]), {"ignoreNullFields": "false"})
 
 
+#: Rows of a long list that are joined at a time.
+RUN = 1024
+
+
+def json_runs(rows: DataFrame) -> DataFrame:
+    """(run, text) of ``rows`` (place, j): the JSON of consecutive places, after commas; only that of place 0 has none before it."""
+    runs = rows.groupBy(F.floor(F.col("place") / RUN).alias("run"))
+    # an empty text before the first one gives the comma between runs
+    return runs.agg(F.concat_ws(",", F.when(F.col("run") > 0, ""), F.array_sort(F.collect_list(F.struct("place", "j")))["j"]).alias("text"))
+
+
+def json_list(runs: DataFrame, head: str, tail: str) -> DataFrame:
+    """One row (body): the texts of ``json_runs`` between ``head`` and ``tail``. One task holds the whole body, but not its rows."""
+    return runs.agg(F.concat_ws("", F.lit(head), F.array_sort(F.collect_list(F.struct("run", "text")))["text"], F.lit(tail)).alias("body"))
+
+
 def shows_readme(description: Column, readme: Column) -> Column:
     """Whether the page of a package shows its readme: there is one, and hardly a description."""
     return (F.octet_length(description) < 10) & (F.octet_length(readme) > 0)

@@ -181,6 +181,11 @@ def test_search_and_api(engine):
     assert engine.totals().first()["packages"] == 4
 
 
+@pytest.mark.parametrize("action,params", [("package", {"id": POND}), ("packages", {"callback": "f"}), ("package_depends", {}), ("search", {"q": "needles"}), ("tops", {}), ("what", {})])
+def test_answer_is_the_api_as_a_row(engine, action, params):
+    assert tuple(engine.answer(action, **params).first()) == engine.api(action, **params)
+
+
 def test_hot_list_against_the_walk(spark):
     random.seed(8)
     for _ in range(3):

@@ -1,19 +1,25 @@
 """Posting blocks, versioned tables, draining of segments and saved responses."""
 
+import json
+import os
 import random
 import threading
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestone.functions import scores
-from lodestone.operators import blocks, store
+from lodestone.operators import blocks, search, store
+from lodestone.plans import stored
 from lodestone.plans.engine import Engine
 from lodestone.sources import responses, versions
 from lodestone.sources.snapshots import Segments
 from lodestone.streaming import jobs
 
+DATA = os.environ.get("LODESTONE_DATA", "/root/testdata/sf0.001")
+
 # --- posting blocks
 
 
@@ -83,6 +89,29 @@ def test_search_writes_nothing(spark, tmp_path):
     assert {p for p in files() - before if "temporary" not in str(p)} == set()
 
 
+def test_lists_of_all_packages_come_in_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "RUN", 3)
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    names = ['h.org/u/"a"\\b', "h.org/ü/c\n"] + [f"h.org/u/p{i}" for i in range(9, 0, -1)]
+    engine.hits = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "package string, doc_id long").repartition(4)
+    want = json.dumps(names, ensure_ascii=False, separators=(",", ":"))
+    assert engine.api("packages") == (200, want) and tuple(engine.answer("Packages").first()) == (200, want)
+    assert tuple(engine.answer("packages", callback="c-b").first()) == engine.api("packages", callback="c-b") == (200, f"cb(200, {want});")
+    engine.hits = engine.hits.limit(0)
+    assert engine.api("packages") == (200, "[]") and tuple(engine.answer("packages").first()) == (200, "[]")
+    assert tuple(engine.answer("what").first()) == engine.api("what")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_the_list_of_packages_is_not_sent_by_the_driver(spark, monkeypatch):
+    # a task that carries a body above spark.rpc.message.maxSize is refused on a cluster
+    stored.engine(spark, DATA)
+    sent, make = [], SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **b: sent.extend(str(r) for r in data) or make(self, data, *a, **b))
+    bodies = {r["action"]: r["body"] for r in stored.engine_api(spark, DATA).collect()}
+    assert len(json.loads(bodies["packages"])) == stored.engine(spark, DATA).total() and max(map(len, sent)) < 100 < len(bodies["packages"])
+
+
 # --- versioned tables
 
 
