@@ -159,9 +159,6 @@ class Engine:
         top = self.top(q).select("rank", "name", "package", "author", "synopsis", "project_url")
         return top.join(self.hits_full.select("package", "description"), "package").orderBy("rank")
 
-    def all_depends(self) -> DataFrame:
-        return self._listed().select("package", "name", "imports", "test_imports", "imported", "test_imported", "doc_id").orderBy("doc_id").drop("doc_id")
-
     def api(self, action: str, callback: str = "", **params) -> tuple[int, str]:
         """(status, JSON or JSONP body) of an action: package, packages, package_depends, tops, search."""
         action = action.lower()
